@@ -31,7 +31,7 @@ from factloom.llm.common import slabs
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words after which a worker's cache becomes the old one, which keeps those that come again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 #: A text is cut, where that is safe, once a piece has this many characters.
 PIECE_CHARS = 1 << 20
 NEVER = np.iinfo(np.int64).max
