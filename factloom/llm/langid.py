@@ -122,21 +122,22 @@ def score(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarra
     return best, 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, score of every row."""
+def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """df with the predicted language of every row and its probability."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = batch.column(1)
+            texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 part = [t or "" for t in texts[i:j].to_pylist()]
                 plain = [bool(own.langs) and any(map(str.isalpha, t)) for t in part]
                 best, sure = score(part, own) if own.langs else (np.zeros(len(part), int), np.zeros(len(part)))
                 names = [own.langs[b] if p else UNKNOWN for b, p in zip(best, plain, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(names, pa.string()), pa.array(np.where(plain, sure, 0.0))], names=["key__", "lang_pred", "score"])
+                kept = rest.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(np.where(plain, sure, 0.0))], names=[*kept.schema.names, lang_out, score_out])
 
-    rows = df.select(F.col(key).alias("key__"), F.col(text).alias("text__"))
-    schema = T.StructType([T.StructField("key__", rows.schema["key__"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(task, schema).withColumnRenamed("key__", key)
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{text}`").alias("text__"))
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    return rows.mapInArrow(task, schema)

@@ -4,12 +4,13 @@ Each document has two collections of SUBKEYS sub-keys of WIDTH minhashes each; a
 from each, so SUBKEYS squared tables come from 2 x SUBKEYS x WIDTH minhashes instead of 2 x WIDTH for every table. With
 the default sizes two documents at similarity 0.85 share no key with a chance of about 5e-7 (0.8: about 2e-5).
 
-Only what repeats is spelled out: documents of equal shingle sets are one class from the start; sub-keys that one class alone has
-are dropped before pairs of sub-keys are formed. Inside a bucket no pair is formed for its own sake: every member is
-verified against the bucket's smallest member; then, until nothing new comes up, against the smallest member of each
-other component in the bucket; last, members of two components whose distances to those smallest members
-leave room for a link (Jaccard distance obeys the triangle inequality) against each other. Pairs inside one component can't
-change the result and aren't formed. Components come from alternating large-star and small-star joins.
+Only what repeats is spelled out: documents of equal shingle sets are one class from the start; sub-keys that one class
+alone has are dropped before pairs of sub-keys are formed. Inside a bucket no pair is formed for its own sake. The tables
+on the diagonal give each class one centre to be verified against; after that, all tables are searched for buckets in
+which several components meet, and there every member is verified against the smallest member of each component until
+nothing new comes up; last, members of two components whose distances to those smallest members leave room for a
+link (Jaccard distance obeys the triangle inequality) against each other. Pairs inside one component can't change the
+result and aren't formed. Components come from alternating large-star and small-star joins.
 
 Defined cases: null texts and texts without words have the empty set, are linked with nothing and stay; fewer words than a shingle are one
 shingle; each row of a repeated id counts by its own text; rows with
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import checkpointed, slabs, small_side
 
 SUBKEYS, WIDTH = 16, 3
-#: Ids that are sent to every task for the second read of the texts; beyond it the read is a shuffle join.
-SENT_IDS = 500_000
+#: Ids or keys that are sent to every task if there are no more; beyond it the join is a shuffle join.
+SENT_ROWS = 500_000
 CACHE_WORDS = 300_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -46,7 +47,7 @@ class WordHashes(dict):
         return h
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
+def scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX[0]
     return x ^ (x >> np.uint64(29))
 
@@ -60,7 +61,7 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     k = min(k, len(h))
     total = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
-        total = mixed(total + h[i : len(h) - k + 1 + i])
+        total = scrambled(total + h[i : len(h) - k + 1 + i])
     return np.unique(total)
 
 
@@ -73,12 +74,12 @@ def sketch_sets(sets: list[np.ndarray], subkeys: int, width: int) -> np.ndarray:
     shift = rng.integers(0, 1 << 63, 2 * subkeys * width, np.uint64)
     out = np.zeros((len(sets), 2 * subkeys), np.uint64)
     for i in range(2 * subkeys * width):
-        out[:, i // width] = mixed(out[:, i // width] + np.minimum.reduceat((flat ^ shift[i]) * odd[i], starts))
+        out[:, i // width] = scrambled(out[:, i // width] + np.minimum.reduceat((flat ^ shift[i]) * odd[i], starts))
     return out
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int, width: int) -> DataFrame:
-    """id, n_shingles, cid (a 128-bit hash of the set; null if empty), subs (sub-keys) of every row."""
+    """id, row (hash of id and text), n_shingles, cid (a 128-bit hash of the set; null if empty), subs (sub-keys) of every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -92,10 +93,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int,
                     for n, row in zip(full, sketch_sets([sets[n] for n in full], subkeys, width).view(np.int64).tolist(), strict=True):
                         subs[n] = row
                 cids = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array(cids, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "n_shingles", "cid", "subs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array(cids, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "row", "n_shingles", "cid", "subs"])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(task, "id long, n_shingles long, cid binary, subs array<long>")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
+    return rows.mapInArrow(task, "id long, row long, n_shingles long, cid binary, subs array<long>")
 
 
 def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
@@ -115,25 +116,30 @@ def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
     return df.select("id", "text").mapInArrow(task, "cid binary, shingles array<long>")
 
 
-def buckets(classes: DataFrame, subkeys: int) -> DataFrame:
-    """key, cid: the table keys of each class that another class may share."""
-    subs = classes.select("cid", F.posexplode("subs").alias("at", "sub"))
-    shared = subs.groupBy("at", "sub").agg(F.count("*").alias("n")).where("n > 1").select(F.col("at").alias("at2"), F.col("sub").alias("sub2"))
-    again = subs.join(shared, (F.col("at") == F.col("at2")) & (F.col("sub") == F.col("sub2"))).select("cid", "at", "sub")
-    own = again.groupBy("cid").agg(F.collect_list(F.struct("at", "sub")).alias("subs"))
-    first = F.filter("subs", lambda x: x["at"] < subkeys)
-    second = F.filter("subs", lambda x: x["at"] >= subkeys)
-    one = own.select("cid", second.alias("second"), F.explode(first).alias("a"))
-    two = one.select("cid", "a", F.explode("second").alias("b"))
-    keyed = two.select("cid", F.xxhash64("a.at", "a.sub", "b.at", "b.sub").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("key2"))
-    return keyed.join(several, F.col("key") == F.col("key2"), "left_semi").select("key", "cid")
+def shared_subkeys(classes: DataFrame, sent_rows: int) -> DataFrame:
+    """node, first, second: of each class the sub-keys of both collections that another class has too."""
+    subs = classes.select("node", F.posexplode("subs").alias("at", "sub"))
+    shared = checkpointed(subs.groupBy("sub").agg(F.count("*").alias("n")).where("n > 1").select("sub"))
+    again = subs.join(small_side(shared, shared.count(), sent_rows), "sub", "left_semi")
+    own = again.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "sub"))).alias("subs"))
+    return own
+
+
+def table_keys(own: DataFrame, subkeys: int, diagonal: bool) -> DataFrame:
+    """key and the columns of own but subs: a row for each pair of one sub-key of each collection (on the diagonal: of those with equal place)."""
+    rest = [c for c in own.columns if c != "subs"]
+    first, second = F.filter("subs", lambda x: x["at"] < subkeys), F.filter("subs", lambda x: x["at"] >= subkeys)
+    one = own.select(*rest, second.alias("second"), F.explode(first).alias("a"))
+    two = one.select(*rest, "a", F.explode("second").alias("b"))
+    if diagonal:
+        two = two.where(F.col("a.at") + subkeys == F.col("b.at"))
+    return two.select(F.xxhash64("a.sub", "b.sub").alias("key"), *rest)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, size_a, size_b, common: the sizes of both full sets and of their intersection."""
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
 
@@ -143,13 +149,13 @@ def links(tested: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cid, label of every node but the smallest of each component of the edges (a, b): the smallest that it reaches. Alternates large-star and small-star until the edges stand still."""
+    """node, label of every node but the smallest of each component of the edges (a, b): the smallest that it reaches. Alternates large-star and small-star until the edges stand still."""
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if state == before or state[0] == 0:
-            return now.select(F.col("a").alias("cid"), F.col("b").alias("label"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         before = state
         ways = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -165,12 +171,16 @@ def ordered(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return new if tested is None else new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def mixed_buckets(bucketed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, cid, label of the buckets in which several components meet, and key, rep_label, rep: each one's smallest member there."""
-    lab = bucketed.join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    several = lab.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    lab = checkpointed(lab.join(several, "key", "left_semi"))
-    return lab, lab.groupBy("key", F.col("label").alias("rep_label")).agg(F.min("cid").alias("rep"))
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (with node) and their component's label."""
+    return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def mixed(rows: DataFrame, sent_rows: int) -> DataFrame:
+    """The rows (key, node, label) of those buckets in which several components meet."""
+    several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    several = checkpointed(several)
+    return checkpointed(rows.join(small_side(several, several.count(), sent_rows), "key", "left_semi").select("key", "node", "label"))
 
 
 def inner_pairs(lab: DataFrame, reps: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
@@ -179,49 +189,72 @@ def inner_pairs(lab: DataFrame, reps: DataFrame, tested: DataFrame, percent: int
     known = tested.select("a", "b", far.alias("far"))
     known = known.union(known.select("b", "a", "far"))
     room = 1 - percent / 100 + 1e-9
-    at = lab.join(reps, "key").where("cid <> rep").join(known, (F.col("cid") == F.col("a")) & (F.col("rep") == F.col("b")))
-    at = checkpointed(at.select("key", "cid", "label", "rep", "rep_label", "far"))
-    own = at.where("label = rep_label").select("key", "rep", F.col("cid").alias("a"), F.col("far").alias("far_a"))
+    at = lab.join(reps, "key").where("node <> rep").join(known, (F.col("node") == F.col("a")) & (F.col("rep") == F.col("b")))
+    at = checkpointed(at.select("key", "node", "label", "rep", "rep_label", "far"))
+    own = at.where("label = rep_label").select("key", "rep", F.col("node").alias("a"), F.col("far").alias("far_a"))
     reach = own.groupBy("key", "rep").agg(F.max("far_a").alias("reach"))
     other = at.where("label <> rep_label").join(reach, ["key", "rep"]).where(F.col("far") <= F.col("reach") + room)
-    other = other.select("key", "rep", F.col("cid").alias("b"), F.col("far").alias("far_b"))
+    other = other.select("key", "rep", F.col("node").alias("b"), F.col("far").alias("far_b"))
     return own.join(other, ["key", "rep"]).where(F.abs(F.col("far_a") - F.col("far_b")) <= room).select("a", "b")
 
 
-def class_components(bucketed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cid, label of the classes that some link reaches (but each component's smallest)."""
-    centres = bucketed.groupBy("key").agg(F.min("cid").alias("a"))
-    pairs = ordered(bucketed.join(centres, "key").select("a", F.col("cid").alias("b")), None)
-    tested = checkpointed(verify(pairs, sets))
+def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int, sent_rows: int) -> DataFrame:
+    """node, label of the classes that some link reaches (but each component's smallest)."""
+    # a first guess from the tables on the diagonal: one centre for each class
+    keyed = table_keys(own, subkeys, True).select("key", "node")
+    centres = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = keyed.join(centres, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    tested = checkpointed(verify(ordered(pairs, None), sets))
     labels = components(links(tested, percent))
+    # then all tables, as far as they hold more than one component
+    lab = mixed(table_keys(labelled(own, labels), subkeys, False), sent_rows)
     while True:
-        lab, reps = mixed_buckets(bucketed, labels)
+        reps = lab.groupBy("key", F.col("label").alias("rep_label")).agg(F.min("node").alias("rep"))
         # own representatives too: their distances serve inner_pairs
-        new = checkpointed(verify(ordered(lab.join(reps, "key").select(F.col("cid").alias("a"), F.col("rep").alias("b")), tested), sets))
+        new = checkpointed(verify(ordered(lab.join(reps, "key").select(F.col("node").alias("a"), F.col("rep").alias("b")), tested), sets))
         if new.isEmpty():
             new = checkpointed(verify(ordered(inner_pairs(lab, reps, tested, percent), tested), sets))
             if new.isEmpty():
                 return labels
         tested = tested.union(new)
-        labels = components(links(tested, percent))
+        if not links(new, percent).isEmpty():
+            labels = components(links(tested, percent))
+            lab = mixed(labelled(lab, labels), sent_rows)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, subkeys: int = SUBKEYS, width: int = WIDTH, sent_ids: int = SENT_IDS) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row: documents are linked from a similarity of percent / 100."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, subkeys: int = SUBKEYS, width: int = WIDTH, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """id, n_shingles, component_id, kept, row (hash of id and text) of every row: documents are linked from a similarity of percent / 100."""
     rows = checkpointed(signatures(df, id_col, text_col, k, subkeys, width))
     filled = rows.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = checkpointed(filled.groupBy("cid").agg(F.min("id").alias("doc"), F.first("subs").alias("subs")))
-    bucketed = checkpointed(buckets(classes, subkeys))
-    wanted = checkpointed(classes.select("cid", "doc").join(bucketed.select("cid").distinct(), "cid", "left_semi"))
+    classes = filled.groupBy("cid").agg(F.min("id").alias("doc"), F.first("subs").alias("subs"))
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    rows, plain = rows.drop("subs"), classes.select("node", "cid", "doc")
+    own = checkpointed(shared_subkeys(classes, sent_rows))
+    near = F.exists("subs", lambda x: x["at"] < subkeys) & F.exists("subs", lambda x: x["at"] >= subkeys)
+    own = own.where(near)
+    # the full sets of the classes that have table keys in common with others, from a second read of their texts
+    wanted = checkpointed(plain.join(own.select("node"), "node", "left_semi"))
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     docs = wanted.select(F.col("doc").alias("id")).distinct()
-    some = texts.join(small_side(docs, docs.count(), sent_ids), "id", "left_semi")
-    sets = checkpointed(shingle_arrays(some, k).join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
-    labels = class_components(bucketed, sets, percent)
+    some = texts.join(small_side(docs, docs.count(), sent_rows), "id", "left_semi")
+    sets = checkpointed(shingle_arrays(some, k).join(wanted.select("cid", "node"), "cid").drop("cid").dropDuplicates(["node"]))
+    labels = class_components(own, sets, percent, subkeys, sent_rows)
     # the smallest id of each component, by class
-    labelled = classes.select("cid", "doc").join(labels, "cid", "left").select("cid", "doc", F.coalesce("label", "cid").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc").alias("component"))
-    of = labelled.join(least, "label").select(F.col("cid").alias("of"), "component")
+    named = labelled(plain, labels)
+    least = named.groupBy("label").agg(F.min("doc").alias("component"))
+    of = named.join(least, "label").select(F.col("cid").alias("of"), "component")
     out = rows.join(of, (F.col("cid") == F.col("of")) & F.col("id").isNotNull(), "left")
     component = F.coalesce(F.col("component"), F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row")
+
+
+def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that near_duplicates keeps; of identical ids and texts, one row."""
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    found = checkpointed(found.select("row", "kept"))
+    gone = found.where("NOT kept").select(F.col("row").alias("gone__")).distinct()
+    stay = df.join(gone, row == F.col("gone__"), "left_anti")
+    again = checkpointed(found.where("kept").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("again__")))
+    if again.isEmpty():
+        return stay
+    return stay.join(again, row == F.col("again__"), "left_anti").unionByName(stay.join(again, row == F.col("again__"), "left_semi").dropDuplicates([id_col, text_col]))
