@@ -1,0 +1,18 @@
+import corpus_pipeline
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    columns = docs.columns
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf).cache()
+        assert now.columns == columns and now.count(), name
+    texts = [r["text"] for r in now.collect()]
+    assert len(set(texts)) == len(texts)
+    assert not any(b in t for b in bench for t in texts)
+    last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert last.count() == now.count() and last.where("NOT round_trip").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
