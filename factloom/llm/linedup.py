@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -65,20 +66,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """variant, place (of the missing word; -1: none is), cid of the lines (cid, text)."""
+    """va, vb (a 128-bit hash), place (of the missing word; -1: none is), rank of the lines (rank, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slabs(pc.utf8_length(batch.column(1)).to_pylist(), 1 << 18):
-                variants, places, cids = [], [], []
-                for cid, text in zip(batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), strict=True):
+                variants, places, sizes = [], [], []
+                for text in batch.column(1)[i:j].to_pylist():
                     words = text.lower().split()
-                    variants += [cid, *(xxhash.xxh3_128_digest(_joined(words[:k] + words[k + 1 :])) for k in range(len(words)))]
+                    variants += [xxhash.xxh3_128_digest(_joined(words)), *(xxhash.xxh3_128_digest(_joined(words[:k] + words[k + 1 :])) for k in range(len(words)))]
                     places += range(-1, len(words))
-                    cids += [cid] * (len(words) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(variants, pa.binary()), pa.array(places, pa.int32()), pa.array(cids, pa.binary())], names=["variant", "place", "cid"])
+                    sizes.append(len(words) + 1)
+                both = np.frombuffer(b"".join(variants), np.int64).reshape(-1, 2)
+                ranks = np.repeat(batch.column(0)[i:j].to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(places, pa.int32()), pa.array(ranks)], names=["va", "vb", "place", "rank"])
 
-    return lines.select("cid", "text").mapInArrow(task, "variant binary, place int, cid binary")
+    return lines.select("rank", "text").mapInArrow(task, "va long, vb long, place int, rank long")
 
 
 def one_edit(pairs: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = df.sparkSession.read.parquet(at)
     place = F.struct("id", "line", "row")
     # distinct lines, and those of them that share a half with another
-    distinct = seen.groupBy("cid").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves"))
+    distinct = seen.groupBy("cid").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     at = new_folder(df.sparkSession, "distinct")
     distinct.write.option("compression", "zstd").parquet(at)
     distinct = df.sparkSession.read.parquet(at)
@@ -111,26 +114,26 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = small_side(chosen.select("cid", F.col("first.id").alias("want_id"), F.col("first.line").alias("want_line"), F.col("first.row").alias("want_row")), chosen.count(), sent_rows)
     lines = docs.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     lines = lines.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("row") == F.col("want_row")) & (F.col("line") == F.col("want_line")))
-    lines = checkpointed(lines.select("cid", "text").dropDuplicates(["cid"]))
+    # numbered in the order in which they stand, so that the earliest is the least
+    lines = lines.select("cid", "text", "want_id", "want_line", "want_row").dropDuplicates(["cid"]).orderBy("want_id", "want_line", "want_row")
+    lines = checkpointed(lines.withColumn("rank", F.monotonically_increasing_id()))
     # the earliest line of each variant
-    variants = neighbourhoods(lines).join(chosen, "cid")
+    variants = neighbourhoods(lines)
     gone = variants.where("place >= 0")
-    swaps = gone.groupBy("variant", "place").agg(F.min("first").alias("early"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "early")
-    swapped = gone.join(swaps, ["variant", "place"]).select("cid", "first", "early")
-    whole = variants.where("place < 0").select("variant", F.col("cid").alias("whole_cid"), F.col("first").alias("whole_first"))
-    longer = gone.join(whole, "variant")
-    inserted = longer.select("cid", "first", F.col("whole_first").alias("early"))
-    fewer = longer.groupBy("whole_cid").agg(F.min("whole_first").alias("first"), F.min("first").alias("early")).select(F.col("whole_cid").alias("cid"), "first", "early")
-    near = swapped.unionByName(inserted).unionByName(fewer).where("early < first")
-    near = checkpointed(near.groupBy("cid").agg(F.min("early").alias("early")))
+    swaps = checkpointed(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("early"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "early"))
+    swapped = gone.join(small_side(swaps, swaps.count(), sent_rows), ["va", "vb", "place"]).select("rank", "early")
+    whole = variants.where("place < 0").select("va", "vb", F.col("rank").alias("whole"))
+    longer = checkpointed(gone.join(small_side(whole, lines.count(), sent_rows), ["va", "vb"]).select("rank", "whole"))
+    inserted = longer.select("rank", F.col("whole").alias("early"))
+    fewer = longer.groupBy("whole").agg(F.min("rank").alias("early")).select(F.col("whole").alias("rank"), "early")
+    near = swapped.unionByName(inserted).unionByName(fewer).where("early < rank").groupBy("rank").agg(F.min("early").alias("early"))
     # verified on the words themselves
-    owner = chosen.select(F.col("cid").alias("early_cid"), F.col("first").alias("early2"))
-    words = lines.select("cid", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")), " ").alias("words"))
-    pairs = near.join(owner, F.col("early") == F.col("early2")).select("cid", "early", "early_cid")
-    pairs = pairs.join(words.withColumnRenamed("words", "words_a"), "cid").join(words.select(F.col("cid").alias("early_cid"), F.col("words").alias("words_b")), "early_cid")
-    near = one_edit(pairs).select("cid", "early")
+    words = lines.select("rank", "cid", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")), " ").alias("words_a"), F.struct(F.col("want_id").alias("id"), F.col("want_line").alias("line"), F.col("want_row").alias("row")).alias("at"))
+    pairs = near.join(words.select("rank", "cid", "words_a"), "rank")
+    pairs = pairs.join(words.select(F.col("rank").alias("early"), F.col("words_a").alias("words_b"), "at"), "early")
+    near = one_edit(pairs).select("cid", F.col("at").alias("early"))
     # back to every occurrence
-    keep = distinct.select("cid", "first", "last").join(near, "cid", "left").where("early IS NOT NULL OR first < last")
+    keep = distinct.select("cid", "first", "n").join(near, "cid", "left").where("early IS NOT NULL OR n > 1")
     keep = keep.select("cid", F.coalesce("early", "first").alias("keep"), F.when(F.col("early").isNull(), 0).otherwise(1).alias("edits"))
     found = seen.select("id", "row", "line", "cid").join(keep, "cid").where(F.struct("id", "line", "row") > F.col("keep"))
     return found.select(F.col("id").alias(id_col), "row", "line", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"), "edits")
