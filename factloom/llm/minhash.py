@@ -5,12 +5,11 @@ from each, so SUBKEYS squared tables come from 2 x SUBKEYS x WIDTH minhashes ins
 the default sizes two documents at similarity 0.85 share no key with a chance of about 5e-7 (0.8: about 2e-5).
 
 Only what repeats is spelled out: documents of equal shingle sets are one class from the start; sub-keys that one class
-alone has are dropped before pairs of sub-keys are formed. Inside a bucket no pair is formed for its own sake. The tables
-on the diagonal give each class one centre to be verified against; after that, all tables are searched for buckets in
-which several components meet, and there every member is verified against the smallest member of each component until
-nothing new comes up; last, members of two components whose distances to those smallest members leave room for a
-link (Jaccard distance obeys the triangle inequality) against each other. Pairs inside one component can't change the
-result and aren't formed. Components come from alternating large-star and small-star joins.
+alone has are dropped before pairs of sub-keys are formed. The tables on the diagonal give each class one centre to be
+verified against, which joins most copies. Then all tables are searched for buckets in which several components meet; of the
+classes in them, pairs from different components are formed by the exact prefix filter (see prefix_pairs) and verified.
+Pairs inside one component can't change the result and aren't formed. Components come from alternating large-star
+and small-star joins.
 
 Defined cases: null texts and texts without words have the empty set, are linked with nothing and stay; fewer words than a shingle are one
 shingle; each row of a repeated id counts by its own text; rows with
@@ -176,26 +175,36 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def mixed(rows: DataFrame, sent_rows: int) -> DataFrame:
-    """The rows (key, node, label) of those buckets in which several components meet."""
-    several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+def contested(own: DataFrame, labels: DataFrame, subkeys: int, sent_rows: int) -> DataFrame:
+    """node, label of the classes in a bucket in which several components meet."""
+    keyed = table_keys(labelled(own, labels), subkeys, False)
+    several = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     several = checkpointed(several)
-    return checkpointed(rows.join(small_side(several, several.count(), sent_rows), "key", "left_semi").select("key", "node", "label"))
-
-
-def inner_pairs(lab: DataFrame, reps: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of two components of a bucket, neither the smallest there, that distances to the smallest don't rule out."""
-    far = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    known = tested.select("a", "b", far.alias("far"))
-    known = known.union(known.select("b", "a", "far"))
-    room = 1 - percent / 100 + 1e-9
-    at = lab.join(reps, "key").where("node <> rep").join(known, (F.col("node") == F.col("a")) & (F.col("rep") == F.col("b")))
-    at = checkpointed(at.select("key", "node", "label", "rep", "rep_label", "far"))
-    own = at.where("label = rep_label").select("key", "rep", F.col("node").alias("a"), F.col("far").alias("far_a"))
-    reach = own.groupBy("key", "rep").agg(F.max("far_a").alias("reach"))
-    other = at.where("label <> rep_label").join(reach, ["key", "rep"]).where(F.col("far") <= F.col("reach") + room)
-    other = other.select("key", "rep", F.col("node").alias("b"), F.col("far").alias("far_b"))
-    return own.join(other, ["key", "rep"]).where(F.abs(F.col("far_a") - F.col("far_b")) <= room).select("a", "b")
+    return checkpointed(keyed.join(small_side(several, several.count(), sent_rows), "key", "left_semi").select("node", "label").distinct())
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, sent_rows: int) -> DataFrame:
+    """Pairs of nodes of different labels that may be linked, found exactly: in any order of the shingles, two linked sets
+    share one among the first n - ceil(n * percent / 100) + 1 of each. The order is by how many of the nodes have a
+    shingle, rarest first, so what many share is hardly ever looked up."""
+    own = sets.join(small_side(nodes, nodes.count(), sent_rows), "node").select("node", "label", F.size("shingles").alias("size"), "shingles")
+    spread = own.select("node", F.explode("shingles").alias("s"))
+    shared = spread.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    known = spread.join(shared, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("known"))
+    rows = own.drop("shingles").join(known, "node")
+    alone = F.col("size") - F.size("known")
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rows = rows.where(prefix > alone).select("node", "label", "size", alone.alias("alone"), F.posexplode(F.slice("known", F.lit(1), (prefix - alone).cast("int"))).alias("at", "x"))
+    rows = checkpointed(rows.select("node", "label", "size", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
+    # inside a shingle's group the largest component isn't paired with itself
+    counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
+    major = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("s", "major")
+    rows = rows.join(major, "s")
+    left = rows.where("label <> major").select("s", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    right = rows.select("s", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
+    room = most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
+    return left.join(right, "s").where((F.col("label_a") != F.col("label_b")) & room).select("a", "b")
 
 
 def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int, sent_rows: int) -> DataFrame:
@@ -206,20 +215,12 @@ def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int
     pairs = keyed.join(centres, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
     tested = checkpointed(verify(ordered(pairs, None), sets))
     labels = components(links(tested, percent))
-    # then all tables, as far as they hold more than one component
-    lab = mixed(table_keys(labelled(own, labels), subkeys, False), sent_rows)
-    while True:
-        reps = lab.groupBy("key", F.col("label").alias("rep_label")).agg(F.min("node").alias("rep"))
-        # own representatives too: their distances serve inner_pairs
-        new = checkpointed(verify(ordered(lab.join(reps, "key").select(F.col("node").alias("a"), F.col("rep").alias("b")), tested), sets))
-        if new.isEmpty():
-            new = checkpointed(verify(ordered(inner_pairs(lab, reps, tested, percent), tested), sets))
-            if new.isEmpty():
-                return labels
-        tested = tested.union(new)
-        if not links(new, percent).isEmpty():
-            labels = components(links(tested, percent))
-            lab = mixed(labelled(lab, labels), sent_rows)
+    # then all tables, as far as their buckets hold more than one component
+    open_ = contested(own, labels, subkeys, sent_rows)
+    if open_.isEmpty():
+        return labels
+    new = checkpointed(verify(ordered(prefix_pairs(open_, sets, percent, sent_rows), tested), sets))
+    return components(links(tested.union(new), percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, subkeys: int = SUBKEYS, width: int = WIDTH, sent_rows: int = SENT_ROWS) -> DataFrame:
