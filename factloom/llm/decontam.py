@@ -48,7 +48,7 @@ class Tokens(dict):
         self.hashes: list[int] = []
         self.kinds: list[int] = []
         self.values: list[str] = []
-        self.frozen: tuple | None = None
+        self.frozen = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, bool, np.uint64, np.int8, bool))
 
     def __missing__(self, raw: str) -> int:
         core = _EDGE.sub("", raw) if not raw[:1].isalnum() or not raw[-1:].isalnum() else raw
@@ -70,26 +70,19 @@ class Tokens(dict):
             self.kinds.append(kind)
             self.values.append(value)
         self[raw] = at = len(self.starts) - 1
-        self.frozen = None
         return at
 
     def arrays(self) -> tuple:
-        if self.frozen is None:
-            self.frozen = (np.array(self.starts, np.int64), np.array(self.counts, np.int64), np.array(self.caps, bool), np.array(self.ends, bool), np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8), np.array([v in UNITS for v in self.values], bool))
+        """starts, counts, caps, ends of the tokens and hashes, kinds, units of the parts so far."""
+        t, p = len(self.frozen[0]), len(self.frozen[4])
+        if t < len(self.starts):
+            new = (self.starts[t:], self.counts[t:], self.caps[t:], self.ends[t:], self.hashes[p:], self.kinds[p:], [v in UNITS for v in self.values[p:]])
+            self.frozen = tuple(np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip(self.frozen, new, strict=True))
         return self.frozen
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The parts of a text (places in the value arrays) and whether each is a name."""
+    def places(self, text: str) -> np.ndarray:
         raw = text.split()
-        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        starts, counts, caps, ends, *_ = self.arrays()
-        name = caps[at]
-        if len(at):
-            name[0] = False
-            name[1:] &= ~ends[at[:-1]]
-        n = counts[at]
-        first = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-        return first + np.arange(len(first)), np.repeat(name, n)
+        return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,13 +90,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the template windows and of the literal ones by start, the parts, the kinds, the width."""
-    if len(tokens) > CACHE_WORDS:
-        tokens.clear()
-        tokens.__init__()
-    parts, name = tokens.read(text)
-    *_, hashes, kinds, units = tokens.arrays()
+def windows(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of the template windows and of the literal ones by start, the parts, the kinds, the width; of a text's tokens."""
+    starts, counts, caps, ends, hashes, kinds, units = tokens.arrays()
+    name = caps[at]
+    if len(at):
+        name[0] = False
+        name[1:] &= ~ends[at[:-1]]
+    n = counts[at]
+    first = np.repeat(starts[at] - (np.cumsum(n) - n), n)
+    parts, name = first + np.arange(len(first)), np.repeat(name, n)
     h, kind = hashes[parts], kinds[parts].copy()
     if len(kind) > 1:
         kind[1:][(kind[:-1] == NUMBER) & units[parts[1:]]] = UNIT
@@ -131,8 +127,11 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 rows: list[tuple] = []
-                for doc, text in zip(ids[i:j], texts[i:j].to_pylist(), strict=True):
-                    template, literal, parts, kind, width = windows(text or "", tokens)
+                if len(tokens) > CACHE_WORDS:
+                    tokens = Tokens()
+                places = [tokens.places(t or "") for t in texts[i:j].to_pylist()]
+                for doc, at in zip(ids[i:j], places, strict=True):
+                    template, literal, parts, kind, width = windows(at, tokens)
                     for h, family in ((template, True), (literal, False)):
                         keep = np.arange(len(h)) if family else np.flatnonzero(literal != template)
                         if bits is not None:
