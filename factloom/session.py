@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,3 +45,13 @@ def ship(spark: SparkSession) -> SparkSession:
     sys.path[:] = [p for p in sys.path if p != str(at)]
     sc._factloom_shipped = True
     return spark
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses, in the folder that driver and executors share (spark.checkpoint.dir; a new local one where it is unset, as in tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    at = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at if "://" in at else f"file://{at}"
