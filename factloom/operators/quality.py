@@ -269,3 +269,20 @@ def g26(nodes):
 def g27(customer, nation, region):
     """All values of a filter list."""
     return nation.select(F.col("n_name").alias("value")).union(region.select("r_name")).union(customer.select("c_mktsegment")).distinct().orderBy("value")
+
+
+@query("G13", "edges", sql="""
+    WITH e AS (SELECT document_id, type, src, dst, row_number() OVER (PARTITION BY document_id ORDER BY type, src, dst) AS seq FROM edges WHERE type = 'AUTHORED'), h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS k FROM e)
+    SELECT document_id, seq, src FROM h WHERE k <= 200""")
+def g13(edges):
+    """The edit history of a document's relations: the last 200."""
+    e = edges.where("type = 'AUTHORED'").withColumn("seq", F.row_number().over(Window.partitionBy("document_id").orderBy("type", "src", "dst")).cast("long"))
+    h = e.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("seq"))))
+    return h.where("k <= 200").select("document_id", "seq", "src")
+
+
+@query("G17", "lines", sql="SELECT doc_id, regexp_extract(CAST(doc_id AS VARCHAR) || ':p:' || CAST(pos AS VARCHAR), ':p:([0-9]+)$', 1)::BIGINT AS idx, line FROM lines WHERE trim(line) <> ''")
+def g17(lines):
+    """A document's paragraphs, numbered by their ids."""
+    node = F.concat(F.col("doc_id").cast("string"), F.lit(":p:"), F.col("pos").cast("string"))
+    return lines.where("trim(line) <> ''").select("doc_id", F.regexp_extract(node, ":p:([0-9]+)$", 1).cast("long").alias("idx"), "line")

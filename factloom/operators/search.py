@@ -328,3 +328,23 @@ def r30(conversations):
     r = conversations.withColumns({"a": F.row_number().over(up), "d": F.row_number().over(down)}).where("a <= 2 OR d <= 8")
     parts = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 2000)).alias("line"))))
     return r.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("history"))
+
+
+@query("R5", "documents", sql="""
+    WITH t(token, k) AS (VALUES ('estion', 1), ('tionnt', 2), ('eaux', 3)), m AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM documents JOIN t ON contains(lower(text), token)) SELECT doc_id, token, 0.5::DOUBLE AS score FROM m WHERE r = 1""")
+def r5(documents):
+    """Substring seeds: the first token that a text contains."""
+    found = F.when(F.lower("text").contains("estion"), "estion").when(F.lower("text").contains("tionnt"), "tionnt").when(F.lower("text").contains("eaux"), "eaux")
+    return documents.select("doc_id", found.alias("token"), F.lit(0.5).alias("score")).where("token IS NOT NULL")
+
+
+@query("R11", "vectors", sql=f"""
+    WITH {COS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc WHERE collection = 'entities'), v AS (SELECT query_id, vec_id, score, 'vector' AS factor FROM r WHERE k <= 4),
+         t AS (SELECT query_id, query_id + 1 AS vec_id, 0.5 AS score, 'token' AS factor FROM q), u AS (SELECT * FROM v UNION ALL SELECT * FROM t)
+    SELECT query_id, vec_id, round(max(score), 4) AS score, string_agg(DISTINCT factor, ',' ORDER BY factor) AS factors FROM u GROUP BY 1, 2""")
+def r11(vectors):
+    """Entity search: vectors and tokens merged."""
+    q = _queries(vectors)
+    v = vector_top_k(vectors.where("collection = 'entities'"), q, 4).select("query_id", "vec_id", "score", F.lit("vector").alias("factor"))
+    t = q.select("query_id", (F.col("query_id") + 1).alias("vec_id"), F.lit(0.5).alias("score"), F.lit("token").alias("factor"))
+    return v.unionByName(t).groupBy("query_id", "vec_id").agg(F.round(F.max("score"), 4).alias("score"), F.array_join(F.array_sort(F.collect_set("factor")), ",").alias("factors"))

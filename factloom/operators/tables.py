@@ -241,3 +241,44 @@ def s25(spark, nodes):
     d = O.labels(spark)
     at = F.when(F.col("label") == "TextParagraph", "chunks").when(F.col("layer") == "L4", "claims").otherwise("entities")
     return nodes.join(F.broadcast(d), "label").groupBy("label", "layer", at.alias("collection")).agg(F.count("*").alias("nodes"))
+
+
+@query("S5", "documents", sql="SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, source AS source_location FROM documents WHERE doc_id % 4 <> 0")
+def s5(documents):
+    """Resumable load: paths that the log has as uploaded are left out; the folder gives the location."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files = documents.select("doc_id", path.alias("path"))
+    log = files.where("doc_id % 4 = 0").select("path", F.lit("uploaded").alias("status"))
+    return resume(files, log).select("doc_id", "path", F.regexp_extract("path", "^([^/]+)/", 1).alias("source_location"))
+
+
+def resume(files: DataFrame, log: DataFrame) -> DataFrame:
+    return files.join(log.where("status = 'uploaded'").select("path"), "path", "left_anti")
+
+
+@query("S11", "nodes", sql="SELECT CASE WHEN label IN ('ExperimentRun', 'Measurement') THEN 'claims' ELSE 'entities' END AS collection, document_id, count(*) AS points, max(length(left(coalesce(name, id), 2000)))::BIGINT AS longest FROM nodes WHERE label <> 'Document' GROUP BY 1, 2")
+def s11(nodes):
+    """Points of a graph's index by collection and document."""
+    at = F.when(F.col("label").isin(*O.LAYERS["L4"]), "claims").otherwise("entities")
+    points = nodes.where("label <> 'Document'").select(at.alias("collection"), "document_id", F.substring(F.coalesce("name", "id"), 1, 2000).alias("text"))
+    return points.groupBy("collection", "document_id").agg(F.count("*").alias("points"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("S13", "documents", sql="WITH p AS (SELECT doc_id, length(text) AS n, unnest(generate_series(0, (length(text) - 1) // 1200)) AS i FROM documents WHERE length(text) > 0) SELECT CAST(doc_id AS VARCHAR) || ':md_chunk:' || CAST(i AS VARCHAR) AS id, least(1200, n - i * 1200)::BIGINT AS chars FROM p")
+def s13(documents):
+    """Index entries of raw chunks, for documents without a graph."""
+    n = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1200).cast("long"))
+    p = documents.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(n).alias("i"))
+    return p.select(F.concat(F.col("doc_id").cast("string"), F.lit(":md_chunk:"), F.col("i").cast("string")).alias("id"), F.least(F.lit(1200), F.col("n") - F.col("i") * 1200).cast("long").alias("chars"))
+
+
+@query("S22", "registry", sql="""SELECT id, CAST(id AS VARCHAR) || ',"' || replace(file_name, '"', '""') || '",' || coalesce(geography, '') AS line FROM registry""")
+def s22(registry):
+    """Lines of a CSV export with standard quoting."""
+    quoted = F.concat(F.lit('"'), F.replace("file_name", F.lit('"'), F.lit('""')), F.lit('"'))
+    return registry.select("id", F.concat_ws(",", F.col("id").cast("string"), quoted, F.coalesce("geography", F.lit(""))).alias("line"))
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """df as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)

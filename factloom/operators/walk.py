@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators.analytics import edge_layers
 from factloom.operators.quality import ENTITY_KEY_SQL, LABELS_SQL, entity_key
 from factloom.plans.registry import query
+from factloom.session import checkpointed
 
 BOTH_SQL = "b AS (SELECT DISTINCT src AS node, dst AS other, type FROM edges UNION SELECT dst, src, type FROM edges)"
 SEEDS = ("Material:1", "Material:2", "Material:3")
@@ -57,7 +58,7 @@ def walk(b: DataFrame, seeds: tuple[str, ...], hops: int) -> DataFrame:
     frontier = seen
     for hop in range(1, hops + 1):
         new = frontier.join(b, "node").select(F.col("other").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = new.withColumn("hop", F.lit(hop).cast("long")).checkpoint()
+        frontier = checkpointed(new.withColumn("hop", F.lit(hop).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -171,6 +172,18 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id of everything that the start reaches along (a, b), the start included."""
     seen, frontier = start, start
     while not frontier.isEmpty():
-        frontier = frontier.join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
+        frontier = checkpointed(frontier.join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
+
+
+@query("W7", "vectors", sql="""
+    WITH s AS (SELECT vec_id, document_id, cluster_id FROM vectors WHERE vec_id % 25 = 0), m AS (SELECT v.vec_id FROM vectors v SEMI JOIN (SELECT * FROM s WHERE cluster_id >= 0) USING (document_id, cluster_id)), u AS (SELECT vec_id FROM s UNION SELECT vec_id FROM m)
+    SELECT vec_id, 0::BIGINT AS hop FROM u UNION ALL SELECT DISTINCT vec_id + 1, 1 FROM u WHERE vec_id + 1 NOT IN (SELECT vec_id FROM u) AND vec_id + 1 IN (SELECT vec_id FROM vectors)""")
+def w7(vectors):
+    """Hits and their cluster mates, and what is one step (to the next point) from them."""
+    s = vectors.where("vec_id % 25 = 0").select("vec_id", "document_id", "cluster_id")
+    mates = vectors.join(s.where("cluster_id >= 0").select("document_id", "cluster_id"), ["document_id", "cluster_id"], "left_semi").select("vec_id")
+    seeds = s.select("vec_id").union(mates).distinct()
+    step = seeds.select((F.col("vec_id") + 1).alias("vec_id")).join(vectors.select("vec_id"), "vec_id", "left_semi").join(seeds, "vec_id", "left_anti")
+    return seeds.withColumn("hop", F.lit(0).cast("long")).unionByName(step.distinct().withColumn("hop", F.lit(1).cast("long")))

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -55,3 +55,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", at)
     at = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return at if "://" in at else f"file://{at}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
