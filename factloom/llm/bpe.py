@@ -7,7 +7,7 @@ merged exactly. Words repeat, so their tokens are kept in a bounded cache of the
 
 Defined cases: null text counts as empty and gives no tokens; the strings of added tokens inside a text become those
 tokens; very long texts are cut at blanks between letters, where no pre-token can span; rows keep their order and
-number, extra columns of any name pass through `encode` and `decode` untouched.
+number; other columns pass through `encode` and `decode` untouched, but one of the output's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import slabs
+from factloom.llm.common import others, slabs
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -295,8 +295,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    kept, fields = others(df, out)
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return df.select(*kept, F.col(f"`{text}`").alias("text__")).mapInArrow(task, schema)
 
 
@@ -313,6 +313,6 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
                 part = rest.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    kept, fields = others(df, out)
+    schema = T.StructType([*fields, T.StructField(out, T.StringType())])
     return df.select(*kept, F.col(f"`{ids}`").alias("ids__")).mapInArrow(task, schema)

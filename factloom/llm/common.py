@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that a Python task handles at a time.
 SLAB_CHARS = 1 << 21
@@ -57,3 +58,10 @@ def slabs(sizes: list[int], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are at most `most`; otherwise as it is, for a shuffle join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def others(df: DataFrame, *out: str) -> tuple[list[Column], list[T.StructField]]:
+    """df's columns and their fields, without those whose names new columns take."""
+    taken = {c.lower() for c in out}
+    fields = [f for f in df.schema.fields if f.name.lower() not in taken]
+    return [F.col(f"`{f.name}`") for f in fields], fields

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import slabs
+from factloom.llm.common import others, slabs
 
 FEATURES = 1 << 16
 ORDERS = 3
@@ -135,9 +135,10 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: s
                 plain = [bool(own.langs) and any(map(str.isalpha, t)) for t in part]
                 best, sure = score(part, own) if own.langs else (np.zeros(len(part), int), np.zeros(len(part)))
                 names = [own.langs[b] if p else UNKNOWN for b, p in zip(best, plain, strict=True)]
-                kept = rest.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(np.where(plain, sure, 0.0))], names=[*kept.schema.names, lang_out, score_out])
+                own_rows = rest.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(names, pa.string()), pa.array(np.where(plain, sure, 0.0))], names=[*own_rows.schema.names, lang_out, score_out])
 
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{text}`").alias("text__"))
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    kept, fields = others(df, lang_out, score_out)
+    rows = df.select(*kept, F.col(f"`{text}`").alias("text__"))
+    schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return rows.mapInArrow(task, schema)

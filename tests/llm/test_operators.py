@@ -118,6 +118,8 @@ def test_bpe(docs, empty):
         assert r["token_ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
+    twice = bpe.encode(bpe.encode(docs, path), path)
+    assert twice.columns == [*docs.columns, "token_ids"] and twice.count() == len(TEXTS)
 
 
 def test_bpe_small_cache_and_pieces(monkeypatch):
