@@ -26,10 +26,9 @@ def repair(text: Column) -> Column:
 
 
 def mojibake(text: Column) -> Column:
-    """UTF-8 that was read as windows-1252, read again, where its marks are there and go away."""
-    again = F.decode(F.encode(text, "windows-1252"), "UTF-8")
-    marks = r"Ã[\x80-\xBF]|â€"
-    return F.when(text.rlike(marks) & ~again.rlike(marks + "|�"), again).otherwise(text)
+    """UTF-8 that was read as Latin-1, read again, where its marks are there and the bytes are valid."""
+    latin = F.when(text.rlike(r"[ÃÂ][\x80-\xBF]") & text.rlike(r"^[\x00-\xFF]*$"), text)
+    return F.coalesce(F.try_validate_utf8(F.encode(latin, "iso-8859-1").cast("string")), text)
 
 
 @query("T2", "lines", sql="SELECT doc_id, pos, trim(line) AS line FROM lines WHERE trim(line) <> ''")
