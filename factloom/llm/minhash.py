@@ -33,6 +33,8 @@ SUBKEYS, WIDTH = 16, 3
 #: Ids or keys that are sent to every task if there are no more; beyond it the join is a shuffle join.
 SENT_ROWS = 500_000
 CACHE_WORDS = 300_000
+PARITY = 8
+P = [f"p{i}" for i in range(PARITY)]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -98,21 +100,28 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int,
     return rows.mapInArrow(task, "id long, row long, n_shingles long, cid binary, subs array<long>")
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 x PARITY cells whether an odd number of a set's shingles falls in it, as PARITY longs."""
+    cells = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
-    """cid, shingles (sorted) of every row of id, text."""
+    """cid, shingles (sorted), p0, p1, ... (see parity) of every row of id, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             texts = batch.column(1)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
-                sets = [shingle_set(t, k, hashes).view(np.int64) for t in texts[i:j].to_pylist()]
+                sets = [shingle_set(t, k, hashes) for t in texts[i:j].to_pylist()]
+                bits = np.stack([parity(x) for x in sets])
                 cids = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), lists], names=["cid", "shingles"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), lists, *(pa.array(b) for b in np.ascontiguousarray(bits.T))], names=["cid", "shingles", *P])
 
-    return df.select("id", "text").mapInArrow(task, "cid binary, shingles array<long>")
+    return df.select("id", "text").mapInArrow(task, "cid binary, shingles array<long>, " + ", ".join(f"{p} long" for p in P))
 
 
 def shared_subkeys(classes: DataFrame, sent_rows: int) -> DataFrame:
@@ -185,26 +194,30 @@ def contested(own: DataFrame, labels: DataFrame, subkeys: int, sent_rows: int) -
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, sent_rows: int) -> DataFrame:
     """Pairs of nodes of different labels that may be linked, found exactly: in any order of the shingles, two linked sets
-    share one among the first n - ceil(n * percent / 100) + 1 of each. The order is by how many of the nodes have a
+    share one among the first n - ceil(n * percent / 100) + 1 of each, and their bounds on what is left (by position, by
+    parity) must allow the link. The order is by how many of the nodes have a
     shingle, rarest first, so what many share is hardly ever looked up."""
-    own = sets.join(small_side(nodes, nodes.count(), sent_rows), "node").select("node", "label", F.size("shingles").alias("size"), "shingles")
+    own = sets.join(small_side(nodes, nodes.count(), sent_rows), "node").select("node", "label", F.size("shingles").alias("size"), "shingles", *P)
     spread = own.select("node", F.explode("shingles").alias("s"))
     shared = spread.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     known = spread.join(shared, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("known"))
     rows = own.drop("shingles").join(known, "node")
     alone = F.col("size") - F.size("known")
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    rows = rows.where(prefix > alone).select("node", "label", "size", alone.alias("alone"), F.posexplode(F.slice("known", F.lit(1), (prefix - alone).cast("int"))).alias("at", "x"))
-    rows = checkpointed(rows.select("node", "label", "size", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
+    rows = rows.where(prefix > alone).select("node", "label", "size", *P, alone.alias("alone"), F.posexplode(F.slice("known", F.lit(1), (prefix - alone).cast("int"))).alias("at", "x"))
+    rows = checkpointed(rows.select("node", "label", "size", *P, (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
     # inside a shingle's group the largest component isn't paired with itself
     counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
     major = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("s", "major")
     rows = rows.join(major, "s")
-    left = rows.where("label <> major").select("s", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    right = rows.select("s", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    left = rows.where("label <> major").select("s", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), *[F.col(p).alias(f"{p}_a") for p in P])
+    right = rows.select("s", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), *[F.col(p).alias(f"{p}_b") for p in P])
     most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
     room = most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-    return left.join(right, "s").where((F.col("label_a") != F.col("label_b")) & room).select("a", "b")
+    # the parities of two sets differ in no more cells than the sets do in shingles
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in P), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    return left.join(right, "s").where((F.col("label_a") != F.col("label_b")) & room & near).select("a", "b")
 
 
 def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int, sent_rows: int) -> DataFrame:
