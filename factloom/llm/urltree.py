@@ -79,8 +79,9 @@ def generalised(counts: DataFrame) -> DataFrame:
         # like branches: the branch's labelled rate doesn't differ from that of its siblings together
         og, ob = F.col("tg") - F.col("g"), F.col("tb") - F.col("b")
         n1, n2 = F.col("g") + F.col("b"), og + ob
-        pooled = F.col("tb") / (F.col("tg") + F.col("tb"))
-        z = F.abs(F.try_divide(F.col("b"), n1) - F.try_divide(ob, n2)) / F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n1) + F.try_divide(F.lit(1), n2)))
+        pooled = F.try_divide(F.col("tb"), F.col("tg") + F.col("tb"))
+        apart = F.abs(F.try_divide(F.col("b"), n1) - F.try_divide(ob, n2))
+        z = F.try_divide(apart, F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n1) + F.try_divide(F.lit(1), n2))))
         alike = (n1 >= MIN_SUPPORT) & (n2 >= MIN_SUPPORT) & F.coalesce(z < Z, F.try_divide(F.col("b"), n1) == F.try_divide(ob, n2))
         rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("cn") * F.col("kinds") <= F.col("total") * 2)
         star = branch.where(rare | alike).select(F.col("host").alias("h2"), F.col("prefix").alias("p2"), F.col("seg").alias("s2"))
