@@ -37,13 +37,15 @@ def _joined(words: list[str]) -> bytes:
 
 
 def half_keys(words: list[str]) -> list[int]:
-    """Hashes of the line's first and second half: as the longer and as the shorter (or equal) line of a pair."""
-    out = []
-    for n in (len(words), len(words) - 1):
-        half = n // 2
-        for side, part in ((0, words[:half]), (1, words[len(words) - (n - half) :])):
-            out.append(xxhash.xxh3_64_intdigest(_joined(part), seed=2 * n + side) - (1 << 63))
-    return out
+    """Hashes of the line's first and second half: as the longer and as the shorter (or equal) line of a pair.
+
+    A half of one word less is the same half or the other one's, so three joined parts serve for the four.
+    """
+    n, half = len(words), len(words) // 2
+    head, tail = _joined(words[:half]), _joined(words[half:])
+    shorter = (head, _joined(words[half + 1 :])) if n % 2 else (_joined(words[: half - 1]), tail)
+    parts = (head, tail, *shorter)
+    return [xxhash.xxh3_64_intdigest(p, seed=2 * (n - k // 2) + k % 2) - (1 << 63) for k, p in enumerate(parts)]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
