@@ -228,6 +228,13 @@ def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int
     pairs = keyed.join(centres, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
     tested = checkpointed(verify(ordered(pairs, None), sets))
     labels = components(links(tested, percent))
+    # then both ends of each of those buckets, where they're in another component
+    ends = labelled(keyed, labels).groupBy("key").agg(F.min(F.struct("node", "label")).alias("x"), F.max(F.struct("node", "label")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    ends = ends.select("key", F.explode(F.array("x", "y")).alias("e"))
+    pairs = labelled(keyed, labels).join(ends, "key").where(F.col("label") != F.col("e.label")).select(F.col("node").alias("a"), F.col("e.node").alias("b"))
+    new = checkpointed(verify(ordered(pairs, tested), sets))
+    tested = tested.union(new)
+    labels = components(links(tested, percent))
     # then all tables, as far as their buckets hold more than one component
     open_ = contested(own, labels, subkeys, sent_rows)
     if open_.isEmpty():
