@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import others, slabs
+from factloom.llm.common import modest, others, slabs
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words after which a worker's cache becomes the old one, which keeps those that come again.
-CACHE_WORDS = 160_000
+CACHE_WORDS = 120_000
 #: A text is cut, where that is safe, once a piece has this many characters.
 PIECE_CHARS = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -44,6 +44,7 @@ _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBER
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 _WORDS = regex.compile(PATTERN)
 _models: dict[str, Model] = {}
+_bytes: dict[str, list[bytes]] = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -275,6 +276,17 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    if path not in _bytes:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        to_byte, added = byte_symbols(), {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+        known = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()} | added
+        _bytes[path] = [known.get(i, b"") for i in range(max(known) + 1)]
+    return _bytes[path]
+
+
 def model(path: str) -> Model:
     if path not in _models:
         _models[path] = Model(path)
@@ -297,14 +309,14 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 
     kept, fields = others(df, out)
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return df.select(*kept, F.col(f"`{text}`").alias("text__")).mapInArrow(task, schema)
+    return modest(df.select(*kept, F.col(f"`{text}`").alias("text__"))).mapInArrow(task, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the column `out`: the text of each row's ids (null: empty); bytes that aren't UTF-8 become U+FFFD."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = model(path).raw.__getitem__
+        raw = token_bytes(path).__getitem__
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
@@ -315,4 +327,4 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
     kept, fields = others(df, out)
     schema = T.StructType([*fields, T.StructField(out, T.StringType())])
-    return df.select(*kept, F.col(f"`{ids}`").alias("ids__")).mapInArrow(task, schema)
+    return modest(df.select(*kept, F.col(f"`{ids}`").alias("ids__"))).mapInArrow(task, schema)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text that a Python task handles at a time.
-SLAB_CHARS = 1 << 21
+SLAB_CHARS = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def modest(df: DataFrame) -> DataFrame:
+    """df, for a Python task over whole texts: its session sends BATCH_ROWS rows at a time, so that batches of long texts stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slabs(sizes: list[int], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts sum to about limit characters; a longer text is a range of its own."""
     start = total = 0

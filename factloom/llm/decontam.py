@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, slabs
+from factloom.llm.common import checkpointed, modest, slabs
 
 WINDOW, COVERAGE = 5, 0.5
 BITMAP_BITS = 1 << 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Units that may follow a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t lb lbs oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars dollar euros cents cent mph kmh hz khz mhz ghz v w kw mw j kj cal kcal pa kpa bar degrees".split())
 _NUMBER = re.compile(r"[$€£]?\d+(?:[.,:/]\d+)*")
@@ -145,7 +145,7 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                     names=["id", "pos", "hash", "slots", "n_windows"],
                 )
 
-    return df.select("id", "text").mapInArrow(task, schema)
+    return modest(df.select("id", "text")).mapInArrow(task, schema)
 
 
 def bitmap_of(items: DataFrame) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import others, slabs
+from factloom.llm.common import modest, others, slabs
 
 FEATURES = 1 << 16
 ORDERS = 3
@@ -88,7 +88,7 @@ def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
-    counts = rows.mapInArrow(task, "lang string, bucket int, n long")
+    counts = modest(rows).mapInArrow(task, "lang string, bucket int, n long")
     return counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -141,4 +141,4 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: s
     kept, fields = others(df, lang_out, score_out)
     rows = df.select(*kept, F.col(f"`{text}`").alias("text__"))
     schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return rows.mapInArrow(task, schema)
+    return modest(rows).mapInArrow(task, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, new_folder, slabs, small_side
+from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_side
 
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
@@ -64,7 +64,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["id", "row", "line", "cid", "halves"])
 
-    return docs.select("id", "row", "text").mapInArrow(task, "id long, row long, line int, cid binary, halves array<long>")
+    return modest(docs.select("id", "row", "text")).mapInArrow(task, "id long, row long, line int, cid binary, halves array<long>")
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
                 ranks = np.repeat(batch.column(0)[i:j].to_numpy(), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(places, pa.int32()), pa.array(ranks)], names=["va", "vb", "place", "rank"])
 
-    return lines.select("rank", "text").mapInArrow(task, "va long, vb long, place int, rank long")
+    return modest(lines.select("rank", "text")).mapInArrow(task, "va long, vb long, place int, rank long")
 
 
 def one_edit(pairs: DataFrame) -> DataFrame:

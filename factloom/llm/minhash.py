@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, slabs, small_side
+from factloom.llm.common import checkpointed, modest, slabs, small_side
 
 SUBKEYS, WIDTH = 16, 3
 #: Ids or keys that are sent to every task if there are no more; beyond it the join is a shuffle join.
 SENT_ROWS = 500_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 PARITY = 8
 P = [f"p{i}" for i in range(PARITY)]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -97,7 +97,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array(cids, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "row", "n_shingles", "cid", "subs"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
-    return rows.mapInArrow(task, "id long, row long, n_shingles long, cid binary, subs array<long>")
+    return modest(rows).mapInArrow(task, "id long, row long, n_shingles long, cid binary, subs array<long>")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -121,7 +121,7 @@ def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), lists, *(pa.array(b) for b in np.ascontiguousarray(bits.T))], names=["cid", "shingles", *P])
 
-    return df.select("id", "text").mapInArrow(task, "cid binary, shingles array<long>, " + ", ".join(f"{p} long" for p in P))
+    return modest(df.select("id", "text")).mapInArrow(task, "cid binary, shingles array<long>, " + ", ".join(f"{p} long" for p in P))
 
 
 def shared_subkeys(classes: DataFrame, sent_rows: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import slabs
+from factloom.llm.common import modest, slabs
 
 #: The kinds in their order and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "guess")
@@ -121,4 +121,4 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("spans", SPANS)])
-    return rows.mapInArrow(task, schema).withColumnRenamed("id", id_col)
+    return modest(rows).mapInArrow(task, schema).withColumnRenamed("id", id_col)

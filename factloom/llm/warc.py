@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, new_folder, small_side
+from factloom.llm.common import checkpointed, modest, new_folder, small_side
 
 PACKAGE_BYTES, RANGE_BYTES, REVISIT_BYTES = 64 << 20, 4 << 20, 100
 SENT_DIGESTS = 200_000
@@ -136,7 +136,7 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(index)], pa.int64())], names=["path", "n_records"])
 
-    return rows.select("id", "url", "payload", "digest", "size", "refers_to").mapInArrow(task, "path string, n_records long")
+    return modest(rows.select("id", "url", "payload", "digest", "size", "refers_to")).mapInArrow(task, "path string, n_records long")
 
 
 def read_packages(packages: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -162,7 +162,7 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = False) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in kinds], names=[k for k, _ in kinds])
                     first = last + 1
 
-    return packages.select("path").mapInArrow(task, schema)
+    return modest(packages.select("path")).mapInArrow(task, schema)
 
 
 def archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", sent_digests: int = SENT_DIGESTS) -> DataFrame:
