@@ -303,6 +303,6 @@ def test_line_dedup(spark, docs, empty):
 
 
 def test_line_dedup_by_brute_force(spark, sf):
-    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").collect()]
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 20").collect()]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {tuple(r) for r in linedup.duplicate_lines(df).drop("row").collect()} == brute_lines(texts)
