@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_side
@@ -30,6 +30,8 @@ from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_s
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
 SENT_ROWS = 500_000
+#: Odd multipliers and seeds of the two halves of a variant's hash.
+_BASES = ((0xD6E8FEB86659FD93, 0x1234567), (0xA0761D6478BD642F, 0x89ABCDEF))
 
 
 def _joined(words: list[str]) -> bytes:
@@ -67,21 +69,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return modest(docs.select("id", "row", "text")).mapInArrow(task, "id long, row long, line int, cid binary, halves array<long>")
 
 
+def variant_hashes(words: list[str]) -> np.ndarray:
+    """(words + 1, 2) longs: a 128-bit hash of the line, then of the line without each word. Linear in the line: the hash is
+    a polynomial of the words' hashes, so leaving a word out takes what is before it and what is after it, one power down."""
+    first = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    out = np.empty((len(words) + 1, 2), np.uint64)
+    for column, (base, seed) in enumerate(_BASES):
+        h = (first ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        power = np.full(len(words), base, np.uint64)
+        power[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(power), dtype=np.uint64)])
+        out[0, column] = sums[-1]
+        out[1:, column] = sums[:-1] + np.uint64(pow(base, -1, 1 << 64)) * (sums[-1] - sums[1:])
+    out[0] += np.uint64(len(words))
+    out[1:] += np.uint64(len(words) - 1)
+    return out.view(np.int64)
+
+
 def neighbourhoods(lines: DataFrame) -> DataFrame:
     """va, vb (a 128-bit hash), place (of the missing word; -1: none is), rank of the lines (rank, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slabs(pc.utf8_length(batch.column(1)).to_pylist(), 1 << 18):
-                variants, places, sizes = [], [], []
-                for text in batch.column(1)[i:j].to_pylist():
-                    words = text.lower().split()
-                    variants += [xxhash.xxh3_128_digest(_joined(words)), *(xxhash.xxh3_128_digest(_joined(words[:k] + words[k + 1 :])) for k in range(len(words)))]
-                    places += range(-1, len(words))
-                    sizes.append(len(words) + 1)
-                both = np.frombuffer(b"".join(variants), np.int64).reshape(-1, 2)
+                hashes = [variant_hashes(text.lower().split()) for text in batch.column(1)[i:j].to_pylist()]
+                sizes = [len(h) for h in hashes]
+                both = np.concatenate(hashes)
+                places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes])
                 ranks = np.repeat(batch.column(0)[i:j].to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(places, pa.int32()), pa.array(ranks)], names=["va", "vb", "place", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(places), pa.array(ranks)], names=["va", "vb", "place", "rank"])
 
     return modest(lines.select("rank", "text")).mapInArrow(task, "va long, vb long, place int, rank long")
 
@@ -89,9 +106,12 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
 def one_edit(pairs: DataFrame) -> DataFrame:
     """Those of the pairs (with words_a, words_b) whose word edit distance is at most one: what remains between their common prefix and suffix."""
     a, b = F.col("words_a"), F.col("words_b")
-    short = F.least(F.size(a), F.size(b))
-    same_head = F.size(F.filter(F.sequence(F.lit(1), short), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
-    same_tail = F.size(F.filter(F.sequence(F.lit(1), short), lambda i: F.slice(F.reverse(a), 1, i) == F.slice(F.reverse(b), 1, i)))
+    def same(x: Column, y: Column) -> Column:
+        """How many words the two lines share from the start."""
+        first = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False)
+        return F.when(first == 0, F.size(x)).otherwise(first - 1)
+
+    same_head, same_tail = same(a, b), same(F.reverse(a), F.reverse(b))
     return pairs.where((F.abs(F.size(a) - F.size(b)) <= 1) & (same_head + same_tail >= F.greatest(F.size(a), F.size(b)) - 1))
 
 
