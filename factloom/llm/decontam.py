@@ -4,8 +4,9 @@ Words are canonicalised: numbers, the units after them and names (capitalised in
 placeholders, so that a re-parameterised question keeps its windows of WINDOW words; a second, literal form without name
 placeholders catches text whose case was changed. Windows of all documents pass a bitmap of the benchmark's windows
 (BITMAP_BITS bits whatever the benchmark's size); what passes is joined to the benchmark's windows by hash. The windows of
-one document and item at one relative position must fill their slots consistently: a benchmark value may stand for one
-value only. An item is leaked by a document if the windows that agree cover at least COVERAGE of the item.
+one document and item at one relative position must fill their slots consistently: a benchmark value may stand for itself
+and for one other value, the one that most windows give it (of equally many its own, then the least). Windows equal to the item's and windows
+that fill every slot by that value agree. An item is leaked by a document if the windows that agree cover at least COVERAGE of the item.
 
 Defined cases: null and empty texts match nothing; a text of fewer words than a window is one window of its own length; equal
 items are one (the smallest item_id, with their number); the rows of one doc_id count together, a null doc_id like any
@@ -15,6 +16,7 @@ other; repeated passages in a document count once.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +161,26 @@ def bitmap_of(items: DataFrame) -> np.ndarray:
     return out
 
 
+def agreeing(found: list[dict]) -> list[int]:
+    """The places in the item of the windows (place, theirs, own) at one relative position that agree, each once."""
+    votes = Counter(pair for w in found for pair in zip(w["theirs"], w["own"], strict=True))
+    chosen: dict[str, tuple] = {}
+    for (theirs, own), n in votes.items():
+        chosen[theirs] = min(chosen.get(theirs, (0,)), (-n, own != theirs, own))
+    return sorted({w["place"] for w in found if w["theirs"] == w["own"] or all(chosen[x][2] == y for x, y in zip(w["theirs"], w["own"], strict=True))})
+
+
+def consistent(at: DataFrame) -> DataFrame:
+    """id, item, total, places (of the windows that agree) of the rows (id, item, total, found)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.array([agreeing(x.as_py()) for x in batch.column(3)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], places], names=["id", "item", "total", "places"])
+
+    return modest(at.select("id", "item", "total", "found")).mapInArrow(task, "id long, item long, total int, places array<int>")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """id, item, n_items, matched, n_windows, coverage: documents that leak an item, a row for each such pair."""
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
@@ -168,10 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), bitmap_of(items))
     theirs = items.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), F.col("hash").alias("ihash"), F.col("slots").alias("islots"), F.col("n_windows").alias("total"))
     both = own.join(theirs, (F.col("hash") == F.col("ihash")) & (F.size("slots") == F.size("islots")))
-    filled = F.arrays_zip("islots", "slots")
-    at = both.groupBy("id", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"), F.max("total").alias("total"))
-    values = F.transform("filled", lambda x: x["islots"])
-    at = at.where(F.size(F.array_distinct(values)) == F.size("filled"))
+    window = F.struct(F.col("ipos").alias("place"), F.col("islots").alias("theirs"), F.col("slots").alias("own"))
+    at = consistent(both.groupBy("id", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set(window).alias("found"), F.max("total").alias("total")))
     found = at.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.max("total").alias("n_windows"))
     found = found.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
     return found.join(sizes, "item").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_items", "matched", "n_windows", "coverage")

@@ -229,6 +229,25 @@ def test_decontamination_by_brute_force(spark, sf):
         assert sum(tuple(x[k : k + 5]) in own for k in range(len(x) - 4)) >= 0.4 * (len(x) - 4)
 
 
+def brute_agreeing(item, text):
+    """Distinct windows of an item that agree with a text at the best offset, for texts of as many words, lower case and numbers."""
+    a, b, n = item.split(), text.split(), decontam.WINDOW
+    at = [[(x, y) for x, y in zip(a[i : i + n], b[i : i + n], strict=True) if x.isdigit()] for i in range(len(a) - n + 1) if all(x == y or (x.isdigit() and y.isdigit()) for x, y in zip(a[i : i + n], b[i : i + n], strict=True))]
+    pairs = [p for w in at for p in w]
+    value = {x: max({y for v, y in pairs if v == x}, key=lambda y: (pairs.count((x, y)), y == x)) for x, _ in pairs}
+    return sum(all(x == y for x, y in w) or all(value[x] == y for x, y in w) for w in at), len(a) - n + 1
+
+
+def test_decontamination_with_one_of_equal_slots_edited(spark):
+    item = "a farmer puts 2 apples in the old basket and carries it home then 2 pears fall out and rot under the tree so that 2 plums stay with the farmer"
+    edited = [item.replace("2 pears", "7 pears"), item.replace("2 apples", "3 apples").replace("2 pears", "4 pears"), item.replace("2 ", "9 "), item.replace("2 apples", "5 apples").replace("2 plums", "5 plums")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["matched"], r["n_windows"]) for r in decontam.leaks(df, bench, coverage=0.0).collect()}
+    assert got == {i: brute_agreeing(item, t) for i, t in enumerate(edited)}
+    assert sorted(r["doc_id"] for r in decontam.leaks(df, bench).collect()) == [0, 1, 2, 3]
+
+
 def test_license(spark, docs, sf):
     texts = ["Released under the MIT License.", "mit license MIT LICENSE, apache\nlicense; general public license", None, "", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "all the rights are reserved", "x-mit license-y İmit license", "the general public, license"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
