@@ -35,8 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
-    leaked = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaked__")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked__"]), "left_anti")
+    return decontam.drop_leaks(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

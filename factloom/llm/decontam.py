@@ -9,8 +9,8 @@ and for one other value, the one that most windows give it (of equally many its
 that fill every slot by that value agree. An item is leaked by a document if the windows that agree cover at least COVERAGE of the item.
 
 Defined cases: null and empty texts match nothing; a text of fewer words than a window is one window of its own length; equal
-items are one (the smallest item_id, with their number); the rows of one doc_id count together, a null doc_id like any
-other; repeated passages in a document count once.
+items are one (the smallest item_id, with their number); a document is a row, told from others of its doc_id by a hash of id and
+text, so null and repeated ids don't mix; rows equal in both are one; repeated passages in a document count once.
 """
 
 from __future__ import annotations
@@ -119,20 +119,20 @@ def windows(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """id, pos, hash, slots (value of each placeholder in the window), n_windows of the rows (id, text); of those in the bitmap, if one is given."""
+    """id, row, pos, hash, slots (value of each placeholder in the window), n_windows of the rows (id, row, text); of those in the bitmap, if one is given."""
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
-    schema = "id long, pos int, hash long, slots array<string>, n_windows int"
+    schema = "id long, row long, pos int, hash long, slots array<string>, n_windows int"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, bits = Tokens(), None if sent is None else sent.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 rows: list[tuple] = []
                 if len(tokens) > CACHE_WORDS:
                     tokens = Tokens()
                 places = [tokens.places(t or "") for t in texts[i:j].to_pylist()]
-                for doc, at in zip(ids[i:j], places, strict=True):
+                for doc, key, at in zip(ids[i:j], keys[i:j], places, strict=True):
                     template, literal, parts, kind, width = windows(at, tokens)
                     for h, family in ((template, True), (literal, False)):
                         keep = np.arange(len(h)) if family else np.flatnonzero(literal != template)
@@ -141,13 +141,13 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                             keep = keep[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                         for p, x in zip(keep.tolist(), h[keep].view(np.int64).tolist(), strict=True):
                             slots = [tokens.values[parts[q]].lower() for q in range(p, p + width) if (kind[q] != WORD if family else kind[q] == NUMBER)]
-                            rows.append((doc, p, x, slots, len(h)))
+                            rows.append((doc, key, p, x, slots, len(h)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()))],
-                    names=["id", "pos", "hash", "slots", "n_windows"],
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()))],
+                    names=["id", "row", "pos", "hash", "slots", "n_windows"],
                 )
 
-    return modest(df.select("id", "text")).mapInArrow(task, schema)
+    return modest(df.select("id", "row", "text")).mapInArrow(task, schema)
 
 
 def bitmap_of(items: DataFrame) -> np.ndarray:
@@ -171,27 +171,35 @@ def agreeing(found: list[dict]) -> list[int]:
 
 
 def consistent(at: DataFrame) -> DataFrame:
-    """id, item, total, places (of the windows that agree) of the rows (id, item, total, found)."""
+    """id, row, item, total, places (of the windows that agree) of the rows (id, row, item, total, found)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = pa.array([agreeing(x.as_py()) for x in batch.column(3)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], places], names=["id", "item", "total", "places"])
+            places = pa.array([agreeing(x.as_py()) for x in batch.column(4)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], places], names=["id", "row", "item", "total", "places"])
 
-    return modest(at.select("id", "item", "total", "found")).mapInArrow(task, "id long, item long, total int, places array<int>")
+    return modest(at.select("id", "row", "item", "total", "found")).mapInArrow(task, "id long, row long, item long, total int, places array<int>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """id, item, n_items, matched, n_windows, coverage: documents that leak an item, a row for each such pair."""
+    """id, row (hash of id and text), item, n_items, matched, n_windows, coverage: documents that leak an item, a row for each such pair."""
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
     same = bench.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n_items"))
-    items = checkpointed(window_rows(same, None))
+    items = checkpointed(window_rows(same.withColumn("row", F.lit(0).cast("long")), None))
     sizes = same.select(F.col("id").alias("item"), "n_items")
-    own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), bitmap_of(items))
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key, F.col(f"`{text_col}`").alias("text")), bitmap_of(items))
     theirs = items.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), F.col("hash").alias("ihash"), F.col("slots").alias("islots"), F.col("n_windows").alias("total"))
     both = own.join(theirs, (F.col("hash") == F.col("ihash")) & (F.size("slots") == F.size("islots")))
     window = F.struct(F.col("ipos").alias("place"), F.col("islots").alias("theirs"), F.col("slots").alias("own"))
-    at = consistent(both.groupBy("id", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set(window).alias("found"), F.max("total").alias("total")))
-    found = at.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.max("total").alias("n_windows"))
+    at = consistent(both.groupBy("id", "row", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set(window).alias("found"), F.max("total").alias("total")))
+    found = at.groupBy("id", "row", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.max("total").alias("n_windows"))
     found = found.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    return found.join(sizes, "item").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_items", "matched", "n_windows", "coverage")
+    return found.join(sizes, "item").select(F.col("id").alias(id_col), "row", F.col("item").alias(item_col), "n_items", "matched", "n_windows", "coverage")
+
+
+def drop_leaks(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that leak nothing."""
+    gone = found.select(F.col(id_col).alias("gone_id__"), F.col("row").alias("gone__")).distinct()
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return df.join(gone, (row == F.col("gone__")) & F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id__")), "left_anti")

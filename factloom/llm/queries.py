@@ -51,7 +51,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    """Of the rows of one doc_id, the one that covers most of the item."""
+    found = decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("n_items", "matched", "n_windows", "coverage")))
 
 
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,21 @@ def test_decontamination_with_one_of_equal_slots_edited(spark):
     assert sorted(r["doc_id"] for r in decontam.leaks(df, bench).collect()) == [0, 1, 2, 3]
 
 
+def test_decontamination_tells_rows_of_an_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "a farmer puts 2 apples in the old basket and carries it home then pears fall out and rot under the tree all night"
+    half, rest = " ".join(item.split()[:11]), " ".join(item.split()[13:])
+    texts = [(None, f"so it goes {item}"), (None, "nothing of the kind here at all"), (7, item.replace("2", "3")), (7, "clean words only in this row"), (8, half), (8, rest), (None, item.replace("2", "5")), (9, None), (None, None)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    leaking = {texts[0], texts[2], texts[6]}
+    kept = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert rows(kept) == sorted(set(texts) - leaking, key=repr)
+    got = queries.op7_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((repr(r["doc_id"]), r["item_id"], r["matched"] == r["n_windows"]) for r in got) == [("7", 1, True), ("None", 1, True)]
+
+
 def test_license(spark, docs, sf):
     texts = ["Released under the MIT License.", "mit license MIT LICENSE, apache\nlicense; general public license", None, "", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "all the rights are reserved", "x-mit license-y İmit license", "the general public, license"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
