@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
-    """query_id, vec_id, score, rank: a block of queries (at most MAX_SENT_QUERIES, counted) against every vector; the k best of each by score, then id.
+    """query_id, vec_id, score, rank: every query against every vector; the k best of each by score, then id.
 
-    Each task keeps its own k best of a query before anything shuffles: the rank is computed in two steps, by a salt of
+    Queries are counted and sent in blocks of about MAX_SENT_QUERIES, by a hash of the id (ids may share a factor with the number of blocks). Each task keeps its own k best of a query before anything shuffles: the rank is computed in two steps, by a salt of
     the vector's id first.
     """
     n = queries.count()
-    if n > MAX_SENT_QUERIES:
-        raise ValueError(f"{n} queries; send them in blocks of {MAX_SENT_QUERIES}")
+    blocks = -(-n // MAX_SENT_QUERIES)
+    if blocks <= 1:
+        return _block_top_k(vectors, queries, k, min_score)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_block_top_k(vectors, queries.where(block == i), k, min_score) for i in range(blocks)))
+
+
+def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
     scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("score", cosine(F.col("embedding"), F.col("query")))
     scored = scored.where(F.col("score") >= min_score).select("query_id", "vec_id", "score", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     best = [F.desc("score"), F.asc("vec_id")]

@@ -66,6 +66,19 @@ def test_projection_variance(spark):
     assert p["x"].var() > p["y"].var() > 1 and abs(p["x"].mean()) < 1e-6
 
 
+def test_vector_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    monkeypatch.setattr(search, "MAX_SENT_QUERIES", 5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -2)
+    want = [(q, int(v), r + 1) for q in range(0, 1200, 50) for r, v in enumerate(np.argsort(-score[q])[:3])]
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in search.vector_top_k(df, queries, 3).collect()) == sorted(want)
+
+
 def test_no_level_denies_all(spark):
     docs = spark.createDataFrame([(1, None), (2, "строго")], "id int, classification string").withColumn("upload_date", F.current_date())
     assert tables.scan_registry(docs, ()).count() == 0
