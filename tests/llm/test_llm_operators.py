@@ -149,6 +149,55 @@ def test_language_id(spark, sf, empty):
     assert [r["lang_pred"] for r in langid.predict(odd, none).collect()] == ["und"] * 4
 
 
+def naive_bayes(learn, texts):
+    """Language and posterior of each text by n-grams counted one at a time, from bucket sums of the learned texts."""
+
+    def buckets(t):
+        s = re.sub(r"[\W\d_]+", " ", t.replace("Σ", "σ").lower()) + " "
+        for n in range(1, langid.ORDERS + 1):
+            for i in range(len(s) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h + ord(s[i + k]) + k + 1) * 2654435761 % 2**32
+                    h ^= h >> 15
+                if s[i : i + n] != " ":
+                    yield (h * 2246822519 % 2**32) >> 16
+
+    counts, docs = {}, {}
+    for t, lang in learn:
+        docs[lang] = docs.get(lang, 0) + 1
+        for b in buckets(t):
+            own = counts.setdefault(lang, {})
+            own[b] = own.get(b, 0) + 1
+    out = []
+    for t in texts:
+        logs = {x: np.log(docs[x] / len(learn)) + sum(np.log((c.get(b, 0) + 1) / (sum(c.values()) + langid.FEATURES)) for b in buckets(t)) for x, c in sorted(counts.items())}
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_id_by_brute_force(spark, monkeypatch):
+    learn = [("der die das und", "de"), ("the and of Σίσυφος", "en"), ("le la les et des", "fr"), ("the quick fox", "en"), ("zzz", "de")]
+    texts = ["the", "die", "les fox", "a", "ΣΑΣ und the", "of--the 12 die??? " * 9, "x y z", "Σ" * 40]
+    df = spark.createDataFrame([(i, t, x, 1, 2) for i, (t, x) in enumerate(learn)], "doc_id long, text string, lang string, score int, row int")
+    model, want = langid.fit(df), naive_bayes(learn, texts)
+    asked = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] * 2, "doc_id long, text string, lang_pred int")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    assert langid.predict(asked, model).count() == 2 * len(texts)  # repeated rows stay
+    for size in (1 << 20, 7, 4):  # in pieces of any size
+        monkeypatch.setattr(langid, "PIECE", size)
+        best, sure = langid.score(texts, model)
+        for i, (lang, p) in enumerate(want):
+            assert (model.langs[best[i]], sure[i]) == (lang, pytest.approx(p)) and got[i] == (lang, pytest.approx(p))
+
+
+def test_language_id_ties(spark):
+    df = spark.createDataFrame([(1, "abc", "x"), (2, "abc", "w")], "doc_id long, text string, lang string")
+    (row,) = langid.predict(df.where("doc_id = 1"), langid.fit(df)).collect()
+    assert (row["lang_pred"], row["score"]) == ("w", pytest.approx(0.5))
+
+
 def test_warc(spark, empty):
     page = "<html>" + "é" * 80 + "</html>"
     pages = [(3, "http://a.b/c", page), (1, None, page), (2, "http://x\ny", page), (5, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", page), (1, "again", page), (8, "u", LONG * 10)]
