@@ -3,7 +3,8 @@
 A word's tokens are first guessed by greedy longest match over the vocabulary. A guess is right exactly if each token
 is what merging makes of its own bytes and no merge would ever fire across a boundary of two neighbours; the latter
 depends on the pair alone, so numpy checks all pairs of all new words together. Only words with a failing pair are
-merged exactly. Words repeat, so their tokens are kept in a bounded cache of the Python worker.
+merged exactly. Words repeat, so their tokens are kept in a bounded cache while a task runs. Vocabulary, merges and the
+trie are flat arrays; a worker keeps those of the last file it used, and nothing else, from one task to the next.
 
 Defined cases: null text counts as empty and gives no tokens; the strings of added tokens inside a text become those
 tokens; very long texts are cut at blanks between letters, where no pre-token can span; rows keep their order and
@@ -15,8 +16,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import modest, others, slabs
+from factloom.llm.common import modest, others, slabs, tidied
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,16 +37,24 @@ CACHE_WORDS = 120_000
 #: A text is cut, where that is safe, once a piece has this many characters.
 PIECE_CHARS = 1 << 20
 NEVER = np.iinfo(np.int64).max
-#: Words of up to so many bytes are merged together, so many at a time.
-MATRIX_BYTES, MATRIX_ROWS = 32, 20_000
+#: Words of up to so many bytes are merged together, so many at a time; of longer ones than TOGETHER_BYTES each is guessed by itself.
+MATRIX_BYTES, MATRIX_ROWS, TOGETHER_BYTES = 32, 20_000, 128
+#: Letters and numbers of later Unicode versions than the library's (16), in which they are of no class.
+_LATER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    "\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
 #: Fixed value: the same pattern for characters below U+0100, with their letters, numbers and blanks written out.
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = re.compile("[\0-\xff]*")
 _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 _WORDS = regex.compile(PATTERN)
-_models: dict[str, Model] = {}
-_bytes: dict[str, list[bytes]] = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -54,6 +64,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def trie_of(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trie of the words: keys (node x 256 + byte) in order, the node each leads to, the id that ends at each node (-1: none)."""
+    steps: dict[int, int] = {}
+    ends = {}
+    for raw, i in words:
+        node = 0
+        for b in raw:
+            node = steps.setdefault(node << 8 | b, len(steps) + 1)
+        ends[node] = i
+    keys, nodes = np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps))
+    order = np.argsort(keys)
+    terms = np.full(len(steps) + 1, -1, np.int64)
+    terms[np.fromiter(ends, np.int64, len(ends))] = np.fromiter(ends.values(), np.int64, len(ends))
+    return keys[order], nodes[order], terms
+
+
 class Model:
     """Vocabulary and merges of one tokenizer file."""
 
@@ -62,44 +88,27 @@ class Model:
             spec = json.load(f)
         to_byte = byte_symbols()
         vocab: dict[str, int] = spec["model"]["vocab"]
-        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.size = max([*vocab.values(), *added.values()]) + 1
-        self.raw = [b""] * self.size
-        for s, i in vocab.items():
-            self.raw[i] = bytes(to_byte[c] for c in s)
-        for s, i in added.items():
-            self.raw[i] = s.encode()
-        self.added = added
-        self.added_at = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.size = max([*vocab.values(), *self.added.values()]) + 1
+        self.added_at = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank_of = np.full(self.size, -1, np.int64)
         self.left = np.full(self.size, -1, np.int64)
         self.right = np.full(self.size, -1, np.int64)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        keys = np.empty(len(merges), np.int64)
-        self.made = np.empty(len(merges), np.int64)
-        for rank, (a, b) in enumerate(merges):
-            x, y, made = vocab[a], vocab[b], vocab[a + b]
-            self.merge[x, y] = (rank, made)
-            self.left[made], self.right[made], self.rank_of[made] = x, y, rank
-            keys[rank], self.made[rank] = x * self.size + y, made
+        pairs = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        self.made = pairs[:, 2].copy()
+        self.left[self.made], self.right[self.made], self.rank_of[self.made] = pairs[:, 0], pairs[:, 1], np.arange(len(pairs))
+        keys = pairs[:, 0] * self.size + pairs[:, 1]
         self.pair_rank = np.argsort(keys, kind="stable")
         self.pair_keys = keys[self.pair_rank]
         made = np.flatnonzero(self.rank_of >= 0)
         sound = np.ones(self.size, bool)
         sound[made] = self.apart(self.left[made], self.right[made], self.rank_of[made])
-        for t in made[np.argsort(self.rank_of[made])]:
-            sound[t] = sound[t] and sound[self.left[t]] and sound[self.right[t]]
-        self.sound = sound
-        byte_ids = {self.raw[i]: i for s, i in vocab.items() if len(s) == 1}
-        self.byte_id = [byte_ids[bytes([b])] for b in range(256)]
-        self.trie: dict = {}
-        for i in vocab.values():
-            if sound[i]:
-                node = self.trie
-                for b in self.raw[i]:
-                    node = node.setdefault(b, {})
-                node[-1] = i
+        for t, x, y in zip(self.made.tolist(), pairs[:, 0].tolist(), pairs[:, 1].tolist(), strict=True):
+            sound[t] &= sound[x] and sound[y]
+        byte_ids = {to_byte[s]: i for s, i in vocab.items() if len(s) == 1}
+        self.byte_id = np.array([byte_ids[b] for b in range(256)])
+        self.trie_keys, self.trie_nodes, self.terms = trie_of([(bytes(to_byte[c] for c in s), i) for s, i in vocab.items() if sound[i]])
         self.fresh()
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,25 +143,67 @@ class Model:
             live = live[go_on]
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, n, root = [], 0, len(word), self.trie
+    def greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The greedy tokens of all words in a row, and how many each word has: one step takes a byte of every word."""
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        word = np.flatnonzero(np.diff(ends, prepend=0))
+        at, end = np.concatenate([[0], ends[:-1]])[word], ends[word]
+        node, found, stop = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), at.copy()
+        out, owner = [], []
+        while len(word):
+            key = node << 8 | text[np.minimum(at, len(text) - 1)]
+            k = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+            go = (self.trie_keys[k] == key) & (at < end)
+            node = np.where(go, self.trie_nodes[k], 0)
+            at = at + go
+            term = self.terms[node]
+            whole = go & (term >= 0)
+            found, stop = np.where(whole, term, found), np.where(whole, at, stop)
+            out.append(found[~go])
+            owner.append(word[~go])
+            at = np.where(go, at, stop)
+            left = go | (at < end)
+            word, at, end, node, found, stop = word[left], at[left], end[left], node[left], found[left], stop[left]
+        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return (np.concatenate(out) if out else owner)[order], np.bincount(owner, minlength=len(words))
+
+    def greedy_one(self, word: bytes) -> list[int]:
+        """The same for one long word, byte by byte."""
+        keys, nodes, terms = memoryview(self.trie_keys), memoryview(self.trie_nodes), memoryview(self.terms)
+        out, at, n = [], 0, len(word)
         while at < n:
-            node, found, end, k = root, -1, at, at
-            while k < n and (node := node.get(word[k])) is not None:
-                k += 1
-                if -1 in node:
-                    found, end = node[-1], k
+            node, found, end, i = 0, -1, at, at
+            while i < n:
+                key = node << 8 | word[i]
+                k = bisect_left(keys, key)
+                if k == len(keys) or keys[k] != key:
+                    break
+                node, i = nodes[k], i + 1
+                if terms[node] >= 0:
+                    found, end = terms[node], i
             out.append(found)
             at = end
         return out
 
-    def merged(self, words: list[bytes]) -> list[list[int]]:
+    def speculated(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """greedy of all words, the long ones among them by themselves."""
+        long = [k for k, w in enumerate(words) if len(w) > TOGETHER_BYTES]
+        flat, counts = self.greedy([b"" if len(w) > TOGETHER_BYTES else w for w in words] if long else words)
+        for k in reversed(long):
+            ids = self.greedy_one(words[k])
+            before = int(counts[:k].sum())
+            flat, counts[k] = np.concatenate([flat[:before], np.array(ids, np.int64), flat[before:]]), len(ids)
+        return flat, counts
+
+    def merged(self, words: list[bytes]) -> list[np.ndarray]:
         """Exact merging of many short words at once: in each round every word makes its merge of least rank."""
         n, width = len(words), max(map(len, words)) + 1
         size = np.array([len(w) for w in words])
         ids = np.full((n, width), -1, np.int64)
         filled = np.arange(width) < size[:, None]
-        ids[filled] = np.asarray(self.byte_id)[np.frombuffer(b"".join(words), np.uint8)]
+        ids[filled] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         rank = np.full((n, width), NEVER)
         inner = filled[:, 1:]
         rank[:, :-1][inner] = self.ranks(ids[:, :-1][inner], ids[:, 1:][inner])
@@ -176,28 +227,34 @@ class Model:
                 r[i, j] = self.ranks(x[i, j], x[i, j + 1])
                 r[row[~ok & (k >= 0)], k[~ok & (k >= 0)]] = NEVER
             ids[live], rank[live] = x, r
-        return [row[:k].tolist() for row, k in zip(ids, (ids >= 0).sum(1), strict=True)]
+        return [row[:k] for row, k in zip(ids, (ids >= 0).sum(1).tolist(), strict=True)]
 
-    def exact(self, word: bytes) -> list[int]:
+    def exact(self, word: bytes) -> np.ndarray:
         """Merges by rank, leftmost first, over a linked list with a heap."""
-        ids = [self.byte_id[b] for b in word]
+        keys, ranks, made, size = memoryview(self.pair_keys), memoryview(self.pair_rank), memoryview(self.made), self.size
+
+        def rank(a: int, b: int) -> int:
+            k = bisect_left(keys, a * size + b)
+            return ranks[k] if k < len(keys) and keys[k] == a * size + b else -1
+
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         nxt, prev = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(self.merge[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merge]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a, b)) >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = nxt[i] if ids[i] == a else len(ids)
             if j >= len(ids) or ids[j] != b:
                 continue
-            ids[i] = self.merge[a, b][1]
+            ids[i] = made[r]
             ids[j] = -1
             nxt[i] = nxt[j]
             if nxt[i] < len(ids):
                 prev[nxt[i]] = i
             for k in (prev[i], i):
-                if k >= 0 and nxt[k] < len(ids) and (p := (ids[k], ids[nxt[k]])) in self.merge:
-                    heapq.heappush(heap, (self.merge[p][0], k, *p))
-        return [i for i in ids if i >= 0]
+                if k >= 0 and nxt[k] < len(ids) and (r := rank(ids[k], ids[nxt[k]])) >= 0:
+                    heapq.heappush(heap, (r, k, ids[k], ids[nxt[k]]))
+        return np.array([i for i in ids if i >= 0], np.int64)
 
     def fresh(self) -> None:
         """An empty cache: the place of each word, and at each place where its ids start in `flat` and how many there are."""
@@ -217,21 +274,25 @@ class Model:
     def learn(self, words: list[str]) -> None:
         """Puts the tokens of new words in the cache."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        guess = [self.greedy(w) for w in raw]
-        flat = np.fromiter(chain.from_iterable(guess), np.int64)
-        ends = np.cumsum([len(g) for g in guess])
+        flat, counts = self.speculated(raw)
+        ends = np.cumsum(counts)
         inside = np.ones(max(len(flat) - 1, 0), bool)
         inside[ends[:-1] - 1] = False
         at = np.flatnonzero(inside)
-        failed = np.unique(np.searchsorted(ends, at[~self.apart(flat[at], flat[at + 1])], side="right")).tolist()
-        for i in range(0, len(short := [k for k in failed if len(raw[k]) <= MATRIX_BYTES]), MATRIX_ROWS):
+        failed = np.unique(np.searchsorted(ends, at[~self.apart(flat[at], flat[at + 1])], side="right"))
+        short = [k for k in failed.tolist() if len(raw[k]) <= MATRIX_BYTES]
+        again = {k: self.exact(raw[k]) for k in failed.tolist() if len(raw[k]) > MATRIX_BYTES}
+        for i in range(0, len(short), MATRIX_ROWS):
             part = short[i : i + MATRIX_ROWS]
-            for k, ids in zip(part, self.merged([raw[k] for k in part]), strict=True):
-                guess[k] = ids
-        for k in failed:
-            if len(raw[k]) > MATRIX_BYTES:
-                guess[k] = self.exact(raw[k])
-        self.keep(words, np.array([len(g) for g in guess], np.int64), np.fromiter(chain.from_iterable(guess), np.int64))
+            again |= zip(part, self.merged([raw[k] for k in part]), strict=True)
+        if again:  # the failing words' tokens take the place of their guesses
+            good = np.ones(len(words), bool)
+            good[failed] = False
+            flat = np.concatenate([flat[np.repeat(good, counts)], *(again[k] for k in failed.tolist())])
+            counts[failed] = [len(again[k]) for k in failed.tolist()]
+            order = np.concatenate([np.flatnonzero(good), failed])
+            words, counts = [words[k] for k in order.tolist()], counts[order]
+        self.keep(words, counts, flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's end."""
@@ -264,7 +325,11 @@ class Model:
 
 def find(text: str) -> list[str]:
     """The pre-tokens of a text; the standard library's faster engine does where each character has one byte."""
-    return _LATIN_WORDS.findall(text) if text.isascii() or _LATIN.fullmatch(text) else _WORDS.findall(text)
+    if text.isascii() or _LATIN.fullmatch(text):
+        return _LATIN_WORDS.findall(text)
+    if not _LATER.search(text):
+        return _WORDS.findall(text)
+    return [text[slice(*m.span())] for m in _WORDS.finditer(_LATER.sub("\uffff", text))]
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -276,21 +341,30 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id: all that decoding needs."""
-    if path not in _bytes:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        to_byte, added = byte_symbols(), {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
-        known = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()} | added
-        _bytes[path] = [known.get(i, b"") for i in range(max(known) + 1)]
-    return _bytes[path]
+@lru_cache(1)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, and where each id's begin (one more at the end): all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    to_byte, added = byte_symbols(), {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+    known = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()} | added
+    raw = [known.get(i, b"") for i in range(max(known) + 1)]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
+@lru_cache(1)
 def model(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    return Model(path)
+
+
+def decoded(ids: np.ndarray, ends: np.ndarray, path: str) -> list[str]:
+    """The texts of ids, each text's up to its end; bytes that aren't UTF-8 become U+FFFD."""
+    raw, starts = token_bytes(path)
+    sizes = (starts[1:] - starts[:-1])[ids]
+    until = np.cumsum(sizes)
+    text = raw[np.repeat(starts[ids] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)].tobytes()
+    stops = np.concatenate([[0], until])[ends].tolist()
+    return [text[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -298,7 +372,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
-        for batch in batches:
+        for batch in tidied(batches, bpe.fresh):
             texts = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
@@ -316,12 +390,12 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     """df with the column `out`: the text of each row's ids (null: empty); bytes that aren't UTF-8 become U+FFFD."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = token_bytes(path).__getitem__
-        for batch in batches:
+        for batch in tidied(batches):
             lists = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
-            for i, j in slabs(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
-                texts = [b"".join(map(raw, x or ())).decode("utf-8", "replace") for x in lists[i:j].to_pylist()]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            for i, j in slabs(sizes.tolist()):
+                texts = decoded(lists[i:j].flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[i:j]), path)
                 part = rest.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 

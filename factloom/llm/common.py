@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,21 @@ def modest(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(batches: Iterator[pa.RecordBatch], end: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a Python task; when it ends, `end` is called and freed memory goes back to the system, for Spark keeps its Python workers."""
+    try:
+        yield from batches
+    finally:
+        if end:
+            end()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+
 def slabs(sizes: list[int], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts sum to about limit characters; a longer text is a range of its own."""
     start = total = 0

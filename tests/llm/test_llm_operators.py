@@ -118,6 +118,17 @@ def test_bpe(docs, empty):
         assert r["token_ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
+    rng = np.random.default_rng(11)
+    odd = [chr(c) for c in (0x209F, 0x558, 0x1C89, 0x10940, 0x323B0, 0x11DE0, 0x2028, 0x85, 0x1F600, 0x300, 0x3000, 0xAD)] + list("'tsrveml dDL 09.,\n\t ") + ["é", "ß", "日", "ي", "Ω", "½"]
+    mixed = ["".join(odd[k] for k in rng.integers(0, len(odd), int(rng.integers(1, 40)))) for _ in range(3000)] + ["x" * 200 + "yz" * 300]
+    ids, ends = model.encode(mixed)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in library.encode_batch(mixed, add_special_tokens=False)]
+    assert bpe.decoded(ids, ends, path) == mixed
+    cut = ids[rng.random(len(ids)) < 0.5]  # tokens whose bytes aren't UTF-8
+    assert bpe.decoded(cut, np.array([len(cut)]), path) == [library.decode(cut.tolist(), skip_special_tokens=False)]
+    for words in ([b"", b"abc", b"", b"q" * 500, b"hello"], [b""], []):
+        flat, counts = model.speculated(words)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])][: len(words)] == [model.greedy_one(w) for w in words]
     twice = bpe.encode(bpe.encode(docs, path), path)
     assert twice.columns == [*docs.columns, "token_ids"] and twice.count() == len(TEXTS)
 
