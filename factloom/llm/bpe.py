@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import modest, others, slabs, tidied
+from factloom.llm.common import modest, others, slabs, tidied, unused
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -383,7 +383,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 
     kept, fields = others(df, out)
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return modest(df.select(*kept, F.col(f"`{text}`").alias("text__"))).mapInArrow(task, schema)
+    return modest(df.select(*kept, F.col(f"`{text}`").alias(unused(df, "text__")))).mapInArrow(task, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -401,4 +401,4 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
     kept, fields = others(df, out)
     schema = T.StructType([*fields, T.StructField(out, T.StringType())])
-    return modest(df.select(*kept, F.col(f"`{ids}`").alias("ids__"))).mapInArrow(task, schema)
+    return modest(df.select(*kept, F.col(f"`{ids}`").alias(unused(df, "ids__")))).mapInArrow(task, schema)

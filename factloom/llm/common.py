@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that a Python task handles at a time.
 SLAB_CHARS = 1 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +49,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def modest(df: DataFrame) -> DataFrame:
-    """df, for a Python task over whole texts: its session sends BATCH_ROWS rows at a time, so that batches of long texts stay small."""
+    """df, for a Python task over whole texts: its session sends BATCH_ROWS rows or BATCH_BYTES at a time, so that batches of
+    long texts stay small. Both settings are read when the plan runs, so they stay with the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
@@ -91,3 +93,24 @@ def others(df: DataFrame, *out: str) -> tuple[list[Column], list[T.StructField]]
     taken = {c.lower() for c in out}
     fields = [f for f in df.schema.fields if f.name.lower() not in taken]
     return [F.col(f"`{f.name}`") for f in fields], fields
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, which tells rows of one id (null among them) apart."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """The rows of df whose id and row_key aren't those of `gone` (id, row; checkpointed, distinct); df stays where it is if
+    gone has no more than `most` rows."""
+    gid, grow = unused(df, "gone_id"), unused(df, "gone_row")
+    side = small_side(gone.select(F.col("id").alias(gid), F.col("row").alias(grow)), gone.count(), most)
+    return df.join(side, (row_key(id_col, text_col) == F.col(grow)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gid)), "left_anti")

@@ -8,16 +8,19 @@ one document and item at one relative position must fill their slots consistentl
 and for one other value, the one that most windows give it (of equally many its own, then the least). Windows equal to the item's and windows
 that fill every slot by that value agree. An item is leaked by a document if the windows that agree cover at least COVERAGE of the item.
 
-Defined cases: null and empty texts match nothing; a text of fewer words than a window is one window of its own length; equal
-items are one (the smallest item_id, with their number); a document is a row, told from others of its doc_id by a hash of id and
-text, so null and repeated ids don't mix; rows equal in both are one; repeated passages in a document count once.
+Defined cases: null and empty texts match nothing; an item of fewer words than a window is one window of its own length,
+found only verbatim, anywhere in a document; a window of placeholders alone tells nothing, so it is matched by its values; equal
+items are one (the smallest item_id, null if none has one, with their number; items of null id with different texts are
+different items); a document is a row, told from others of its doc_id by a hash of id and text, so null and repeated ids
+don't mix; rows equal in both are one; repeated passages in a document count once; texts are taken whole, whatever their
+length; columns besides id and text don't matter to `leaks` and pass through `drop_leaks`.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, slabs
+from factloom.llm.common import checkpointed, modest, row_key, slabs, small_side, tidied, without
 
 WINDOW, COVERAGE = 5, 0.5
 BITMAP_BITS = 1 << 24
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Windows of the benchmark and leaking rows that every task gets, if there are no more; otherwise the joins shuffle.
+SENT_WINDOWS, SENT_ROWS = 200_000, 500_000
 #: Units that may follow a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t lb lbs oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars dollar euros cents cent mph kmh hz khz mhz ghz v w kw mw j kj cal kcal pa kpa bar degrees".split())
 _NUMBER = re.compile(r"[$€£]?\d+(?:[.,:/]\d+)*")
@@ -92,8 +97,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the template windows and of the literal ones by start, the parts, the kinds, the width; of a text's tokens."""
+def _rolled(x: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width values."""
+    total = np.zeros(max(len(x) - width + 1, 0), np.uint64)
+    for i in range(width):
+        total = _mixed(total + x[i : len(x) - width + 1 + i])
+    return total ^ np.uint64(width)
+
+
+def parts_of(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, value hashes and kinds of the parts of a text's tokens; names are capitalised words inside a sentence."""
     starts, counts, caps, ends, hashes, kinds, units = tokens.arrays()
     name = caps[at]
     if len(at):
@@ -102,30 +115,34 @@ def windows(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.
     n = counts[at]
     first = np.repeat(starts[at] - (np.cumsum(n) - n), n)
     parts, name = first + np.arange(len(first)), np.repeat(name, n)
-    h, kind = hashes[parts], kinds[parts].copy()
+    kind = kinds[parts].copy()
     if len(kind) > 1:
         kind[1:][(kind[:-1] == NUMBER) & units[parts[1:]]] = UNIT
-    literal = np.where(kind == NUMBER, np.uint64(NUMBER), h)
     kind[name & (kind == WORD)] = NAME
-    template = np.where(kind == WORD, h, kind.astype(np.uint64))
-    width = min(WINDOW, len(h))
-    out = []
-    for x in (template, literal):
-        total = np.zeros(max(len(h) - width + 1, 0) if width else 0, np.uint64)
-        for i in range(width):
-            total = _mixed(total + x[i : len(h) - width + 1 + i])
-        out.append(total ^ np.uint64(width))
-    return out[0], out[1], parts, kind, width
-
-
-def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """id, row, pos, hash, slots (value of each placeholder in the window), n_windows of the rows (id, row, text); of those in the bitmap, if one is given."""
+    return parts, hashes[parts], kind
+
+
+def windows(h: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the template windows and of the literal ones, by start: parts are told by their values, placeholders by
+    their kind (in the literal form numbers alone are placeholders), but by their values where a window has no other part."""
+    values, out = _rolled(h, width), []
+    for slot in (kind != WORD, kind == NUMBER):
+        held = np.concatenate([[0], np.cumsum(slot)])
+        alone = held[width:] - held[: len(h) - width + 1] == width if len(h) >= width else np.zeros(0, bool)
+        out.append(np.where(alone, values, _rolled(np.where(slot, kind.astype(np.uint64), h), width)))
+    return out[0], out[1]
+
+
+def window_rows(df: DataFrame, bitmap: np.ndarray | None = None, widths: Sequence[int] = ()) -> DataFrame:
+    """id, row, pos, hash, slots (value of each placeholder in the window), width, n_windows of the rows (id, row, text): of the
+    given widths, those in the bitmap; without a bitmap all, of WINDOW parts or as many as there are."""
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
-    schema = "id long, row long, pos int, hash long, slots array<string>, n_windows int"
+    schema = "id long, row long, pos int, hash long, slots array<string>, width int, n_windows int"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, bits = Tokens(), None if sent is None else sent.value
-        for batch in batches:
+        for batch in tidied(batches):
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 rows: list[tuple] = []
@@ -133,19 +150,18 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                     tokens = Tokens()
                 places = [tokens.places(t or "") for t in texts[i:j].to_pylist()]
                 for doc, key, at in zip(ids[i:j], keys[i:j], places, strict=True):
-                    template, literal, parts, kind, width = windows(at, tokens)
-                    for h, family in ((template, True), (literal, False)):
-                        keep = np.arange(len(h)) if family else np.flatnonzero(literal != template)
-                        if bits is not None:
-                            cell = h[keep] & np.uint64(BITMAP_BITS - 1)
-                            keep = keep[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                        for p, x in zip(keep.tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                            slots = [tokens.values[parts[q]].lower() for q in range(p, p + width) if (kind[q] != WORD if family else kind[q] == NUMBER)]
-                            rows.append((doc, key, p, x, slots, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()))],
-                    names=["id", "row", "pos", "hash", "slots", "n_windows"],
-                )
+                    parts, hashes, kind = parts_of(at, tokens)
+                    for width in [w for w in widths if w <= len(parts)] or [min(WINDOW, len(parts))] * (bits is None and len(parts) > 0):
+                        template, literal = windows(hashes, kind, width)
+                        for h, family in ((template, True), (literal, False)):
+                            keep = np.arange(len(h)) if family else np.flatnonzero(literal != template)
+                            if bits is not None:
+                                cell = h[keep] & np.uint64(BITMAP_BITS - 1)
+                                keep = keep[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                            for p, x in zip(keep.tolist(), h[keep].view(np.int64).tolist(), strict=True):
+                                slots = [tokens.values[parts[q]].lower() for q in range(p, p + width) if (kind[q] != WORD if family else kind[q] == NUMBER)]
+                                rows.append((doc, key, p, x, slots, width, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "row", "pos", "hash", "slots", "width", "n_windows"])
 
     return modest(df.select("id", "row", "text")).mapInArrow(task, schema)
 
@@ -174,7 +190,7 @@ def consistent(at: DataFrame) -> DataFrame:
     """id, row, item, total, places (of the windows that agree) of the rows (id, row, item, total, found)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             places = pa.array([agreeing(x.as_py()) for x in batch.column(4)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], places], names=["id", "row", "item", "total", "places"])
 
@@ -184,22 +200,24 @@ def consistent(at: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """id, row (hash of id and text), item, n_items, matched, n_windows, coverage: documents that leak an item, a row for each such pair."""
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
-    same = bench.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n_items"))
-    items = checkpointed(window_rows(same.withColumn("row", F.lit(0).cast("long")), None))
-    sizes = same.select(F.col("id").alias("item"), "n_items")
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
-    own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key, F.col(f"`{text_col}`").alias("text")), bitmap_of(items))
+    same = bench.groupBy("text").agg(F.min("id").alias("item"), F.count("*").alias("n_items"))
+    same = checkpointed(same.withColumn("id", F.monotonically_increasing_id()).withColumn("row", F.lit(0).cast("long")))
+    items = checkpointed(window_rows(same))
+    short = [r["width"] for r in items.where(F.col("width") < WINDOW).select("width").distinct().collect()]  # fewer than WINDOW rows
+    key = row_key(id_col, text_col).alias("row")
+    own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key, F.col(f"`{text_col}`").alias("text")), bitmap_of(items), [WINDOW, *sorted(short)])
     theirs = items.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), F.col("hash").alias("ihash"), F.col("slots").alias("islots"), F.col("n_windows").alias("total"))
-    both = own.join(theirs, (F.col("hash") == F.col("ihash")) & (F.size("slots") == F.size("islots")))
+    verbatim = F.col("slots") == F.col("islots")
+    both = own.join(small_side(theirs, items.count(), SENT_WINDOWS), (F.col("hash") == F.col("ihash")) & F.when(F.col("width") < WINDOW, verbatim).otherwise(F.size("slots") == F.size("islots")))
     window = F.struct(F.col("ipos").alias("place"), F.col("islots").alias("theirs"), F.col("slots").alias("own"))
     at = consistent(both.groupBy("id", "row", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set(window).alias("found"), F.max("total").alias("total")))
     found = at.groupBy("id", "row", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.max("total").alias("n_windows"))
     found = found.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    return found.join(sizes, "item").select(F.col("id").alias(id_col), "row", F.col("item").alias(item_col), "n_items", "matched", "n_windows", "coverage")
+    named = found.withColumnRenamed("item", "key").join(same.select(F.col("id").alias("key"), "item", "n_items"), "key")
+    return named.select(F.col("id").alias(id_col), "row", F.col("item").alias(item_col), "n_items", "matched", "n_windows", "coverage")
 
 
 def drop_leaks(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that leak nothing."""
-    gone = found.select(F.col(id_col).alias("gone_id__"), F.col("row").alias("gone__")).distinct()
-    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return df.join(gone, (row == F.col("gone__")) & F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id__")), "left_anti")
+    """The rows of df that leak nothing; texts stay where they are if the leaking rows are few enough to send."""
+    gone = checkpointed(found.select(F.col(f"`{id_col}`").alias("id"), "row").distinct())
+    return without(df, gone, id_col, text_col, SENT_ROWS)

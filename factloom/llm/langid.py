@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import modest, others, slabs
+from factloom.llm.common import modest, others, slabs, tidied, unused
 
 FEATURES = 1 << 16
 ORDERS = 3
@@ -102,7 +102,7 @@ def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidied(batches):
             texts, langs = batch.column(0), batch.column(1).to_pylist()
             for i, j in slabs(pc.utf8_length(texts).to_pylist()):
                 part = texts[i:j].to_pylist()
@@ -157,7 +157,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in tidied(batches):
             texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 part = [t or "" for t in texts[i:j].to_pylist()]
@@ -168,6 +168,6 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: s
                 yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(names, pa.string()), pa.array(np.where(worded, sure, 0.0))], names=[*own_rows.schema.names, lang_out, score_out])
 
     kept, fields = others(df, lang_out, score_out)
-    rows = df.select(*kept, F.col(f"`{text}`").alias("text__"))
+    rows = df.select(*kept, F.col(f"`{text}`").alias(unused(df, "text__")))
     schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return modest(rows).mapInArrow(task, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_side
+from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_side, tidied
 
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
@@ -54,7 +54,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """id, row (hash of id and text), line, cid (128-bit hash of the words), halves of every line with words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             ids, rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 out: tuple[list, ...] = ([], [], [], [], [])
@@ -91,7 +91,7 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
     """va, vb (a 128-bit hash), place (of the missing word; -1: none is), rank of the lines (rank, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for i, j in slabs(pc.utf8_length(batch.column(1)).to_pylist(), 1 << 18):
                 hashes = [variant_hashes(text.lower().split()) for text in batch.column(1)[i:j].to_pylist()]
                 sizes = [len(h) for h in hashes]

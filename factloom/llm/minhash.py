@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, slabs, small_side
+from factloom.llm.common import checkpointed, modest, row_key, slabs, small_side, tidied, unused, without
 
 SUBKEYS, WIDTH = 16, 3
 #: Ids or keys that are sent to every task if there are no more; beyond it the join is a shuffle join.
@@ -84,7 +84,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in tidied(batches):
             texts = batch.column(1)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 sets = [shingle_set(t, k, hashes) for t in texts[i:j].to_pylist()]
@@ -96,7 +96,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, subkeys: int,
                 cids = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array(cids, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "row", "n_shingles", "cid", "subs"])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row_key(id_col, text_col).alias("row"))
     return modest(rows).mapInArrow(task, "id long, row long, n_shingles long, cid binary, subs array<long>")
 
 
@@ -111,7 +111,7 @@ def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in tidied(batches):
             texts = batch.column(1)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 sets = [shingle_set(t, k, hashes) for t in texts[i:j].to_pylist()]
@@ -269,13 +269,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row")
 
 
-def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
     """The rows of df that near_duplicates keeps; of identical ids and texts, one row."""
-    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    found = checkpointed(found.select("row", "kept"))
-    gone = found.where("NOT kept").select(F.col("row").alias("gone__")).distinct()
-    stay = df.join(gone, row == F.col("gone__"), "left_anti")
-    again = checkpointed(found.where("kept").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("again__")))
+    found = checkpointed(found.select(F.col(f"`{id_col}`").alias("id"), "row", "kept"))
+    stay = without(df, checkpointed(found.where("NOT kept").select("id", "row").distinct()), id_col, text_col, sent_rows)
+    again = checkpointed(found.where("kept").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"))
     if again.isEmpty():
         return stay
-    return stay.join(again, row == F.col("again__"), "left_anti").unionByName(stay.join(again, row == F.col("again__"), "left_semi").dropDuplicates([id_col, text_col]))
+    aid, arow = unused(df, "again_id"), unused(df, "again_row")
+    side = small_side(again.select(F.col("id").alias(aid), F.col("row").alias(arow)), again.count(), sent_rows)
+    twice = stay.join(side, (row_key(id_col, text_col) == F.col(arow)) & F.col(f"`{id_col}`").eqNullSafe(F.col(aid)), "left_semi")
+    return without(stay, again, id_col, text_col, sent_rows).unionByName(twice.dropDuplicates([id_col, text_col]))

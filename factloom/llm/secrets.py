@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import modest, slabs
+from factloom.llm.common import modest, slabs, tidied
 
 #: The kinds in their order and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "guess")
@@ -154,7 +154,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         ranks = sent.value
-        for batch in batches:
+        for batch in tidied(batches):
             texts = batch.column(1)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 found = [[{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(t or "", ranks)] for t in texts[i:j].to_pylist()]

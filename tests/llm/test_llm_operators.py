@@ -276,6 +276,54 @@ def test_decontamination(spark, empty):
     assert decontam.leaks(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_numeric_and_nameless_items(spark):
+    bench = spark.createDataFrame([(1, "tiny one"), (None, "3 plus 4"), (None, "seven green lizards sit on a wall and sing"), (4, "1 2 3 4 5 6 7"), (5, "")], "item_id long, text string")
+    texts = [(1, "here is a tiny one in the middle of other words"), (2, "so 3 plus 4 it is"), (3, "so 3 plus 5 it is"), (4, "well, seven green lizards sit on a wall and sing today"), (5, "9 8 7 6 5 4 3 2 1 0 9 8 7"), (6, "go 1 2 3 4 5 6 7 stop"), (7, "tiny"), (8, "one tiny two"), (9, LONG + " tiny one"), (9, LONG + " tiny one")]
+    df = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in texts], "doc_id long, text string, row int, gone__ int, item_id string, hash int")
+    got = decontam.leaks(df, bench)
+    assert rows(got.select("doc_id", "item_id")) == sorted([(1, 1), (2, None), (4, None), (6, 4), (9, 1)], key=repr)
+    kept = decontam.drop_leaks(df, got)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 7, 8]
+
+
+def brute_windows(text):
+    """(template, slots) of each window, of a text of lower-case words and whole numbers in one sentence."""
+    words = text.split()
+    width = min(len(words), decontam.WINDOW)
+    out = []
+    for i in range(len(words) - width + 1):
+        w = words[i : i + width]
+        own = tuple(w) if all(x.isdigit() for x in w) else tuple("#" if x.isdigit() else x for x in w)
+        out.append((own, [x for x in w if x.isdigit()]))
+    return out
+
+
+def test_reparameterised_windows_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{chr(97 + i)}x" for i in range(12)] + ["1", "2", "3"]
+    make = lambda n: " ".join(vocab[k] for k in rng.integers(0, len(vocab), n))
+    items = sorted({make(int(rng.integers(6, 14))) for _ in range(12)})
+    texts = []
+    for t in items * 4:
+        words = [str(int(x) + 4) if x.isdigit() and rng.random() < 0.6 else x for x in t.split()]
+        texts.append(make(int(rng.integers(0, 6))) + " " + " ".join(words[int(rng.integers(0, 3)) :]) + " " + make(3))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            theirs, places = brute_windows(x), set()
+            own = brute_windows(t)
+            for shift in range(-len(theirs), len(own)):
+                met = [(p, theirs[p][1], own[p + shift][1]) for p in range(len(theirs)) if 0 <= p + shift < len(own) and theirs[p][0] == own[p + shift][0]]
+                pairs = [q for _, a, b in met for q in zip(a, b, strict=True)]
+                value = {a: min({b for x, b in pairs if x == a}, key=lambda b: (-len({p for p, u, v in met for q in zip(u, v, strict=True) if q == (a, b)}), b != a, b)) for a, _ in pairs}
+                places |= {p for p, a, b in met if a == b or all(value[x] == y for x, y in zip(a, b, strict=True))}
+            if places and len(places) >= decontam.COVERAGE * len(theirs):
+                want.add((d, i))
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(df, bench).collect()}
+    assert want and got == want
+
+
 def test_decontamination_by_brute_force(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
