@@ -1,17 +1,21 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
 Lines are compared as lower-cased words. Two lines of at least MIN_WORDS words are alike if one word inserted, deleted
-or replaced makes one the other (so at most a fifth of a line differs); shorter ones if they are equal. A line is
-dropped if a line alike stands earlier in the corpus, by (id, line number); the row names the earliest such line.
+or replaced makes one the other (so at most a fifth of a line differs); shorter ones if they are equal. In corpus order, by
+(id, line number), a line is dropped if one alike that stays stands earlier; the row names the earliest such line. So what
+a dropped line says is never more than one edit from a line that stays, however long a chain of edits is.
 
 One edit leaves the first or the second half of a line as it is, so only lines that share a half with another line emit
 their neighbourhood: the line itself and, for each word, the line without it, as 128-bit hashes. Lines with the same word
 missing at the same place differ by a replacement; a line without a word and a line that is
 that, by an insertion. So the join needs the earliest member of each variant alone, never pairs of members: groups of
-any size are summed up map-side. The edit distance of each line and its earliest partner is then verified on the words.
+any size are summed up map-side. Round by round, lines that are the earliest undecided in all their variants stay, and
+what shares a variant with them goes; few lines are left after the first round, and there are as many rounds as the longest
+chain of decisions has links. The edit distance of each dropped line and the line it names is verified on the words.
 
 Defined cases: lines without words stay; null texts have no lines; lines of identical rows (same id and text) stand at
-the same place, so neither is earlier; null ids come first; a text is split at \\n only and kept apart from that.
+the same place, so neither is earlier; null ids come first; a text is split at \\n only and kept apart from that; columns of df
+besides id and text pass through `drop_lines`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, new_folder, slabs, small_side, tidied
+from factloom.llm.common import checkpointed, modest, new_folder, row_key, slabs, small_side, tidied, unused
 
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
@@ -115,10 +119,55 @@ def one_edit(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.abs(F.size(a) - F.size(b)) <= 1) & (same_head + same_tail >= F.greatest(F.size(a), F.size(b)) - 1))
 
 
+def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
+    """rank, early: of every line to drop, the earliest line alike that stays; of the neighbourhoods of so many distinct lines."""
+    gone = variants.where("place >= 0")
+    swaps = checkpointed(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "first"))
+    # lines with the same words missing at the same place, told by the earliest of them: a member can't be so by two variants
+    # of one place, and two places of one first line are different groups
+    swapped = gone.join(small_side(swaps, swaps.count(), sent_rows), ["va", "vb", "place"]).select(F.col("first").alias("ga"), F.col("place").alias("gb"), "rank")
+    whole = variants.where("place < 0").select("va", "vb", F.col("rank").alias("whole"))
+    longer = gone.join(small_side(whole, lines, sent_rows), ["va", "vb"]).select("rank", "whole").distinct()
+    # one table of groups: a shorter line and all lines one word longer are a star around it, which isn't itself a group of lines alike
+    swapped, longer = checkpointed(swapped), checkpointed(longer)
+    decided = None
+    left_s, left_l = swapped, longer
+    while True:
+        first = left_s.groupBy("ga", "gb").agg(F.min("rank").alias("early"))
+        ways = left_s.join(first, ["ga", "gb"]).select("rank", "early")
+        ways = ways.unionByName(left_l.select("rank", F.col("whole").alias("early")))
+        ways = ways.unionByName(left_l.groupBy("whole").agg(F.min("rank").alias("early")).select(F.col("whole").alias("rank"), "early"))
+        open_ = ways.groupBy("rank").agg(F.min("early").alias("early"))
+        stay = checkpointed(open_.where("early >= rank").select("rank", F.lit(True).alias("stays")))
+        n = stay.count()
+        if n == 0:
+            break
+        kept = small_side(stay.select(F.col("rank").alias("kept")), n, sent_rows)
+        heads = left_s.join(kept, F.col("rank") == F.col("kept")).groupBy("ga", "gb").agg(F.min("kept").alias("kept"))
+        out = left_s.join(heads, ["ga", "gb"]).where("rank <> kept").select("rank")
+        out = out.unionByName(left_l.join(kept, F.col("whole") == F.col("kept")).select("rank"))
+        out = out.unionByName(left_l.join(kept, F.col("rank") == F.col("kept")).select(F.col("whole").alias("rank")))
+        now = checkpointed(stay.unionByName(out.distinct().withColumn("stays", F.lit(False))))
+        decided = now if decided is None else decided.unionByName(now)
+        done = small_side(now.select(F.col("rank").alias("done")), now.count(), sent_rows)
+        left_s = checkpointed(left_s.join(done, F.col("rank") == F.col("done"), "left_anti"))
+        left_l = checkpointed(left_l.join(done, F.col("rank") == F.col("done"), "left_anti").join(done, F.col("whole") == F.col("done"), "left_anti"))
+    if decided is None:
+        return swapped.select("rank", F.col("rank").alias("early")).where("false")
+    # the earliest line that stays among those alike
+    stay = decided.where("stays").select(F.col("rank").alias("kept"))
+    stay = small_side(stay, stay.count(), sent_rows)
+    heads = swapped.join(stay, F.col("rank") == F.col("kept")).groupBy("ga", "gb").agg(F.min("kept").alias("early"))
+    found = swapped.join(heads, ["ga", "gb"]).select("rank", "early")
+    found = found.unionByName(longer.join(stay, F.col("whole") == F.col("kept")).select("rank", F.col("kept").alias("early")))
+    found = found.unionByName(longer.join(stay, F.col("rank") == F.col("kept")).select(F.col("whole").alias("rank"), F.col("kept").alias("early")))
+    return found.where("early < rank").groupBy("rank").agg(F.min("early").alias("early"))
+
+
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
     """id, row, line, keep_id, keep_line, edits of every line to drop (row: a hash of id and text, which tells rows of one id apart)."""
     text = F.col(f"`{text_col}`")
-    docs = df.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text"))
+    docs = df.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("row"), text.alias("text"))
     at = new_folder(df.sparkSession, "lines")
     occurrences(docs).write.option("compression", "zstd").parquet(at)
     seen = df.sparkSession.read.parquet(at)
@@ -139,16 +188,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # numbered in the order in which they stand, so that the earliest is the least
     lines = lines.select("cid", "text", "want_id", "want_line", "want_row").dropDuplicates(["cid"]).orderBy("want_id", "want_line", "want_row")
     lines = checkpointed(lines.withColumn("rank", F.monotonically_increasing_id()))
-    # the earliest line of each variant
-    variants = neighbourhoods(lines)
-    gone = variants.where("place >= 0")
-    swaps = checkpointed(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("early"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "early"))
-    swapped = gone.join(small_side(swaps, swaps.count(), sent_rows), ["va", "vb", "place"]).select("rank", "early")
-    whole = variants.where("place < 0").select("va", "vb", F.col("rank").alias("whole"))
-    longer = checkpointed(gone.join(small_side(whole, lines.count(), sent_rows), ["va", "vb"]).select("rank", "whole"))
-    inserted = longer.select("rank", F.col("whole").alias("early"))
-    fewer = longer.groupBy("whole").agg(F.min("rank").alias("early")).select(F.col("whole").alias("rank"), "early")
-    near = swapped.unionByName(inserted).unionByName(fewer).where("early < rank").groupBy("rank").agg(F.min("early").alias("early"))
+    near = kept_lines(neighbourhoods(lines), lines.count(), sent_rows)
     # verified on the words themselves
     words = lines.select("rank", "cid", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")), " ").alias("words_a"), F.struct(F.col("want_id").alias("id"), F.col("want_line").alias("line"), F.col("want_row").alias("row")).alias("at"))
     pairs = near.join(words.select("rank", "cid", "words_a"), "rank")
@@ -163,9 +203,12 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_lines(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df, its text without the lines in `found`; rows whose lines with words are all gone are dropped."""
-    gone = found.groupBy("row").agg(F.collect_set("line").alias("gone__"))
+    gid, grow, lines = unused(df, "gone_id"), unused(df, "gone_row"), unused(df, "gone_lines")
+    gone = found.select(F.col(f"`{id_col}`").alias(gid), F.col("row").alias(grow), "line").groupBy(gid, grow).agg(F.collect_set("line").alias(lines))
+    gone = checkpointed(gone)
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()
     text = F.col(f"`{text_col}`")
-    marked = df.withColumn("row__", F.xxhash64(F.col(f"`{id_col}`"), text)).join(gone.withColumnRenamed("row", "gone_row__"), F.col("row__") == F.col("gone_row__"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone__", i)), "\n")
-    marked = marked.withColumn(text_col, F.when(F.col("gone__").isNull(), text).otherwise(kept))
-    return marked.where(F.col("gone__").isNull() | F.col(f"`{text_col}`").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in df.columns])
+    marked = df.join(small_side(gone, max(size), SENT_ROWS), (row_key(id_col, text_col) == F.col(grow)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gid)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    marked = marked.withColumn(text_col, F.when(F.col(lines).isNull(), text).otherwise(kept))
+    return marked.where(F.col(lines).isNull() | text.rlike(r"\S")).select(*[F.col(f"`{c}`") for c in df.columns])

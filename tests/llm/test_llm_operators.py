@@ -463,15 +463,34 @@ def brute_lines(texts):
                 prev, d[y + 1] = d[y + 1], min(d[y + 1] + 1, d[y] + 1, prev + (a[x] != b[y]))
         return 1 if d[-1] == 1 else None
 
-    out = set()
-    for at, (i, n, w) in enumerate(placed):
-        for j, m, v in placed[:at]:
-            if w and (j, m) != (i, n) and alike(w, v) is not None:
-                out.add((i, n, j, m, alike(w, v)))
-                break
+    out, kept = set(), []
+    for i, n, w in placed:
+        early = next(((j, m, alike(w, v)) for j, m, v in kept if w and (j, m) != (i, n) and alike(w, v) is not None), None)
+        if early is None:
+            kept.append((i, n, w))
+        else:
+            out.add((i, n, *early))
     return out
 
 
+def test_chains_of_lines_keep_what_no_kept_line_is_like(spark):
+    words = [f"w{i}" for i in range(8)]
+    chain = [" ".join([f"x{k}" if k < n else w for k, w in enumerate(words)]) for n in range(7)]  # each one word from the next
+    longer = [" ".join(words + ["more"] * n) for n in range(1, 6)]  # each one word longer
+    rng = np.random.default_rng(2)
+    mixed = [" ".join(f"v{k}" for k in rng.integers(0, 3, int(rng.integers(5, 7)))) for _ in range(150)]
+    texts = [(i, line) for i, line in enumerate(chain + longer)] + [(100 + i, "\n".join(mixed[i : i + 5])) for i in range(0, 150, 5)]
+    df = spark.createDataFrame([(i, t, 1, "g", "l") for i, t in texts], "doc_id long, text string, row int, gone_id string, gone_lines string")
+    want = brute_lines(texts)
+    assert {i for i, *_ in want if i < 7} == {1, 3, 5}
+    for sent in (500_000, 0):
+        assert {tuple(r) for r in linedup.duplicate_lines(df, sent_rows=sent).drop("row").collect()} == want
+    left = linedup.drop_lines(df, linedup.duplicate_lines(df))
+    assert left.columns == df.columns
+    gone = {(i, n) for i, n, *_ in want}
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t for i, t in ((i, "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in texts) if t}
+
+
 def test_line_dedup(spark, docs, empty):
     a, b = "alpha beta gamma delta epsilon zeta", "this line stands here and there again"
     texts = [(1, f"{a}\n{b}\n\nshort one"), (2, f"{a.upper()}\nx\nshort  one"), (3, "alpha beta gamma DELTA epsilon eta"), (4, "alpha beta gamma delta epsilon"), (5, "alpha beta gamma delta epsilon zeta eta"), (6, None), (7, ""), (8, "short two\none two three four\none two three five"), (9, b.replace("stands", "is")), (10, f"new text\n{b}"), (10, f"new text\n{b}"), (11, "p q r s t u\nq p r s t u\nr s t u p q")]
