@@ -1,25 +1,36 @@
-"""The corpus pipeline: five stages, each over all rows that the stage before kept."""
+"""The corpus pipeline: five stages, each over all rows that the stage before kept.
+
+Defined cases, for every stage: null and empty texts are without language, so none is left after the first stage (the other
+stages keep them); rows are told apart by id and text, so null and repeated ids don't mix, and of rows equal in both, near-dedup
+keeps one; texts are taken whole, whatever their length; an empty table stays empty; extra columns pass through,
+whatever their names, but `token_ids`, `n_tokens` and `round_trip`, which the last stage sets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontam, langid, linedup, minhash
-from factloom.llm.common import new_folder
+from factloom.llm.common import new_folder, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A language of less probability is as good as none.
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null or letterless text, or no language of probability MIN_LANGUAGE_SCORE. Learns from the labelled rows of docs."""
-    found = langid.predict(docs, langid.fit(docs), lang_out="lang_pred__", score_out="score__")
-    return found.where((F.col("lang_pred__") != langid.UNKNOWN) & (F.col("score__") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = langid.predict(docs, langid.fit(docs), lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +50,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and whether decoding them gives the text back."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path), path)
-    return both.select("doc_id", "lang", "source", "n_chars", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """The ids of each text in place of it, and whether decoding them gives the text back."""
+    path, back, own = public_tokenizers.path("byte_bpe_50k.json"), unused(docs, "decoded"), ("text", "token_ids", "n_tokens", "round_trip")
+    both = bpe.decode(bpe.encode(docs, path), path, out=back)
+    rest = columns(docs.drop(*own))
+    return both.select(*rest, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col(back) == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("bpe", tokens)]
