@@ -2,14 +2,19 @@
 
 A url that a rule fits gets the rule's verdict. For the rest, each host's paths form a tree of templates: a segment that is
 a number, a hash or an id becomes a wildcard at once; a segment of a branch with more than MAX_CHILDREN values of little
-support does after counting; sibling branches whose labelled rates don't differ (two-proportion test) are merged into
-one. A template's purity is its share of blocked among urls that rules labelled, smoothed towards the share of all
-labelled urls, and 0 without any; templates of purity PURITY or more are rejected. Hosts and branches are
-counted by aggregation (partial sums before each shuffle), never collected, whatever the share of one host.
+support does after counting; and a sibling branch merges with its siblings if the two can't be told apart: their urls go on
+alike (two-proportion test on the branch's most common rest) and their labelled rates don't differ (the same test, if
+both sides have MIN_SUPPORT labels to tell by). A template's purity is its share of blocked among urls that rules
+labelled, smoothed towards that of the branch above it, that towards the one above, and so on to the host and to all
+labelled urls; so templates without labels have the purity of what is nearest to them in the tree. Templates of purity
+PURITY or more are rejected. Hosts and branches are counted by aggregation (partial sums before each shuffle), never
+collected, whatever the share of one host.
 
 Defined cases: null urls and urls without :// have empty host and path, no rule and are allowed; rows pass one by one, so
-repeated page_ids don't matter; segments past DEPTH are one tail, generalised to **; ties between rules can't occur, for
-of two rules that fit, one's host is within the other's or one's path starts with the other's: longest means longest host and path together, then host, then order.
+repeated page_ids don't matter; paths of any length are told apart whole, merging acts on the first DEPTH segments; ties
+between rules can't occur, for of two rules that fit, one's host is within the other's or one's path starts with the
+other's: longest means longest host and path together, then host, then order; of equally common rests the one that sorts
+last counts; an empty table gives none; columns besides id and url don't matter.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def shaped(path: Column) -> Column:
-    """Segments of a path with variable ones generalised, DEPTH at most and then ** for the tail."""
+    """Segments of a path with variable ones generalised."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
 
     def one(s: Column) -> Column:
@@ -57,49 +62,61 @@ def shaped(path: Column) -> Column:
             out = F.coalesce(out, F.when(s.rlike(pattern), F.regexp_replace(s, pattern, name.replace("{", "\\{").replace("}", "\\}")) if "$" in name else F.lit(name)))
         return F.coalesce(out, s)
 
-    return F.when(F.size(parts) > DEPTH, F.concat(F.transform(F.slice(parts, 1, DEPTH), one), F.array(F.lit("**")))).otherwise(F.transform(parts, one))
+    return F.transform(parts, one)
 
 
 def template_counts(pages: DataFrame) -> DataFrame:
     """host, segs, n, good, bad: urls and labelled urls of each path shape (pages: host, segs, label)."""
-    return pages.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum((F.col("label") == "allow").cast("long")).alias("good"), F.sum((F.col("label") == "block").cast("long")).alias("bad"))
-
-
-def generalised(counts: DataFrame) -> DataFrame:
-    """counts with the column template: level by level, wide branches of little support become *, and like branches merge."""
-    now = counts.withColumn("template", F.col("segs"))
-    for d in range(DEPTH + 1):
-        seg = F.get("template", F.lit(d))
-        prefix, rest = F.slice("template", 1, d), F.expr(f"slice(template, {d + 2}, 9)")
-        here = now.withColumn("prefix", prefix).withColumn("seg", seg).withColumn("rest", rest)
-        deep = here.where("seg IS NOT NULL")
-        children = deep.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("cn"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-        wide = children.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("cn").alias("total"), F.sum("g").alias("tg"), F.sum("b").alias("tb"))
-        branch = children.join(wide, ["host", "prefix"])
-        # like branches: the branch's labelled rate doesn't differ from that of its siblings together
-        og, ob = F.col("tg") - F.col("g"), F.col("tb") - F.col("b")
-        n1, n2 = F.col("g") + F.col("b"), og + ob
-        pooled = F.try_divide(F.col("tb"), F.col("tg") + F.col("tb"))
-        apart = F.abs(F.try_divide(F.col("b"), n1) - F.try_divide(ob, n2))
-        z = F.try_divide(apart, F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n1) + F.try_divide(F.lit(1), n2))))
-        alike = (n1 >= MIN_SUPPORT) & (n2 >= MIN_SUPPORT) & F.coalesce(z < Z, F.try_divide(F.col("b"), n1) == F.try_divide(ob, n2))
-        rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("cn") * F.col("kinds") <= F.col("total") * 2)
-        star = branch.where(rare | alike).select(F.col("host").alias("h2"), F.col("prefix").alias("p2"), F.col("seg").alias("s2"))
-        joined = here.join(star, (F.col("host") == F.col("h2")) & (F.col("prefix") == F.col("p2")) & (F.col("seg") == F.col("s2")), "left")
-        new = F.when(F.col("s2").isNull(), F.col("template")).otherwise(F.concat("prefix", F.array(F.lit("*")), "rest"))
-        now = checkpointed(joined.select("host", "segs", "n", "good", "bad", new.alias("template")))  # a level reads the one before several times
-    return now
+    return pages.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == "allow", 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("label") == "block", 1).otherwise(0)).alias("bad"))
+
+
+def differs(x: Column, n: Column, y: Column, m: Column) -> Column:
+    """Two-proportion test of x of n against y of m, true if the shares differ; null without cases."""
+    pooled = F.try_divide(x + y, n + m)
+    apart = F.abs(F.try_divide(x, n) - F.try_divide(y, m))
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), m)))
+    return F.when(spread > 0, apart >= Z * spread).otherwise(apart > 0)
+
+
+def merged_level(now: DataFrame, d: int) -> DataFrame:
+    """now (host, segs, template, n, good, bad) with * in place d of the template where its branch merges."""
+    here = now.withColumns({"prefix": F.slice("template", 1, d), "seg": F.get("template", F.lit(d)), "rest": F.expr(f"slice(template, {d + 2}, greatest(size(template), 1))")})
+    sums = lambda *names: [F.sum(c).alias(f"{c}_{n}") for n in names for c in ("n", "good", "bad")]
+    leaves = here.where("seg IS NOT NULL").groupBy("host", "prefix", "seg", "rest").agg(*sums("leaf"))
+    # of each branch its sums and its most common rest; of all branches of a place their sums, and the sum of each rest
+    branches = leaves.groupBy("host", "prefix", "seg").agg(F.sum("n_leaf").alias("n1"), F.sum("good_leaf").alias("g1"), F.sum("bad_leaf").alias("b1"), F.max(F.struct("n_leaf", "rest")).alias("top"))
+    places = branches.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n1").alias("n"), F.sum("g1").alias("g"), F.sum("b1").alias("b"))
+    rests = leaves.groupBy("host", "prefix", "rest").agg(F.sum("n_leaf").alias("with_rest"))
+    both = branches.withColumns({"rest": F.col("top.rest"), "own": F.col("top.n_leaf")}).join(places, ["host", "prefix"]).join(rests, ["host", "prefix", "rest"])
+    n2, g2, b2 = F.col("n") - F.col("n1"), F.col("g") - F.col("g1"), F.col("b") - F.col("b1")
+    told = (F.col("g1") + F.col("b1") >= MIN_SUPPORT) & (g2 + b2 >= MIN_SUPPORT)
+    same_rate = ~told | ~F.coalesce(differs(F.col("b1"), F.col("g1") + F.col("b1"), b2, g2 + b2), F.lit(False))
+    same_rest = ~F.coalesce(differs(F.col("own"), F.col("n1"), F.col("with_rest") - F.col("own"), n2), F.lit(True))
+    alike = (F.col("n1") >= MIN_SUPPORT) & (n2 >= MIN_SUPPORT) & same_rate & same_rest
+    rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("n1") * F.col("kinds") <= F.col("n") * 2)
+    star = both.where(rare | alike).select(F.col("host").alias("h2"), F.col("prefix").alias("p2"), F.col("seg").alias("s2"))
+    joined = here.join(star, (F.col("host") == F.col("h2")) & (F.col("prefix") == F.col("p2")) & (F.col("seg") == F.col("s2")), "left")
+    new = F.when(F.col("s2").isNull(), F.col("template")).otherwise(F.concat("prefix", F.array(F.lit("*")), "rest"))
+    return joined.select("host", "segs", "n", "good", "bad", new.alias("template"))
 
 
 def purities(counts: DataFrame) -> DataFrame:
-    """host, segs, template, purity: smoothed share of blocked among the template's labelled urls."""
-    templates = generalised(counts)
+    """host, segs, template, purity of each path shape."""
+    now = counts.withColumn("template", F.col("segs"))
+    for d in range(DEPTH):
+        now = checkpointed(merged_level(now, d))  # a level reads the one before several times
     bad, good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     base = bad / (bad + good) if bad else 0.0
-    merged = templates.groupBy("host", "template").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
-    purity = F.when(F.col("b") + F.col("g") > 0, (F.col("b") + SMOOTH * base) / (F.col("b") + F.col("g") + SMOOTH)).otherwise(0.0)
-    merged = merged.select(F.col("host").alias("h4"), F.col("template").alias("t4"), purity.alias("purity"))
-    return templates.join(merged, (F.col("host") == F.col("h4")) & (F.col("template") == F.col("t4"))).select("host", "segs", "template", "purity")
+    # the sums of each template and of each branch above it: the host's, then a segment more each time, the whole at last
+    templates = now.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    depth = F.least(F.size("template"), F.lit(DEPTH))
+    above = F.concat(F.transform(F.sequence(F.lit(0), depth), lambda k: F.slice("template", F.lit(1), k)), F.when(F.size("template") > DEPTH, F.array("template")).otherwise(F.expr("cast(array() as array<array<string>>)")))
+    ways = templates.select("host", "template", "good", "bad", F.posexplode(above).alias("level", "prefix"))
+    sums = ways.groupBy("host", "prefix").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    path = ways.select("host", "template", "level", "prefix").join(sums, ["host", "prefix"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "g", "b"))).alias("path"))  # DEPTH + 2 rows at most
+    purity = F.aggregate("path", F.lit(float(base)), lambda up, x: (x["b"] + SMOOTH * up) / (x["g"] + x["b"] + SMOOTH))
+    judged = path.select(F.col("host").alias("h4"), F.col("template").alias("t4"), purity.alias("purity"))
+    return now.join(judged, (F.col("host") == F.col("h4")) & (F.col("template") == F.col("t4"))).select("host", "segs", "template", "purity")
 
 
 def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
