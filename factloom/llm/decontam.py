@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +88,10 @@ class Tokens(dict):
             self.frozen = tuple(np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip(self.frozen, new, strict=True))
         return self.frozen
 
-    def places(self, text: str) -> np.ndarray:
-        raw = text.split()
-        return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all texts' tokens in a row, and how many each text has."""
+        raw = [t.split() for t in texts]
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(raw)), np.int64, sum(map(len, raw))), np.array([len(r) for r in raw], np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -105,31 +107,39 @@ def _rolled(x: np.ndarray, width: int) -> np.ndarray:
     return total ^ np.uint64(width)
 
 
-def parts_of(at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, value hashes and kinds of the parts of a text's tokens; names are capitalised words inside a sentence."""
+def parts_of(at: np.ndarray, sizes: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, value hashes and kinds of the parts of some texts' tokens (sizes: tokens of each), and where each text's parts end; names are capitalised words inside a sentence."""
     starts, counts, caps, ends, hashes, kinds, units = tokens.arrays()
+    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
     name = caps[at]
-    if len(at):
-        name[0] = False
-        name[1:] &= ~ends[at[:-1]]
+    name[1:] &= ~ends[at[:-1]]
+    name[begins] = False
     n = counts[at]
-    first = np.repeat(starts[at] - (np.cumsum(n) - n), n)
+    until = np.cumsum(n)
+    first = np.repeat(starts[at] - (until - n), n)
     parts, name = first + np.arange(len(first)), np.repeat(name, n)
+    stops = np.concatenate([[0], until])[np.cumsum(sizes)]
     kind = kinds[parts].copy()
-    if len(kind) > 1:
-        kind[1:][(kind[:-1] == NUMBER) & units[parts[1:]]] = UNIT
+    follows = np.zeros(len(parts), bool)
+    follows[1:] = kind[:-1] == NUMBER
+    follows[stops[stops < len(parts)]] = False  # the first part of a text follows none
+    kind[follows & units[parts]] = UNIT
     kind[name & (kind == WORD)] = NAME
-    return parts, hashes[parts], kind
+    return parts, hashes[parts], kind, stops
 
 
 def windows(h: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the template windows and of the literal ones, by start: parts are told by their values, placeholders by
     their kind (in the literal form numbers alone are placeholders), but by their values where a window has no other part."""
-    values, out = _rolled(h, width), []
+    values, out = None, []
     for slot in (kind != WORD, kind == NUMBER):
         held = np.concatenate([[0], np.cumsum(slot)])
         alone = held[width:] - held[: len(h) - width + 1] == width if len(h) >= width else np.zeros(0, bool)
-        out.append(np.where(alone, values, _rolled(np.where(slot, kind.astype(np.uint64), h), width)))
+        hashes = _rolled(np.where(slot, kind.astype(np.uint64), h), width)
+        if alone.any():
+            values = _rolled(h, width) if values is None else values
+            hashes = np.where(alone, values, hashes)
+        out.append(hashes)
     return out[0], out[1]
 
 
@@ -145,22 +155,33 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None = None, widths: Sequenc
         for batch in tidied(batches):
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
-                rows: list[tuple] = []
                 if len(tokens) > CACHE_WORDS:
                     tokens = Tokens()
-                places = [tokens.places(t or "") for t in texts[i:j].to_pylist()]
-                for doc, key, at in zip(ids[i:j], keys[i:j], places, strict=True):
-                    parts, hashes, kind = parts_of(at, tokens)
-                    for width in [w for w in widths if w <= len(parts)] or [min(WINDOW, len(parts))] * (bits is None and len(parts) > 0):
-                        template, literal = windows(hashes, kind, width)
-                        for h, family in ((template, True), (literal, False)):
-                            keep = np.arange(len(h)) if family else np.flatnonzero(literal != template)
-                            if bits is not None:
-                                cell = h[keep] & np.uint64(BITMAP_BITS - 1)
-                                keep = keep[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                            for p, x in zip(keep.tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                                slots = [tokens.values[parts[q]].lower() for q in range(p, p + width) if (kind[q] != WORD if family else kind[q] == NUMBER)]
-                                rows.append((doc, key, p, x, slots, width, len(h)))
+                at, sizes = tokens.places([t or "" for t in texts[i:j].to_pylist()])
+                parts, hashes, kind, stops = parts_of(at, sizes, tokens)
+                begins = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+                rows: list[tuple] = []
+                for width in widths or range(1, WINDOW + 1):
+                    # the windows that lie in one text, of the texts that have windows of this width
+                    counts = np.maximum(stops - begins - width + 1, 0)
+                    if bits is None:
+                        counts[np.minimum(stops - begins, WINDOW) != width] = 0
+                    owner = np.repeat(np.arange(len(counts)), counts)
+                    pos = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    place = begins[owner] + pos
+                    if not len(place):
+                        continue
+                    template, literal = windows(hashes, kind, width)
+                    for h, family in ((template, True), (literal, False)):
+                        keep = np.arange(len(place)) if family else np.flatnonzero(literal[place] != template[place])
+                        own = h[place[keep]]
+                        if bits is not None:
+                            cell = own & np.uint64(BITMAP_BITS - 1)
+                            hit = (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                            keep, own = keep[hit], own[hit]
+                        for d, p, q, x in zip(owner[keep].tolist(), pos[keep].tolist(), place[keep].tolist(), own.view(np.int64).tolist(), strict=True):
+                            slots = [tokens.values[parts[k]].lower() for k in range(q, q + width) if (kind[k] != WORD if family else kind[k] == NUMBER)]
+                            rows.append((ids[i + d], keys[i + d], p, x, slots, width, int(counts[d])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "row", "pos", "hash", "slots", "width", "n_windows"])
 
     return modest(df.select("id", "row", "text")).mapInArrow(task, schema)
