@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text in place of it, and whether decoding them gives the text back."""
     path, back, own = public_tokenizers.path("byte_bpe_50k.json"), unused(docs, "decoded"), ("text", "token_ids", "n_tokens", "round_trip")
-    both = bpe.decode(bpe.encode(docs, path), path, out=back)
+    both = bpe.encode(docs, path, back=back)
     rest = columns(docs.drop(*own))
     return both.select(*rest, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col(back) == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
