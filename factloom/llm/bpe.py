@@ -4,7 +4,7 @@ A word's tokens are first guessed by greedy longest match over the vocabulary. A
 is what merging makes of its own bytes and no merge would ever fire across a boundary of two neighbours; the latter
 depends on the pair alone, so numpy checks all pairs of all new words together. Only words with a failing pair are
 merged exactly. Words repeat, so their tokens are kept in a bounded cache while a task runs. Vocabulary, merges and the
-trie are flat arrays; a worker keeps those of the last file it used, and nothing else, from one task to the next.
+trie are flat arrays of a few MB, whatever the corpus; the driver reads the file and broadcasts them.
 
 Defined cases: null text counts as empty and gives no tokens; the strings of added tokens inside a text become those
 tokens; very long texts are cut at blanks between letters, where no pre-token can span; rows keep their order and
@@ -24,16 +24,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import modest, others, slabs, tidied, unused
+from factloom.llm.common import SLAB_CHARS, modest, others, slabs, tidied, unused
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words after which a worker's cache becomes the old one, which keeps those that come again.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
 #: A text is cut, where that is safe, once a piece has this many characters.
 PIECE_CHARS = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -108,6 +109,9 @@ class Model:
             sound[t] &= sound[x] and sound[y]
         byte_ids = {to_byte[s]: i for s, i in vocab.items() if len(s) == 1}
         self.byte_id = np.array([byte_ids[b] for b in range(256)])
+        known = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
+        raw = [known.get(i, b"") for i in range(self.size)]
+        self.raw, self.raw_at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         self.trie_keys, self.trie_nodes, self.terms = trie_of([(bytes(to_byte[c] for c in s), i) for s, i in vocab.items() if sound[i]])
         self.fresh()
 
@@ -322,6 +326,15 @@ class Model:
             ends.append(n)
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(ends, np.int64)
 
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids, each text's up to its end; bytes that aren't UTF-8 become U+FFFD."""
+        starts = self.raw_at
+        sizes = (starts[1:] - starts[:-1])[ids]
+        until = np.cumsum(sizes)
+        text = self.raw[np.repeat(starts[ids] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)].tobytes()
+        stops = np.concatenate([[0], until])[ends].tolist()
+        return [text[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops, strict=False)]
+
 
 def find(text: str) -> list[str]:
     """The pre-tokens of a text; the standard library's faster engine does where each character has one byte."""
@@ -341,61 +354,52 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-@lru_cache(1)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all ids in a row, and where each id's begin (one more at the end): all that decoding needs."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    to_byte, added = byte_symbols(), {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
-    known = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()} | added
-    raw = [known.get(i, b"") for i in range(max(known) + 1)]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-
-
 @lru_cache(1)
 def model(path: str) -> Model:
     return Model(path)
 
 
-def decoded(ids: np.ndarray, ends: np.ndarray, path: str) -> list[str]:
-    """The texts of ids, each text's up to its end; bytes that aren't UTF-8 become U+FFFD."""
-    raw, starts = token_bytes(path)
-    sizes = (starts[1:] - starts[:-1])[ids]
-    until = np.cumsum(sizes)
-    text = raw[np.repeat(starts[ids] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)].tobytes()
-    stops = np.concatenate([[0], until])[ends].tolist()
-    return [text[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops, strict=False)]
+def _sent(df: DataFrame, path: str) -> Broadcast:
+    """The model for the tasks: its arrays, without the cache of words."""
+    own = model(path)
+    own.fresh()
+    return df.sparkSession.sparkContext.broadcast(own)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """df with the column `out`, array<int>: the ids of each whole text."""
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids", back: str | None = None) -> DataFrame:
+    """df with the column `out`, array<int>: the ids of each whole text; and with the column `back`, if it is named, what those ids decode to."""
+    sent = _sent(df, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path)
+        bpe = sent.value
         for batch in tidied(batches, bpe.fresh):
             texts = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
-            for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+            for i, j in slabs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), SLAB_CHARS // 2):
                 ids, ends = bpe.encode([t or "" for t in texts[i:j].to_pylist()])
                 part = rest.slice(i, j - i)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
+                new = [pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids))]
+                if back:
+                    new.append(pa.array(bpe.decode(ids, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, out, *([back] if back else [])])
 
-    kept, fields = others(df, out)
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    kept, fields = others(df, out, *([back] if back else []))
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(back, T.StringType())] if back else [])])
     return modest(df.select(*kept, F.col(f"`{text}`").alias(unused(df, "text__")))).mapInArrow(task, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the column `out`: the text of each row's ids (null: empty); bytes that aren't UTF-8 become U+FFFD."""
+    sent = _sent(df, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = sent.value
         for batch in tidied(batches):
             lists = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            for i, j in slabs(sizes.tolist()):
-                texts = decoded(lists[i:j].flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[i:j]), path)
+            for i, j in slabs(sizes.tolist(), SLAB_CHARS // 4):
+                texts = bpe.decode(lists[i:j].flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[i:j]))
                 part = rest.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 

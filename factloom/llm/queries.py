@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    both = bpe.encode(docs, path, back="decoded")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
