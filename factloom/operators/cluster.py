@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import query
+from factloom.session import checkpointed, in_blocks
 
+#: Rows of a side that is sent to every task at a time.
+MAX_SENT = 5000
 #: Words that name nothing.
 STOP = ["the", "and", "with", "for", "from", "that"]
 TEXT_SQL = "x AS (SELECT doc_id, source AS cluster, text FROM documents)"
@@ -57,14 +60,28 @@ def k8(vectors):
     return vectors.where("is_anomaly OR cluster_id = -1").orderBy(F.desc("anomaly_score"), "document_id", "vec_id").limit(50).select("vec_id", "document_id", "anomaly_score")
 
 
-@query("K9", "vectors", sql="""
-    WITH e AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.cluster_id AS x, b.cluster_id AS y FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1)
-    SELECT x AS cluster_id, count(*) FILTER (WHERE x = y) AS internal, count(*) FILTER (WHERE x <> y AND y >= 0) AS crossing FROM e WHERE x >= 0 GROUP BY 1""")
-def k9(vectors):
-    """Edges (between consecutive points) inside clusters and across them."""
-    a = vectors.select((F.col("vec_id") + 1).alias("next"), F.col("cluster_id").alias("x"))
-    e = a.join(vectors.select("vec_id", F.col("cluster_id").alias("y")), F.col("next") == F.col("vec_id")).where("x >= 0")
-    return e.groupBy(F.col("x").alias("cluster_id")).agg(F.count(F.when(F.col("x") == F.col("y"), 1)).alias("internal"), F.count(F.when((F.col("x") != F.col("y")) & (F.col("y") >= 0), 1)).alias("crossing"))
+@query("K9", "vectors", "edges", sql="""
+    WITH m AS (SELECT 'ExperimentRun:' || CAST(vec_id AS VARCHAR) AS node, cluster_id FROM vectors WHERE cluster_id >= 0 UNION ALL SELECT 'Material:' || CAST(vec_id AS VARCHAR), cluster_id FROM vectors WHERE cluster_id >= 0),
+         e AS (SELECT DISTINCT type, src, dst FROM edges), l AS (SELECT type, src, dst, a.cluster_id AS x, b.cluster_id AS y FROM e JOIN m a ON a.node = src JOIN m b ON b.node = dst),
+         u AS (SELECT cluster_id, 'member' AS kind, NULL::VARCHAR AS type, node AS src, NULL::VARCHAR AS dst, NULL::INT AS other_cluster FROM m UNION ALL SELECT x, 'internal', type, src, dst, NULL FROM l WHERE x = y UNION ALL SELECT x, 'crossing', type, src, dst, y FROM l WHERE x <> y UNION ALL SELECT y, 'crossing', type, src, dst, x FROM l WHERE x <> y),
+         r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY type, src, dst) AS k FROM u)
+    SELECT cluster_id, kind, type, src, dst, other_cluster FROM r WHERE k <= CASE kind WHEN 'member' THEN 50 ELSE 40 END""")
+def k9(vectors, edges):
+    """The detail of each cluster: fifty members, forty edges inside and forty to other clusters. A point's label holds for the run and the material of its number."""
+    v = vectors.where("cluster_id >= 0")
+    m = v.select(F.explode(F.array(*[F.concat(F.lit(f"{x}:"), F.col("vec_id").cast("string")) for x in ("ExperimentRun", "Material")])).alias("node"), "cluster_id")
+    e = edges.select("type", "src", "dst").distinct()
+    e = e.join(m.withColumnsRenamed({"node": "src", "cluster_id": "x"}), "src").join(m.withColumnsRenamed({"node": "dst", "cluster_id": "y"}), "dst")
+    none = F.lit(None)
+    row = lambda df, cluster, kind, other: df.select(F.col(cluster).alias("cluster_id"), F.lit(kind).alias("kind"), "type", "src", "dst", other.cast("int").alias("other_cluster"))
+    members = row(m.select("cluster_id", none.cast("string").alias("type"), F.col("node").alias("src"), none.cast("string").alias("dst")), "cluster_id", "member", none)
+    cross = e.where("x <> y")
+    u = members.unionByName(row(e.where("x = y"), "x", "internal", none)).unionByName(row(cross, "x", "crossing", F.col("y"))).unionByName(row(cross, "y", "crossing", F.col("x")))
+    u = u.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(32)))
+    order = [F.asc("type"), F.asc("src"), F.asc("dst")]
+    few = u.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id", "kind", "part").orderBy(*order))).where("k <= 50")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id", "kind").orderBy(*order)))
+    return few.where(F.col("k") <= F.when(F.col("kind") == "member", 50).otherwise(40)).drop("k", "part")
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -75,12 +92,13 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 @query("K10", "vectors", sql="""
     WITH d AS (SELECT vec_id, cluster_id, unnest(generate_series(1, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM vectors), m AS (SELECT cluster_id, i, avg(x) AS m FROM d WHERE cluster_id >= 0 GROUP BY 1, 2),
-         s AS (SELECT d.vec_id, m.cluster_id, sqrt(sum((x - m) * (x - m))) AS dist FROM d JOIN m USING (i) WHERE d.vec_id % 10 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster_id) AS k FROM s)
+         s AS (SELECT d.vec_id, m.cluster_id, sqrt(sum((x - m) * (x - m))) AS dist FROM d JOIN m USING (i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster_id) AS k FROM s)
     SELECT vec_id, cluster_id AS nearest, round(dist, 4) AS distance FROM r WHERE k = 1""")
 def k10(vectors):
-    """The nearest centroid of some points."""
+    """The nearest centroid of every point."""
     square = F.aggregate(F.zip_with("embedding", "centroid", lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    s = vectors.where("vec_id % 10 = 0").select("vec_id", "embedding").join(F.broadcast(centroids(vectors)), F.col("cluster_id") >= 0).select("vec_id", F.sqrt(square).alias("dist"), "cluster_id")
+    nearest = lambda part: vectors.select("vec_id", "embedding").join(F.broadcast(part), F.col("cluster_id") >= 0).select("vec_id", F.sqrt(square).alias("dist"), "cluster_id")
+    s = in_blocks(checkpointed(centroids(vectors)), "cluster_id", MAX_SENT, nearest)
     best = s.groupBy("vec_id").agg(F.min(F.struct("dist", "cluster_id")).alias("b"))
     return best.select("vec_id", F.col("b.cluster_id").alias("nearest"), F.round("b.dist", 4).alias("distance"))
 

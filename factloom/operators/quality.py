@@ -95,9 +95,9 @@ def g5(edges):
     return edges.groupBy(canonical_type(F.col("type")).alias("canonical_type")).agg(F.count("*").alias("n"))
 
 
-@query("G6", "edges", sql=f"WITH d(type, what) AS ({O.values_sql(O.REL_TEXTS)}), t AS (SELECT DISTINCT type FROM edges) SELECT type, coalesce(what, 'Связь типа ' || type) AS description FROM t LEFT JOIN d USING (type)")
+@query("G6", "edges", sql=f"WITH d(type, what) AS ({O.values_sql(O.relation_texts())}), t AS (SELECT DISTINCT type FROM edges) SELECT type, coalesce(what, 'Связь типа ' || type) AS description FROM t LEFT JOIN d USING (type)")
 def g6(spark, edges):
-    d = spark.createDataFrame(list(O.REL_TEXTS.items()), "type string, what string")
+    d = spark.createDataFrame(list(O.relation_texts().items()), "type string, what string")
     return edges.select("type").distinct().join(F.broadcast(d), "type", "left").select("type", F.coalesce("what", F.concat(F.lit("Связь типа "), "type")).alias("description"))
 
 
@@ -188,10 +188,10 @@ def g16(spark, nodes):
 
 @query("G18", "nodes", sql="""
     WITH r AS (SELECT document_id, id, row_number() OVER (PARTITION BY id ORDER BY document_id) AS k FROM (SELECT DISTINCT document_id, id FROM nodes))
-    SELECT CASE WHEN k = 1 THEN id ELSE CAST(document_id AS VARCHAR) || ':' || id END AS id, document_id FROM r WHERE document_id % 10 = 0""")
+    SELECT CASE WHEN k = 1 THEN id ELSE CAST(document_id AS VARCHAR) || ':' || id END AS id, document_id FROM r""")
 def g18(nodes):
     """Corpus-wide ids: the first document keeps an id, later ones prefix it."""
-    return rekeyed(nodes.select("document_id", "id").distinct()).where("document_id % 10 = 0").select("new_id", "document_id").withColumnRenamed("new_id", "id")
+    return rekeyed(nodes.select("document_id", "id").distinct()).select("new_id", "document_id").withColumnRenamed("new_id", "id")
 
 
 def rekeyed(nodes: DataFrame) -> DataFrame:

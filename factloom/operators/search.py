@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom import ontology as O
 from factloom.operators.text import tokens
 from factloom.plans.registry import query
+from factloom.session import checkpointed, in_blocks
 
 #: Words of small talk.
 GREETING = "hello hi hey heya hiya yo sup howdy greetings привет здравствуй здравствуйте салют хай".split() + ["добрый день", "доброе утро", "добрый вечер", "доброй ночи", "good morning", "good evening", "good afternoon", "good night"]
@@ -31,12 +32,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: floa
     Queries are counted and sent in blocks of about MAX_SENT_QUERIES, by a hash of the id (ids may share a factor with the number of blocks). Each task keeps its own k best of a query before anything shuffles: the rank is computed in two steps, by a salt of
     the vector's id first.
     """
-    n = queries.count()
-    blocks = -(-n // MAX_SENT_QUERIES)
-    if blocks <= 1:
-        return _block_top_k(vectors, queries, k, min_score)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (_block_top_k(vectors, queries.where(block == i), k, min_score) for i in range(blocks)))
+    return in_blocks(queries, "query_id", MAX_SENT_QUERIES, lambda part: _block_top_k(vectors, part, k, min_score))
 
 
 def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
@@ -84,41 +80,15 @@ def r2(documents, benchmark):
 
 @query("R3", "nodes", "part", sql="""
     WITH e AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+')) AS w FROM nodes WHERE label = 'Process' AND length(name) > 0), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}_]+')) AS w FROM part)
-    SELECT query_id, id, count(*) AS overlap FROM e JOIN q USING (w) WHERE query_id <= 20 GROUP BY 1, 2""")
+    SELECT query_id, id, count(*) AS overlap FROM e JOIN q USING (w) WHERE query_id % 50 = 0 GROUP BY 1, 2""")
 def r3(nodes, part):
     """Entities of one label by shared words."""
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     e = nodes.where("label = 'Process'").select("id", words("name").alias("w")).distinct()
-    q = part.where("p_partkey <= 20").select(F.col("p_partkey").alias("query_id"), words("p_type").alias("w")).distinct()
+    q = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), words("p_type").alias("w")).distinct()
     return e.join(q, "w").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
 
 
-@query("R4", "documents", sql="""
-    SELECT doc_id, CASE WHEN contains(lower(text), 'the estion') THEN 1.0 WHEN contains(lower(text), 'the') AND contains(lower(text), 'estion') THEN 0.7 WHEN contains(lower(text), 'the') OR contains(lower(text), 'estion') THEN 0.4 END::DOUBLE AS score
-    FROM documents WHERE contains(lower(text), 'the') OR contains(lower(text), 'estion')""")
-def r4(documents):
-    return documents.select("doc_id", keyword_score(F.lower("text"), "the estion").alias("score")).where("score IS NOT NULL")
-
-
-def keyword_score(text: Column, phrase: str) -> Column:
-    """1.0 for the phrase, 0.7 for all of its words, 0.4 for one of them, null otherwise."""
-    words = phrase.split()
-    every, some = F.lit(True), F.lit(False)
-    for w in words:
-        every, some = every & text.contains(w), some | text.contains(w)
-    return F.when(text.contains(phrase), 1.0).when(every, 0.7).when(some, 0.4)
-
-
-@query("R6", "documents", sql="""
-    WITH s AS (SELECT doc_id, source, CASE WHEN contains(lower(text), 'tion of') THEN 1.0 WHEN contains(lower(text), 'tion') AND contains(lower(text), 'of') THEN 0.7 WHEN contains(lower(text), 'tion') OR contains(lower(text), 'of') THEN 0.4 END::DOUBLE AS score FROM documents),
-         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM s WHERE score IS NOT NULL)
-    SELECT source, doc_id, score FROM r WHERE k <= 3""")
-def r6(documents):
-    """Keyword seeds with a quota for each source."""
-    s = documents.select("doc_id", "source", keyword_score(F.lower("text"), "tion of").alias("score")).where("score IS NOT NULL")
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("k <= 3").select("source", "doc_id", "score")
-
-
 def merge_hits(hits: DataFrame) -> DataFrame:
     """One row for each query, document and node: the best score and all factors, sorted."""
     return hits.groupBy("query_id", "document_id", "node_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("factor")), ",").alias("factors"))
@@ -178,46 +148,6 @@ def r12(vectors, registry):
     return vector_top_k(vectors.join(ok, "document_id", "left_semi"), _queries(vectors), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
-@query("R13", "vectors", "documents", sql=f"""
-    WITH {COS_SQL}, hit AS (SELECT DISTINCT query_id FROM sc WHERE score >= 0.4)
-    SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM hit) THEN 'vector' ELSE 'keyword' END AS mode FROM q""")
-def r13(vectors, documents):
-    """Queries that need the keyword fallback because no vector reaches the threshold."""
-    q = _queries(vectors)
-    hit = vector_top_k(vectors, q, 1, 0.4).select("query_id").distinct().withColumn("mode", F.lit("vector"))
-    return q.select("query_id").join(hit, "query_id", "left").select("query_id", F.coalesce("mode", F.lit("keyword")).alias("mode"))
-
-
-@query("R14", "hits", sql="""
-    WITH s AS (SELECT query_id, document_id, CASE WHEN score >= 0.9 THEN 1 WHEN score >= 0.5 THEN 2 ELSE 3 END AS stage, score FROM hits), m AS (SELECT query_id, document_id, min(stage) AS stage FROM s GROUP BY 1, 2)
-    SELECT m.query_id, m.document_id, m.stage::BIGINT AS stage, max(score) AS score FROM m JOIN s ON s.query_id = m.query_id AND s.document_id = m.document_id AND s.stage = m.stage GROUP BY 1, 2, 3""")
-def r14(hits):
-    """The cascade: hits of the first stage that found anything."""
-    stage = F.when(F.col("score") >= 0.9, 1).when(F.col("score") >= 0.5, 2).otherwise(3).cast("long")
-    s = hits.select("query_id", "document_id", stage.alias("stage"), "score").groupBy("query_id", "document_id", "stage").agg(F.max("score").alias("score"))
-    return s.groupBy("query_id", "document_id").agg(F.min(F.struct("stage", "score")).alias("x")).select("query_id", "document_id", "x.stage", "x.score")
-
-
-def threshold(text: Column, conversational: Column, known: Column) -> Column:
-    n = F.size(tokens(text))
-    return F.when(conversational, 0.99).when(n <= 2, F.when(known, 0.35).otherwise(0.45))
-
-
-@query("R15", "conversations", sql="""
-    SELECT conv_id, turn, CASE WHEN lower(trim(text)) IN ('hello', 'thanks') THEN 0.99 WHEN len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2))) <= 2 THEN 0.45 END::DOUBLE AS threshold FROM conversations""")
-def r15(conversations):
-    return conversations.select("conv_id", "turn", threshold(F.col("text"), F.lower(F.trim("text")).isin("hello", "thanks"), F.lit(False)).alias("threshold"))
-
-
-@query("R16", "hits", sql="""
-    WITH g AS (SELECT query_id, document_id, max(score) AS top, min(len(string_split(trim(text), ' '))) AS words FROM hits GROUP BY 1, 2)
-    SELECT query_id, document_id, top IS NULL OR (words <= 30 AND top < 0.42) AS rejected FROM g""")
-def r16(hits):
-    """The confidence gate: weak answers to short queries are rejected."""
-    g = hits.groupBy("query_id", "document_id").agg(F.max("score").alias("top"), F.min(F.size(F.split(F.trim("text"), " "))).alias("words"))
-    return g.select("query_id", "document_id", (F.col("top").isNull() | ((F.col("words") <= 30) & (F.col("top") < 0.42))).alias("rejected"))
-
-
 def intent(text: Column) -> Column:
     """greeting, thanks, ack, meta, or null for what needs the corpus."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
@@ -234,14 +164,6 @@ def r17(conversations):
     return conversations.select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", intent(F.col("said")).alias("intent"))
 
 
-@query("R18", "conversations", sql="""
-    SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS last_user FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def r18(conversations):
-    """What the user said last, before each message."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return conversations.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("last_user"))
-
-
 @query("R19", "part", sql="""
     WITH a AS (SELECT DISTINCT p_brand, lower(p_type) AS w FROM part), g AS (SELECT p_brand, list_sort(list(w)) AS ws FROM a GROUP BY 1)
     SELECT a.w AS term, array_to_string(list_sort(list_distinct(flatten(list(ws))))[:12], ',') AS expansion FROM a JOIN g USING (p_brand) GROUP BY 1""")
@@ -253,27 +175,6 @@ def r19(part):
     return e.groupBy(F.col("w").alias("term")).agg(F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 12), ",").alias("expansion"))
 
 
-@query("R20", "documents", sql="SELECT doc_id, min(y) AS year_min, max(y) AS year_max FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?:19|20)[0-9]{2}'), lambda y: y::INT)) AS y FROM documents) GROUP BY 1")
-def r20(documents):
-    """The years that texts speak of."""
-    years = F.regexp_extract_all("text", F.lit("(?:19|20)[0-9]{2}"), F.lit(0)).cast("array<int>")
-    return documents.select("doc_id", F.array_min(years).alias("year_min"), F.array_max(years).alias("year_max")).where("year_min IS NOT NULL")
-
-
-@query("R21", "conversations", "documents", sql="SELECT conv_id, turn, left(text || ' ' || role || ' ' || CAST(turn AS VARCHAR), 800) AS query FROM conversations")
-def r21(conversations, documents):
-    """Queries with their facet words added."""
-    return conversations.select("conv_id", "turn", F.substring(F.concat_ws(" ", "text", "role", F.col("turn").cast("string")), 1, 800).alias("query"))
-
-
-@query("R22", "hits", sql="WITH p AS (SELECT *, document_id % 3 = 0 AS ok FROM hits), m AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id, node_id) AS any_ok FROM p) SELECT query_id, node_id, document_id, score FROM m WHERE ok OR NOT any_ok")
-def r22(hits):
-    """The soft filter: it holds unless nothing of a query would pass."""
-    p = hits.withColumn("ok", F.col("document_id") % 3 == 0)
-    some = p.where("ok").select("query_id", "node_id").distinct().withColumn("any_ok", F.lit(True))
-    return p.join(some, ["query_id", "node_id"], "left").where("ok OR any_ok IS NULL").select("query_id", "node_id", "document_id", "score")
-
-
 @query("R23", "hits", "registry", sql=f"SELECT query_id, node_id, document_id, score FROM hits LEFT JOIN registry r ON r.id = document_id WHERE r.id IS NULL OR coalesce(classification, '{O.LEVELS[0]}') = '{O.LEVELS[0]}'")
 def r23(hits, registry):
     """Hits that a viewer may see."""
@@ -281,31 +182,12 @@ def r23(hits, registry):
     return hits.join(hidden, "document_id", "left_anti").select("query_id", "node_id", "document_id", "score")
 
 
-@query("R24", "hits", sql="SELECT query_id, node_id, document_id, score FROM hits WHERE factor = 'assistant' OR score >= 0.5")
-def r24(hits):
-    return hits.where("factor = 'assistant' OR score >= 0.5").select("query_id", "node_id", "document_id", "score")
-
-
 @query("R25", "hits", sql="SELECT query_id, node_id, round(max(score) + 0.1 * (count(DISTINCT factor) - 1), 6) AS score FROM hits GROUP BY 1, 2")
 def r25(hits):
     """A bonus for each further source that found a node."""
     return hits.groupBy("query_id", "node_id").agg(F.round(F.max("score") + 0.1 * (F.count_distinct("factor") - 1), 6).alias("score"))
 
 
-@query("R26", "documents", sql="SELECT doc_id, CASE WHEN contains(lower(text), 'estion') OR contains(lower(text), 'tionnt') THEN 0.8 ELSE 0.45 END::DOUBLE AS score FROM documents")
-def r26(documents):
-    """Layer scan: a base score, more where a query word occurs."""
-    low = F.lower("text")
-    return documents.select("doc_id", F.when(low.contains("estion") | low.contains("tionnt"), 0.8).otherwise(0.45).alias("score"))
-
-
-@query("R27", "vectors", sql="SELECT vec_id, round(CASE WHEN is_anomaly AND anomaly_score > 0.8 THEN 0.85 WHEN is_anomaly AND anomaly_score > 0.5 THEN 0.72 WHEN is_anomaly THEN 0.48 ELSE 0 END + CASE WHEN vec_id % 50 = 0 THEN 0.25 ELSE 0 END, 4)::DOUBLE AS score FROM vectors")
-def r27(vectors):
-    """Ranking that favours anomalies and seeds."""
-    noise = F.when(F.col("is_anomaly") & (F.col("anomaly_score") > 0.8), 0.85).when(F.col("is_anomaly") & (F.col("anomaly_score") > 0.5), 0.72).when(F.col("is_anomaly"), 0.48).otherwise(0.0)
-    return vectors.select("vec_id", F.round(noise + F.when(F.col("vec_id") % 50 == 0, 0.25).otherwise(0.0), 4).alias("score"))
-
-
 @query("R28", "hits", "registry", sql="""
     WITH d AS (SELECT DISTINCT query_id, document_id FROM hits), r AS (SELECT d.*, file_name, CAST(coalesce(material_date, upload_date) AS VARCHAR) AS dated, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS k FROM d JOIN registry ON id = document_id)
     SELECT query_id, document_id, file_name, dated FROM r WHERE k <= 8""")
@@ -338,21 +220,303 @@ def r30(conversations):
     return r.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("history"))
 
 
-@query("R5", "documents", sql="""
-    WITH t(token, k) AS (VALUES ('estion', 1), ('tionnt', 2), ('eaux', 3)), m AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM documents JOIN t ON contains(lower(text), token)) SELECT doc_id, token, 0.5::DOUBLE AS score FROM m WHERE r = 1""")
-def r5(documents):
-    """Substring seeds: the first token that a text contains."""
-    found = F.when(F.lower("text").contains("estion"), "estion").when(F.lower("text").contains("tionnt"), "tionnt").when(F.lower("text").contains("eaux"), "eaux")
-    return documents.select("doc_id", found.alias("token"), F.lit(0.5).alias("score")).where("token IS NOT NULL")
+#: What continues the question before.
+CONTINUED = ["подумай еще", "подумай ещё", "уточни", "продолжи", "разверни", "расскажи подробнее", "еще раз", "ещё раз", "дополни", "переформулируй", "уточни ответ", "поясни", "объясни подробнее", "а про"]
+ASKED_SQL = "qs AS (SELECT item_id AS query_id, lower(trim(text)) AS q, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda t: t <> '') AS ts FROM benchmark WHERE item_id % 50 = 0)"
+SCORE_SQL = "CASE WHEN contains(low, q) THEN 1.0 WHEN len(list_filter(CASE WHEN len(ts) > 4 THEN ts[:3] ELSE ts END, lambda t: NOT contains(low, t))) = 0 THEN 0.7 WHEN len(list_filter(ts, lambda t: contains(low, t))) > 0 THEN 0.4 END::DOUBLE"
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """query_id, q, ts: the queries (query_id, text) in lower case and their words; blank ones go."""
+    q = queries.select("query_id", F.lower(F.trim("text")).alias("q"))
+    return q.select("query_id", "q", F.filter(F.split("q", r"\s+"), lambda t: t != "").alias("ts")).where("q <> ''")
+
+
+def keyword_score(low: Column, q: Column, ts: Column) -> Column:
+    """1.0 for the phrase, 0.7 for all primary words (the first three of more than four), 0.4 for one word, null otherwise."""
+    primary = F.when(F.size(ts) > 4, F.slice(ts, 1, 3)).otherwise(ts)
+    return F.when(low.contains(q), 1.0).when(F.forall(primary, lambda t: low.contains(t)), 0.7).when(F.exists(ts, lambda t: low.contains(t)), 0.4)
+
+
+def best_of(rows: DataFrame, k: int, *order: Column, by: str = "query_id", salt: str = "id") -> DataFrame:
+    """The k first rows of each query. Each of 32 salts of the row's id ranks its own first, so that no task orders all rows of a query."""
+    part = rows.withColumn("part__", F.pmod(F.xxhash64(salt), F.lit(32)))
+    part = part.withColumn("r__", F.row_number().over(Window.partitionBy(by, "part__").orderBy(*order))).where(F.col("r__") <= k)
+    return part.withColumn("r__", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("r__") <= k).drop("part__", "r__")
+
+
+def scored(texts: DataFrame, queries: DataFrame, score) -> DataFrame:
+    """query_id, id, score: each query of a stated set against every text (id, low), in blocks of queries; score is a function of low, q and ts. Texts without score go."""
+    hit = lambda part: texts.join(F.broadcast(part), F.length("low") > 0).select("query_id", "id", score(F.col("low"), F.col("q"), F.col("ts")).alias("score")).where("score IS NOT NULL")
+    return in_blocks(queries, "query_id", MAX_SENT_QUERIES, hit)
+
+
+@query("R4", "documents", "benchmark", sql=f"""
+    WITH {ASKED_SQL}, s AS (SELECT query_id, doc_id AS id, {SCORE_SQL} AS score FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON true), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s WHERE score IS NOT NULL)
+    SELECT query_id, id, score FROM r WHERE k <= 10""")
+def r4(documents, benchmark):
+    """Keyword search, ten documents for each query."""
+    texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
+    q = asked(benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text"))
+    return best_of(scored(texts, q, keyword_score), 10, F.desc("score"), F.asc("id"))
+
+
+@query("R5", "documents", "benchmark", sql=f"""
+    WITH {ASKED_SQL}, x AS (SELECT query_id, doc_id AS id, list_filter(list_filter(ts, lambda t: length(t) >= 3)[:6], lambda t: contains(low, t)) AS met FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON true),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM x WHERE len(met) > 0)
+    SELECT query_id, id, met[1] AS token, 0.5::DOUBLE AS score FROM r WHERE k <= 12""")
+def r5(documents, benchmark):
+    """Substring seeds: texts that contain one of a query's first six tokens, and the first such token."""
+    texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
+    q = asked(benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text"))
+    first = lambda low, _, ts: F.get(F.filter(F.slice(F.filter(ts, lambda t: F.length(t) >= 3), 1, 6), lambda t: low.contains(t)), F.lit(0))
+    found = best_of(scored(texts, q, first), 12, F.asc("id"))
+    return found.select("query_id", "id", F.col("score").alias("token"), F.lit(0.5).alias("score"))
+
+
+@query("R6", "documents", "benchmark", "lines", sql=f"""
+    WITH {TOK_SQL}, c AS (SELECT query_id, doc_id, count(*) AS overlap FROM dt JOIN qt USING (w) GROUP BY 1, 2), listed AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS k FROM c) WHERE k <= 5),
+         qs AS (SELECT item_id AS query_id, lower(trim(text)) AS q, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda t: t <> '') AS ts FROM benchmark), s AS (SELECT query_id, doc_id, pos, {SCORE_SQL} AS score FROM (SELECT doc_id, pos, lower(line) AS low FROM lines WHERE line <> '') JOIN listed USING (doc_id) JOIN qs USING (query_id)),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, pos) AS k FROM s WHERE score IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, pos) AS n FROM r WHERE k <= 3)
+    SELECT query_id, doc_id, pos, score FROM t WHERE n <= 12""")
+def r6(documents, benchmark, lines):
+    """Keyword seeds in listed documents: of each three lines at most, twelve for a query. The five documents that share most words with it are listed."""
+    listed = token_search(documents.select(F.col("doc_id").alias("id"), "text"), benchmark.select(F.col("item_id").alias("query_id"), "text"), 5).select("query_id", F.col("id").alias("doc_id"))
+    q = asked(benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    s = lines.join(F.broadcast(listed), "doc_id").join(F.broadcast(q), "query_id")  # five rows for each query
+    s = s.select("query_id", "doc_id", "pos", keyword_score(F.lower("line"), F.col("q"), F.col("ts")).alias("score")).where("score IS NOT NULL AND line <> ''")
+    few = s.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "pos"))).where("k <= 3")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos")
+    return few.withColumn("n", F.row_number().over(best)).where("n <= 12").select("query_id", "doc_id", "pos", "score")
+
+
+@query("R26", "documents", "benchmark", sql=f"""
+    WITH {ASKED_SQL}, s AS (SELECT query_id, doc_id AS id, CASE WHEN len(list_filter(list_filter(ts, lambda t: length(t) >= 3)[:4], lambda t: contains(low, t))) > 0 THEN 0.8 ELSE 0.45 END::DOUBLE AS score FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON true),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) SELECT query_id, id, score FROM r WHERE k <= 20""")
+def r26(documents, benchmark):
+    """Layer scan: a base score, more where one of a query's first four tokens occurs; twenty for a query."""
+    texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
+    q = asked(benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text"))
+    base = lambda low, _, ts: F.when(F.exists(F.slice(F.filter(ts, lambda t: F.length(t) >= 3), 1, 4), lambda t: low.contains(t)), 0.8).otherwise(0.45)
+    return best_of(scored(texts, q, base), 20, F.desc("score"), F.asc("id"))
+
+
+@query("R11", "vectors", "nodes", "part", sql=f"""
+    WITH {COS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc WHERE collection = 'entities'), v AS (SELECT query_id, 'Process:' || p_type AS node_id, score, 'vector' AS factor FROM r JOIN part ON p_partkey = vec_id WHERE k <= 4),
+         e AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM nodes WHERE label = 'Process' AND length(name) > 0), p AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(p_type), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM q JOIN part ON p_partkey = query_id),
+         o AS (SELECT query_id, id, count(*) AS overlap FROM e JOIN p USING (w) GROUP BY 1, 2), ro AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id) AS k FROM o), t AS (SELECT query_id, id AS node_id, least(1.0, 0.35 + 0.15 * overlap)::DOUBLE AS score, 'token' AS factor FROM ro WHERE k <= 4),
+         u AS (SELECT * FROM v UNION ALL SELECT * FROM t)
+    SELECT query_id, node_id, round(max(score), 4) AS score, string_agg(DISTINCT factor, ',' ORDER BY factor) AS factors FROM u GROUP BY 1, 2""")
+def r11(vectors, nodes, part):
+    """Entity search: the nearest entity vectors and the entities that share most words with the query, merged by node."""
+    kind = part.select(F.col("p_partkey").cast("long").alias("part"), "p_type")
+    q = _queries(vectors)
+    v = vector_top_k(vectors.where("collection = 'entities'"), q, 4).join(kind, F.col("vec_id") == F.col("part")).select("query_id", F.concat(F.lit("Process:"), "p_type").alias("node_id"), "score", F.lit("vector").alias("factor"))
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w")
+    e = nodes.where("label = 'Process'").select("id", "name").distinct().select("id", words("name"))
+    asked_words = q.join(kind, F.col("query_id") == F.col("part")).select("query_id", words("p_type"))
+    o = e.join(asked_words, "w").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    t = best_of(o, 4, F.desc("overlap"), F.asc("id")).select("query_id", F.col("id").alias("node_id"), F.least(F.lit(1.0), 0.35 + 0.15 * F.col("overlap")).alias("score"), F.lit("token").alias("factor"))
+    merged = v.unionByName(t).groupBy("query_id", "node_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("factor")), ",").alias("factors"))
+    return merged.select("query_id", "node_id", F.round("score", 4).alias("score"), "factors")
 
 
-@query("R11", "vectors", sql=f"""
-    WITH {COS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc WHERE collection = 'entities'), v AS (SELECT query_id, vec_id, score, 'vector' AS factor FROM r WHERE k <= 4),
-         t AS (SELECT query_id, query_id + 1 AS vec_id, 0.5 AS score, 'token' AS factor FROM q), u AS (SELECT * FROM v UNION ALL SELECT * FROM t)
-    SELECT query_id, vec_id, round(max(score), 4) AS score, string_agg(DISTINCT factor, ',' ORDER BY factor) AS factors FROM u GROUP BY 1, 2""")
-def r11(vectors):
-    """Entity search: vectors and tokens merged."""
-    q = _queries(vectors)
-    v = vector_top_k(vectors.where("collection = 'entities'"), q, 4).select("query_id", "vec_id", "score", F.lit("vector").alias("factor"))
-    t = q.select("query_id", (F.col("query_id") + 1).alias("vec_id"), F.lit(0.5).alias("score"), F.lit("token").alias("factor"))
-    return v.unionByName(t).groupBy("query_id", "vec_id").agg(F.round(F.max("score"), 4).alias("score"), F.array_join(F.array_sort(F.collect_set("factor")), ",").alias("factors"))
+PHRASE_SQL = """qs AS (SELECT query_id, q, string_split(q, ' ') AS ts FROM (SELECT vec_id AS query_id, regexp_extract(lower(trim(text)), '^[^\\s]+ [^\\s]+ [^\\s]+') AS q FROM vectors JOIN documents ON doc_id = document_id WHERE vec_id % 50 = 0) WHERE q <> '')"""
+
+
+def phrases(vectors: DataFrame, documents: DataFrame) -> DataFrame:
+    """The words of a vector query: the first three of its document."""
+    own = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("document_id").alias("doc_id"))
+    text = F.regexp_extract(F.lower(F.trim("text")), r"^[^\s]+ [^\s]+ [^\s]+", 0)
+    return asked(own.join(documents, "doc_id").select("query_id", text.alias("text")))
+
+
+@query("R13", "vectors", "documents", sql=f"""
+    WITH {COS_SQL}, {PHRASE_SQL}, v AS (SELECT query_id, vec_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc WHERE score >= 0.4),
+         f AS (SELECT query_id, doc_id AS id, {SCORE_SQL} AS score FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON query_id NOT IN (SELECT query_id FROM v)), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM f WHERE score IS NOT NULL)
+    SELECT query_id, 'vector' AS mode, id, round(score, 4) AS score FROM v WHERE k <= 5 UNION ALL SELECT query_id, 'keyword', id, score FROM fr WHERE k <= 5""")
+def r13(vectors, documents):
+    """Vector search, and keyword search for the queries that no vector answers."""
+    v = checkpointed(vector_top_k(vectors, _queries(vectors), 5, 0.4).select("query_id", F.lit("vector").alias("mode"), F.col("vec_id").alias("id"), F.round("score", 4).alias("score")))
+    rest = phrases(vectors, documents).join(v.select("query_id").distinct(), "query_id", "left_anti")
+    texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
+    k = best_of(scored(texts, rest, keyword_score), 5, F.desc("score"), F.asc("id"))
+    return v.unionByName(k.select("query_id", F.lit("keyword").alias("mode"), "id", "score"))
+
+
+#: Stages of the cascade: name and least score.
+SCOPED, GLOBAL, LOWER = ("scoped", 0.35), ("global", 0.35), ("lower", 0.05)
+
+
+@query("R14", "vectors", "documents", "registry", sql=f"""
+    WITH {COS_SQL}, {PHRASE_SQL}, src AS (SELECT v.vec_id, r.source FROM vectors v LEFT JOIN registry r ON r.id = v.document_id), s AS (SELECT sc.query_id, sc.vec_id, sc.score, a.source = b.source AS scoped FROM sc JOIN src a ON a.vec_id = sc.query_id JOIN src b ON b.vec_id = sc.vec_id),
+         u AS (SELECT 1 AS stage, query_id, 'v' || CAST(vec_id AS VARCHAR) AS id, score FROM s WHERE scoped AND score >= {SCOPED[1]} UNION ALL SELECT 2, query_id, 'v' || CAST(vec_id AS VARCHAR), score FROM s WHERE score >= {GLOBAL[1]} UNION ALL SELECT 3, query_id, 'v' || CAST(vec_id AS VARCHAR), score FROM s WHERE score >= {LOWER[1]}
+               UNION ALL SELECT 4, query_id, 'd' || CAST(doc_id AS VARCHAR), {SCORE_SQL} FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON query_id NOT IN (SELECT query_id FROM s WHERE score >= {LOWER[1]}) WHERE {SCORE_SQL} IS NOT NULL),
+         m AS (SELECT query_id, min(stage) AS stage FROM u GROUP BY 1), r AS (SELECT u.*, row_number() OVER (PARTITION BY u.query_id ORDER BY round(score, 4) DESC, id) AS k FROM u JOIN m USING (query_id, stage))
+    SELECT query_id, CASE stage WHEN 1 THEN '{SCOPED[0]}' WHEN 2 THEN '{GLOBAL[0]}' WHEN 3 THEN '{LOWER[0]}' ELSE 'keyword' END AS stage, id, round(score, 4) AS score FROM r WHERE k <= 5""")
+def r14(vectors, documents, registry):
+    """The cascade: vectors of documents of the query's source, then of all, then at a lower score, then keywords; each query keeps its first stage that finds anything, five hits of it. A stage runs for the queries that are left."""
+    v = vectors.join(registry.select(F.col("id").alias("document_id"), "source"), "document_id", "left").select("vec_id", "embedding", "source")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("source").alias("scope"))
+    shown = lambda hits, name, tag, key: hits.select("query_id", F.lit(name).alias("stage"), F.concat(F.lit(tag), F.col(key).cast("string")).alias("id"), F.round("score", 4).alias("score"))
+    out, left = [], q
+    for name, least, scoped in ((*SCOPED, True), (*GLOBAL, False), (*LOWER, False)):
+        hits = in_blocks(left, "query_id", MAX_SENT_QUERIES, lambda part, s=scoped, m=least: _block_hits(v, part, m, s))
+        found = checkpointed(best_of(shown(hits, name, "v", "vec_id"), 5, F.desc("score"), F.asc("id")))
+        out.append(found)
+        left = checkpointed(left.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+        if left.isEmpty():
+            break
+    else:
+        texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
+        rest = phrases(vectors, documents).join(left.select("query_id"), "query_id", "left_semi")
+        out.append(best_of(shown(scored(texts, rest, keyword_score), "keyword", "d", "id"), 5, F.desc("score"), F.asc("id")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _block_hits(vectors: DataFrame, queries: DataFrame, least: float, scoped: bool) -> DataFrame:
+    """query_id, vec_id, score of vectors that reach the score, within the query's scope if asked."""
+    near = (F.col("vec_id") != F.col("query_id")) & ((F.col("source") == F.col("scope")) if scoped else F.lit(True))
+    return vectors.join(F.broadcast(queries), near).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where(F.col("score") >= least)
+
+
+KNOWN_SQL = "known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{6,}')) AS w FROM benchmark)"
+CLEAN_SQL = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+CHAT_SQL = f"""(clean <> '' AND NOT regexp_matches(text, '{DOMAIN}') AND len(string_split(clean, ' ')) <= 6 AND (clean IN ({", ".join(f"'{x}'" for x in GREETING + THANKS + ACK)}) OR regexp_matches(clean, '{META}')))"""
+
+
+def with_known(requests: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The requests with `known`: whether one of their words is a term of the dictionary."""
+    words = requests.select("query_id", F.explode(tokens(F.col("text"))).alias("w"))
+    terms = benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("w")).distinct()
+    known = words.join(terms, "w", "left_semi").select("query_id").distinct().withColumn("known", F.lit(True))
+    return requests.join(known, "query_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def threshold(text: Column, known: Column) -> Column:
+    """The least score of a hit: small talk nearly nothing passes, one or two words need more than known terms do, others none."""
+    n = F.size(tokens(text))
+    return F.when(intent(text).isNotNull(), 0.99).when(n <= 2, F.when(known, 0.35).otherwise(0.45))
+
+
+@query("R15", "requests", "benchmark", sql=f"""
+    WITH {KNOWN_SQL}, c AS (SELECT query_id, text, {CLEAN_SQL} AS clean, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2)) AS ts FROM requests),
+         k AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(ts) AS w FROM c) JOIN known USING (w))
+    SELECT query_id, CASE WHEN {CHAT_SQL} THEN 0.99 WHEN len(ts) <= 2 THEN CASE WHEN query_id IN (SELECT query_id FROM k) THEN 0.35 ELSE 0.45 END END::DOUBLE AS threshold FROM c""")
+def r15(requests, benchmark):
+    return with_known(requests, benchmark).select("query_id", threshold(F.col("text"), F.col("known")).alias("threshold"))
+
+
+@query("R16", "requests", "hits", sql=f"""
+    WITH c AS (SELECT query_id, conv_id, turn, text, {CLEAN_SQL} AS clean FROM requests), t AS (SELECT query_id AS turn, conv_id, max(score) AS top FROM hits GROUP BY 1, 2)
+    SELECT c.query_id, {CHAT_SQL} OR top IS NULL OR (len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) <= 3 AND top < 0.42) AS rejected FROM c LEFT JOIN t ON t.turn = c.turn AND t.conv_id = c.conv_id""")
+def r16(requests, hits):
+    """The confidence gate: small talk, queries without hits and short queries with weak hits are rejected."""
+    top = hits.groupBy(F.col("query_id").alias("hit_turn"), F.col("conv_id").alias("hit_conv")).agg(F.max("score").alias("top"))
+    q = requests.join(top, (F.col("turn") == F.col("hit_turn")) & (F.col("conv_id") == F.col("hit_conv")), "left")
+    words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    return q.select("query_id", (intent(F.col("text")).isNotNull() | F.col("top").isNull() | ((words <= 3) & (F.col("top") < 0.42))).alias("rejected"))
+
+
+@query("R18", "requests", "conversations", "benchmark", sql=f"""
+    WITH {KNOWN_SQL}, p AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND trim(text) <> '' THEN text END IGNORE NULLS) OVER w AS pu, last_value(CASE WHEN role = 'assistant' AND trim(text) <> '' THEN text END IGNORE NULLS) OVER w AS pa FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+         c AS (SELECT query_id, text, trim(text) AS q, {CLEAN_SQL} AS clean, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS ws, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2)) AS ts,
+                      left(trim(regexp_replace(pu, '\\s+', ' ', 'g')), 500) AS pu, left(trim(regexp_replace(pa, '\\s+', ' ', 'g')), 500) AS pa FROM requests JOIN p USING (conv_id, turn)),
+         k AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(ts) AS w FROM c) JOIN known USING (w)),
+         f AS (SELECT *, q <> '' AND ({" OR ".join(f"contains(lower(q), '{m}')" for m in CONTINUED)}) AS continued FROM c),
+         g AS (SELECT *, q <> '' AND NOT continued AND ({CHAT_SQL} OR (len(ws) <= 3 AND (query_id IN (SELECT query_id FROM k) OR len(ws) <= 2))) AS standalone FROM f)
+    SELECT query_id, continued, standalone, CASE WHEN q = '' OR standalone THEN q WHEN continued AND pu IS NOT NULL THEN left(trim(regexp_replace(pu || ' ' || q || coalesce(' ' || left(pa, 200), ''), '\\s+', ' ', 'g')), 600) WHEN len(ws) <= 3 AND pu IS NOT NULL THEN left(trim(regexp_replace(pu || ' ' || q, '\\s+', ' ', 'g')), 600) ELSE q END AS effective FROM g""")
+def r18(requests, conversations, benchmark):
+    """What a turn asks for: it continues the question before, stands alone, or is short and needs that question's words."""
+    squeezed = lambda c, n: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda role: squeezed(F.last(F.when((F.col("role") == role) & (F.trim("text") != ""), F.col("text")), ignorenulls=True).over(w), 500)
+    prior = conversations.select("conv_id", "turn", before("user").alias("pu"), before("assistant").alias("pa"))
+    q, n = F.trim("text"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))
+    c = with_known(requests, benchmark).join(prior, ["conv_id", "turn"])
+    c = c.withColumn("continued", (q != "") & reduce(lambda a, b: a | b, (F.lower(q).contains(m) for m in CONTINUED)))
+    c = c.withColumn("standalone", (q != "") & ~F.col("continued") & (intent(F.col("text")).isNotNull() | ((n <= 3) & (F.col("known") | (n <= 2)))))
+    effective = F.when((q == "") | F.col("standalone"), q).when(F.col("continued") & F.col("pu").isNotNull(), squeezed(F.concat_ws(" ", "pu", q, F.substring("pa", 1, 200)), 600)).when((n <= 3) & F.col("pu").isNotNull(), squeezed(F.concat_ws(" ", "pu", q), 600)).otherwise(q)
+    return c.select("query_id", "continued", "standalone", effective.alias("effective"))
+
+
+FACETS = "query_facets struct<materials:array<string>,processes:array<string>,geography:array<string>,years:array<string>,numeric_min:double,numeric_param:string,conditions:array<string>>"
+FACETS_SQL = """f AS (SELECT query_id, text, list_filter(list_transform(coalesce(CAST(j -> '$.materials' AS VARCHAR[]), []), lambda x: trim(x)), lambda x: x <> '') AS materials, list_filter(list_transform(coalesce(CAST(j -> '$.processes' AS VARCHAR[]), []), lambda x: trim(x)), lambda x: x <> '') AS processes,
+    list_filter(list_transform(coalesce(CAST(j -> '$.geography' AS VARCHAR[]), []), lambda x: trim(x)), lambda x: x <> '') AS geography, list_filter(list_transform(coalesce(CAST(j -> '$.conditions' AS VARCHAR[]), []), lambda x: trim(x)), lambda x: x <> '') AS conditions,
+    list_filter(list_transform(coalesce(CAST(j -> '$.years' AS VARCHAR[]), []), lambda y: TRY_CAST(regexp_extract(y, '(?:19|20)[0-9]{2}') AS INT)), lambda y: y IS NOT NULL) AS years, CAST(j ->> '$.numeric_min' AS DOUBLE) AS numeric_min, nullif(trim(j ->> '$.numeric_param'), '') AS numeric_param
+    FROM (SELECT query_id, text, CAST(plan AS JSON) -> '$.query_facets' AS j FROM plans))"""
+
+
+def facets(plans: DataFrame) -> DataFrame:
+    """query_id, text and the facets of each plan: lists without blanks, the years that are meant, the numeric bound."""
+    x = F.from_json("plan", FACETS)["query_facets"]
+    full = lambda c: F.filter(F.transform(F.coalesce(x[c], F.expr("cast(array() as array<string>)")), lambda v: F.trim(v)), lambda v: v != "").alias(c)
+    years = F.filter(F.transform(F.coalesce(x["years"], F.expr("cast(array() as array<string>)")), lambda y: F.regexp_extract(y, "(?:19|20)[0-9]{2}", 0).try_cast("int")), lambda y: y.isNotNull())
+    return plans.select("query_id", "text", full("materials"), full("processes"), full("geography"), full("conditions"), years.alias("years"), x["numeric_min"].alias("numeric_min"), F.nullif(F.trim(x["numeric_param"]), F.lit("")).alias("numeric_param"))
+
+
+@query("R20", "plans", sql=f"WITH {FACETS_SQL} SELECT query_id, array_to_string(materials, '|') AS materials, array_to_string(processes, '|') AS processes, array_to_string(geography, '|') AS geography, list_min(years) AS year_min, list_max(years) AS year_max, numeric_min, numeric_param FROM f")
+def r20(plans):
+    """The facets of search plans."""
+    f, line = facets(plans), lambda c: F.array_join(c, "|").alias(c)
+    return f.select("query_id", line("materials"), line("processes"), line("geography"), F.array_min("years").alias("year_min"), F.array_max("years").alias("year_max"), "numeric_min", "numeric_param")
+
+
+@query("R21", "plans", sql=f"""
+    WITH {FACETS_SQL} SELECT query_id, left(trim(regexp_replace(concat_ws(' ', trim(text), nullif(array_to_string(materials[:3], ' '), ''), nullif(array_to_string(processes[:3], ' '), ''), nullif(array_to_string(conditions[:3], ' '), ''),
+           nullif(array_to_string(list_transform(geography[:2], lambda g: CASE g WHEN 'domestic' THEN 'Россия' WHEN 'foreign' THEN 'зарубежная практика' ELSE g END), ' '), ''), numeric_param), '\\s+', ' ', 'g')), 800) AS query FROM f""")
+def r21(plans):
+    """Queries with the words of their facets: three of each group, two places."""
+    head = lambda c, n: F.slice(c, 1, n)
+    place = lambda g: F.when(g == "domestic", "Россия").when(g == "foreign", "зарубежная практика").otherwise(g)
+    text = F.concat_ws(" ", F.trim("text"), head("materials", 3), head("processes", 3), head("conditions", 3), F.transform(head("geography", 2), place), "numeric_param")
+    return facets(plans).select("query_id", F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 800).alias("query"))
+
+
+@query("R22", "hits", "nodes", "registry", "plans", sql=f"""
+    WITH {FACETS_SQL}, h AS (SELECT DISTINCT query_id, document_id FROM hits), x AS (SELECT h.query_id, n.document_id, n.id, n.label, lower(coalesce(n.name, '')) AS blob, n.numeric_value, n.parameter, r.geography AS place, year(r.material_date) AS y FROM h JOIN nodes n USING (document_id) LEFT JOIN registry r ON r.id = n.document_id),
+         p AS (SELECT x.*, (label <> 'Material' OR len(materials) = 0 OR len(list_filter(materials, lambda m: contains(blob, lower(m)))) > 0) AND (label <> 'Process' OR len(processes) = 0 OR len(list_filter(processes, lambda m: contains(blob, lower(m)))) > 0)
+              AND (label NOT IN ('Document', 'Expert') OR len(geography) = 0 OR coalesce(list_contains(geography, place), false)) AND (label <> 'Document' OR y IS NULL OR len(years) = 0 OR y BETWEEN list_min(years) AND list_max(years))
+              AND (label <> 'Measurement' OR numeric_min IS NULL OR (numeric_param IS NOT NULL AND NOT contains(lower(parameter), lower(numeric_param))) OR numeric_value IS NULL OR numeric_value >= numeric_min) AS ok FROM x JOIN f ON f.query_id = x.query_id + 1),
+         m AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM p) SELECT query_id, document_id, id FROM m WHERE ok OR NOT any_ok""")
+def r22(hits, nodes, registry, plans):
+    """The soft filter: nodes of the found documents that pass the tests of their label; all of them, if none of a query passes."""
+    r = registry.select(F.col("id").alias("document_id"), F.col("geography").alias("place"), F.year("material_date").alias("y"))
+    f = facets(plans).drop("text").withColumn("query_id", F.col("query_id") - 1)
+    h = hits.select("query_id", "document_id").distinct()
+    x = h.join(nodes, "document_id").join(r, "document_id", "left").join(f, "query_id")
+    has = lambda c: F.exists(c, lambda m: F.lower(F.coalesce("name", F.lit(""))).contains(F.lower(m)))
+    label = F.col("label")
+    tests = (
+        (label != "Material") | (F.size("materials") == 0) | has("materials"),
+        (label != "Process") | (F.size("processes") == 0) | has("processes"),
+        ~label.isin("Document", "Expert") | (F.size("geography") == 0) | F.coalesce(F.array_contains("geography", F.col("place")), F.lit(False)),
+        (label != "Document") | F.col("y").isNull() | (F.size("years") == 0) | F.col("y").between(F.array_min("years"), F.array_max("years")),
+        (label != "Measurement") | F.col("numeric_min").isNull() | F.coalesce(~F.lower("parameter").contains(F.lower("numeric_param")), F.lit(False)) | F.col("numeric_value").isNull() | (F.col("numeric_value") >= F.col("numeric_min")),
+    )
+    p = x.select("query_id", "document_id", "id", reduce(lambda a, b: a & b, tests).alias("ok"))
+    some = p.where("ok").select("query_id").distinct().withColumn("any_ok", F.lit(True))
+    return p.join(F.broadcast(some), "query_id", "left").where("ok OR any_ok IS NULL").select("query_id", "document_id", "id")  # a row for each query
+
+
+@query("R24", "hits", "registry", "views", sql="""
+    SELECT h.query_id, node_id, document_id, score FROM hits h JOIN views v ON v.query_id = h.query_id + 1 LEFT JOIN registry r ON r.id = document_id
+    WHERE (factor = 'system' OR score >= min_score) AND (factor = 'assistant' OR extension IS NULL OR coalesce(ends_with(lower(file_name), extension), false)) AND (keyword IS NULL OR contains(lower(text), keyword))""")
+def r24(hits, registry, views):
+    """A viewer's filters: least score of hits not found by keyword, document kind of hits that aren't entities, a word in the text."""
+    v = views.withColumn("query_id", F.col("query_id") - 1)
+    x = hits.join(v, "query_id").join(registry.select(F.col("id").alias("document_id"), F.lower("file_name").alias("file")), "document_id", "left")
+    kind = (F.col("factor") == "assistant") | F.col("extension").isNull() | F.coalesce(F.col("file").endswith(F.col("extension")), F.lit(False))
+    word = F.col("keyword").isNull() | F.lower("text").contains(F.col("keyword"))
+    return x.where(((F.col("factor") == "system") | (F.col("score") >= F.col("min_score"))) & kind & word).select("query_id", "node_id", "document_id", "score")
+
+
+@query("R27", "vectors", sql="""
+    WITH s AS (SELECT DISTINCT document_id, cluster_id FROM vectors WHERE vec_id % 50 = 0 AND cluster_id >= 0)
+    SELECT vec_id, round(CASE WHEN is_anomaly AND anomaly_score > 0.8 THEN 0.85 WHEN is_anomaly AND anomaly_score > 0.5 THEN 0.72 WHEN is_anomaly THEN 0.48 WHEN (document_id, cluster_id) IN (SELECT document_id, cluster_id FROM s) THEN 0.55 ELSE 0 END + CASE WHEN vec_id % 50 = 0 THEN 0.25 ELSE 0 END, 4)::DOUBLE AS score FROM vectors""")
+def r27(vectors):
+    """Ranking that favours anomalies, seeds and what shares a cluster with a seed in its document."""
+    s = vectors.where("vec_id % 50 = 0 AND cluster_id >= 0").select("document_id", "cluster_id").distinct().withColumn("mate", F.lit(True))
+    v = vectors.join(s, ["document_id", "cluster_id"], "left")
+    noise = F.when(F.col("is_anomaly") & (F.col("anomaly_score") > 0.8), 0.85).when(F.col("is_anomaly") & (F.col("anomaly_score") > 0.5), 0.72).when(F.col("is_anomaly"), 0.48).when(F.col("mate"), 0.55).otherwise(0.0)
+    return v.select("vec_id", F.round(noise + F.when(F.col("vec_id") % 50 == 0, 0.25).otherwise(0.0), 4).alias("score"))

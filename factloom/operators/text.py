@@ -161,9 +161,22 @@ def chunks(docs: DataFrame, limit: int = CHUNK, block_sep: str = "\n", id_col: s
     return out.select(id_col, "idx", F.when(F.col("text").rlike("^#{1,6} "), "heading").when(F.col("text").startswith("|"), "table").otherwise("paragraph").alias("kind"), "text")
 
 
-@query("T9", "documents")
+def chunk_sql(limit: int) -> str:
+    """The same as CTEs that end in chunked(doc_id, idx, kind, text): blocks, long ones cut step by step, runs packed by a fold."""
+    alone = "regexp_matches({0}, '^#{{1,6}} |^\\|')"
+    return f"""cb AS (SELECT doc_id, b, trim(block) AS block FROM (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS b, unnest(string_split(text, chr(10))) AS block FROM documents WHERE text IS NOT NULL) WHERE trim(block) <> ''),
+        cc(doc_id, b, k, part, rest) AS (SELECT doc_id, b, 0, CAST(NULL AS VARCHAR), block FROM cb WHERE NOT {alone.format("block")} AND length(block) > {limit}
+            UNION ALL SELECT doc_id, b, k + 1, trim(left(rest, cut)), substr(rest, cut + 1) FROM (SELECT *, CASE WHEN length(rest) <= {limit} THEN length(rest) WHEN instr(left(rest, {limit}), ' ') > 0 AND {limit} - instr(reverse(left(rest, {limit})), ' ') + 1 > {limit // 2} THEN {limit} - instr(reverse(left(rest, {limit})), ' ') + 1 ELSE {limit} END AS cut FROM cc WHERE rest <> '') t),
+        cp AS (SELECT doc_id, b, 0 AS k, block AS part, {alone.format("block")} AS alone FROM cb WHERE {alone.format("block")} OR length(block) <= {limit} UNION ALL SELECT doc_id, b, k, part, false FROM cc WHERE part <> ''),
+        cs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b, k) AS seq, sum(CAST(alone AS INT)) OVER (PARTITION BY doc_id ORDER BY b, k ROWS UNBOUNDED PRECEDING) AS run FROM cp),
+        cr AS (SELECT doc_id, min(seq) AS seq, list_reduce(list(part ORDER BY seq), lambda acc, x: CASE WHEN length(string_split(acc, chr(29))[-1]) + length(x) + 2 <= {limit} THEN acc || chr(10) || chr(10) || x ELSE acc || chr(29) || x END) AS text FROM cs WHERE NOT alone GROUP BY doc_id, run UNION ALL SELECT doc_id, seq, part FROM cs WHERE alone),
+        cu AS (SELECT doc_id, seq, unnest(generate_series(1, len(string_split(text, chr(29))))) AS sub, unnest(string_split(text, chr(29))) AS text FROM cr),
+        chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS idx, CASE WHEN regexp_matches(text, '^#{{1,6}} ') THEN 'heading' WHEN starts_with(text, '|') THEN 'table' ELSE 'paragraph' END AS kind, text FROM cu)"""
+
+
+@query("T9", "documents", sql=f"WITH RECURSIVE {chunk_sql(CHUNK)} SELECT doc_id, idx, kind, text FROM chunked")
 def t9(documents):
-    return chunks(documents.select("doc_id", "text"))
+    return chunks(documents.select("doc_id", "text")).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("T10", "documents", sql="""
@@ -176,9 +189,9 @@ def t10(documents):
     return p.select("doc_id", "idx", F.expr(f"substring(text, cast(idx * {CHUNK} + 1 as int), {CHUNK})").alias("text"))
 
 
-@query("T11", "documents")
+@query("T11", "documents", sql=f"WITH RECURSIVE {chunk_sql(LARGE)} SELECT doc_id, count(*) AS chunks, max(length(text))::BIGINT AS longest FROM chunked GROUP BY 1")
 def t11(documents):
-    return chunks(documents.select("doc_id", "text"), LARGE).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"))
+    return chunks(documents.select("doc_id", "text"), LARGE).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
 def junk(text: Column) -> Column:

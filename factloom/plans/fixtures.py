@@ -45,13 +45,38 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'chunks' WHEN 1 THEN 'claims' ELSE 'entities' END AS collection, vec_id % {_N} AS document_id, embedding,
                CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS cluster_id, vec_id % 17 = 0 AS is_anomaly, CAST(vec_id * 37 % 1000 AS DOUBLE) / 1000 AS anomaly_score FROM embeddings""",
     "hits": f"""
-        SELECT turn AS query_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
+        SELECT turn AS query_id, conv_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
+    # notes of the runs, in words
+    "notes": """
+        SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, 'Run ' || CAST(l_orderkey AS STRING) || ' took ' || replace(CAST(l_quantity AS STRING), '.', ',') || ' kg at ' || CAST(l_suppkey AS STRING) || ' °C with ' || CAST(l_discount AS STRING) || '% off' AS line FROM lineitem""",
+    # what a model said about each document, and the metadata that came with it
+    "payloads": """
+        SELECT id AS document_id, 'Here it is: {"nodes": [{"id": "Document:' || CAST(id AS STRING) || '", "label": "Document", "props": {"file": "' || file_name || '"}}, {"tmp_id": "m' || CAST(id % 50 AS STRING) || '", "label": "' || CASE WHEN id % 4 = 0 THEN '' ELSE 'Material' END || '", "props": {"lang": "' || coalesce(lang, '') || '"}}, {"label": "Process"}, {"id": "p' || CAST(id % 9 AS STRING) || '", "label": "Process", "props": "none"}], '
+               || '"edges": [{"type": "ABOUT", "from": "Document:' || CAST(id AS STRING) || '", "to": "m' || CAST(id % 50 AS STRING) || '"}, {"type": "' || CASE WHEN id % 3 = 0 THEN '' ELSE 'USES_MAT' END || '", "from": "p' || CAST(id % 9 AS STRING) || '", "to": "m' || CAST(id % 50 AS STRING) || '"}, {"type": "LOST", "from": "x"}]} Anything else?' AS raw FROM registry""",
+    "metas": """
+        SELECT id AS document_id, '{"authors": ["' || source || ' A.", " ", "' || organization || ' Team"], "organization": "' || organization || '"' || CASE WHEN geography IS NULL THEN '' ELSE ', "location": "' || geography || '"' END || '}' AS raw FROM registry""",
+    # what users ask: the first sentence of each of their turns
+    "requests": (
+        "SELECT conv_id * 100 + turn AS query_id, conv_id, turn, CASE turn WHEN 0 THEN substring_index(text, '.', 1) WHEN 2 THEN 'уточни ' || substring_index(substring_index(text, '.', 1), ' ', 3) WHEN 4 THEN substring_index(text, ' ', 2) WHEN 6 THEN 'Thanks!' ELSE text END AS text FROM conversations WHERE role = 'user'",
+        "SELECT conv_id * 100 + turn AS query_id, conv_id, turn, CASE turn WHEN 0 THEN split_part(text, '.', 1) WHEN 2 THEN 'уточни ' || array_to_string(string_split(split_part(text, '.', 1), ' ')[:3], ' ') WHEN 4 THEN array_to_string(string_split(text, ' ')[:2], ' ') WHEN 6 THEN 'Thanks!' ELSE text END AS text FROM conversations WHERE role = 'user'",
+    ),
+    # search plans with facets, and the state of a viewer's filters, for each query
+    "plans": """
+        SELECT CAST(p_partkey AS BIGINT) AS query_id, p_brand AS text, CASE p_partkey % 7 WHEN 0 THEN '{}' WHEN 1 THEN NULL ELSE
+               '{"query_facets": {"materials": ["' || p_name || '", " "], "processes": ["' || p_type || '"], "geography": ' || CASE p_partkey % 3 WHEN 0 THEN '["domestic", "Oslo"]' WHEN 1 THEN '["foreign"]' ELSE '[]' END
+               || ', "years": ["about ' || CAST(1990 + p_size % 30 AS STRING) || '", "2010", "none"], "numeric_min": ' || CAST(p_size AS STRING) || ', "numeric_param": "' || CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE '' END || '", "conditions": []}}' END AS plan FROM part""",
+    "views": """
+        SELECT CAST(p_partkey AS BIGINT) AS query_id, CAST(p_size AS DOUBLE) / 100 AS min_score, CASE WHEN p_partkey % 2 = 0 THEN '.md' END AS extension, CASE WHEN p_partkey % 3 = 0 THEN substr(lower(p_name), 1, 2) END AS keyword FROM part""",
 }
 
 
 def needed(sql: str) -> list[str]:
-    """Fixtures that SQL mentions, in order of their definition."""
-    return [name for name in FIXTURES if re.search(rf"\b{name}\b", sql)]
+    """Fixtures that SQL mentions, by way of others too, in order of their definition."""
+    found = {name for name in FIXTURES if re.search(rf"\b{name}\b", sql)}
+    for name in reversed(FIXTURES):
+        if name in found:
+            found |= {x for x in FIXTURES if x != name and re.search(rf"\b(FROM|JOIN) {x}\b", FIXTURES[name][1] if isinstance(FIXTURES[name], tuple) else FIXTURES[name])}
+    return [name for name in FIXTURES if name in found]
 
 
 def oracle(sql: str) -> str:
@@ -71,7 +96,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = FIXTURES[name] if isinstance(FIXTURES[name], str) else FIXTURES[name][0]
-    used = {b: table(spark, sf_dir, b) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", sql)}
+    used = {b: table(spark, sf_dir, b) for b in (*BASE, *FIXTURES) if re.search(rf"\b(FROM|JOIN) {b}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}") if used else sql
     for b in used:
         sql = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", sql)
     return spark.sql(sql, **used)

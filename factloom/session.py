@@ -7,9 +7,12 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -51,6 +54,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A path that no other run uses, in the folder that driver and executors share (spark.checkpoint.dir; a new local one where it is unset, as in tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     at = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -63,3 +68,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+def in_blocks(side: DataFrame, key: str, most: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of job's rows over blocks of about `most` rows of side, by a hash of key (ids may share a factor with the number of blocks)."""
+    blocks = -(-side.count() // most)
+    if blocks <= 1:
+        return job(side)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (job(side.where(block == i)) for i in range(blocks)))
