@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that a Python task handles at a time.
 SLAB_CHARS = 1 << 20
+#: Folders that operators made and that hold nothing but what their results are made of.
+_scratch: list[str] = []
 #: Rows and bytes of an Arrow batch, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -36,13 +38,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return at if "://" in at else f"file://{at}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept as files in the shared folder, so that lost executors cost nothing."""
-    spark = df.sparkSession
-    at = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what an operator keeps while its result is in use; `clear` removes it."""
+    _scratch.append(at := new_folder(spark, name))
+    return at
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The same rows, written as a table to the shared folder and read from there: computed once, and lost executors cost nothing."""
+    at = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what operators have kept so far. To be called when their results have been written, as between the pipeline's stages."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

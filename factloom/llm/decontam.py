@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, row_key, slabs, small_side, tidied, without
+from factloom.llm.common import kept, modest, row_key, slabs, small_side, tidied, without
 
 WINDOW, COVERAGE = 5, 0.5
 BITMAP_BITS = 1 << 24
@@ -222,8 +222,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """id, row (hash of id and text), item, n_items, matched, n_windows, coverage: documents that leak an item, a row for each such pair."""
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
     same = bench.groupBy("text").agg(F.min("id").alias("item"), F.count("*").alias("n_items"))
-    same = checkpointed(same.withColumn("id", F.monotonically_increasing_id()).withColumn("row", F.lit(0).cast("long")))
-    items = checkpointed(window_rows(same))
+    same = kept(same.withColumn("id", F.monotonically_increasing_id()).withColumn("row", F.lit(0).cast("long")))
+    items = kept(window_rows(same))
     short = [r["width"] for r in items.where(F.col("width") < WINDOW).select("width").distinct().collect()]  # fewer than WINDOW rows
     key = row_key(id_col, text_col).alias("row")
     own = window_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key, F.col(f"`{text_col}`").alias("text")), bitmap_of(items), [WINDOW, *sorted(short)])
@@ -240,5 +240,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that leak nothing; texts stay where they are if the leaking rows are few enough to send."""
-    gone = checkpointed(found.select(F.col(f"`{id_col}`").alias("id"), "row").distinct())
+    gone = kept(found.select(F.col(f"`{id_col}`").alias("id"), "row").distinct())
     return without(df, gone, id_col, text_col, SENT_ROWS)

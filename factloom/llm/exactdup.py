@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, new_folder, small_side
+from factloom.llm.common import kept, scratch, small_side
 
 #: The filter has BITS_PER_KEY bits for each repeated key, in rows of ROW_BITS; at most BLOOM_BITS (16 MB).
 BITS_PER_KEY, ROW_BITS, BLOOM_BITS = 16, 1 << 15, 1 << 27
@@ -61,18 +61,18 @@ def probed(rows: DataFrame, bloom: DataFrame, bits: int) -> DataFrame:
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloom_bits: int = BLOOM_BITS, sent_groups: int = SENT_GROUPS) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 of every row: of equal texts the greatest id stays."""
-    at = new_folder(df.sparkSession, "digests")
+    at = scratch(df.sparkSession, "digests")
     df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).alias("digest")).write.parquet(at)
     rows = df.sparkSession.read.parquet(at)
     # pass one: keys that repeat
-    repeated = checkpointed(rows.select(key_of(F.col("digest")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    repeated = kept(rows.select(key_of(F.col("digest")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     wanted = 1 << math.ceil(math.log2(max(repeated.count() * BITS_PER_KEY, ROW_BITS)))
     bits = min(max(bloom_bits, ROW_BITS), wanted)
-    marked = probed(rows, checkpointed(bloom_filter(repeated, bits)), bits)
+    marked = probed(rows, kept(bloom_filter(repeated, bits)), bits)
     # pass two: groups among the rows that may have copies
     maybe = marked.where("maybe").select("id", "digest")
     groups = maybe.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = checkpointed(groups.withColumnRenamed("digest", "of"))
+    groups = kept(groups.withColumnRenamed("digest", "of"))
     out, own = ("id", "keep_id", "group_size", "digest"), (F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     same = F.col("digest") == F.col("of")
     if groups.count() <= sent_groups:

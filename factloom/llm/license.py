@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, new_folder
+from factloom.llm.common import ascii_lower, scratch
 
 #: Fixed value: the pattern of words after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,7 +81,7 @@ def cut_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     present = F.array_intersect(F.array(*map(F.lit, template_words())), F.col("words"))
     found = words.select("id", F.size("words").cast("long").alias("n_words"), present.alias("present"), "words")
     anchored = F.arrays_overlap("present", F.array(*map(F.lit, anchors())))
-    at = new_folder(df.sparkSession, "licence-words")
+    at = scratch(df.sparkSession, "licence-words")
     found.select("id", "n_words", "present", F.when(anchored, F.col("words")).alias("words")).write.parquet(at)
     return df.sparkSession.read.parquet(at)
 

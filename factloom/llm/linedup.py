@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, new_folder, row_key, slabs, small_side, tidied, unused
+from factloom.llm.common import kept, modest, row_key, slabs, small_side, tidied, unused
 
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
@@ -122,14 +122,14 @@ def one_edit(pairs: DataFrame) -> DataFrame:
 def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
     """rank, early: of every line to drop, the earliest line alike that stays; of the neighbourhoods of so many distinct lines."""
     gone = variants.where("place >= 0")
-    swaps = checkpointed(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "first"))
+    swaps = kept(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "first"))
     # lines with the same words missing at the same place, told by the earliest of them: a member can't be so by two variants
     # of one place, and two places of one first line are different groups
     swapped = gone.join(small_side(swaps, swaps.count(), sent_rows), ["va", "vb", "place"]).select(F.col("first").alias("ga"), F.col("place").alias("gb"), "rank")
     whole = variants.where("place < 0").select("va", "vb", F.col("rank").alias("whole"))
     longer = gone.join(small_side(whole, lines, sent_rows), ["va", "vb"]).select("rank", "whole").distinct()
     # one table of groups: a shorter line and all lines one word longer are a star around it, which isn't itself a group of lines alike
-    swapped, longer = checkpointed(swapped), checkpointed(longer)
+    swapped, longer = kept(swapped), kept(longer)
     decided = None
     left_s, left_l = swapped, longer
     while True:
@@ -138,20 +138,20 @@ def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
         ways = ways.unionByName(left_l.select("rank", F.col("whole").alias("early")))
         ways = ways.unionByName(left_l.groupBy("whole").agg(F.min("rank").alias("early")).select(F.col("whole").alias("rank"), "early"))
         open_ = ways.groupBy("rank").agg(F.min("early").alias("early"))
-        stay = checkpointed(open_.where("early >= rank").select("rank", F.lit(True).alias("stays")))
+        stay = kept(open_.where("early >= rank").select("rank", F.lit(True).alias("stays")))
         n = stay.count()
         if n == 0:
             break
-        kept = small_side(stay.select(F.col("rank").alias("kept")), n, sent_rows)
-        heads = left_s.join(kept, F.col("rank") == F.col("kept")).groupBy("ga", "gb").agg(F.min("kept").alias("kept"))
+        staying = small_side(stay.select(F.col("rank").alias("kept")), n, sent_rows)
+        heads = left_s.join(staying, F.col("rank") == F.col("kept")).groupBy("ga", "gb").agg(F.min("kept").alias("kept"))
         out = left_s.join(heads, ["ga", "gb"]).where("rank <> kept").select("rank")
-        out = out.unionByName(left_l.join(kept, F.col("whole") == F.col("kept")).select("rank"))
-        out = out.unionByName(left_l.join(kept, F.col("rank") == F.col("kept")).select(F.col("whole").alias("rank")))
-        now = checkpointed(stay.unionByName(out.distinct().withColumn("stays", F.lit(False))))
+        out = out.unionByName(left_l.join(staying, F.col("whole") == F.col("kept")).select("rank"))
+        out = out.unionByName(left_l.join(staying, F.col("rank") == F.col("kept")).select(F.col("whole").alias("rank")))
+        now = kept(stay.unionByName(out.distinct().withColumn("stays", F.lit(False))))
         decided = now if decided is None else decided.unionByName(now)
         done = small_side(now.select(F.col("rank").alias("done")), now.count(), sent_rows)
-        left_s = checkpointed(left_s.join(done, F.col("rank") == F.col("done"), "left_anti"))
-        left_l = checkpointed(left_l.join(done, F.col("rank") == F.col("done"), "left_anti").join(done, F.col("whole") == F.col("done"), "left_anti"))
+        left_s = kept(left_s.join(done, F.col("rank") == F.col("done"), "left_anti"))
+        left_l = kept(left_l.join(done, F.col("rank") == F.col("done"), "left_anti").join(done, F.col("whole") == F.col("done"), "left_anti"))
     if decided is None:
         return swapped.select("rank", F.col("rank").alias("early")).where("false")
     # the earliest line that stays among those alike
@@ -168,26 +168,22 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, row, line, keep_id, keep_line, edits of every line to drop (row: a hash of id and text, which tells rows of one id apart)."""
     text = F.col(f"`{text_col}`")
     docs = df.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("row"), text.alias("text"))
-    at = new_folder(df.sparkSession, "lines")
-    occurrences(docs).write.option("compression", "zstd").parquet(at)
-    seen = df.sparkSession.read.parquet(at)
+    seen = kept(occurrences(docs), "lines")
     place = F.struct("id", "line", "row")
     # distinct lines, and those of them that share a half with another
     distinct = seen.groupBy("cid").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    at = new_folder(df.sparkSession, "distinct")
-    distinct.write.option("compression", "zstd").parquet(at)
-    distinct = df.sparkSession.read.parquet(at)
+    distinct = kept(distinct, "distinct")
     halves = distinct.select("cid", F.explode("halves").alias("half"))
-    shared = checkpointed(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    shared = kept(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
     some = halves.join(small_side(shared, shared.count(), sent_rows), "half", "left_semi").select("cid").distinct()
-    chosen = checkpointed(distinct.join(some, "cid", "left_semi").select("cid", "first"))
+    chosen = kept(distinct.join(some, "cid", "left_semi").select("cid", "first"))
     # their words, read again where each first stands
     wanted = small_side(chosen.select("cid", F.col("first.id").alias("want_id"), F.col("first.line").alias("want_line"), F.col("first.row").alias("want_row")), chosen.count(), sent_rows)
     lines = docs.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     lines = lines.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("row") == F.col("want_row")) & (F.col("line") == F.col("want_line")))
     # numbered in the order in which they stand, so that the earliest is the least
     lines = lines.select("cid", "text", "want_id", "want_line", "want_row").dropDuplicates(["cid"]).orderBy("want_id", "want_line", "want_row")
-    lines = checkpointed(lines.withColumn("rank", F.monotonically_increasing_id()))
+    lines = kept(lines.withColumn("rank", F.monotonically_increasing_id()))
     near = kept_lines(neighbourhoods(lines), lines.count(), sent_rows)
     # verified on the words themselves
     words = lines.select("rank", "cid", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")), " ").alias("words_a"), F.struct(F.col("want_id").alias("id"), F.col("want_line").alias("line"), F.col("want_row").alias("row")).alias("at"))
@@ -202,13 +198,12 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_lines(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, its text without the lines in `found`; rows whose lines with words are all gone are dropped."""
+    """df, its text without the lines in `found`; rows whose lines with words are all gone are dropped. Where most documents lose
+    lines, most texts have to meet theirs, so texts shuffle once, at every size."""
     gid, grow, lines = unused(df, "gone_id"), unused(df, "gone_row"), unused(df, "gone_lines")
     gone = found.select(F.col(f"`{id_col}`").alias(gid), F.col("row").alias(grow), "line").groupBy(gid, grow).agg(F.collect_set("line").alias(lines))
-    gone = checkpointed(gone)
-    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()
     text = F.col(f"`{text_col}`")
-    marked = df.join(small_side(gone, max(size), SENT_ROWS), (row_key(id_col, text_col) == F.col(grow)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gid)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
-    marked = marked.withColumn(text_col, F.when(F.col(lines).isNull(), text).otherwise(kept))
+    marked = df.join(gone.hint("merge"), (row_key(id_col, text_col) == F.col(grow)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gid)), "left")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    marked = marked.withColumn(text_col, F.when(F.col(lines).isNull(), text).otherwise(left))
     return marked.where(F.col(lines).isNull() | text.rlike(r"\S")).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, row_key, slabs, small_side, tidied, unused, without
+from factloom.llm.common import kept, modest, row_key, slabs, small_side, tidied, unused, without
 
 SUBKEYS, WIDTH = 16, 3
 #: Ids or keys that are sent to every task if there are no more; beyond it the join is a shuffle join.
@@ -127,7 +127,7 @@ def shingle_arrays(df: DataFrame, k: int) -> DataFrame:
 def shared_subkeys(classes: DataFrame, sent_rows: int) -> DataFrame:
     """node, first, second: of each class the sub-keys of both collections that another class has too."""
     subs = classes.select("node", F.posexplode("subs").alias("at", "sub"))
-    shared = checkpointed(subs.groupBy("sub").agg(F.count("*").alias("n")).where("n > 1").select("sub"))
+    shared = kept(subs.groupBy("sub").agg(F.count("*").alias("n")).where("n > 1").select("sub"))
     again = subs.join(small_side(shared, shared.count(), sent_rows), "sub", "left_semi")
     own = again.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "sub"))).alias("subs"))
     return own
@@ -156,21 +156,21 @@ def links(tested: DataFrame, percent: int) -> DataFrame:
     return tested.where(F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * percent).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
     """node, label of every node but the smallest of each component of the edges (a, b): the smallest that it reaches. Alternates large-star and small-star until the edges stand still."""
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before, m = None, 0
     while True:
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if state == before or state[0] == 0:
+        n = now.count()
+        if n == 0 or (before is not None and n == m and now.join(before, ["a", "b"], "left_anti").isEmpty()):
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = state
+        before, m = now, n
         ways = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = ways.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ways.join(small_side(least, 2 * n, sent_rows), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u"))
-        now = checkpointed(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct())
+        small = large.join(small_side(least, n, sent_rows), F.col("a") == F.col("u"))
+        now = kept(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct())
 
 
 def ordered(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -188,8 +188,8 @@ def contested(own: DataFrame, labels: DataFrame, subkeys: int, sent_rows: int) -
     """node, label of the classes in a bucket in which several components meet."""
     keyed = table_keys(labelled(own, labels), subkeys, False)
     several = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    several = checkpointed(several)
-    return checkpointed(keyed.join(small_side(several, several.count(), sent_rows), "key", "left_semi").select("node", "label").distinct())
+    several = kept(several)
+    return kept(keyed.join(small_side(several, several.count(), sent_rows), "key", "left_semi").select("node", "label").distinct())
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, sent_rows: int) -> DataFrame:
@@ -205,7 +205,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, sent_rows: int
     alone = F.col("size") - F.size("known")
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     rows = rows.where(prefix > alone).select("node", "label", "size", *P, alone.alias("alone"), F.posexplode(F.slice("known", F.lit(1), (prefix - alone).cast("int"))).alias("at", "x"))
-    rows = checkpointed(rows.select("node", "label", "size", *P, (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
+    rows = kept(rows.select("node", "label", "size", *P, (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
     # inside a shingle's group the largest component isn't paired with itself
     counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
     major = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("s", "major")
@@ -226,39 +226,39 @@ def class_components(own: DataFrame, sets: DataFrame, percent: int, subkeys: int
     keyed = table_keys(own, subkeys, True).select("key", "node")
     centres = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = keyed.join(centres, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
-    tested = checkpointed(verify(ordered(pairs, None), sets))
+    tested = kept(verify(ordered(pairs, None), sets))
     labels = components(links(tested, percent))
     # then both ends of each of those buckets, where they're in another component
     ends = labelled(keyed, labels).groupBy("key").agg(F.min(F.struct("node", "label")).alias("x"), F.max(F.struct("node", "label")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     ends = ends.select("key", F.explode(F.array("x", "y")).alias("e"))
     pairs = labelled(keyed, labels).join(ends, "key").where(F.col("label") != F.col("e.label")).select(F.col("node").alias("a"), F.col("e.node").alias("b"))
-    new = checkpointed(verify(ordered(pairs, tested), sets))
+    new = kept(verify(ordered(pairs, tested), sets))
     tested = tested.union(new)
     labels = components(links(tested, percent))
     # then all tables, as far as their buckets hold more than one component
     open_ = contested(own, labels, subkeys, sent_rows)
     if open_.isEmpty():
         return labels
-    new = checkpointed(verify(ordered(prefix_pairs(open_, sets, percent, sent_rows), tested), sets))
+    new = kept(verify(ordered(prefix_pairs(open_, sets, percent, sent_rows), tested), sets))
     return components(links(tested.union(new), percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, subkeys: int = SUBKEYS, width: int = WIDTH, sent_rows: int = SENT_ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept, row (hash of id and text) of every row: documents are linked from a similarity of percent / 100."""
-    rows = checkpointed(signatures(df, id_col, text_col, k, subkeys, width))
+    rows = kept(signatures(df, id_col, text_col, k, subkeys, width))
     filled = rows.where("n_shingles > 0 AND id IS NOT NULL")
     classes = filled.groupBy("cid").agg(F.min("id").alias("doc"), F.first("subs").alias("subs"))
-    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()))
     rows, plain = rows.drop("subs"), classes.select("node", "cid", "doc")
-    own = checkpointed(shared_subkeys(classes, sent_rows))
+    own = kept(shared_subkeys(classes, sent_rows))
     near = F.exists("subs", lambda x: x["at"] < subkeys) & F.exists("subs", lambda x: x["at"] >= subkeys)
     own = own.where(near)
     # the full sets of the classes that have table keys in common with others, from a second read of their texts
-    wanted = checkpointed(plain.join(own.select("node"), "node", "left_semi"))
+    wanted = kept(plain.join(own.select("node"), "node", "left_semi"))
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     docs = wanted.select(F.col("doc").alias("id")).distinct()
     some = texts.join(small_side(docs, docs.count(), sent_rows), "id", "left_semi")
-    sets = checkpointed(shingle_arrays(some, k).join(wanted.select("cid", "node"), "cid").drop("cid").dropDuplicates(["node"]))
+    sets = kept(shingle_arrays(some, k).join(wanted.select("cid", "node"), "cid").drop("cid").dropDuplicates(["node"]))
     labels = class_components(own, sets, percent, subkeys, sent_rows)
     # the smallest id of each component, by class
     named = labelled(plain, labels)
@@ -271,9 +271,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
     """The rows of df that near_duplicates keeps; of identical ids and texts, one row."""
-    found = checkpointed(found.select(F.col(f"`{id_col}`").alias("id"), "row", "kept"))
-    stay = without(df, checkpointed(found.where("NOT kept").select("id", "row").distinct()), id_col, text_col, sent_rows)
-    again = checkpointed(found.where("kept").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"))
+    found = kept(found.select(F.col(f"`{id_col}`").alias("id"), "row", "kept"))
+    stay = without(df, kept(found.where("NOT kept").select("id", "row").distinct()), id_col, text_col, sent_rows)
+    again = kept(found.where("kept").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"))
     if again.isEmpty():
         return stay
     aid, arow = unused(df, "again_id"), unused(df, "again_row")

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed
+from factloom.llm.common import kept
 
 DEPTH, MAX_CHILDREN, MIN_SUPPORT = 6, 20, 5
 SMOOTH, PURITY, Z = 4.0, 0.8, 1.96
@@ -104,7 +104,7 @@ def purities(counts: DataFrame) -> DataFrame:
     """host, segs, template, purity of each path shape."""
     now = counts.withColumn("template", F.col("segs"))
     for d in range(DEPTH):
-        now = checkpointed(merged_level(now, d))  # a level reads the one before several times
+        now = kept(merged_level(now, d))  # a level reads the one before several times
     bad, good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     base = bad / (bad + good) if bad else 0.0
     # the sums of each template and of each branch above it: the host's, then a segment more each time, the whole at last
@@ -125,7 +125,7 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     rows = df.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "label": verdict, "segs": shaped(F.col("path"))})
-    judged = purities(checkpointed(template_counts(rows))).select(F.col("host").alias("jh"), F.col("segs").alias("js"), F.array_join("template", "/").alias("template"), "purity")
+    judged = purities(kept(template_counts(rows))).select(F.col("host").alias("jh"), F.col("segs").alias("js"), F.array_join("template", "/").alias("template"), "purity")
     out = rows.join(judged, (F.col("host") == F.col("jh")) & (F.col("segs") == F.col("js")), "left")
     method = F.when((F.col("purity") >= PURITY) & (F.col("host") != ""), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("label", method).alias("verdict"), "template", "purity")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, modest, new_folder, small_side
+from factloom.llm.common import kept, modest, new_folder, small_side
 
 PACKAGE_BYTES, RANGE_BYTES, REVISIT_BYTES = 64 << 20, 4 << 20, 100
 SENT_DIGESTS = 200_000
@@ -171,10 +171,10 @@ def archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     rows = rows.select("id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    first = checkpointed(first)
+    first = kept(first)
     rows = rows.join(small_side(first, first.count(), sent_digests), F.col("digest") == F.col("of"), "left")
     refers_to = F.when((F.col("size") >= REVISIT_BYTES) & (F.col("id") > F.col("first")), F.col("first"))
-    return checkpointed(write_packages(rows.withColumn("refers_to", refers_to), folder))
+    return kept(write_packages(rows.withColumn("refers_to", refers_to), folder))
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
