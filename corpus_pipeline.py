@@ -3,7 +3,8 @@
 Defined cases, for every stage: null and empty texts are without language, so none is left after the first stage (the other
 stages keep them); rows are told apart by id and text, so null and repeated ids don't mix, and of rows equal in both, near-dedup
 keeps one; texts are taken whole, whatever their length; an empty table stays empty; extra columns pass through,
-whatever their names, but `token_ids`, `n_tokens` and `round_trip`, which the last stage sets.
+whatever their names, but `token_ids`, `n_tokens` and `round_trip`, which the last stage sets. A stage's result has to be
+written before the next stage is called: each stage begins by removing the tables that the ones before kept for themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontam, langid, linedup, minhash
-from factloom.llm.common import new_folder, unused
+from factloom.llm.common import clear, new_folder, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A language of less probability is as good as none.
@@ -28,6 +29,7 @@ def columns(df: DataFrame) -> list[Column]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null or letterless text, or no language of probability MIN_LANGUAGE_SCORE. Learns from the labelled rows of docs."""
+    clear(spark)
     lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
     found = langid.predict(docs, langid.fit(docs), lang_out=lang, score_out=score)
     return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*columns(docs))
@@ -35,22 +37,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that stand earlier, and documents of which nothing is left."""
+    clear(spark)
     out = linedup.drop_lines(docs, linedup.duplicate_lines(docs))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked at a similarity of 0.8 over five-word shingles."""
+    clear(spark)
     return minhash.keep_one(docs, minhash.near_duplicates(docs, k=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
+    clear(spark)
     return decontam.drop_leaks(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text in place of it, and whether decoding them gives the text back."""
+    clear(spark)
     path, back, own = public_tokenizers.path("byte_bpe_50k.json"), unused(docs, "decoded"), ("text", "token_ids", "n_tokens", "round_trip")
     both = bpe.encode(docs, path, back=back)
     rest = columns(docs.drop(*own))
