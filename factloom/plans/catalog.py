@@ -3,6 +3,7 @@
 import factloom.functions.embed
 import factloom.operators.analytics
 import factloom.operators.cluster
+import factloom.operators.density
 import factloom.operators.extract
 import factloom.operators.quality
 import factloom.operators.search

@@ -63,11 +63,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """The same rows, computed once and kept as a table in the shared folder. Unlike a checkpoint, a table read again brings no
+    constraints of the plan that made it, which loops would pile up."""
+    at = new_folder(df.sparkSession, "kept")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def in_blocks(side: DataFrame, key: str, most: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:

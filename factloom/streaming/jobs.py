@@ -1,11 +1,14 @@
 """Structured Streaming jobs (X): ingestion, arrival, status, event-time metrics, watches and incremental indexing.
 
 Each job is a function of a streaming DataFrame; the queries feed it the given tables as a file stream, let it drain with
-availableNow and return what its sink holds. Late rows are dropped after the watermark.
+availableNow and return what its sink holds. Windowed and keyed jobs run in update mode, so their state ends with the
+watermark, after which late rows are dropped; a key that several batches say counts as the last of them says it. What must be
+remembered for good (contents and index entries seen) is a table in the shared folder, not state.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,22 +28,25 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
-def drain(df: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
-    """Runs a stream over what there is. Complete mode: the last result; otherwise the rows of all batches."""
+def drain(df: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what there is: the rows of all batches; in update mode the last row of each key, in complete mode the last batch."""
     spark, at, done = df.sparkSession, new_folder(df.sparkSession, "stream"), []
 
     def put(batch: DataFrame, n: int) -> None:
-        each(batch).write.mode("overwrite").parquet(f"{at}/batch={n}")
+        each(batch).withColumn("batch__", F.lit(n)).write.mode("overwrite").parquet(f"{at}/batch={n}")
         done.append(n)
 
     df.writeStream.outputMode(mode).option("checkpointLocation", new_folder(spark, "stream-state")).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    paths = [f"{at}/batch={n}" for n in (done[-1:] if mode == "complete" else done)]
-    return spark.read.parquet(*paths)
+    out = spark.read.parquet(*[f"{at}/batch={n}" for n in (done[-1:] if mode == "complete" else done)])
+    if mode == "update":
+        rest = [c for c in out.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch__").alias("x")).select(*keys, *[f"x.{c}" for c in rest])
+    return out.drop("batch__")
 
 
-def job(name: str, table: str, mode: str, sql: str | None = None):
+def job(name: str, table: str, mode: str, keys: tuple[str, ...] = (), sql: str | None = None):
     def put(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: finished(name, drain(f(stream(spark, sf_dir, table)), mode))
+        QUERIES[name] = lambda spark, sf_dir: drain(f(stream(spark, sf_dir, table)), mode, keys=keys)
         if sql:
             ORACLE_SQL[name] = oracle(sql)
         return f
@@ -48,22 +54,45 @@ def job(name: str, table: str, mode: str, sql: str | None = None):
     return put
 
 
-def finished(name: str, out: DataFrame) -> DataFrame:
-    """Update mode may say a key several times; the last counts."""
-    return out.groupBy("user_id").agg(F.max(F.struct("last_ts", "status")).alias("x")).select("user_id", "x.status", "x.last_ts") if name == "X4" else out
+class Store:
+    """Rows that were seen, by their keys, as a table of one folder for each batch."""
+
+    def __init__(self, spark: SparkSession, name: str, *keys: str) -> None:
+        self.spark, self.at, self.keys, self.parts = spark, new_folder(spark, name), list(keys), 0
+
+    def seen(self) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.at}/{i}" for i in range(self.parts)]) if self.parts else None
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Those of the rows, one for each key, that weren't seen; they are from now on."""
+        new, seen = rows.dropDuplicates(self.keys), self.seen()
+        if seen is not None:
+            new = new.join(seen.select(*self.keys), self.keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{self.at}/{self.parts}")
+        self.parts += 1
+        return self.spark.read.schema(new.schema).parquet(f"{self.at}/{self.parts - 1}")
 
 
 def seconds(c: Column) -> Column:
     return F.unix_timestamp(c)
 
 
-@job("X1", "documents", "append", sql="SELECT 'doc:' || substr(sha256(text), 1, 16) AS content_id, min(length(text))::BIGINT AS chars, min(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def x1(docs: DataFrame) -> DataFrame:
-    """Continuous ingestion: content-addressed, each content once, cut into lines."""
-    new = docs.where("text IS NOT NULL").withColumn("content_id", F.concat(F.lit("doc:"), F.substring(F.sha2("text", 256), 1, 16))).dropDuplicates(["content_id"])
+def contents(docs: DataFrame) -> DataFrame:
+    """content_id, chars, lines of each text."""
+    new = docs.where("text IS NOT NULL").withColumn("content_id", F.concat(F.lit("doc:"), F.substring(F.sha2("text", 256), 1, 16)))
     return new.select("content_id", F.length("text").cast("long").alias("chars"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
 
 
+def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous ingestion: content-addressed, each content once, cut into lines."""
+    store = Store(spark, "contents", "content_id")
+    return drain(contents(stream(spark, sf_dir, "documents")), "append", store.add)
+
+
+QUERIES["X1"] = x1
+ORACLE_SQL["X1"] = "SELECT 'doc:' || substr(sha256(text), 1, 16) AS content_id, min(length(text))::BIGINT AS chars, min(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents WHERE text IS NOT NULL GROUP BY 1"
+
+
 @job("X2", "events", "append", sql="SELECT DISTINCT user_id, event_type, CAST(ts AS DATE)::VARCHAR AS day FROM events")
 def x2(events: DataFrame) -> DataFrame:
     """Arrivals of a user's event type on a day, each once within the watermark."""
@@ -71,21 +100,21 @@ def x2(events: DataFrame) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
 
 
-@job("X4", "events", "update", sql="SELECT user_id, max(event_type) AS status, floor(epoch(ts))::BIGINT AS last_ts FROM events e WHERE ts = (SELECT max(ts) FROM events f WHERE f.user_id = e.user_id) GROUP BY 1, 3")
+@job("X4", "events", "update", ("user_id",), sql="SELECT user_id, max(event_type) AS status, floor(epoch(ts))::BIGINT AS last_ts FROM events e WHERE ts = (SELECT max(ts) FROM events f WHERE f.user_id = e.user_id) GROUP BY 1, 3")
 def x4(events: DataFrame) -> DataFrame:
     """The latest status of each key."""
     latest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_type")).alias("x"))
     return latest.select("user_id", F.col("x.event_type").alias("status"), seconds(F.col("x.ts")).alias("last_ts"))
 
 
-@job("X5", "events", "complete", sql="SELECT floor(epoch(ts) / 300)::BIGINT * 300 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@job("X5", "events", "update", ("start", "event_type"), sql="SELECT floor(epoch(ts) / 300)::BIGINT * 300 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x5(events: DataFrame) -> DataFrame:
     """Metrics over tumbling windows of five minutes."""
     w = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "5 minutes"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(seconds(F.col("window.start")).alias("start"), "event_type", "n", "total")
 
 
-@job("X5_sliding", "events", "complete", sql="WITH w AS (SELECT floor(epoch(ts) / 300)::BIGINT * 300 - unnest(generate_series(0, 11)) * 300 AS start, value FROM events) SELECT start, count(*) AS n FROM w GROUP BY 1")
+@job("X5_sliding", "events", "update", ("start",), sql="WITH w AS (SELECT floor(epoch(ts) / 300)::BIGINT * 300 - unnest(generate_series(0, 11)) * 300 AS start, value FROM events) SELECT start, count(*) AS n FROM w GROUP BY 1")
 def x5_sliding(events: DataFrame) -> DataFrame:
     """Events of the last hour, every five minutes."""
     w = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour", "5 minutes")).agg(F.count("*").alias("n"))
@@ -96,12 +125,12 @@ def x5_sliding(events: DataFrame) -> DataFrame:
     WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
     SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def x5_session(events: DataFrame) -> DataFrame:
-    """Sessions of a user, which half an hour without events ends."""
+    """Sessions of a user, which half an hour without events ends. Session windows know no update mode; complete mode shows the open ones too."""
     w = events.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
     return w.select("user_id", seconds(F.col("session_window.start")).alias("start"), "n")
 
 
-@job("X6", "events", "complete", sql="WITH w AS (SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 - unnest(generate_series(0, 6)) * 86400 AS start FROM events) SELECT start, count(*) AS n FROM w GROUP BY 1")
+@job("X6", "events", "update", ("start",), sql="WITH w AS (SELECT floor(epoch(ts) / 86400)::BIGINT * 86400 - unnest(generate_series(0, 6)) * 86400 AS start FROM events) SELECT start, count(*) AS n FROM w GROUP BY 1")
 def x6(events: DataFrame) -> DataFrame:
     """Events of seven days, rolling by a day."""
     w = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "7 days", "1 day")).agg(F.count("*").alias("n"))
@@ -115,25 +144,50 @@ def x7(docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(watched), F.lower("text").contains(F.col("keyword"))).select("doc_id", "keyword")
 
 
-def changed(batch: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of a batch that the index doesn't hold in this content."""
-    keyed = batch.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash_sum"))
-    return keyed.join(index, ["doc_id", "hash_sum"], "left_anti")
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash_sum of each text."""
+    return docs.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash_sum"))
 
 
 def x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incremental index: only documents whose content isn't indexed yet."""
-    known = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("hash_sum"))
-    return drain(stream(spark, sf_dir, "documents"), "append", lambda batch: changed(batch, known))
+    """Incremental index: only documents whose content isn't indexed yet, each once; the index grows with every batch."""
+    index = Store(spark, "index", "doc_id", "hash_sum")
+    index.add(hashed(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 = 0")))
+    return drain(hashed(stream(spark, sf_dir, "documents")), "append", index.add)
 
 
 QUERIES["X8"] = x8
 ORACLE_SQL["X8"] = "SELECT doc_id, sha256(text) AS hash_sum FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0"
 
 
+class Debounced:
+    """Runs a job over all facts so far, at most once in `wait` seconds, and only after new ones came; `finish` runs what is left."""
+
+    def __init__(self, facts: Store, regroup: Callable[[DataFrame], DataFrame], wait: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.facts, self.regroup, self.wait, self.clock = facts, regroup, wait, clock
+        self.last, self.pending, self.runs, self.result = -float("inf"), False, 0, None
+
+    def batch(self, rows: DataFrame) -> DataFrame:
+        new = self.facts.add(rows)
+        self.pending = self.pending or not new.isEmpty()
+        if self.pending and self.clock() - self.last >= self.wait:
+            self.run()
+        return new
+
+    def run(self) -> None:
+        self.result, self.last, self.pending, self.runs = self.regroup(self.facts.seen()), self.clock(), False, self.runs + 1
+
+    def finish(self) -> DataFrame:
+        if self.pending or self.result is None:
+            self.run()
+        return self.result
+
+
 def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Debounced regrouping: a batch regroups its documents' sources only if it brought new facts; the trigger bounds how often (30 s in production)."""
-    return drain(stream(spark, sf_dir, "labels"), "append", lambda batch: batch.groupBy("quality", "toxic").agg(F.count("*").alias("members")))
+    """Debounced regrouping: the groups over all facts, found again at most every 30 seconds."""
+    runs = Debounced(Store(spark, "facts", "doc_id"), lambda facts: facts.groupBy("quality", "toxic").agg(F.count("*").alias("members")), 30)
+    drain(stream(spark, sf_dir, "labels"), "append", runs.batch)
+    return runs.finish()
 
 
 QUERIES["X3"] = x3
