@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import ontology as O
 from factloom.plans.registry import query
+from factloom.session import checkpointed
 
 LABELS_SQL = f"dim_label(label, layer) AS ({O.values_sql([(x, k) for k, xs in O.LAYERS.items() for x in xs])})"
 RULES_SQL = f"dim_rule(type, from_label, to_label) AS ({O.values_sql([(t, a, b) for t, (xs, ys) in O.REL_RULES.items() for a in xs for b in ys])})"
@@ -15,24 +16,39 @@ ALIAS_SQL = f"dim_alias(alias, canonical) AS ({O.values_sql(O.REL_ALIASES)})"
 GRAPH_SQL = "g AS (SELECT id, min(label) AS label, min(name) AS name FROM nodes GROUP BY id), ge AS (SELECT DISTINCT type, src, dst FROM edges)"
 
 
+PROPS = ("name", "numeric_value", "unit", "parameter", "confidence")
+
+
 def dedupe_nodes(nodes: DataFrame) -> DataFrame:
-    """One row for each id: the smallest label and name, the greatest confidence."""
-    return nodes.groupBy("id").agg(F.min("label").alias("label"), F.min("name").alias("name"), F.max("confidence").alias("confidence"))
+    """One row for each id: the first label (by document, then label), and of each property the last value that is given."""
+    at = F.struct("document_id", "label")
+    later = [F.max(F.when(F.col(p).isNotNull(), F.struct("document_id", "label", p)))[p].alias(p) for p in PROPS]
+    return nodes.where("id <> '' AND label <> ''").groupBy("id").agg(F.min(at)["label"].alias("label"), *later)
 
 
 def dedupe_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct edges both of whose ends are nodes."""
+    """Distinct edges both of whose ends are nodes, each with the first document that has it."""
     ids = nodes.select("id").distinct()
-    e = edges.where("type <> '' AND src <> '' AND dst <> ''").select("type", "src", "dst").distinct()
+    e = edges.where("type <> '' AND src <> '' AND dst <> ''").groupBy("type", "src", "dst").agg(F.min("document_id").alias("document_id"))
     return e.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
 
 
-@query("G1", "nodes", "edges", sql="""
-    WITH n AS (SELECT id, min(label) AS label FROM nodes GROUP BY id), e AS (SELECT DISTINCT type, src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))
-    SELECT 'node' AS kind, label AS what, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY 2""")
+def _last_sql(prop: str) -> str:
+    return f"max(CASE WHEN {prop} IS NOT NULL THEN {{'document_id': document_id, 'label': label, 'p': {prop}}} END).p AS {prop}"
+
+
+@query("G1", "nodes", "edges", sql=f"""
+    WITH n AS (SELECT id, min({{'document_id': document_id, 'label': label}}).label AS label, {", ".join(map(_last_sql, PROPS))} FROM nodes WHERE id <> '' AND label <> '' GROUP BY id),
+         e AS (SELECT type, src, dst, min(document_id) AS document_id FROM edges WHERE type <> '' AND src <> '' AND dst <> '' AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY ALL)
+    SELECT 'node' AS kind, label AS what, id AS src, NULL::VARCHAR AS dst, name, CAST(numeric_value AS DOUBLE) AS numeric_value, unit, round(CAST(confidence AS DOUBLE), 4) AS confidence, NULL::BIGINT AS document_id FROM n
+    UNION ALL SELECT 'edge', type, src, dst, NULL, NULL, NULL, NULL, document_id FROM e""")
 def g1(nodes, edges):
-    n = dedupe_nodes(nodes).groupBy(F.lit("node").alias("kind"), F.col("label").alias("what")).agg(F.count("*").alias("n"))
-    return n.unionByName(dedupe_edges(edges, nodes).groupBy(F.lit("edge").alias("kind"), F.col("type").alias("what")).agg(F.count("*").alias("n")))
+    """The graph without repeats: nodes with merged properties and edges."""
+    kept = checkpointed(dedupe_nodes(nodes))
+    none = lambda t: F.lit(None).cast(t)
+    n = kept.select(F.lit("node").alias("kind"), F.col("label").alias("what"), F.col("id").alias("src"), none("string").alias("dst"), "name", F.col("numeric_value").cast("double").alias("numeric_value"), "unit", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), none("long").alias("document_id"))
+    e = dedupe_edges(edges, kept).select(F.lit("edge").alias("kind"), F.col("type").alias("what"), "src", "dst", none("string").alias("name"), none("double").alias("numeric_value"), none("string").alias("unit"), none("double").alias("confidence"), "document_id")
+    return n.unionByName(e)
 
 
 def canonical_type(edge_type: Column, from_label: Column | None = None) -> Column:
@@ -218,20 +234,51 @@ def g19(nodes):
     WITH k AS (SELECT {ENTITY_KEY_SQL} AS entity, document_id FROM nodes WHERE label IN ('Material', 'Process', 'Expert'))
     SELECT entity, count(DISTINCT document_id) AS documents, array_to_string(list_sort(list_distinct(list(document_id)))[:20], ',') AS first_ids FROM k GROUP BY 1 HAVING count(DISTINCT document_id) >= 2""")
 def g20(nodes):
-    """Entities of several documents, and where they occur."""
+    """Entities of several documents, and the first twenty where they occur: ranked and cut in parts, then together, before ids are collected."""
     k = nodes.where(F.col("label").isin("Material", "Process", "Expert")).select(entity_key(F.col("label"), F.col("name"), F.col("id")).alias("entity"), "document_id").distinct()
-    docs = k.groupBy("entity").agg(F.count("*").alias("documents"), F.array_sort(F.collect_set("document_id")).alias("ids")).where("documents >= 2")
-    return docs.select("entity", "documents", F.array_join(F.slice("ids", 1, 20).cast("array<string>"), ",").alias("first_ids"))
-
-
-@query("G21", "nodes", "registry", sql="""
-    WITH a AS (SELECT DISTINCT n.id FROM nodes n JOIN registry r ON r.id = document_id WHERE geography = 'foreign'), b AS (SELECT DISTINCT id FROM nodes WHERE label = 'Measurement' AND numeric_value BETWEEN 10 AND 20)
-    SELECT id FROM a WHERE id IN (SELECT id FROM b)""")
-def g21(nodes, registry):
-    """Nodes that pass a geography facet and a numeric one."""
-    r = registry.where("geography = 'foreign'").select(F.col("id").alias("doc"))
-    a = nodes.join(r, F.col("document_id") == F.col("doc"), "left_semi").select("id").distinct()
-    return a.join(nodes.where("label = 'Measurement' AND numeric_value BETWEEN 10 AND 20").select("id"), "id", "left_semi")
+    docs = k.groupBy("entity").agg(F.count("*").alias("documents")).where("documents >= 2")
+    part = k.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(32)))
+    few = part.withColumn("r", F.row_number().over(Window.partitionBy("entity", "part").orderBy("document_id"))).where("r <= 20")
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("document_id"))).where("r <= 20")
+    ids = few.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("document_id")).cast("array<string>"), ",").alias("first_ids"))
+    return docs.join(ids, "entity").select("entity", "documents", "first_ids")
+
+
+#: Facets of the graph filter, each a condition on nodes (n) with their document (r); None: not set.
+FACETS = {
+    "geography": "geography = 'foreign'",
+    "language": "lang IN ('en', 'de')",
+    "years": "year(material_date) BETWEEN 2000 AND 2018",
+    "numeric": "label = 'Measurement' AND numeric_value BETWEEN 10 AND 20",
+    "confidence": "confidence >= 0.6",
+    "keyword": "label IN ('Material', 'Process') AND lower(name) LIKE '%a%'",
+}
+#: Facets on single nodes also keep what is one edge away from those.
+PULLED = ("numeric", "confidence", "keyword")
+TYPES, RELATIONS = ("ExperimentRun", "Measurement", "Material", "Process"), ("USES_MAT", "PRODUCED_MEASUREMENT", "OPERATES_PROC")
+
+
+def _facet_sql() -> str:
+    parts = [f"f_{k} AS (SELECT DISTINCT id FROM x WHERE {c})" for k, c in FACETS.items()]
+    parts += [f"k_{k} AS (SELECT id FROM f_{k}" + (f" UNION SELECT other FROM b JOIN f_{k} ON node = id" if k in PULLED else "") + ")" for k in FACETS]
+    return ", ".join(parts)
+
+
+@query("G21", "nodes", "edges", "registry", sql=f"""
+    WITH x AS (SELECT n.id, n.label, n.name, n.numeric_value, n.confidence, r.geography, r.lang, r.material_date FROM nodes n JOIN registry r ON r.id = n.document_id), b AS (SELECT src AS node, dst AS other FROM edges WHERE type IN {RELATIONS} UNION SELECT dst, src FROM edges WHERE type IN {RELATIONS}), {_facet_sql()}
+    SELECT DISTINCT id FROM x WHERE label IN {TYPES} {" ".join(f"AND id IN (SELECT id FROM k_{k})" for k in FACETS)}""")
+def g21(nodes, edges, registry):
+    """The advanced filter: nodes of some types that pass every facet; facets on single nodes keep their neighbours (one edge of some types) too."""
+    r = registry.select(F.col("id").alias("document_id"), "geography", "lang", "material_date")
+    x = checkpointed(nodes.select("document_id", "id", "label", "name", "numeric_value", "confidence").join(r, "document_id"))
+    e = edges.where(F.col("type").isin(*RELATIONS)).select("src", "dst")
+    b = e.union(e.select("dst", "src")).withColumnsRenamed({"src": "node", "dst": "other"})
+    out = x.where(F.col("label").isin(*TYPES)).select("id").distinct()
+    for name, condition in FACETS.items():
+        own = x.where(condition).select("id").distinct()
+        keep = own.union(b.join(own, F.col("node") == F.col("id")).select("other")) if name in PULLED else own
+        out = out.join(keep, "id", "left_semi")
+    return out
 
 
 @query("G22", "registry", sql="""
@@ -246,15 +293,24 @@ def g22(registry):
 
 
 @query("G24", "edges", sql="""
-    WITH ge AS (SELECT DISTINCT type, src, dst FROM edges), p AS (SELECT *, CASE type WHEN 'PRODUCED_MEASUREMENT' THEN 0 WHEN 'USES_MAT' THEN 1 WHEN 'OPERATES_PROC' THEN 2 ELSE 3 END AS pr FROM ge),
-         f AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY pr, type, src) AS k FROM p)
-    SELECT type, src, dst FROM f WHERE k <= 18 ORDER BY pr, type, src, dst LIMIT 150""")
+    WITH t AS (SELECT DISTINCT type, src, dst FROM edges), c AS (SELECT node, count(*) AS links FROM (SELECT src AS node FROM t UNION ALL SELECT dst FROM t) WHERE starts_with(node, 'Measurement:') GROUP BY 1), s AS (SELECT node, row_number() OVER (ORDER BY links DESC, node) <= 15 AS shown FROM c),
+         m AS (SELECT DISTINCT type, CASE WHEN a.shown IS NULL OR a.shown THEN src ELSE 'super:Measurement' END AS src, CASE WHEN b.shown IS NULL OR b.shown THEN dst ELSE 'super:Measurement' END AS dst FROM t LEFT JOIN s a ON a.node = src LEFT JOIN s b ON b.node = dst),
+         p AS (SELECT *, CASE type WHEN 'PRODUCED_MEASUREMENT' THEN 0 WHEN 'USES_MAT' THEN 1 WHEN 'OPERATES_PROC' THEN 2 ELSE 3 END AS pr FROM m), f AS (SELECT *, row_number() OVER (PARTITION BY starts_with(dst, 'super:') OR starts_with(src, 'super:') ORDER BY pr, type, src, dst) AS k FROM p)
+    SELECT type, src, dst FROM f WHERE NOT (starts_with(dst, 'super:') OR starts_with(src, 'super:')) OR k <= 18 ORDER BY pr, type, src, dst LIMIT 150""")
 def g24(edges):
-    """The compact graph: at most 18 edges into a node and 150 in all, by priority."""
+    """The compact graph: of many nodes of the text layer (here: measurements) the fifteen with most edges stay and the others become one, which keeps eighteen edges; a hundred and fifty edges in all, by priority."""
+    e = edges.select("type", "src", "dst").distinct()
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").startswith("Measurement:"))
+    shown = ends.groupBy("node").agg(F.count("*").alias("links")).orderBy(F.desc("links"), "node").limit(15).select("node", F.lit(True).alias("shown"))
+    for end in ("src", "dst"):
+        own = F.broadcast(shown.withColumnRenamed("node", end))  # fifteen rows
+        e = e.join(own, end, "left").withColumn(end, F.when(F.col(end).startswith("Measurement:") & F.col("shown").isNull(), "super:Measurement").otherwise(F.col(end))).drop("shown")
     priority = F.when(F.col("type") == "PRODUCED_MEASUREMENT", 0).when(F.col("type") == "USES_MAT", 1).when(F.col("type") == "OPERATES_PROC", 2).otherwise(3)
-    e = edges.select("type", "src", "dst").distinct().withColumn("pr", priority)
-    capped = e.withColumn("k", F.row_number().over(Window.partitionBy("dst").orderBy("pr", "type", "src"))).where("k <= 18")
-    return capped.orderBy("pr", "type", "src", "dst").limit(150).select("type", "src", "dst")
+    e = e.distinct().withColumn("pr", priority)
+    order = ("pr", "type", "src", "dst")
+    fan = F.col("src").startswith("super:") | F.col("dst").startswith("super:")
+    few = e.where(fan).orderBy(*order).limit(18).unionByName(e.where(~fan))
+    return few.orderBy(*order).limit(150).select("type", "src", "dst")
 
 
 @query("G26", "nodes", sql="WITH u AS (SELECT document_id, id, 1 AS round FROM nodes WHERE label <> 'Material' UNION ALL SELECT document_id, id, 2 FROM nodes) SELECT round::BIGINT AS round, count(*) AS n FROM (SELECT document_id, id, min(round) AS round FROM u GROUP BY 1, 2) GROUP BY 1")
@@ -271,14 +327,43 @@ def g27(customer, nation, region):
     return nation.select(F.col("n_name").alias("value")).union(region.select("r_name")).union(customer.select("c_mktsegment")).distinct().orderBy("value")
 
 
-@query("G13", "edges", sql="""
-    WITH e AS (SELECT document_id, type, src, dst, row_number() OVER (PARTITION BY document_id ORDER BY type, src, dst) AS seq FROM edges WHERE type = 'AUTHORED'), h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS k FROM e)
-    SELECT document_id, seq, src FROM h WHERE k <= 200""")
-def g13(edges):
-    """The edit history of a document's relations: the last 200."""
-    e = edges.where("type = 'AUTHORED'").withColumn("seq", F.row_number().over(Window.partitionBy("document_id").orderBy("type", "src", "dst")).cast("long"))
-    h = e.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("seq"))))
-    return h.where("k <= 200").select("document_id", "seq", "src")
+@query("G13", "edges", "events", sql="""
+    WITH k AS (SELECT document_id, type, src, dst, row_number() OVER (ORDER BY document_id, type, src, dst) - 1 AS n FROM (SELECT DISTINCT document_id, type, src, dst FROM edges WHERE type = 'AUTHORED')), s AS (SELECT count(*) AS total FROM k),
+         e AS (SELECT k.document_id, type, src, dst, event_id, event_type AS comment, CAST(user_id AS VARCHAR) AS editor, floor(epoch(ts))::BIGINT AS edited FROM events, s JOIN k ON n = event_id % total),
+         h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY edited DESC, event_id DESC) AS k FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY document_id, type, src, dst ORDER BY edited DESC, event_id DESC) AS q FROM e)
+    SELECT 'patch' AS kind, document_id, type, src, dst, event_id, comment, editor, edited FROM l WHERE q = 1 UNION ALL SELECT 'history', document_id, type, src, dst, event_id, comment, editor, edited FROM h WHERE k <= 200""")
+def g13(edges, events):
+    """Edits of relations: the last comment, editor and time of each edge, and the last two hundred edits of each document. An event edits the edge of its number."""
+    e = edges.where("type = 'AUTHORED'").select("document_id", "type", "src", "dst").distinct().orderBy("document_id", "type", "src", "dst")
+    numbered = numbered_rows(checkpointed(e), "n", ("document_id", "type", "src", "dst"))
+    total = numbered.count()
+    if not total:
+        return events.select(F.lit("patch").alias("kind")).where("false")
+    said = events.select("event_id", F.col("event_type").alias("comment"), F.col("user_id").cast("string").alias("editor"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("edited"), (F.col("event_id") % total).alias("n"))
+    return edited(said.join(numbered, "n").drop("n"))
+
+
+def numbered_rows(df: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
+    """df with the place of each row in the order: ranked inside ranges of a sort, after the counts of the ranges before."""
+    part = df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id())
+    part = checkpointed(part)
+    sizes = part.groupBy("part__").agg(F.count("*").alias("size__"))  # a row for each range
+    before = F.sum("size__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("part__", F.coalesce(before, F.lit(0)).alias("before__"))
+    own = F.row_number().over(Window.partitionBy("part__").orderBy(*order)) - 1
+    return part.withColumn(name, own).join(F.broadcast(sizes), "part__").withColumn(name, (F.col(name) + F.col("before__")).cast("long")).drop("part__", "before__")
+
+
+def edited(edits: DataFrame, history: int = 200) -> DataFrame:
+    """kind, the edge, comment, editor, edited: the last edit of each edge (patch) and the last edits of each document (history)."""
+    key = ["document_id", "type", "src", "dst"]
+    shown = [*key, "event_id", "comment", "editor", "edited"]
+    last = edits.groupBy(*key).agg(F.max(F.struct("edited", "event_id", "comment", "editor")).alias("x")).select(F.lit("patch").alias("kind"), *key, "x.event_id", "x.comment", "x.editor", "x.edited")
+    best = [F.desc("edited"), F.desc("event_id")]
+    part = edits.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(16)))
+    few = part.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "part").orderBy(*best))).where(F.col("k") <= history)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy(*best))).where(F.col("k") <= history)
+    return last.unionByName(few.select(F.lit("history").alias("kind"), *shown))
 
 
 @query("G17", "lines", sql="SELECT doc_id, regexp_extract(CAST(doc_id AS VARCHAR) || ':p:' || CAST(pos AS VARCHAR), ':p:([0-9]+)$', 1)::BIGINT AS idx, line FROM lines WHERE trim(line) <> ''")
