@@ -142,12 +142,14 @@ def k12(vectors):
     return project(vectors).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("K13", "vectors")
-def k13(vectors):
-    """Points of the map with the size of their cluster."""
-    size = vectors.groupBy("cluster_id").agg(F.count("*").alias("members"))
-    labels = vectors.select("vec_id", "cluster_id", "is_anomaly").join(F.broadcast(size), "cluster_id")
-    return project(vectors).join(labels, "vec_id").select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster_id", "members", "is_anomaly")
+@query("K13", "vectors", "documents")
+def k13(vectors, documents):
+    """Points of the map with the name and the size of their cluster and its share of anomalies; names are a cluster's most frequent words."""
+    size = vectors.groupBy("cluster_id").agg(F.count("*").alias("members"), F.count(F.when(F.col("is_anomaly"), 1)).alias("anomalies"))
+    texts = vectors.where("cluster_id >= 0").select("cluster_id", F.col("document_id").alias("doc_id")).distinct().join(documents.select("doc_id", "text"), "doc_id")
+    names = cluster_names(texts.select(F.col("cluster_id").alias("cluster"), "text")).withColumnRenamed("cluster", "cluster_id")
+    labels = vectors.select("vec_id", "cluster_id", "is_anomaly").join(size.join(names, "cluster_id", "left"), "cluster_id")
+    return project(vectors).join(labels, "vec_id").select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster_id", "name", "members", "anomalies", "is_anomaly")
 
 
 @query("K14", "vectors", "nodes", sql="""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import ontology as O
+from factloom.operators.text import CHUNK, chunk_sql, chunks, tokens
 from factloom.plans.registry import query
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -198,11 +199,38 @@ def s19(nodes, edges):
     return n.agg(F.lit("nodes").alias("kind"), F.count("*").alias("n")).unionByName(e.agg(F.lit("edges").alias("kind"), F.count("*").alias("n")))
 
 
-@query("S20", "pages", sql="SELECT page_id, strlen(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '^﻿', '')) AS bytes, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def s20(pages):
-    """Text read from pages: byte order mark and line ends unified, declared language."""
-    text = F.regexp_replace(F.regexp_replace("html", "\r\n", "\n"), "^﻿", "")
-    return pages.select("page_id", F.octet_length(text).cast("long").alias("bytes"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
+DELIMITERS = (";", ",", "|", "\t")
+FENCE_LINES = 500
+
+
+@query("S20", "files", sql="""
+    WITH t AS (SELECT file_id, ext, replace(regexp_replace(content, '^\ufeff', ''), chr(13) || chr(10), chr(10)) AS text FROM files), h AS (SELECT *, left(text, 4096) AS head FROM t),
+         n AS (SELECT *, [length(head) - length(replace(head, ';', '')), length(head) - length(replace(head, ',', '')), length(head) - length(replace(head, '|', '')), length(head) - length(replace(head, chr(9), ''))] AS c FROM h),
+         d AS (SELECT *, CASE WHEN ext = 'csv' AND list_max(c) > 0 THEN [';', ',', '|', chr(9)][list_position(c, list_max(c))] END AS delimiter FROM n), l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines, string_split(text, chr(10)) AS every FROM d)
+    SELECT file_id, ext, delimiter, CASE WHEN delimiter IS NOT NULL THEN len(lines) - 1 END AS n_rows, CASE WHEN delimiter IS NOT NULL THEN len(string_split(lines[1], delimiter)) END AS n_columns,
+           CASE WHEN delimiter IS NOT NULL THEN array_to_string(list_transform(lines, lambda x: '| ' || array_to_string(list_transform(string_split(x, delimiter), lambda v: replace(v, '|', '/')), ' | ') || ' |'), chr(10)) ELSE '```' || ext || chr(10) || array_to_string(every[:500], chr(10)) || chr(10) || '```' END AS markdown FROM l""")
+def s20(files):
+    """Loose files as Markdown."""
+    return read_files(files)
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """file_id, ext, delimiter, n_rows, n_columns, markdown of files (file_id, ext, content): byte order marks go and line ends are made alike; tables by the delimiter that their first 4096 characters have most of; anything else in a fence, FENCE_LINES lines at most."""
+    text = F.replace(F.regexp_replace("content", "^\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
+    t = files.select("file_id", "ext", text.alias("text"))
+    head = F.substring("text", 1, 4096)
+    counts = F.array(*[F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))) for d in DELIMITERS])
+    best = F.element_at(F.array(*map(F.lit, DELIMITERS)), F.array_position(counts, F.array_max(counts)).cast("int"))
+    t = t.withColumn("delimiter", F.when((F.col("ext") == "csv") & (F.array_max(counts) > 0), best))
+    every = F.split("text", "\n", -1)
+    t = t.withColumn("lines", F.filter(every, lambda x: x != ""))
+    cells = lambda line: F.split(line, F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")), -1)
+    row = lambda line: F.concat(F.lit("| "), F.array_join(F.transform(cells(line), lambda v: F.replace(v, F.lit("|"), F.lit("/"))), " | "), F.lit(" |"))
+    fence = F.concat(F.lit("```"), "ext", F.lit("\n"), F.array_join(F.slice(every, 1, FENCE_LINES), "\n"), F.lit("\n```"))
+    table = F.col("delimiter").isNotNull()
+    return t.select(
+        "file_id", "ext", "delimiter", F.when(table, F.size("lines") - 1).cast("long").alias("n_rows"), F.when(table, F.size(cells(F.get("lines", F.lit(0))))).cast("long").alias("n_columns"), F.when(table, F.array_join(F.transform("lines", row), "\n")).otherwise(fence).alias("markdown")
+    )
 
 
 @query("S21", "nation", sql="SELECT '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || replace(n_name, '|', '\\|') || ' |' AS line, n_nationkey::BIGINT AS pos FROM nation")
@@ -256,20 +284,37 @@ def resume(files: DataFrame, log: DataFrame) -> DataFrame:
     return files.join(log.where("status = 'uploaded'").select("path"), "path", "left_anti")
 
 
-@query("S11", "nodes", sql="SELECT CASE WHEN label IN ('ExperimentRun', 'Measurement') THEN 'claims' ELSE 'entities' END AS collection, document_id, count(*) AS points, max(length(left(coalesce(name, id), 2000)))::BIGINT AS longest FROM nodes WHERE label <> 'Document' GROUP BY 1, 2")
-def s11(nodes):
-    """Points of a graph's index by collection and document."""
+@query("S11", "documents", "nodes", "registry", sql=f"""
+    WITH RECURSIVE {chunk_sql(CHUNK)}, p AS (SELECT doc_id AS document_id, 'chunks' AS collection, CAST(doc_id AS VARCHAR) || ':p:' || CAST(idx AS VARCHAR) AS id, text FROM chunked WHERE kind <> 'heading'
+         UNION ALL SELECT document_id, CASE WHEN label IN ({", ".join(f"'{x}'" for x in O.LAYERS["L4"])}) THEN 'claims' ELSE 'entities' END, id, coalesce(name, id) FROM nodes WHERE label <> 'Document'),
+         k AS (SELECT p.*, left(text, 8000) AS embedded FROM p)
+    SELECT collection, k.document_id, k.id, left(embedded, 2000) AS text, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(left(embedded, 2000)), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2))), ' ') AS tokens, file_name, length(embedded)::BIGINT AS embedded_chars FROM k LEFT JOIN registry r ON r.id = k.document_id""")
+def s11(documents, nodes, registry):
+    """The points of a graph's index: paragraphs, claims and entities with what is embedded, what is kept, their tokens and their document's name."""
+    p = chunks(documents.select("doc_id", "text")).where("kind <> 'heading'")
+    p = p.select(F.col("doc_id").alias("document_id"), F.lit("chunks").alias("collection"), F.concat(F.col("doc_id").cast("string"), F.lit(":p:"), F.col("idx").cast("string")).alias("id"), "text")
     at = F.when(F.col("label").isin(*O.LAYERS["L4"]), "claims").otherwise("entities")
-    points = nodes.where("label <> 'Document'").select(at.alias("collection"), "document_id", F.substring(F.coalesce("name", "id"), 1, 2000).alias("text"))
-    return points.groupBy("collection", "document_id").agg(F.count("*").alias("points"), F.max(F.length("text")).cast("long").alias("longest"))
-
-
-@query("S13", "documents", sql="WITH p AS (SELECT doc_id, length(text) AS n, unnest(generate_series(0, (length(text) - 1) // 1200)) AS i FROM documents WHERE length(text) > 0) SELECT CAST(doc_id AS VARCHAR) || ':md_chunk:' || CAST(i AS VARCHAR) AS id, least(1200, n - i * 1200)::BIGINT AS chars FROM p")
-def s13(documents):
-    """Index entries of raw chunks, for documents without a graph."""
-    n = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1200).cast("long"))
-    p = documents.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(n).alias("i"))
-    return p.select(F.concat(F.col("doc_id").cast("string"), F.lit(":md_chunk:"), F.col("i").cast("string")).alias("id"), F.least(F.lit(1200), F.col("n") - F.col("i") * 1200).cast("long").alias("chars"))
+    n = nodes.where("label <> 'Document'").select("document_id", at.alias("collection"), "id", F.coalesce("name", "id").alias("text"))
+    return index_points(p.unionByName(n), registry)
+
+
+def index_points(points: DataFrame, registry: DataFrame) -> DataFrame:
+    """collection, document_id, id, text (2000 characters), tokens, file_name, embedded_chars (8000 at most) of points to index."""
+    shown = F.substring("text", 1, 2000)
+    own = points.select("collection", "document_id", "id", shown.alias("text"), F.array_join(tokens(shown), " ").alias("tokens"), F.least(F.length("text"), F.lit(8000)).cast("long").alias("embedded_chars"))
+    return own.join(registry.select(F.col("id").alias("document_id"), "file_name"), "document_id", "left")
+
+
+@query("S13", "documents", "registry", sql="""
+    WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT id FROM registry WHERE status = 'ready')), p AS (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1200)) AS i FROM d)
+    SELECT 'chunks' AS collection, doc_id AS document_id, CAST(doc_id AS VARCHAR) || ':md_chunk:' || CAST(i AS VARCHAR) AS id, substr(text, i * 1200 + 1, 1200) AS text FROM p""")
+def s13(documents, registry):
+    """Index entries of raw chunks, for documents whose graph isn't ready."""
+    has = registry.where("status = 'ready'").select(F.col("id").alias("doc_id"))
+    d = documents.where("length(text) > 0").join(has, "doc_id", "left_anti")
+    n = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("long"))
+    p = d.select("doc_id", "text", F.explode(n).alias("i"))
+    return p.select(F.lit("chunks").alias("collection"), F.col("doc_id").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":md_chunk:"), F.col("i").cast("string")).alias("id"), F.expr(f"substring(text, cast(i * {CHUNK} + 1 as int), {CHUNK})").alias("text"))
 
 
 @query("S22", "registry", sql="""SELECT id, CAST(id AS VARCHAR) || ',"' || replace(file_name, '"', '""') || '",' || coalesce(geography, '') AS line FROM registry""")

@@ -46,6 +46,11 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS cluster_id, vec_id % 17 = 0 AS is_anomaly, CAST(vec_id * 37 % 1000 AS DOUBLE) / 1000 AS anomaly_score FROM embeddings""",
     "hits": f"""
         SELECT turn AS query_id, conv_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
+    # loose files of each document
+    "files": """
+        SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' ELSE 'xml' END AS ext, CASE doc_id % 3
+               WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN '\ufeff' ELSE '' END || replace('id~name~lang' || CASE WHEN doc_id % 5 = 0 THEN '\r\n' ELSE '\n' END || CAST(doc_id AS STRING) || '~' || coalesce(source, '') || '~' || coalesce(lang, '') || '\n' || CAST(n_chars AS STRING) || '~chars, all~' || '\n', '~', CASE doc_id % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN '|' ELSE '\t' END)
+               WHEN 1 THEN '{"id": ' || CAST(doc_id AS STRING) || ', "source": "' || coalesce(source, '') || '"}' ELSE '<doc>\n' || coalesce(text, '') || '\n</doc>' END AS content FROM documents""",
     # notes of the runs, in words
     "notes": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, 'Run ' || CAST(l_orderkey AS STRING) || ' took ' || replace(CAST(l_quantity AS STRING), '.', ',') || ' kg at ' || CAST(l_suppkey AS STRING) || ' °C with ' || CAST(l_discount AS STRING) || '% off' AS line FROM lineitem""",
