@@ -39,10 +39,15 @@ def test_confidence(spark):
     assert spark.range(1).select(analytics.composite(parts)).first()[0] == 0.8714
 
 
-def test_dedupe_is_idempotent(spark):
-    nodes = spark.createDataFrame([("a", "X", "n", 0.5), ("a", "Y", None, 0.7), ("b", "X", "m", None)], "id string, label string, name string, confidence double")
+def test_dedupe_keeps_the_first_label_and_the_last_properties(spark):
+    schema = "document_id long, id string, label string, name string, numeric_value double, unit string, parameter string, confidence double"
+    nodes = spark.createDataFrame([(2, "a", "X", "late", None, None, None, 0.5), (1, "a", "Y", "early", 3.0, "kg", None, 0.7), (3, "a", "X", None, None, "g", None, None), (1, "b", "X", "m", None, None, None, None), (1, "", "X", "blank", None, None, None, None)], schema)
     once = quality.dedupe_nodes(nodes)
-    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, quality.dedupe_nodes(once).collect())) == [("a", "X", "n", 0.7), ("b", "X", "m", None)]
+    columns = ["id", "label", "name", "numeric_value", "unit", "parameter", "confidence"]
+    want = [("a", "Y", "late", 3.0, "g", None, 0.5), ("b", "X", "m", None, None, None, None)]
+    assert sorted(map(tuple, once.select(*columns).collect())) == want
+    again = quality.dedupe_nodes(once.selectExpr("1L AS document_id", "*"))
+    assert sorted(map(tuple, again.select(*columns).collect())) == want
 
 
 def test_upsert_and_patch(spark):
@@ -53,9 +58,16 @@ def test_upsert_and_patch(spark):
     assert sorted(map(tuple, tables.patch(base, changes, "id").collect()), key=str) == [(1, None, 1), (2, "b", 1)]
 
 
-def test_walk_respects_hops(spark):
-    b = walk.both(spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t")], "src string, dst string, type string"))
-    assert sorted(map(tuple, walk.walk(b, ("a",), 2).collect())) == [("a", 0), ("b", 1), ("c", 2)]
+def test_walk_respects_hops_and_budget(spark):
+    b = walk.both(spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "x", "s"), ("a", "y", "s")], "src string, dst string, type string"))
+    seeds = spark.createDataFrame([("a",)], "node string")
+    assert sorted(map(tuple, walk.within(b, seeds, 2).collect())) == [("a", 0), ("b", 1), ("c", 2), ("x", 1), ("y", 1)]
+    scores = spark.createDataFrame([(1, "y", 0.9), (1, "x", 0.1)], "query_id long, node string, score double")
+    start = spark.createDataFrame([(1, "a", 1)], "query_id long, node string, ord int")
+    got = sorted((r["ord"], r["hop"], r["src"], r["node"]) for r in walk.walk(b, scores, start, hops=3, budget=4, fan=3).collect())
+    assert got == [(1, 0, None, "a"), (2, 1, "a", "y"), (3, 1, "a", "x"), (4, 1, "a", "b")]
+    got = {r["node"] for r in walk.walk(b, scores, start, hops=2, budget=20, fan=1).collect()}
+    assert got == {"a", "y"}  # y leads nowhere else
 
 
 def test_projection_variance(spark):
