@@ -117,7 +117,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # each template's words by falling IDF; of those that the file has, the first are looked up
     ranked = F.array(*[literal(sorted(e["idf"], key=lambda w, e=e: (-e["idf"][w], w))) for e in index])
     chosen = F.transform(ranked, lambda ws: F.slice(F.array_intersect(ws, F.col("present")), 1, RARE))
-    rows = rows.select("id", "n_words", "words", F.when(F.col("words").isNotNull(), chosen).alias("chosen"))
+    # exploding one element keeps the planner from putting the choice into the look-up, where each hit would make it anew
+    rows = rows.select("id", "n_words", "words", F.explode(F.array(F.when(F.col("words").isNotNull(), chosen))).alias("chosen"))
     lookup = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*postings))
     # a place is one long, start x templates + template, so that equal ones are told by hashing
