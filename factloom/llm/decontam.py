@@ -34,7 +34,7 @@ from factloom.llm.common import kept, modest, row_key, slabs, small_side, tidied
 
 WINDOW, COVERAGE = 5, 0.5
 BITMAP_BITS = 1 << 24
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 #: Windows of the benchmark and leaking rows that every task gets, if there are no more; otherwise the joins shuffle.
 SENT_WINDOWS, SENT_ROWS = 200_000, 500_000
 #: Units that may follow a number.
@@ -59,6 +59,17 @@ class Tokens(dict):
         self.frozen = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, bool, np.uint64, np.int8, bool))
 
     def __missing__(self, raw: str) -> int:
+        if raw.isalpha():  # most tokens: one word
+            value = raw.lower()
+            self.starts.append(len(self.hashes))
+            self.counts.append(1)
+            self.caps.append(len(raw) > 1 and raw[0].isupper() and raw[1:].islower())
+            self.ends.append(False)
+            self.hashes.append(xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")))
+            self.kinds.append(WORD)
+            self.values.append(value)
+            self[raw] = at = len(self.starts) - 1
+            return at
         core = _EDGE.sub("", raw) if not raw[:1].isalnum() or not raw[-1:].isalnum() else raw
         parts: list[tuple[int, str]] = []
         m = _NUMBER.match(core)
