@@ -29,12 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import SLAB_CHARS, modest, others, slabs, tidied, unused
+from factloom.llm.common import SLAB_CHARS, WordCache, modest, others, slabs, tidied, unused
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words after which a worker's cache becomes the old one, which keeps those that come again.
-CACHE_WORDS = 60_000
 #: A text is cut, where that is safe, once a piece has this many characters.
 PIECE_CHARS = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -81,7 +79,7 @@ def trie_of(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.
     return keys[order], nodes[order], terms
 
 
-class Model:
+class Model(WordCache):
     """Vocabulary and merges of one tokenizer file."""
 
     def __init__(self, path: str) -> None:
@@ -260,21 +258,6 @@ class Model:
                     heapq.heappush(heap, (r, k, ids[k], ids[nxt[k]]))
         return np.array([i for i in ids if i >= 0], np.int64)
 
-    def fresh(self) -> None:
-        """An empty cache: the place of each word, and at each place where its ids start in `flat` and how many there are."""
-        self.words: dict[str, int] = {}
-        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def keep(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
-        self.words.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat.astype(np.int32)])
-
-    def ids_at(self, places: np.ndarray) -> np.ndarray:
-        counts = self.counts[places]
-        first = np.repeat(self.starts[places] - (np.cumsum(counts) - counts), counts)
-        return self.flat[first + np.arange(len(first))]
-
     def learn(self, words: list[str]) -> None:
         """Puts the tokens of new words in the cache."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -306,17 +289,7 @@ class Model:
             for s in self.added_at.split(text) if self.added_at else [text]:
                 parts += [self.added[s]] if s in self.added else [find(p) for p in pieces(s)] if s else []
             cut.append(parts)
-        seen = set().union(*(p for parts in cut for p in parts if not isinstance(p, int)))
-        if len(self.words) > CACHE_WORDS:
-            old, places = self.words, (self.starts, self.counts, self.flat)
-            again = list(seen.intersection(old))
-            at = np.fromiter(map(old.__getitem__, again), np.int64, len(again))
-            ids = self.ids_at(at)
-            self.fresh()
-            self.keep(again, places[1][at], ids)
-        new = seen.difference(self.words)
-        if new:
-            self.learn(list(new))
+        self.meet(set().union(*(p for parts in cut for p in parts if not isinstance(p, int))))
         get = self.words.__getitem__
         out, ends, n = [], [], 0
         for parts in cut:

@@ -7,7 +7,10 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that a Python task handles at a time.
 SLAB_CHARS = 1 << 20
-#: Folders that operators made and that hold nothing but what their results are made of.
-_scratch: list[str] = []
+#: The run that tables kept now belong to.
+_run: ContextVar[Run | None] = ContextVar("run", default=None)
 #: Rows and bytes of an Arrow batch, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -38,9 +41,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return at if "://" in at else f"file://{at}"
 
 
+class Run:
+    """The tables that operators keep inside `with run:`. They are the run's own: `clear` removes them and no others, to be
+    called when the results made of them have been written. What is kept outside any run stays."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables, self._before = spark, [], []
+
+    def __enter__(self) -> Run:
+        self._before.append(_run.set(self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _run.reset(self._before.pop())
+
+    def clear(self) -> None:
+        while self.tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.tables.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for what an operator keeps while its result is in use; `clear` removes it."""
-    _scratch.append(at := new_folder(spark, name))
+    """A new folder for what an operator keeps while its result is in use; it belongs to the run that is open, if any."""
+    at = new_folder(spark, name)
+    if run := _run.get():
+        run.tables.append(at)
     return at
 
 
@@ -51,13 +76,6 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes what operators have kept so far. To be called when their results have been written, as between the pipeline's stages."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, everything else untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +104,69 @@ def tidied(batches: Iterator[pa.RecordBatch], end: Callable[[], None] | None = N
             pass
 
 
+class Places(dict[str, int]):
+    """The places of words; one that isn't there gets the next place and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+
+class WordCache:
+    """The ids of words met before: the place of each word, and at each place where its ids start in `flat` and how many there are."""
+
+    #: Words after which a cache becomes the old one, which keeps those that come again.
+    most = 60_000
+
+    def fresh(self) -> None:
+        self.words = Places()
+        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def keep(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        counts = self.counts[places]
+        first = np.repeat(self.starts[places] - (np.cumsum(counts) - counts), counts)
+        return self.flat[first + np.arange(len(first))]
+
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
+
+    def meet(self, seen: set[str]) -> None:
+        """Makes sure that the words are in the cache; when it is full, of the others only those stay that are here again."""
+        if len(self.words) > self.most:
+            old, counts = self.words, self.counts
+            again = list(seen.intersection(old))
+            at = np.fromiter(map(old.__getitem__, again), np.int64, len(again))
+            ids = self.ids_at(at)
+            self.fresh()
+            self.keep(again, counts[at], ids)
+        new = seen.difference(self.words)
+        if new:
+            self.learn(list(new))
+
+    def places(self, cut: list[list[str]]) -> np.ndarray:
+        """The places of all words in a row; a full cache begins anew."""
+        if len(self.words) > self.most:
+            self.fresh()
+        known = len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64)
+        if new := self.words.new:
+            self.words.new = []
+            self.learn(new)
+            places = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+            met = at >= known
+            at[met] = places[at[met] - known]
+        return at
+
+
 def slabs(sizes: list[int], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts sum to about limit characters; a longer text is a range of its own."""
     start = total = 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, exactdup, langid, license, linedup, minhash, secrets, urltree, warc
+from factloom.llm import bpe, decontam, exactdup, langid, license, linedup, minhash, pieces, resample, secrets, urltree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +80,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("keep_id").alias("keep_doc_id"), F.col("keep_line").cast("long").alias("keep_line"), F.col("edits").cast("long").alias("edits"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twentieth of documents that is most like the benchmark's texts, with noise."""
+    found = resample.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, out=None, packed="ids", back="decoded")
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_bpe, op3_minhash, op4_warc, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_license, op9_secrets, op10_line_dedup)
+    for f in (op1_language_id, op2_bpe, op3_minhash, op4_warc, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_license, op9_secrets, op10_line_dedup, op11_resampling, op12_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {

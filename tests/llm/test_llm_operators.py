@@ -155,7 +155,7 @@ def test_bpe(docs, empty):
 def test_bpe_small_cache_and_pieces(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, model = Tokenizer.from_file(path), bpe.Model(path)
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe.Model, "most", 50)
     monkeypatch.setattr(bpe, "PIECE_CHARS", 300)
     for _ in range(3):
         for text in (LONG[:9000], BASE * 20, "déjà vu " * 200):
