@@ -260,11 +260,13 @@ class Pieces(WordCache):
 
     def normal(self, text: str) -> str:
         """The text with blanks for their symbol, as the model wants it to begin and be spaced."""
+        if self.trim:  # blanks alone are squeezed, but at the end their symbols go as well
+            text = re.sub(" +", " ", text.lstrip(" "))
+        if text and self.prefix:
+            text = f" {text}"
         if BLANK in text:
             text = text.replace(BLANK, " ")
-        if self.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        return f" {text}" if text and self.prefix else text
+        return text.rstrip(" ") if self.trim else text
 
     def encode(self, texts: list[str], bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's end."""

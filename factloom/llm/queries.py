@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, exactdup, langid, license, linedup, minhash, pieces, resample, secrets, urltree, warc
+from factloom.llm import bpe, decontam, exactdup, langid, license, linedup, minhash, pieces, resample, secrets, urltree, variants, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,9 +92,13 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_bpe, op3_minhash, op4_warc, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_license, op9_secrets, op10_line_dedup, op11_resampling, op12_sentencepiece)
+    for f in (op1_language_id, op2_bpe, op3_minhash, op4_warc, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_license, op9_secrets, op10_line_dedup, op11_resampling, op12_sentencepiece, op13_spelling)
 }
 
 ORACLE_SQL: dict[str, str] = {
