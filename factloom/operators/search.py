@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import ontology as O
+from factloom.operators import ivf
+from factloom.operators.ivf import best_of
 from factloom.operators.text import tokens
 from factloom.plans.registry import query
 from factloom.session import checkpointed, in_blocks
@@ -21,26 +23,9 @@ DOMAIN = r"(?i)\b(?:nickel|cobalt|copper|iron|material|process|technology|alloy|
 MAX_SENT_QUERIES = 5000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
-    """query_id, vec_id, score, rank: every query against every vector; the k best of each by score, then id.
-
-    Queries are counted and sent in blocks of about MAX_SENT_QUERIES, by a hash of the id (ids may share a factor with the number of blocks). Each task keeps its own k best of a query before anything shuffles: the rank is computed in two steps, by a salt of
-    the vector's id first.
-    """
-    return in_blocks(queries, "query_id", MAX_SENT_QUERIES, lambda part: _block_top_k(vectors, part, k, min_score))
-
-
-def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("score", cosine(F.col("embedding"), F.col("query")))
-    scored = scored.where(F.col("score") >= min_score).select("query_id", "vec_id", "score", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
-    best = [F.desc("score"), F.asc("vec_id")]
-    part = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*best))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    """query_id, vec_id, score, rank: the k nearest vectors of each query by score, then id, found exactly by an inverted file."""
+    return ivf.top_k(vectors, queries, k, min_score)
 
 
 COS_SQL = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM vectors WHERE vec_id % 50 = 0),
@@ -99,53 +84,176 @@ def r7(hits):
     return merge_hits(hits)
 
 
-@query("R8", "hits", "nodes", sql="""
-    WITH m AS (SELECT query_id, document_id, max(score) AS best FROM hits GROUP BY 1, 2), f AS (SELECT DISTINCT document_id, id FROM nodes WHERE label = 'ExperimentRun')
-    SELECT query_id, document_id, id AS node_id, round(best * 0.75, 6) AS score FROM m JOIN f USING (document_id)""")
-def r8(hits, nodes):
-    """Facts of the documents that were found, at 0.75 of the best score there."""
-    m = hits.groupBy("query_id", "document_id").agg(F.max("score").alias("best"))
-    f = nodes.where("label = 'ExperimentRun'").select("document_id", F.col("id").alias("node_id")).distinct()
-    return m.join(f, "document_id").select("query_id", "document_id", "node_id", F.round(F.col("best") * 0.75, 6).alias("score"))
-
-
-@query("R9", "vectors", sql=f"""
-    WITH {COS_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc), seed AS (SELECT * FROM top WHERE k <= 3),
-         b AS (SELECT query_id, cluster_id, max(score) AS best FROM seed WHERE cluster_id >= 0 GROUP BY 1, 2), m AS (SELECT b.query_id, v.vec_id, best * 0.55 AS score, row_number() OVER (PARTITION BY b.query_id, b.cluster_id ORDER BY v.vec_id) AS k
-         FROM b JOIN vectors v USING (cluster_id) WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = b.query_id AND s.vec_id = v.vec_id))
-    SELECT query_id, vec_id, round(score, 4) AS score FROM m WHERE k <= 6""")
-def r9(vectors):
-    return cluster_context(vectors, vector_top_k(vectors, _queries(vectors), 3)).select("query_id", "vec_id", F.round("score", 4).alias("score"))
-
-
-def cluster_context(vectors: DataFrame, seeds: DataFrame, share: float = 0.55, cap: int = 6) -> DataFrame:
-    """Up to `cap` unseen members of each cluster that a query's seeds are in, at a share of the best seed's score."""
-    members = vectors.where("cluster_id >= 0").select("vec_id", "cluster_id")
-    own = seeds.join(members, "vec_id").groupBy("query_id", "cluster_id").agg(F.max("score").alias("best"))
-    m = own.join(members, "cluster_id").join(seeds.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
-    k = F.row_number().over(Window.partitionBy("query_id", "cluster_id").orderBy("vec_id"))
-    return m.withColumn("k", k).where(F.col("k") <= cap).select("query_id", "vec_id", (F.col("best") * share).alias("score"))
-
-
-@query("R10", "vectors", sql=f"""
-    WITH {COS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, vec_id) AS k FROM sc WHERE collection IN ('chunks', 'claims')),
-         u AS (SELECT query_id, vec_id, score FROM c WHERE (collection = 'chunks' AND k <= 6) OR (collection = 'claims' AND k <= 5)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM u)
-    SELECT query_id, vec_id, round(score, 4) AS score FROM r WHERE k <= 8""")
-def r10(vectors):
-    """Two-factor search: the best chunks and the best claims in one ranking."""
-    q = _queries(vectors)
-    u = vector_top_k(vectors.where("collection = 'chunks'"), q, 6).unionByName(vector_top_k(vectors.where("collection = 'claims'"), q, 5))
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return u.withColumn("k", k).where("k <= 8").select("query_id", "vec_id", F.round("score", 4).alias("score"))
+@query("J8", "vectors", sql=f"WITH {COS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc) SELECT query_id, vec_id, k AS rank, round(score, 4) AS score FROM r WHERE k <= 10")
+def j8(vectors):
+    """The ten nearest of all vectors."""
+    return vector_top_k(vectors, _queries(vectors), 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+#: Scores of what hangs together with a hit, and how many members of a cluster come along.
+BRIDGE, CLUSTER, MEMBERS = 0.75, 0.55, 6
+#: Each collection's layer and what a hit by its vectors is called.
+CHUNKS, CLAIMS, ENTITIES = "chunks", "claims", "entities"
+BY_VECTOR, BY_WORD = {CHUNKS: "l3_embedding", CLAIMS: "l4_embedding", ENTITIES: "entity_embedding"}, {CHUNKS: "l3_keyword", ENTITIES: "entity_keyword"}
+HIT = ["query_id", "document_id", "node_id", "score", "factor"]
+
+
+def limits(limit: int) -> dict[str, int]:
+    """How many hits of each collection a search for `limit` hits takes."""
+    return {CHUNKS: max(6, limit), CLAIMS: max(4, limit // 2 + 3), ENTITIES: limit}
+
+
+def vector_hits(index: ivf.Index, points: DataFrame, queries: DataFrame, limit: int, min_score: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest points of each collection, and its rank there, for queries (query_id, self_id, query, and the columns of same): one search, in which a query asks each collection by itself."""
+    ask = F.explode(F.array(*(F.struct(F.col("query_id").alias("q"), F.col("self_id").alias("own"), F.lit(c).alias("collection")) for c in (CHUNKS, CLAIMS, ENTITIES))))
+    q = queries.select("query", *same, ask.alias("query_id")).withColumn("collection", F.col("query_id.collection"))
+    cut = limits(limit)
+    found = ivf.Search(index, q, max(cut.values()), min_score, ("collection", *same), own=F.col("query_id.own")).hits()
+    found = found.select(F.col("query_id.q").alias("query_id"), F.col("query_id.collection").alias("collection"), F.col("vec_id").alias("node_id"), "score", "rank")
+    found = found.where(reduce(Column.__or__, ((F.col("collection") == c) & (F.col("rank") <= n) for c, n in cut.items())))
+    own = points.select(F.col("point_id").alias("node_id"), "document_id")
+    factor = F.create_map(*(F.lit(x) for kv in BY_VECTOR.items() for x in kv))[F.col("collection")]
+    return found.join(own, "node_id").select(*HIT[:4], factor.alias("factor"), "collection")
+
+
+def word_hits(words: DataFrame, asked_words: DataFrame, collection: str, cut: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """Points (id, document_id, collection, w, and the columns of same) by the number of words that they share with a query (query_id, self_id, w): the best `cut`."""
+    c = words.where(F.col("collection") == collection).join(asked_words, ["w", *same]).where("id <> self_id").groupBy("query_id", "document_id", "id").agg(F.count("*").alias("overlap"))
+    score = F.least(F.lit(1.0), 0.35 + 0.15 * F.col("overlap"))
+    top = best_of(c, cut, F.desc("overlap"), F.asc("id"))
+    return top.select("query_id", "document_id", F.col("id").alias("node_id"), score.alias("score"), F.lit(BY_WORD[collection]).alias("factor"))
+
+
+def point_words(points: DataFrame) -> DataFrame:
+    return points.where(F.col("collection").isin(*BY_WORD)).select(F.col("point_id").alias("id"), "document_id", "collection", "folder", F.explode(tokens(F.col("text"))).alias("w"))
+
+
+def topped_up(found: DataFrame, words: DataFrame, asked_words: DataFrame, collection: str, cut: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """The vector hits of a collection; queries with fewer than `cut` get hits by words as well, merged by point, the best `cut` of all."""
+    own = found.where(F.col("collection") == collection).drop("collection")
+    full = own.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= cut).select("query_id")
+    more = word_hits(words, asked_words.join(full, "query_id", "left_anti"), collection, cut, same)
+    merged = merge_hits(own.unionByName(more))
+    return best_of(merged, cut, F.desc("score"), F.asc("node_id"), salt="node_id")
+
+
+def bridged(l3: DataFrame, links: DataFrame) -> DataFrame:
+    """Facts linked to a paragraph that was found, at a share of the best paragraph's score in the document."""
+    best = l3.withColumn("best", F.max("score").over(Window.partitionBy("query_id", "document_id")))  # a few hits of a query
+    ends = links.select("document_id", F.col("src").alias("node_id"), F.col("dst").alias("fact"))
+    met = best.join(ends, ["document_id", "node_id"]).select("query_id", "document_id", F.col("fact").alias("node_id"), (F.col("best") * BRIDGE).alias("score")).distinct()
+    return met.withColumn("factor", F.lit("l4_graph_bridge"))
+
+
+def clustered(found: DataFrame, points: DataFrame) -> DataFrame:
+    """For each document and cluster of a query's facts up to MEMBERS facts of it that aren't found yet, the smallest ids first, at a share of the best fact's score."""
+    facts = points.where((F.col("collection") == CLAIMS) & (F.col("cluster_id") >= 0)).select("document_id", F.col("point_id").alias("node_id"), "cluster_id")
+    seeds = found.join(facts, ["document_id", "node_id"]).groupBy("query_id", "document_id", "cluster_id").agg(F.max("score").alias("best"))
+    unseen = seeds.join(facts, ["document_id", "cluster_id"]).join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    k = F.row_number().over(Window.partitionBy("query_id", "document_id", "cluster_id").orderBy("node_id"))
+    return unseen.withColumn("k", k).where(F.col("k") <= MEMBERS).select("query_id", "document_id", "node_id", (F.col("best") * CLUSTER).alias("score"), F.lit("l4_cluster").alias("factor"))
+
+
+def merged_hits(*parts: DataFrame) -> DataFrame:
+    """Hits of several sources by point: the best score, all factors."""
+    every = reduce(DataFrame.unionByName, (p.withColumn("factor", F.explode(F.split("factors", ","))).drop("factors") if "factors" in p.columns else p for p in parts))
+    return merge_hits(every.select(*HIT))
+
+
+def two_factor(found: DataFrame, points: DataFrame, links: DataFrame, words: DataFrame, asked_words: DataFrame, limit: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """Paragraphs by vectors, topped up by words; facts by vectors; facts linked to those paragraphs; the other facts of their clusters in the document. The best `limit` of all."""
+    l3 = topped_up(found, words, asked_words, CHUNKS, limits(limit)[CHUNKS], same)
+    l4 = found.where(F.col("collection") == CLAIMS).drop("collection")
+    seen = merged_hits(l3, l4, bridged(l3, links))
+    return best_of(merged_hits(seen, clustered(seen, points)), limit, F.desc("score"), F.asc("node_id"), salt="node_id")
+
+
+def query_words(queries: DataFrame, *same: str) -> DataFrame:
+    """The first sixteen words of each query."""
+    return queries.select("query_id", "self_id", *same, F.explode(F.slice(tokens(F.col("text")), 1, 16)).alias("w"))
+
 
+def unified(index: ivf.Index, points: DataFrame, links: DataFrame, queries: DataFrame, limit: int, min_score: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """Two-factor search and entity search, merged by point: the best `limit` of each query (query_id, self_id, query, text, and the columns of same, to which its points are confined)."""
+    asked_words, words = query_words(queries, *same), point_words(points)
+    found = checkpointed(vector_hits(index, points, queries, limit, min_score, same))
+    entities = topped_up(found, words, asked_words, ENTITIES, limit, same)
+    return best_of(merged_hits(two_factor(found, points, links, words, asked_words, limit, same), entities), limit, F.desc("score"), F.asc("node_id"), salt="node_id")
 
-@query("R12", "vectors", "registry", sql=f"""
-    WITH {COS_SQL}, ok AS (SELECT id FROM registry WHERE coalesce(classification, '{O.LEVELS[0]}') IN ('{O.LEVELS[0]}', '{O.LEVELS[1]}')), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM sc WHERE document_id IN (SELECT id FROM ok))
-    SELECT query_id, vec_id, round(score, 4) AS score FROM r WHERE k <= 10""")
-def r12(vectors, registry):
-    """Search over all collections; access comes before the cut."""
-    ok = registry.where(F.coalesce("classification", F.lit(O.LEVELS[0])).isin(*O.LEVELS[:2])).select(F.col("id").alias("document_id"))
-    return vector_top_k(vectors.join(ok, "document_id", "left_semi"), _queries(vectors), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+def point_queries(points: DataFrame) -> DataFrame:
+    return points.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("point_id").alias("self_id"), F.col("embedding").alias("query"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("text"))
+
+
+QUERY_SQL = "SELECT point_id AS query_id, point_id AS self_id, CAST(embedding AS DOUBLE[]) AS query, regexp_extract(text, '^\\S+ \\S+') AS text FROM points WHERE point_id % 50 = 0"
+
+
+def search_sql(k: int, least: float, queries: str = QUERY_SQL, p: str = "", scope: str = "true") -> str:
+    """The parts of the composed searches for the oracle, under names that begin with p: k hits in all, vectors from `least` on, points within the scope."""
+    cut = limits(k)
+    vector = lambda c, n: f"SELECT query_id, document_id, node_id, score, '{BY_VECTOR[c]}' AS factor FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, node_id) AS k FROM {p}sc WHERE score >= {least}) WHERE collection = '{c}' AND k <= {n}"
+    merged = lambda x: f"SELECT query_id, document_id, node_id, max(score) AS score, string_agg(DISTINCT factor, ',' ORDER BY factor) AS factors FROM ({x}) GROUP BY 1, 2, 3"
+    apart = lambda x: f"SELECT query_id, document_id, node_id, score, unnest(string_split(factors, ',')) AS factor FROM {p}{x}"
+    best = lambda x, n: f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS k FROM ({x})) WHERE k <= {n}"
+    words = "unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2))) AS w"
+    topped = lambda c, name, n: f"""{p}{name}_v AS ({vector(c, n)}), {p}{name}_w AS (SELECT query_id, document_id, node_id, least(1.0, 0.35 + 0.15 * overlap) AS score, '{BY_WORD[c]}' AS factor FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, node_id) AS k
+             FROM (SELECT query_id, document_id, point_id AS node_id, count(*) AS overlap FROM {p}pw pt JOIN {p}qw q USING (w) WHERE {scope} AND collection = '{c}' AND point_id <> self_id AND query_id NOT IN (SELECT query_id FROM {p}{name}_v GROUP BY 1 HAVING count(*) >= {n}) GROUP BY 1, 2, 3)) WHERE k <= {n}),
+         {p}{name} AS ({best(merged(f"SELECT * FROM {p}{name}_v UNION ALL SELECT * FROM {p}{name}_w"), n)})"""
+    return f"""{p}q AS ({queries}), {p}sc AS (SELECT query_id, point_id AS node_id, document_id, collection, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) AS score FROM points pt JOIN {p}q q ON point_id <> self_id AND {scope}),
+         {p}pw AS (SELECT point_id, document_id, collection, folder, {words} FROM points), {p}qw AS (SELECT * EXCLUDE (query, text), {words} FROM {p}q),
+         {topped(CHUNKS, "l3", cut[CHUNKS])}, {p}l4 AS ({vector(CLAIMS, cut[CLAIMS])}),
+         {p}bridge AS (SELECT DISTINCT query_id, document_id, dst AS node_id, best * {BRIDGE} AS score, 'l4_graph_bridge' AS factor FROM (SELECT *, max(score) OVER (PARTITION BY query_id, document_id) AS best FROM {p}l3) h JOIN links USING (document_id) WHERE src = h.node_id),
+         {p}seen AS ({merged(f"{apart('l3')} UNION ALL SELECT * FROM {p}l4 UNION ALL SELECT * FROM {p}bridge")}),
+         {p}facts AS (SELECT document_id, point_id AS node_id, cluster_id FROM points WHERE collection = '{CLAIMS}' AND cluster_id >= 0), {p}seed AS (SELECT query_id, document_id, cluster_id, max(score) AS best FROM {p}seen JOIN {p}facts USING (document_id, node_id) GROUP BY 1, 2, 3),
+         {p}members AS (SELECT query_id, document_id, f.node_id, best * {CLUSTER} AS score, 'l4_cluster' AS factor, row_number() OVER (PARTITION BY query_id, document_id, cluster_id ORDER BY f.node_id) AS k FROM {p}seed sd JOIN {p}facts f USING (document_id, cluster_id) WHERE NOT EXISTS (SELECT 1 FROM {p}seen s WHERE s.query_id = sd.query_id AND s.node_id = f.node_id)),
+         {p}two AS ({best(merged(f"{apart('seen')} UNION ALL SELECT query_id, document_id, node_id, score, factor FROM {p}members WHERE k <= {MEMBERS}"), k)}), {topped(ENTITIES, "ent", k)}, {p}uni AS ({best(merged(f"{apart('two')} UNION ALL {apart('ent')}"), k)})"""
+
+
+@query("R8", "points", "links", sql=f"WITH {search_sql(8, 0.2)} SELECT query_id, document_id, node_id, round(score, 4) AS score FROM bridge")
+def r8(points, links):
+    """Facts linked to the paragraphs that were found, at 0.75 of the best paragraph's score in the document."""
+    q, words = point_queries(points), point_words(points)
+    found = checkpointed(vector_hits(ivf.build(points, ("collection",), "point_id"), points, q, 8, 0.2))
+    return bridged(topped_up(found, words, query_words(q), CHUNKS, 8), links).select("query_id", "document_id", "node_id", F.round("score", 4).alias("score"))
+
+
+@query("R9", "points", sql=f"""
+    WITH {search_sql(8, 0.2)}, seed9 AS (SELECT query_id, document_id, cluster_id, max(score) AS best FROM l4 JOIN facts USING (document_id, node_id) GROUP BY 1, 2, 3),
+         m AS (SELECT query_id, document_id, f.node_id, best * {CLUSTER} AS score, row_number() OVER (PARTITION BY query_id, document_id, cluster_id ORDER BY f.node_id) AS k FROM seed9 JOIN facts f USING (document_id, cluster_id) WHERE NOT EXISTS (SELECT 1 FROM l4 s WHERE s.query_id = seed9.query_id AND s.node_id = f.node_id))
+    SELECT query_id, document_id, node_id, round(score, 4) AS score FROM m WHERE k <= {MEMBERS}""".replace("FROM l4 JOIN facts", "FROM l4 JOIN facts"))
+def r9(points):
+    """Up to six other facts of each document and cluster in which the nearest facts are, at 0.55 of the best one's score."""
+    l4 = vector_hits(ivf.build(points, ("collection",), "point_id"), points, point_queries(points), 8, 0.2).where(F.col("collection") == CLAIMS)
+    return clustered(checkpointed(l4), points).select("query_id", "document_id", "node_id", F.round("score", 4).alias("score"))
+
+
+SHOWN = "query_id, document_id, node_id, round(score, 4) AS score, factors"
+
+
+@query("R10", "points", "links", sql=f"WITH {search_sql(8, 0.2)} SELECT {SHOWN} FROM two")
+def r10(points, links):
+    """Two-factor search, eight hits."""
+    q, words = point_queries(points), point_words(points)
+    found = checkpointed(vector_hits(ivf.build(points, ("collection",), "point_id"), points, q, 8, 0.2))
+    return two_factor(found, points, links, words, query_words(q), 8).withColumn("score", F.round("score", 4))
+
+
+def allowed(points: DataFrame, registry: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The points of documents of the given levels."""
+    ok = registry.where(F.coalesce("classification", F.lit(O.LEVELS[0])).isin(*levels)).select(F.col("id").alias("document_id"))
+    return points.join(ok, "document_id", "left_semi")
+
+
+@query("R12", "points", "links", "registry", sql=f"""
+    WITH all_points AS (SELECT * FROM points), ok AS (SELECT id FROM registry WHERE coalesce(classification, '{O.LEVELS[0]}') IN ('{O.LEVELS[0]}', '{O.LEVELS[1]}')), seen_points AS (SELECT * FROM all_points WHERE document_id IN (SELECT id FROM ok)),
+         {search_sql(10, 0.2).replace("FROM points", "FROM seen_points")}
+    SELECT {SHOWN}, (SELECT count(*) FROM seen_points p WHERE p.collection = '{CHUNKS}') AS n_chunks, (SELECT count(*) FROM seen_points p WHERE p.collection = '{CLAIMS}') AS n_claims, (SELECT count(*) FROM seen_points p WHERE p.collection = '{ENTITIES}') AS n_entities FROM uni""")
+def r12(points, links, registry):
+    """Unified search over the three collections, ten hits, and how many points each has; access comes before every cut."""
+    seen = checkpointed(allowed(points, registry, O.LEVELS[:2]))
+    found = unified(ivf.build(seen, ("collection",), "point_id"), seen, links, point_queries(seen), 10, 0.2)
+    counts = seen.agg(*(F.count_if(F.col("collection") == c).alias(f"n_{c}") for c in (CHUNKS, CLAIMS, ENTITIES)))
+    return found.withColumn("score", F.round("score", 4)).crossJoin(F.broadcast(counts))  # one row
 
 
 def intent(text: Column) -> Column:
@@ -238,13 +346,6 @@ def keyword_score(low: Column, q: Column, ts: Column) -> Column:
     return F.when(low.contains(q), 1.0).when(F.forall(primary, lambda t: low.contains(t)), 0.7).when(F.exists(ts, lambda t: low.contains(t)), 0.4)
 
 
-def best_of(rows: DataFrame, k: int, *order: Column, by: str = "query_id", salt: str = "id") -> DataFrame:
-    """The k first rows of each query. Each of 32 salts of the row's id ranks its own first, so that no task orders all rows of a query."""
-    part = rows.withColumn("part__", F.pmod(F.xxhash64(salt), F.lit(32)))
-    part = part.withColumn("r__", F.row_number().over(Window.partitionBy(by, "part__").orderBy(*order))).where(F.col("r__") <= k)
-    return part.withColumn("r__", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("r__") <= k).drop("part__", "r__")
-
-
 def scored(texts: DataFrame, queries: DataFrame, score) -> DataFrame:
     """query_id, id, score: each query of a stated set against every text (id, low), in blocks of queries; score is a function of low, q and ts. Texts without score go."""
     hit = lambda part: texts.join(F.broadcast(part), F.length("low") > 0).select("query_id", "id", score(F.col("low"), F.col("q"), F.col("ts")).alias("score")).where("score IS NOT NULL")
@@ -344,40 +445,87 @@ def r13(vectors, documents):
     return v.unionByName(k.select("query_id", F.lit("keyword").alias("mode"), "id", "score"))
 
 
-#: Stages of the cascade: name and least score.
-SCOPED, GLOBAL, LOWER = ("scoped", 0.35), ("global", 0.35), ("lower", 0.05)
-
-
-@query("R14", "vectors", "documents", "registry", sql=f"""
-    WITH {COS_SQL}, {PHRASE_SQL}, src AS (SELECT v.vec_id, r.source FROM vectors v LEFT JOIN registry r ON r.id = v.document_id), s AS (SELECT sc.query_id, sc.vec_id, sc.score, a.source = b.source AS scoped FROM sc JOIN src a ON a.vec_id = sc.query_id JOIN src b ON b.vec_id = sc.vec_id),
-         u AS (SELECT 1 AS stage, query_id, 'v' || CAST(vec_id AS VARCHAR) AS id, score FROM s WHERE scoped AND score >= {SCOPED[1]} UNION ALL SELECT 2, query_id, 'v' || CAST(vec_id AS VARCHAR), score FROM s WHERE score >= {GLOBAL[1]} UNION ALL SELECT 3, query_id, 'v' || CAST(vec_id AS VARCHAR), score FROM s WHERE score >= {LOWER[1]}
-               UNION ALL SELECT 4, query_id, 'd' || CAST(doc_id AS VARCHAR), {SCORE_SQL} FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE text <> '') JOIN qs ON query_id NOT IN (SELECT query_id FROM s WHERE score >= {LOWER[1]}) WHERE {SCORE_SQL} IS NOT NULL),
-         m AS (SELECT query_id, min(stage) AS stage FROM u GROUP BY 1), r AS (SELECT u.*, row_number() OVER (PARTITION BY u.query_id ORDER BY round(score, 4) DESC, id) AS k FROM u JOIN m USING (query_id, stage))
-    SELECT query_id, CASE stage WHEN 1 THEN '{SCOPED[0]}' WHEN 2 THEN '{GLOBAL[0]}' WHEN 3 THEN '{LOWER[0]}' ELSE 'keyword' END AS stage, id, round(score, 4) AS score FROM r WHERE k <= 5""")
-def r14(vectors, documents, registry):
-    """The cascade: vectors of documents of the query's source, then of all, then at a lower score, then keywords; each query keeps its first stage that finds anything, five hits of it. A stage runs for the queries that are left."""
-    v = vectors.join(registry.select(F.col("id").alias("document_id"), "source"), "document_id", "left").select("vec_id", "embedding", "source")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("source").alias("scope"))
-    shown = lambda hits, name, tag, key: hits.select("query_id", F.lit(name).alias("stage"), F.concat(F.lit(tag), F.col(key).cast("string")).alias("id"), F.round("score", 4).alias("score"))
-    out, left = [], q
-    for name, least, scoped in ((*SCOPED, True), (*GLOBAL, False), (*LOWER, False)):
-        hits = in_blocks(left, "query_id", MAX_SENT_QUERIES, lambda part, s=scoped, m=least: _block_hits(v, part, m, s))
-        found = checkpointed(best_of(shown(hits, name, "v", "vec_id"), 5, F.desc("score"), F.asc("id")))
-        out.append(found)
-        left = checkpointed(left.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+#: Stages of the cascade: what is recorded, and the least score of vectors where they are searched. Fixed value: hits of a query.
+SCOPED, RETRY, KEYWORD, KEYWORD_ALL, SUBSTRING = ("", 0.35), ("global_retry", 0.05), "graph_keyword", "graph_keyword_global", "substring"
+ANSWERS = 9
+CASCADE_SQL = "SELECT v.point_id * 10 + n AS query_id, v.point_id AS self_id, CAST(v.embedding AS DOUBLE[]) AS query, regexp_extract(v.text, '^\\S+ \\S+') AS text, o.folder FROM points o JOIN (SELECT 0 AS n UNION ALL SELECT 1) ON true JOIN points v ON v.point_id = o.point_id + n WHERE o.point_id % 50 = 0"
+
+
+def cascade_queries(points: DataFrame) -> DataFrame:
+    """Every fiftieth point as a query, and the point after it as its variant; both search the first one's folder. query_id is ten times the point's id and the variant's number."""
+    first = points.where("point_id % 50 = 0").select(F.col("point_id").alias("at"), "folder", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    said = points.select(F.col("point_id").alias("self_id"), F.col("embedding").alias("query"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("text"))
+    return first.join(said, F.col("self_id") == F.col("at") + F.col("n")).select((F.col("self_id") * 10 + F.col("n")).alias("query_id"), "self_id", "query", "text", "folder", (F.col("at")).alias("asked"), F.col("n").alias("variant"))
+
+
+def keyword_hits(points: DataFrame, queries: DataFrame, scoped: bool, kind: str) -> DataFrame:
+    """Points whose text has a query's words (or parts of its first six), the best ANSWERS of each query."""
+    q = asked(queries.select("query_id", "text")).join(queries.select("query_id", "folder"), "query_id")
+    texts = points.where(F.length("text") > 0).select(F.col("point_id").alias("id"), "document_id", F.col("folder").alias("its"), F.lower("text").alias("low"))
+    part = F.exists(F.slice(F.filter("ts", lambda t: F.length(t) >= 3), 1, 6), lambda t: F.col("low").contains(F.substring(t, 1, 3)))
+    score = keyword_score(F.col("low"), F.col("q"), F.col("ts")) if kind != SUBSTRING else F.when(part, 0.5)
+    hit = lambda block: texts.join(F.broadcast(block), (F.col("its") == F.col("folder")) if scoped else F.lit(True)).select("query_id", "document_id", F.col("id").alias("node_id"), score.alias("score")).where("score IS NOT NULL")
+    found = best_of(in_blocks(q, "query_id", MAX_SENT_QUERIES, hit), ANSWERS, F.desc("score"), F.asc("node_id"), salt="node_id")
+    return found.withColumn("factors", F.lit(kind))
+
+
+def cascade(points: DataFrame, links: DataFrame, queries: DataFrame, limit: int = ANSWERS) -> DataFrame:
+    """Each query's hits of the first stage, and in it of the first variant, that finds any: unified search in its folder, then everywhere from a lower score on, keywords in its folder and everywhere, parts of words.
+    A stage runs for the queries that are left, and none if none is."""
+    index = ivf.build(points, ("collection", "folder"), "point_id")
+    stages = [
+        (SCOPED[0], lambda q: unified(index, points, links, q, limit, SCOPED[1], ("folder",))),
+        (RETRY[0], lambda q: unified(index, points, links, q, limit, RETRY[1])),
+        (KEYWORD, lambda q: keyword_hits(points, q, True, KEYWORD)),
+        (KEYWORD_ALL, lambda q: keyword_hits(points, q, False, KEYWORD)),
+        (SUBSTRING, lambda q: keyword_hits(points, q, False, SUBSTRING)),
+    ]
+    left, out = checkpointed(queries), []
+    for name, stage in stages:
+        hits = stage(left).join(left.select("query_id", "asked", "variant"), "query_id")
+        hits = checkpointed(hits.withColumn("first", F.min("variant").over(Window.partitionBy("asked"))).where("variant = first").drop("first").withColumn("fallback", F.lit(name)))
+        out.append(hits)
+        left = checkpointed(left.join(hits.select("asked").distinct(), "asked", "left_anti"))
         if left.isEmpty():
             break
-    else:
-        texts = documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
-        rest = phrases(vectors, documents).join(left.select("query_id"), "query_id", "left_semi")
-        out.append(best_of(shown(scored(texts, rest, keyword_score), "keyword", "d", "id"), 5, F.desc("score"), F.asc("id")))
     return reduce(DataFrame.unionByName, out)
 
 
-def _block_hits(vectors: DataFrame, queries: DataFrame, least: float, scoped: bool) -> DataFrame:
-    """query_id, vec_id, score of vectors that reach the score, within the query's scope if asked."""
-    near = (F.col("vec_id") != F.col("query_id")) & ((F.col("source") == F.col("scope")) if scoped else F.lit(True))
-    return vectors.join(F.broadcast(queries), near).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where(F.col("score") >= least)
+def by_factor(hits: DataFrame, points: DataFrame) -> DataFrame:
+    """Which part of the answer each hit belongs to, and the clusters of all facts among a query's hits."""
+    has = lambda *fs: reduce(Column.__or__, (F.array_contains(F.split("factors", ","), f) for f in fs))
+    own = hits.join(points.select(F.col("point_id").alias("node_id"), "collection", "cluster_id"), "node_id")
+    clusters = F.array_join(F.transform(F.array_sort(F.collect_set(F.when((F.col("collection") == CLAIMS) & (F.col("cluster_id") >= 0), F.col("cluster_id"))).over(Window.partitionBy("asked"))), lambda c: c.cast("string")), ",")
+    return own.select(
+        F.col("asked").alias("query_id"), "variant", "fallback", "document_id", "node_id", F.round("score", 4).alias("score"), "factors", (F.col("collection") == CHUNKS).alias("is_l3"), has("l4_embedding").alias("is_l4"), (F.col("collection") == ENTITIES).alias("is_entity"), has("l4_cluster", "l4_graph_bridge").alias("is_cluster"), clusters.alias("clusters")
+    )
+
+
+WORDS_SQL = "words AS (SELECT query_id, asked, variant, folder, q, list_filter(regexp_split_to_array(q, '\\s+'), lambda t: t <> '') AS ts FROM (SELECT query_id, query_id // 10 - query_id % 10 AS asked, query_id % 10 AS variant, folder, lower(trim(text)) AS q FROM near_q) WHERE q <> '')"
+
+
+def _stage_sql(n: int, rows: str) -> str:
+    """The rows of stage n for the queries that the ones before left."""
+    before = "".join(f" AND query_id // 10 - query_id % 10 NOT IN (SELECT query_id // 10 - query_id % 10 FROM s{k})" for k in range(1, n))
+    return f"s{n} AS (SELECT query_id, document_id, node_id, score, factors FROM ({rows}) WHERE true{before})"
+
+
+def _words_sql(score: str, kind: str, scope: str) -> str:
+    return f"SELECT query_id, document_id, node_id, score, '{kind}' AS factors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS k FROM (SELECT query_id, document_id, point_id AS node_id, {score} AS score FROM (SELECT *, lower(text) AS low FROM points WHERE text <> '') pt JOIN words q ON {scope}) WHERE score IS NOT NULL) WHERE k <= {ANSWERS}"
+
+
+PART_SQL = "CASE WHEN len(list_filter(list_filter(ts, lambda t: length(t) >= 3)[:6], lambda t: contains(low, t[:3]))) > 0 THEN 0.5 END"
+
+
+@query("R14", "points", "links", sql=f"""
+    WITH {search_sql(ANSWERS, SCOPED[1], CASCADE_SQL, "near_", "pt.folder = q.folder")}, {search_sql(ANSWERS, RETRY[1], CASCADE_SQL, "far_")}, {WORDS_SQL},
+         {_stage_sql(1, "SELECT * FROM near_uni")}, {_stage_sql(2, "SELECT * FROM far_uni")}, {_stage_sql(3, _words_sql(SCORE_SQL, KEYWORD, "pt.folder = q.folder"))}, {_stage_sql(4, _words_sql(SCORE_SQL, KEYWORD, "true"))}, {_stage_sql(5, _words_sql(PART_SQL, SUBSTRING, "true"))},
+         every AS ({" UNION ALL ".join(f"SELECT *, '{name}' AS fallback FROM s{n}" for n, name in enumerate((SCOPED[0], RETRY[0], KEYWORD, KEYWORD_ALL, SUBSTRING), 1))}), one AS (SELECT *, query_id // 10 - query_id % 10 AS asked, query_id % 10 AS variant, min(query_id % 10) OVER (PARTITION BY query_id // 10 - query_id % 10) AS first FROM every),
+         h AS (SELECT one.*, collection, cluster_id, string_split(factors, ',') AS fs FROM one JOIN points ON point_id = node_id WHERE variant = first), c AS (SELECT asked, array_to_string(list_sort(list_distinct(list(cluster_id))), ',') AS clusters FROM h WHERE collection = '{CLAIMS}' AND cluster_id >= 0 GROUP BY 1)
+    SELECT asked AS query_id, variant, fallback, document_id, node_id, round(score, 4) AS score, factors, collection = '{CHUNKS}' AS is_l3, list_contains(fs, 'l4_embedding') AS is_l4, collection = '{ENTITIES}' AS is_entity, list_contains(fs, 'l4_cluster') OR list_contains(fs, 'l4_graph_bridge') AS is_cluster, coalesce(clusters, '') AS clusters FROM h LEFT JOIN c USING (asked)""")
+def r14(points, links):
+    """The retrieval cascade, nine hits of each query."""
+    return by_factor(cascade(points, links, cascade_queries(points)), points)
 
 
 KNOWN_SQL = "known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{6,}')) AS w FROM benchmark)"

@@ -44,6 +44,11 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "vectors": f"""
         SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'chunks' WHEN 1 THEN 'claims' ELSE 'entities' END AS collection, vec_id % {_N} AS document_id, embedding,
                CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS cluster_id, vec_id % 17 = 0 AS is_anomaly, CAST(vec_id * 37 % 1000 AS DOUBLE) / 1000 AS anomaly_score FROM embeddings""",
+    # points of the vector index, some 48 to a document, and which paragraphs each fact is drawn from
+    "points": f"""
+        SELECT *, document_id % 4 AS folder FROM (SELECT vec_id AS point_id, CASE vec_id % 3 WHEN 0 THEN 'chunks' WHEN 1 THEN 'claims' ELSE 'entities' END AS collection, vec_id % (SELECT 1 + CAST(floor(count(*) / 48) AS BIGINT) FROM embeddings) AS document_id, embedding,
+               CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS cluster_id, substr(d.text, 1, 400) AS text FROM embeddings LEFT JOIN documents d ON doc_id = vec_id % {_N}) AS p""",
+    "links": "SELECT c.document_id, c.point_id AS src, f.point_id AS dst FROM points c JOIN points f ON c.document_id = f.document_id AND c.collection = 'chunks' AND f.collection = 'claims' AND (c.point_id + f.point_id) % 5 = 0",
     "hits": f"""
         SELECT turn AS query_id, conv_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
     # loose files of each document

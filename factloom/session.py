@@ -70,6 +70,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """df, kept in the shared folder, with a broadcast hint if it has at most `most` rows; otherwise for a shuffle join."""
+    own = checkpointed(df)
+    return F.broadcast(own) if own.count() <= most else own
+
+
 def in_blocks(side: DataFrame, key: str, most: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The union of job's rows over blocks of about `most` rows of side, by a hash of key (ids may share a factor with the number of blocks)."""
     blocks = -(-side.count() // most)
