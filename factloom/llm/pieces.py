@@ -7,7 +7,9 @@ such a vocabulary goes on behind a blank, so texts are cut into words there, and
 holds; words repeat, so their ids are kept in a bounded cache while a task runs. Characters without a piece become bytes,
 or the unknown id where the vocabulary has no bytes (one for a run of them).
 
-`agreement` checks ids and texts against the sentencepiece library in Arrow batches; `encode` can add the same check.
+The sentencepiece library checks this in the Arrow batches: `encode` with `checked` holds the ids of every new word of a
+batch against the library's, and fails on a difference; `agreement`, or the column `agrees`, does so for whole texts and
+for what they decode to.
 
 Defined cases: null text counts as empty and gives begin and end ids alone; the strings of control pieces inside a text
 are ordinary text; the blank's symbol U+2581 in a text counts as a blank, as in the library; very long texts and words are
@@ -105,6 +107,7 @@ class Pieces(WordCache):
             surface = trainer.get(44, " ⁇ ".encode())
             raw.append(b"" if kind == CONTROL else surface if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(BLANK, " ").encode())
         self.is_byte = np.array(kinds) == BYTE
+        self.lib: sentencepiece.SentencePieceProcessor | None = None  # set where words are to be checked
         self.raw, self.raw_at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         self._pairs(pieces, kinds, scores)
         self.fresh()
@@ -133,7 +136,8 @@ class Pieces(WordCache):
             if i >= self.n:
                 self.char_of[i] = ord(s)
         longer = set("".join(p for p in known if len(p) > 1))
-        alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in longer and c != 32))
+        alone = "".join(chr(c) for c in range(128) if chr(c) not in longer and c != 32)
+        self.anchor, alone = alone[:1] if self.prefix and not self.trim else "", re.escape(alone)
         whole = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in known)
         self.words_at = re.compile(r"(?s).+" if whole else rf" +[^ {alone}]*|[^ {alone}]+|[{alone}]" if alone else r" +[^ ]*|[^ ]+")
 
@@ -256,8 +260,20 @@ class Pieces(WordCache):
             flats.append(self.agenda(chars[starts[k] : starts[k + 1]]))
             counts.append(np.array([len(flats[-1])]))
         flat, count = self.spelled(np.concatenate(flats), np.concatenate(counts))
+        if self.lib:
+            self.check(words, count, flat)
         self.keep(words, count, flat)
 
+    def check(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        """Holds the ids of words against the library's. A word with a blank before it is a text of its own; any other one is put behind a character that stands alone."""
+        before = self.lib.encode(self.anchor)
+        ends, ids = np.cumsum(counts).tolist(), flat.tolist()
+        first = [w[0] == " " and len(w) > 1 for w in words]
+        texts = [w[1:] if own else self.anchor + w for w, own in zip(words, first, strict=True)]
+        for w, own, start, end, theirs in zip(words, first, [0, *ends[:-1]], ends, self.lib.encode(texts, num_threads=1), strict=True):
+            if theirs != (ids[start:end] if own else before + ids[start:end]):
+                raise ValueError(f"the library has other ids for {w!r}")
+
     def normal(self, text: str) -> str:
         """The text with blanks for their symbol, as the model wants it to begin and be spaced."""
         if self.trim:  # blanks alone are squeezed, but at the end their symbols go as well
@@ -334,15 +350,17 @@ def _column(name: str, values: list[str] | tuple[np.ndarray, np.ndarray], kind:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str | None = "token_ids", packed: str | None = None, back: str | None = None, agrees: str | None = None, bos: bool = True, eos: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", out: str | None = "token_ids", packed: str | None = None, back: str | None = None, agrees: str | None = None, checked: bool = False, bos: bool = True, eos: bool = True) -> DataFrame:
     """df with columns of each whole text's ids, under the names that are given: `out`, array<int>; `packed`, the ids as
     little-endian unsigned 32-bit integers; `back`, what they decode to; `agrees`, whether the sentencepiece library gives
-    the same ids and the same text back."""
+    the same ids and the same text back. checked: every new word's ids are held against the library's, where the model's
+    settings let words be encoded by themselves (a dummy prefix, no trimming, a character that stands alone)."""
     sent = df.sparkSession.sparkContext.broadcast((model(path), open(path, "rb").read()))  # a few MB, of the tokenizer file
     new = [(n, k) for n, k in ((out, "ids"), (packed, "packed"), (back, "text"), (agrees, "agrees")) if n]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, proto = sent.value
+        own.lib = library(proto) if checked and own.anchor else None
         for batch in tidied(batches, own.fresh):
             texts = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))

@@ -88,8 +88,8 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, out=None, packed="ids", back="decoded", agrees="agrees")
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+    both = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, out=None, packed="ids", back="decoded", checked=True)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
