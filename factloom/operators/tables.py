@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import ontology as O
-from factloom.operators.text import CHUNK, chunk_sql, chunks, tokens
 from factloom.plans.registry import query
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -137,26 +136,6 @@ def s10(nodes, edges):
     return counted.agg(F.sum(F.when(F.col("kind") == "nodes", F.col("n"))).alias("nodes"), F.sum(F.when(F.col("kind") == "edges", F.col("n"))).alias("edges"))
 
 
-@query("S12", "nodes", sql="""
-    SELECT document_id, id, CASE WHEN label = 'Expert' THEN 'L2' WHEN label = 'Measurement' THEN 'L4' ELSE 'L1' END AS layer,
-           concat_ws(' · ', lower(label), lower(name), CASE WHEN numeric_value IS NOT NULL THEN CAST(CAST(numeric_value AS BIGINT) AS VARCHAR) || coalesce(' ' || unit, '') END) AS text
-    FROM nodes WHERE label IN ('Material', 'Process', 'Expert', 'Measurement')""")
-def s12(nodes):
-    """Index text and layer of the entities."""
-    number = F.concat(F.col("numeric_value").cast("long").cast("string"), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit("")))
-    layer = F.when(F.col("label") == "Expert", "L2").when(F.col("label") == "Measurement", "L4").otherwise("L1")
-    return nodes.where(F.col("label").isin("Material", "Process", "Expert", "Measurement")).select("document_id", "id", layer.alias("layer"), F.concat_ws(" · ", F.lower("label"), F.lower("name"), number).alias("text"))
-
-
-@query("S14", "registry", "nodes", sql="""
-    SELECT id, CASE WHEN n > 1 THEN 'graph' ELSE 'markdown' END AS path, coalesce(n, 0) AS indexed FROM registry
-    LEFT JOIN (SELECT document_id, count(*) AS n FROM nodes GROUP BY 1) ON document_id = id""")
-def s14(registry, nodes):
-    """Which way each document is indexed again, and with how many points."""
-    n = nodes.groupBy("document_id").agg(F.count("*").alias("n"))
-    return registry.join(n, registry["id"] == n["document_id"], "left").select("id", F.when(F.col("n") > 1, "graph").otherwise("markdown").alias("path"), F.coalesce("n", F.lit(0)).cast("long").alias("indexed"))
-
-
 @query("S15", "vectors", sql="SELECT c AS collection, count(vec_id) AS points FROM (VALUES ('chunks'), ('claims'), ('entities'), ('none')) t(c) LEFT JOIN vectors ON collection = c GROUP BY 1")
 def s15(spark, vectors):
     names = spark.createDataFrame([("chunks",), ("claims",), ("entities",), ("none",)], "collection string")
@@ -250,17 +229,6 @@ def cache_key(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256)
 
 
-@query("S24", "documents", sql="""
-    WITH k AS (SELECT doc_id, sha256(lang || chr(31) || source) AS key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
-         cache AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
-    SELECT key, count(*) AS asked, count(*) FILTER (WHERE key IN (SELECT key FROM cache)) AS hits FROM k GROUP BY 1""")
-def s24(documents):
-    """Asked keys and those that a cache answers."""
-    k = documents.where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", cache_key("lang", "source").alias("key"))
-    cache = k.where("doc_id % 2 = 0").select("key").distinct().withColumn("hit", F.lit(1))
-    return k.join(cache, "key", "left").groupBy("key").agg(F.count("*").alias("asked"), F.count("hit").alias("hits"))
-
-
 @query("S25", "nodes", sql=f"""
     WITH d(label, layer) AS ({O.values_sql([(x, k) for k, xs in O.LAYERS.items() for x in xs])})
     SELECT label, layer, CASE WHEN label = 'TextParagraph' THEN 'chunks' WHEN layer = 'L4' THEN 'claims' ELSE 'entities' END AS collection, count(*) AS nodes FROM nodes JOIN d USING (label) GROUP BY 1, 2, 3""")
@@ -284,39 +252,6 @@ def resume(files: DataFrame, log: DataFrame) -> DataFrame:
     return files.join(log.where("status = 'uploaded'").select("path"), "path", "left_anti")
 
 
-@query("S11", "documents", "nodes", "registry", sql=f"""
-    WITH RECURSIVE {chunk_sql(CHUNK)}, p AS (SELECT doc_id AS document_id, 'chunks' AS collection, CAST(doc_id AS VARCHAR) || ':p:' || CAST(idx AS VARCHAR) AS id, text FROM chunked WHERE kind <> 'heading'
-         UNION ALL SELECT document_id, CASE WHEN label IN ({", ".join(f"'{x}'" for x in O.LAYERS["L4"])}) THEN 'claims' ELSE 'entities' END, id, coalesce(name, id) FROM nodes WHERE label <> 'Document'),
-         k AS (SELECT p.*, left(text, 8000) AS embedded FROM p)
-    SELECT collection, k.document_id, k.id, left(embedded, 2000) AS text, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(left(embedded, 2000)), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2))), ' ') AS tokens, file_name, length(embedded)::BIGINT AS embedded_chars FROM k LEFT JOIN registry r ON r.id = k.document_id""")
-def s11(documents, nodes, registry):
-    """The points of a graph's index: paragraphs, claims and entities with what is embedded, what is kept, their tokens and their document's name."""
-    p = chunks(documents.select("doc_id", "text")).where("kind <> 'heading'")
-    p = p.select(F.col("doc_id").alias("document_id"), F.lit("chunks").alias("collection"), F.concat(F.col("doc_id").cast("string"), F.lit(":p:"), F.col("idx").cast("string")).alias("id"), "text")
-    at = F.when(F.col("label").isin(*O.LAYERS["L4"]), "claims").otherwise("entities")
-    n = nodes.where("label <> 'Document'").select("document_id", at.alias("collection"), "id", F.coalesce("name", "id").alias("text"))
-    return index_points(p.unionByName(n), registry)
-
-
-def index_points(points: DataFrame, registry: DataFrame) -> DataFrame:
-    """collection, document_id, id, text (2000 characters), tokens, file_name, embedded_chars (8000 at most) of points to index."""
-    shown = F.substring("text", 1, 2000)
-    own = points.select("collection", "document_id", "id", shown.alias("text"), F.array_join(tokens(shown), " ").alias("tokens"), F.least(F.length("text"), F.lit(8000)).cast("long").alias("embedded_chars"))
-    return own.join(registry.select(F.col("id").alias("document_id"), "file_name"), "document_id", "left")
-
-
-@query("S13", "documents", "registry", sql="""
-    WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT id FROM registry WHERE status = 'ready')), p AS (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1200)) AS i FROM d)
-    SELECT 'chunks' AS collection, doc_id AS document_id, CAST(doc_id AS VARCHAR) || ':md_chunk:' || CAST(i AS VARCHAR) AS id, substr(text, i * 1200 + 1, 1200) AS text FROM p""")
-def s13(documents, registry):
-    """Index entries of raw chunks, for documents whose graph isn't ready."""
-    has = registry.where("status = 'ready'").select(F.col("id").alias("doc_id"))
-    d = documents.where("length(text) > 0").join(has, "doc_id", "left_anti")
-    n = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("long"))
-    p = d.select("doc_id", "text", F.explode(n).alias("i"))
-    return p.select(F.lit("chunks").alias("collection"), F.col("doc_id").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":md_chunk:"), F.col("i").cast("string")).alias("id"), F.expr(f"substring(text, cast(i * {CHUNK} + 1 as int), {CHUNK})").alias("text"))
-
-
 @query("S22", "registry", sql="""SELECT id, CAST(id AS VARCHAR) || ',"' || replace(file_name, '"', '""') || '",' || coalesce(geography, '') AS line FROM registry""")
 def s22(registry):
     """Lines of a CSV export with standard quoting."""

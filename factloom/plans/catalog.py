@@ -5,6 +5,7 @@ import factloom.operators.analytics
 import factloom.operators.cluster
 import factloom.operators.density
 import factloom.operators.extract
+import factloom.operators.indexing
 import factloom.operators.quality
 import factloom.operators.search
 import factloom.operators.tables
