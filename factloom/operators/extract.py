@@ -202,37 +202,6 @@ def merged_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(first, later, F.count("*").alias("n"))
 
 
-@query("E10", "lines", "benchmark", sql=r"""
-    WITH q AS (SELECT item_id, regexp_extract(text, '^[^\s.]+(?:\s[^\s.]+){3,}', 0) AS quote FROM benchmark), m AS (SELECT item_id, doc_id, pos, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS k FROM q JOIN lines ON contains(line, quote) WHERE quote <> '')
-    SELECT item_id, doc_id, pos FROM m WHERE k = 1""")
-def e10(lines, benchmark):
-    """The first paragraph of each document that holds a quote: candidates by the hash of the quote's first whole words, then containment."""
-    quotes = benchmark.select("item_id", F.regexp_extract("text", r"^[^\s.]+(?:\s[^\s.]+){3,}", 0).alias("quote")).where("quote <> ''")
-    word = r"[\p{L}\p{N}]+"
-    inner = F.regexp_extract_all(F.regexp_extract("quote", r"(?s)^\S+\s(.*)\s\S+$", 1), F.lit(word), F.lit(0))
-    longest = F.try_element_at(F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-    keyed = quotes.withColumn("w", longest)
-    wanted = keyed.where("w IS NOT NULL")
-    words = lines.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(word), F.lit(0)))).alias("w"))
-    near = words.join(wanted, "w").select("doc_id", "pos", "item_id", "quote")  # lines themselves don't move for their words
-    hits = near.join(lines.select("doc_id", "pos", "line"), ["doc_id", "pos"]).where(F.col("line").contains(F.col("quote"))).select("item_id", "doc_id", "pos")
-    return hits.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"))
-
-
-@query("E11", "nodes", sql="SELECT label, CASE WHEN label IN ('Material', 'Process', 'ExperimentRun', 'Measurement') THEN 'DATA_SOURCE_FOR' WHEN label IN ('Expert', 'Document') THEN 'CONTEXT_FOR' ELSE 'ABOUT' END AS bridge, count(*) AS n FROM nodes GROUP BY 1, 2")
-def e11(nodes):
-    """The type of the edge that links a paragraph to a node of each label."""
-    kind = F.when(F.col("label").isin("Material", "Process", "ExperimentRun", "Measurement"), "DATA_SOURCE_FOR").when(F.col("label").isin("Expert", "Document"), "CONTEXT_FOR").otherwise("ABOUT")
-    return nodes.groupBy("label", kind.alias("bridge")).agg(F.count("*").alias("n"))
-
-
-@query("E12", "edges", sql="SELECT node, string_agg(DISTINCT type, ',' ORDER BY type) AS quotes FROM (SELECT src AS node, type FROM edges UNION ALL SELECT dst, type FROM edges) GROUP BY 1")
-def e12(edges):
-    """What relations say, added to both of their ends."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "type")
-    return ends.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("quotes"))
-
-
 @query("E13", "nodes", sql="""
     WITH d AS (SELECT document_id, id, label, name, unit, numeric_value, parameter, CASE WHEN regexp_matches(name, '[А-Яа-яЁё]') THEN name END AS name_ru, CASE WHEN regexp_matches(name, '[A-Za-z]') AND NOT regexp_matches(name, '[А-Яа-яЁё]') THEN name END AS name_en, nullif(regexp_extract(name, '\b(?:[A-Z][a-z]?[0-9]+)+\b'), '') AS formula FROM nodes)
     SELECT document_id, id, name_ru, name_en, formula, label || coalesce(': ' || name, '') || coalesce(', ' || parameter || ' = ' || CAST(CAST(numeric_value AS BIGINT) AS VARCHAR) || ' ' || unit, '') AS description,

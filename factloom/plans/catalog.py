@@ -2,6 +2,7 @@
 
 import factloom.functions.embed
 import factloom.operators.analytics
+import factloom.operators.bridge
 import factloom.operators.cluster
 import factloom.operators.density
 import factloom.operators.extract

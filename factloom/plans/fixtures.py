@@ -49,6 +49,17 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         SELECT *, document_id % 4 AS folder FROM (SELECT vec_id AS point_id, CASE vec_id % 3 WHEN 0 THEN 'chunks' WHEN 1 THEN 'claims' ELSE 'entities' END AS collection, vec_id % (SELECT 1 + CAST(floor(count(*) / 48) AS BIGINT) FROM embeddings) AS document_id, embedding,
                CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label END AS cluster_id, substr(d.text, 1, 400) AS text FROM embeddings LEFT JOIN documents d ON doc_id = vec_id % {_N}) AS p""",
     "links": "SELECT c.document_id, c.point_id AS src, f.point_id AS dst FROM points c JOIN points f ON c.document_id = f.document_id AND c.collection = 'chunks' AND f.collection = 'claims' AND (c.point_id + f.point_id) % 5 = 0",
+    # quotes of nodes from their document's text: whole, begun and gone on otherwise, with words in between, second after one that isn't there
+    "quoted": """
+        SELECT doc_id AS document_id, 'Material:q' || CAST(doc_id AS STRING) AS node_id, 'Material' AS label, 0 AS n, substr(text, 41, 60) AS snippet FROM documents
+        UNION ALL SELECT doc_id, 'Expert:q' || CAST(doc_id AS STRING), 'Expert', 0, substr(text, 1, 30 + doc_id % 4 * 25) || ' something that was never said' FROM documents
+        UNION ALL SELECT doc_id, 'TechnologySolution:q' || CAST(doc_id AS STRING), 'TechnologySolution', 0, replace(substr(text, 200, 90), ' ', ' zzz ') FROM documents
+        UNION ALL SELECT doc_id, 'Measurement:q' || CAST(doc_id AS STRING), 'Measurement', 0, 'qqq www eee ' || CAST(doc_id AS STRING) FROM documents
+        UNION ALL SELECT doc_id, 'Measurement:q' || CAST(doc_id AS STRING), 'Measurement', 1, replace(substr(text, 300, 12), 'e', 'E') FROM documents
+        UNION ALL SELECT doc_id, 'Claim:q' || CAST(doc_id AS STRING), 'Claim', 0, substr(text, 500, 9 + doc_id % 8) FROM documents""",
+    "quoted_edges": """
+        SELECT doc_id AS document_id, 'USES_MAT' AS type, 'ExperimentRun:q' || CAST(doc_id AS STRING) AS src, 'Claim:q' || CAST(doc_id AS STRING) AS dst, substr(text, 120, 40) AS quote FROM documents WHERE length(text) > 160
+        UNION ALL SELECT doc_id, 'DATA_SOURCE_FOR', CAST(doc_id AS STRING) || ':p:0', 'Material:q' || CAST(doc_id AS STRING), 'none' FROM documents WHERE doc_id % 3 = 0""",
     "hits": f"""
         SELECT turn AS query_id, conv_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
     # loose files of each document
