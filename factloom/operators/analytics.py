@@ -291,12 +291,6 @@ def a33(part):
     return k.join(first, "key").where("id <> first_id").select("id", "first_id")
 
 
-@query("A34", "nodes", sql="SELECT parameter, count(DISTINCT unit) AS units, count(*) AS n FROM nodes WHERE label = 'Measurement' GROUP BY 1 HAVING count(DISTINCT unit) > 1")
-def a34(nodes):
-    """Parameters measured in units that don't go together."""
-    return nodes.where("label = 'Measurement'").groupBy("parameter").agg(F.count_distinct("unit").alias("units"), F.count("*").alias("n")).where("units > 1")
-
-
 MEASURED_SQL = """ms AS (SELECT e.dst AS mat, n.parameter, n.unit, n.numeric_value AS v, n.document_id FROM edges e JOIN edges p ON p.src = e.src AND p.type = 'PRODUCED_MEASUREMENT' JOIN nodes n ON n.id = p.dst WHERE e.type = 'USES_MAT')"""
 
 
@@ -307,20 +301,6 @@ def measured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return use.join(made, "src").join(nodes.where("label = 'Measurement'"), F.col("m") == F.col("id")).select("mat", "parameter", "unit", F.col("numeric_value").alias("v"), "document_id")
 
 
-@query("A35", "nodes", "edges", sql=f"WITH {MEASURED_SQL} SELECT parameter, mat, unit, min(v) AS lo, max(v) AS hi, count(DISTINCT document_id) AS documents FROM ms GROUP BY 1, 2, 3 HAVING count(DISTINCT document_id) >= 2 AND (max(v) - min(v)) / greatest(abs(max(v)), 1e-9) > 0.5")
-def a35(nodes, edges):
-    """Values that conflict under like conditions."""
-    g = measured(nodes, edges).groupBy("parameter", "mat", "unit").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_distinct("document_id").alias("documents"))
-    return g.where((F.col("documents") >= 2) & ((F.col("hi") - F.col("lo")) / F.greatest(F.abs("hi"), F.lit(1e-9)) > 0.5))
-
-
-@query("A36", "nodes", "part", sql="SELECT n.document_id, n.id, n.numeric_value AS value FROM nodes n WHERE label = 'Measurement' AND numeric_value NOT BETWEEN (SELECT min(p_size) FROM part) + 2 AND (SELECT max(p_size) FROM part) - 3")
-def a36(nodes, part):
-    """Measurements outside the allowed range."""
-    limits = part.agg((F.min("p_size") + 2).alias("lo"), (F.max("p_size") - 3).alias("hi"))
-    return nodes.where("label = 'Measurement'").join(F.broadcast(limits), ~F.col("numeric_value").between(F.col("lo"), F.col("hi"))).select("document_id", "id", F.col("numeric_value").alias("value"))
-
-
 @query("A37", "edges", "nodes", sql="""
     WITH r AS (SELECT DISTINCT id FROM nodes WHERE label = 'ExperimentRun'), t AS (SELECT src, bool_or(type = 'USES_MAT') AS m, bool_or(type = 'PRODUCED_MEASUREMENT') AS p FROM edges GROUP BY 1)
     SELECT id, coalesce(m, false) AS has_material, coalesce(p, false) AS has_measure FROM r LEFT JOIN t ON src = id WHERE NOT (coalesce(m, false) AND coalesce(p, false))""")
@@ -337,17 +317,6 @@ def a38(nodes, registry):
     return technology_coverage(nodes, registry).where("coverage <> 'both'").select("entity")
 
 
-@query("A39", "nodes", "edges", sql=f"""
-    WITH {MEASURED_SQL}, l AS (SELECT parameter, mat, unit, max(document_id) AS newest FROM ms GROUP BY 1, 2, 3), n AS (SELECT l.*, (SELECT max(v) FROM ms m WHERE m.parameter = l.parameter AND m.mat = l.mat AND m.unit = l.unit AND m.document_id = newest) AS nv FROM l)
-    SELECT DISTINCT m.parameter, m.mat, m.unit, m.document_id AS old_document, newest FROM ms m JOIN n USING (parameter, mat, unit) WHERE m.document_id < newest AND abs(m.v - nv) > 20""")
-def a39(nodes, edges):
-    """Older sources that conflict with the newest."""
-    m = measured(nodes, edges)
-    keys = ["parameter", "mat", "unit"]
-    n = m.groupBy(*keys).agg(F.max(F.struct("document_id", "v")).alias("top")).select(*keys, F.col("top.document_id").alias("newest"), F.col("top.v").alias("nv"))
-    return m.join(n, keys).where((F.col("document_id") < F.col("newest")) & (F.abs(F.col("v") - F.col("nv")) > 20)).select(*keys, F.col("document_id").alias("old_document"), "newest").distinct()
-
-
 @query("A40", "nodes", "edges", sql=f"WITH {MEASURED_SQL} SELECT parameter, max(v) FILTER (WHERE mat = 'Material:1') AS m1, max(v) FILTER (WHERE mat = 'Material:2') AS m2, max(v) FILTER (WHERE mat = 'Material:3') AS m3 FROM ms WHERE mat IN ('Material:1', 'Material:2', 'Material:3') GROUP BY 1")
 def a40(nodes, edges):
     """A parameter table for three entities."""

@@ -11,6 +11,7 @@ import factloom.operators.quality
 import factloom.operators.search
 import factloom.operators.tables
 import factloom.operators.text
+import factloom.operators.units
 import factloom.operators.walk
 import factloom.streaming.jobs  # noqa: F401
 from factloom.plans.registry import ORACLE_SQL, QUERIES

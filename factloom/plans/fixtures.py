@@ -60,6 +60,15 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "quoted_edges": """
         SELECT doc_id AS document_id, 'USES_MAT' AS type, 'ExperimentRun:q' || CAST(doc_id AS STRING) AS src, 'Claim:q' || CAST(doc_id AS STRING) AS dst, substr(text, 120, 40) AS quote FROM documents WHERE length(text) > 160
         UNION ALL SELECT doc_id, 'DATA_SOURCE_FOR', CAST(doc_id AS STRING) || ':p:0', 'Material:q' || CAST(doc_id AS STRING), 'none' FROM documents WHERE doc_id % 3 = 0""",
+    # measurements of materials in several units, standards with limits that may be open, and which measurement is judged by which
+    "readings": f"""
+        SELECT DISTINCT l_orderkey % {_N} AS document_id, 'Measurement:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) AS id, 'Material:' || CAST(l_partkey % 97 AS STRING) AS mat, CASE l_linenumber % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'heat' WHEN 2 THEN 'speed' ELSE 'yield' END AS parameter,
+               CASE l_linenumber % 4 WHEN 0 THEN CASE l_orderkey % 3 WHEN 0 THEN 'mg/l' WHEN 1 THEN 'g/m3' ELSE 'кг/м³' END WHEN 1 THEN CASE l_orderkey % 4 WHEN 0 THEN '°C' WHEN 1 THEN 'K' WHEN 2 THEN 'MPa' ELSE 'cubits' END WHEN 2 THEN CASE l_orderkey % 2 WHEN 0 THEN 'km/h' ELSE 'm s^-1' END END AS unit,
+               CAST(l_quantity AS DOUBLE) AS v, CAST(year(l_shipdate) AS INT) AS year FROM lineitem""",
+    "standards": """
+        SELECT 'Standard:' || CAST(p_partkey AS STRING) AS standard_id, CASE p_partkey % 3 WHEN 0 THEN 'load' WHEN 1 THEN 'heat' ELSE 'speed' END AS parameter, CASE p_partkey % 3 WHEN 0 THEN 'g/m3' WHEN 1 THEN 'K' ELSE 'km/h' END AS unit,
+               CASE WHEN p_size % 5 > 0 THEN CAST(p_size * 2 AS DOUBLE) END AS lo, CASE WHEN p_size % 9 > 0 AND p_size > 4 THEN CAST(p_size * 2 + p_partkey % 4 AS DOUBLE) END AS hi FROM part WHERE p_size % 5 > 0 OR p_size < 3""",
+    "evaluated": "SELECT DISTINCT 'Measurement:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) AS src, 'Standard:' || CAST(p_partkey AS STRING) AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 2 = 0",
     "hits": f"""
         SELECT turn AS query_id, conv_id, conv_id % {_N} AS document_id, 'n' || CAST(conv_id * 7 % 50 AS STRING) AS node_id, CAST((conv_id * 31 + turn * 17) % 97 AS DOUBLE) / 97 AS score, role AS factor, text FROM conversations""",
     # loose files of each document
