@@ -4,14 +4,16 @@ A url that a rule fits gets the rule's verdict. For the rest, each host's paths
 a number, a hash or an id becomes a wildcard at once; a segment of a branch with more than MAX_CHILDREN values of little
 support does after counting; and a sibling branch merges with its siblings if the two can't be told apart: their urls go on
 alike (two-proportion test on the branch's most common rest) and their labelled rates don't differ (the same test, if
-both sides have MIN_SUPPORT labels to tell by). A template's purity is its share of blocked among urls that rules
-labelled, smoothed towards that of the branch above it, that towards the one above, and so on to the host and to all
-labelled urls; so templates without labels have the purity of what is nearest to them in the tree. Templates of purity
+both sides have MIN_SUPPORT labels to tell by; with fewer, they merge only if neither side has any or the siblings have
+both labels, for labels of one kind may be of the branch or of the rule). A template's purity is its share of blocked
+among urls that rules labelled, smoothed towards that of the branch above it, that towards the one above, and so on to the
+host and to all labelled urls. A branch above is evidence only if it, or one above it on the host, has urls of both labels:
+where rules label nothing but what they block, the rest of the host goes by all labelled urls. Templates of purity
 PURITY or more are rejected. Hosts and branches are counted by aggregation (partial sums before each shuffle), never
 collected, whatever the share of one host.
 
 Defined cases: null urls and urls without :// have empty host and path, no rule and are allowed; rows pass one by one, so
-repeated page_ids don't matter; paths of any length are told apart whole, merging acts on the first DEPTH segments; ties
+repeated page_ids don't matter; paths of any length are told apart whole, and merging goes on down as long as urls enough to merge are that deep; ties
 between rules can't occur, for of two rules that fit, one's host is within the other's or one's path starts with the
 other's: longest means longest host and path together, then host, then order; of equally common rests the one that sorts
 last counts; an empty table gives none; columns besides id and url don't matter.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import kept
 
-DEPTH, MAX_CHILDREN, MIN_SUPPORT = 6, 20, 5
+MAX_CHILDREN, MIN_SUPPORT = 20, 5
 SMOOTH, PURITY, Z = 4.0, 0.8, 1.96
 #: Rules as (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -90,7 +92,8 @@ def merged_level(now: DataFrame, d: int) -> DataFrame:
     both = branches.withColumns({"rest": F.col("top.rest"), "own": F.col("top.n_leaf")}).join(places, ["host", "prefix"]).join(rests, ["host", "prefix", "rest"])
     n2, g2, b2 = F.col("n") - F.col("n1"), F.col("g") - F.col("g1"), F.col("b") - F.col("b1")
     told = (F.col("g1") + F.col("b1") >= MIN_SUPPORT) & (g2 + b2 >= MIN_SUPPORT)
-    same_rate = ~told | ~F.coalesce(differs(F.col("b1"), F.col("g1") + F.col("b1"), b2, g2 + b2), F.lit(False))
+    unlabelled = (F.col("g1") + F.col("b1") == 0) & (g2 + b2 == 0)
+    same_rate = F.when(told, ~F.coalesce(differs(F.col("b1"), F.col("g1") + F.col("b1"), b2, g2 + b2), F.lit(False))).otherwise(unlabelled | ((g2 > 0) & (b2 > 0)))
     same_rest = ~F.coalesce(differs(F.col("own"), F.col("n1"), F.col("with_rest") - F.col("own"), n2), F.lit(True))
     alike = (F.col("n1") >= MIN_SUPPORT) & (n2 >= MIN_SUPPORT) & same_rate & same_rest
     rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("n1") * F.col("kinds") <= F.col("n") * 2)
@@ -102,19 +105,27 @@ def merged_level(now: DataFrame, d: int) -> DataFrame:
 
 def purities(counts: DataFrame) -> DataFrame:
     """host, segs, template, purity of each path shape."""
-    now = counts.withColumn("template", F.col("segs"))
-    for d in range(DEPTH):
-        now = kept(merged_level(now, d))  # a level reads the one before several times
+    now, d = counts.withColumn("template", F.col("segs")), 0
+    while True:  # as long as some host has so many urls that deep that branches could merge
+        most = now.where(F.size("template") > d).groupBy("host").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        if not most or most < 2 * MIN_SUPPORT:
+            break
+        now, d = kept(merged_level(now, d)), d + 1  # a level reads the one before several times
     bad, good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     base = bad / (bad + good) if bad else 0.0
     # the sums of each template and of each branch above it: the host's, then a segment more each time, the whole at last
     templates = now.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    depth = F.least(F.size("template"), F.lit(DEPTH))
-    above = F.concat(F.transform(F.sequence(F.lit(0), depth), lambda k: F.slice("template", F.lit(1), k)), F.when(F.size("template") > DEPTH, F.array("template")).otherwise(F.expr("cast(array() as array<array<string>>)")))
-    ways = templates.select("host", "template", "good", "bad", F.posexplode(above).alias("level", "prefix"))
-    sums = ways.groupBy("host", "prefix").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    path = ways.select("host", "template", "level", "prefix").join(sums, ["host", "prefix"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "g", "b"))).alias("path"))  # DEPTH + 2 rows at most
-    purity = F.aggregate("path", F.lit(float(base)), lambda up, x: (x["b"] + SMOOTH * up) / (x["g"] + x["b"] + SMOOTH))
+    above = F.transform(F.sequence(F.lit(0), F.size("template")), lambda k: F.struct(k.alias("level"), F.xxhash64(F.slice("template", F.lit(1), k)).alias("branch")))
+    ways = templates.select("host", "template", "good", "bad", F.explode(above).alias("at"))
+    sums = ways.groupBy("host", "at").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    path = ways.select("host", "template", "at").join(sums, ["host", "at"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("at.level", "g", "b"))).alias("path"))  # a row for each segment
+
+    def fold(up: Column, x: Column) -> Column:
+        seen = up["seen"] | ((x["g"] > 0) & (x["b"] > 0))
+        counts_ = seen | (x["level"] == F.size("template"))
+        return F.struct(F.when(counts_, (x["b"] + SMOOTH * up["p"]) / (x["g"] + x["b"] + SMOOTH)).otherwise(up["p"]).alias("p"), seen.alias("seen"))
+
+    purity = F.aggregate("path", F.struct(F.lit(float(base)).alias("p"), F.lit(False).alias("seen")), fold, lambda s: s["p"])
     judged = path.select(F.col("host").alias("h4"), F.col("template").alias("t4"), purity.alias("purity"))
     return now.join(judged, (F.col("host") == F.col("h4")) & (F.col("template") == F.col("t4"))).select("host", "segs", "template", "purity")
 

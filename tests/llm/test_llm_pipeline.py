@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pytest
 from test_llm_operators import brute_components, brute_lines, brute_windows, naive_bayes
 from tokenizers import Tokenizer
 
@@ -80,3 +81,30 @@ def test_stages_tell_odd_rows_apart(spark, tmp_path):
             assert n["blank"] >= 4 and n["five"] == 1
         if name == "decontamination":
             assert n["blank"] >= 4 and n["leak"] == 0 and n["five"] == 2
+
+
+def test_a_stage_removes_nothing_but_its_own_runs_tables(spark, sf, monkeypatch):
+    from factloom.llm import common, exactdup
+
+    monkeypatch.setattr(corpus_pipeline, "_begun", {})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = exactdup.exact_duplicates(docs.select("doc_id", "text"))
+    stages = [s for _, s in corpus_pipeline.STAGES]
+    first = stages[0](spark, docs, sf)
+    other = stages[0](spark, docs, "another")  # a second pipeline in the same driver
+    lines = stages[1](spark, docs.limit(30), "another")
+    tables = corpus_pipeline._begun["another"][0][0].tables
+    assert tables and first.count() == other.count()
+    near = stages[2](spark, docs.limit(30), "another")  # removes what line dedup kept
+    assert near.count() <= 30 and mine.count() == docs.count()
+    with pytest.raises(Exception, match="(?i)exist|not found|no such file"):
+        lines.count()
+    again, twice = stages[0](spark, docs, sf), stages[1](spark, docs.limit(30), sf)  # two runs of one folder: nothing is removed
+    assert again.count() == first.count() and twice.count() <= 30
+    with common.Run(spark) as run:
+        own = common.kept(docs.limit(5))
+    outside = common.kept(docs.limit(5))
+    run.clear()
+    assert outside.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not found|no such file"):
+        own.count()
