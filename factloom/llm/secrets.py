@@ -6,12 +6,14 @@ turns, any other character by brute force over the alphabet that the value uses;
 in the pattern. One programme over the whole value finds the sum in time linear in the value: walks and repeats are
 states that a further key or unit prolongs. A value is reported if its cost reaches MIN_BITS.
 
-Words are the listed passwords, then those of the corpus by the number of documents they stand in, counted over all
-documents and cut at rank DICTIONARY (a table of bounded size, which every task gets).
+Words are the listed passwords, then those of the corpus by how often they occur in all documents, outside credential
+contexts and between at least MIN_CONTEXTS different pairs of neighbours, cut at rank DICTIONARY (a table of bounded size,
+which every task gets). So a secret that is copied from page to page doesn't become a word.
 
 Defined cases: null counts as the empty text; offsets are code points, ends exclusive; spans of one kind don't
 overlap, those of different kinds may; spans are sorted by start, then kind in the order of KINDS; of equally frequent words
-the one that sorts first has the better rank; rows pass one by one, so repeated ids don't matter.
+the one that sorts first has the better rank; rows pass one by one, so repeated ids don't matter; texts are taken whole, a batch of rows or
+one very long text at a time; an empty table gives an empty one; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|crede
 WORDS = "password qwerty dragon monkey letmein football baseball welcome login admin master shadow sunshine princess superman hello freedom whatever charlie michael jordan secret summer winter spring autumn flower access batman trustno starwars test user guest root changeme default example sample token love god pass word the and you that for with this have from your name home work love time year good blue red green black white happy lucky magic power".split()
 #: Words of the corpus that are ranked after those, and their letters.
 DICTIONARY, SHORTEST_WORD, LONGEST_WORD = 1 << 16, 3, 24
+#: Pairs of neighbours that make a word of a run of letters.
+MIN_CONTEXTS = 8
 #: Rows of a keyboard, along which a walk goes.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
@@ -127,10 +131,17 @@ def guess_bits(value: str, ranks: Ranks = LISTED, enough: float = math.inf) -> f
 
 
 def corpus_ranks(df: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> dict[str, int]:
-    """LISTED and, after them, the `most` words of df that stand in most of its documents (in two at least)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(rf"\p{{L}}{{{SHORTEST_WORD},}}"), F.lit(0)))
-    counts = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    top = counts.where(F.length("w") <= LONGEST_WORD).orderBy(F.desc("n"), "w").limit(most)
+    """LISTED and, after them, the `most` words of df that occur most often, of those with at least MIN_CONTEXTS pairs of
+    neighbours. Values in credential context don't count, and a copied text brings no new neighbours, so what is leaked once
+    and copied stays out. Neighbours are told apart by one of 64 bits; the bits of a word are joined before they shuffle."""
+    plain = F.lower(F.regexp_replace(F.col(f"`{text_col}`"), CONTEXT.pattern, " = "))
+    words = F.concat(F.array(F.lit("")), F.regexp_extract_all(plain, F.lit(r"\p{L}+|="), F.lit(0)), F.array(F.lit("")))
+    n = F.size("ws") - 2
+    own = df.select(words.alias("ws")).where("size(ws) > 2").select(F.explode(F.arrays_zip(F.slice("ws", F.lit(1), n).alias("before"), F.slice("ws", F.lit(2), n).alias("w"), F.slice("ws", F.lit(3), n).alias("after"))).alias("x"))
+    own = own.where(F.length("x.w").between(SHORTEST_WORD, LONGEST_WORD))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(x.before, x.after), 64) as int))")
+    counts = own.groupBy(F.col("x.w").alias("w")).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits")).where(F.bit_count("bits") >= MIN_CONTEXTS)
+    top = counts.orderBy(F.desc("n"), "w").limit(most)
     new = [r["w"] for r in top.collect() if r["w"] not in LISTED]  # DICTIONARY rows at most
     return {**LISTED, **{w: len(WORDS) + 1 + i for i, w in enumerate(new)}}
 
