@@ -283,14 +283,6 @@ def a32(nodes):
     return nodes.where("confidence < 0.6").select("document_id", "id", F.round("confidence", 4).alias("confidence"))
 
 
-@query("A33", "part", sql="SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS first_id FROM part QUALIFY p_partkey <> min(p_partkey) OVER (PARTITION BY lower(p_name))")
-def a33(part):
-    """Entities whose name an earlier one has: each with the first of its group, so a group of any size stays linear."""
-    k = part.select(F.lower("p_name").alias("key"), F.col("p_partkey").alias("id"))
-    first = k.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return k.join(first, "key").where("id <> first_id").select("id", "first_id")
-
-
 MEASURED_SQL = """ms AS (SELECT e.dst AS mat, n.parameter, n.unit, n.numeric_value AS v, n.document_id FROM edges e JOIN edges p ON p.src = e.src AND p.type = 'PRODUCED_MEASUREMENT' JOIN nodes n ON n.id = p.dst WHERE e.type = 'USES_MAT')"""
 
 

@@ -272,17 +272,6 @@ def r17(conversations):
     return conversations.select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", intent(F.col("said")).alias("intent"))
 
 
-@query("R19", "part", sql="""
-    WITH a AS (SELECT DISTINCT p_brand, lower(p_type) AS w FROM part), g AS (SELECT p_brand, list_sort(list(w)) AS ws FROM a GROUP BY 1)
-    SELECT a.w AS term, array_to_string(list_sort(list_distinct(flatten(list(ws))))[:12], ',') AS expansion FROM a JOIN g USING (p_brand) GROUP BY 1""")
-def r19(part):
-    """Terms expanded by those that share an entity with them, twelve at most."""
-    a = part.select("p_brand", F.lower("p_type").alias("w")).distinct()
-    g = a.groupBy("p_brand").agg(F.collect_set("w").alias("ws"))
-    e = a.join(g, "p_brand").select("w", F.explode("ws").alias("other")).distinct()
-    return e.groupBy(F.col("w").alias("term")).agg(F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 12), ",").alias("expansion"))
-
-
 @query("R23", "hits", "registry", sql=f"SELECT query_id, node_id, document_id, score FROM hits LEFT JOIN registry r ON r.id = document_id WHERE r.id IS NULL OR coalesce(classification, '{O.LEVELS[0]}') = '{O.LEVELS[0]}'")
 def r23(hits, registry):
     """Hits that a viewer may see."""

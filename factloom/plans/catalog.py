@@ -1,6 +1,7 @@
 """All registered queries and oracles."""
 
 import factloom.functions.embed
+import factloom.operators.aliases
 import factloom.operators.analytics
 import factloom.operators.bridge
 import factloom.operators.cluster
