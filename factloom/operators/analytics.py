@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import ontology as O
 from factloom.operators.quality import ENTITY_KEY_SQL, LABELS_SQL, both_ways, entity_key
+from factloom.operators.units import BASE_SQL, SPREAD, in_base_units, spread
 from factloom.plans.registry import query
 
 #: Domains of a document by what its name contains; the first rule wins.
@@ -76,17 +77,34 @@ def domain_coverage(spark, registry: DataFrame, nodes: DataFrame) -> DataFrame:
     return z.select("domain", "documents", "facts", F.round(share, 1).alias("pct"))
 
 
-@query("A6", "vectors", sql="""
-    WITH a AS (SELECT document_id, vec_id, anomaly_score, row_number() OVER (PARTITION BY document_id ORDER BY anomaly_score DESC, vec_id) AS k FROM vectors WHERE is_anomaly),
-         s AS (SELECT document_id, cluster_id, count(*) AS n, min(vec_id) AS first FROM vectors WHERE cluster_id >= 0 AND collection = 'claims' GROUP BY 1, 2 HAVING count(*) <= 2),
-         z AS (SELECT 'anomaly' AS kind, 2 AS severity, document_id, vec_id AS item FROM a WHERE k <= 3 UNION ALL SELECT 'sparse', 1, document_id, first FROM s)
+#: Documents that must disagree for a contradiction to count among the risks.
+MANY_SOURCES = 12
+
+
+@query("A6", "vectors", "readings", sql=f"""
+    WITH {BASE_SQL}, a AS (SELECT document_id, vec_id, anomaly_score, row_number() OVER (PARTITION BY document_id ORDER BY anomaly_score DESC, vec_id) AS k FROM vectors WHERE is_anomaly),
+         s AS (SELECT document_id, cluster_id, count(*) AS n FROM vectors WHERE cluster_id >= 0 AND collection = 'claims' GROUP BY 1, 2 HAVING count(*) <= 2),
+         c AS (SELECT parameter, mat, min(document_id) AS document_id FROM rb WHERE base IS NOT NULL GROUP BY parameter, mat, dimension HAVING count(DISTINCT document_id) >= {MANY_SOURCES} AND (max(base) - min(base)) / greatest(abs(min(base)), abs(max(base)), 1e-9) > {SPREAD}),
+         z AS (SELECT 'anomaly' AS kind, 2 AS severity, document_id, CAST(vec_id AS VARCHAR) AS item FROM a WHERE k <= 3 UNION SELECT 'sparse', 1, document_id, CAST(cluster_id AS VARCHAR) FROM s UNION SELECT 'contradiction', 3, document_id, parameter || ':' || mat FROM c)
     SELECT kind, severity::BIGINT AS severity, document_id, item FROM z ORDER BY severity DESC, document_id, item LIMIT 24""")
-def a6(vectors):
-    """The 24 gravest risks: three anomalies of a document at most, then clusters of little evidence."""
+def a6(vectors, readings):
+    """The 24 gravest risks: values that many sources contradict each other on, three anomalies of a document at most, clusters of little evidence."""
+    return risk_zones(vectors, contradictions(readings))
+
+
+def contradictions(readings: DataFrame, sources: int = MANY_SOURCES) -> DataFrame:
+    """document_id (the first) and item of what at least so many documents give conflicting values for."""
+    g = in_base_units(readings).where("base IS NOT NULL").groupBy("parameter", "mat", "dimension").agg(F.min("base").alias("lo"), F.max("base").alias("hi"), F.count_distinct("document_id").alias("documents"), F.min("document_id").alias("document_id"))
+    return g.where((F.col("documents") >= sources) & (spread(F.col("lo"), F.col("hi")) > SPREAD)).select("document_id", F.concat_ws(":", "parameter", "mat").alias("item"))
+
+
+def risk_zones(vectors: DataFrame, conflicts: DataFrame, most: int = 24) -> DataFrame:
+    """kind, severity, document_id, item of the gravest risks, each once: conflicts (document_id, item), anomalies, clusters of one or two facts."""
     k = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("anomaly_score"), "vec_id"))
-    a = vectors.where("is_anomaly").withColumn("k", k).where("k <= 3").select(F.lit("anomaly").alias("kind"), F.lit(2).cast("long").alias("severity"), "document_id", F.col("vec_id").alias("item"))
-    s = sparse_clusters(vectors.where("collection = 'claims'")).select(F.lit("sparse").alias("kind"), F.lit(1).cast("long").alias("severity"), "document_id", F.col("first").alias("item"))
-    return a.unionByName(s).orderBy(F.desc("severity"), "document_id", "item").limit(24)
+    row = lambda df, kind, severity, item: df.select(F.lit(kind).alias("kind"), F.lit(severity).cast("long").alias("severity"), "document_id", F.col(item).cast("string").alias("item"))
+    a = row(vectors.where("is_anomaly").withColumn("k", k).where("k <= 3"), "anomaly", 2, "vec_id")
+    s = row(sparse_clusters(vectors.where("collection = 'claims'")), "sparse", 1, "cluster_id")
+    return row(conflicts, "contradiction", 3, "item").unionByName(a).unionByName(s).distinct().orderBy(F.desc("severity"), "document_id", "item").limit(most)
 
 
 def sparse_clusters(vectors: DataFrame) -> DataFrame:
@@ -271,11 +289,23 @@ def a28(events):
     return events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"), F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("cached_share"))
 
 
-@query("A31", "nodes", "edges", sql="SELECT n.document_id, n.id FROM (SELECT DISTINCT document_id, id FROM nodes WHERE label = 'Measurement') n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type = 'PRODUCED_MEASUREMENT' AND e.document_id % 3 = 0)")
-def a31(nodes, edges):
-    """Facts without provenance."""
-    known = edges.where("type = 'PRODUCED_MEASUREMENT' AND document_id % 3 = 0").select(F.col("dst").alias("id"))
-    return nodes.where("label = 'Measurement'").select("document_id", "id").distinct().join(known, "id", "left_anti").select("document_id", "id")
+#: What says where a fact comes from.
+PROVENANCE = ("DATA_SOURCE_FOR", "CONTEXT_FOR", "ABOUT", "PRODUCED_MEASUREMENT")
+LOST_SQL = "given AS (SELECT * FROM edges WHERE type <> 'PRODUCED_MEASUREMENT' OR src IN (SELECT 'ExperimentRun:' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'O'))"
+
+
+def without_provenance(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The facts (document_id, id) that no edge of the four kinds, in either direction, ties to where they come from."""
+    tied = edges.where(F.col("type").isin(*PROVENANCE)).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return facts.select("document_id", "id").distinct().join(tied, "id", "left_anti").select("document_id", "id")
+
+
+@query("A31", "nodes", "edges", "orders", sql=f"WITH {LOST_SQL} SELECT n.document_id, n.id FROM (SELECT DISTINCT document_id, id FROM nodes WHERE label = 'Measurement') n WHERE NOT EXISTS (SELECT 1 FROM given e WHERE (e.dst = n.id OR e.src = n.id) AND e.type IN {PROVENANCE})")
+def a31(nodes, edges, orders):
+    """Measurements without provenance, where the runs of open orders don't say what they produced."""
+    done = orders.where("o_orderstatus <> 'O'").select(F.concat(F.lit("ExperimentRun:"), F.col("o_orderkey").cast("string")).alias("src"))
+    given = edges.where("type <> 'PRODUCED_MEASUREMENT'").unionByName(edges.where("type = 'PRODUCED_MEASUREMENT'").join(done, "src", "left_semi").select(*edges.columns))
+    return without_provenance(nodes.where("label = 'Measurement'"), given)
 
 
 @query("A32", "nodes", sql="SELECT document_id, id, round(confidence, 4) AS confidence FROM nodes WHERE confidence < 0.6")
@@ -294,19 +324,34 @@ def measured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 @query("A37", "edges", "nodes", sql="""
-    WITH r AS (SELECT DISTINCT id FROM nodes WHERE label = 'ExperimentRun'), t AS (SELECT src, bool_or(type = 'USES_MAT') AS m, bool_or(type = 'PRODUCED_MEASUREMENT') AS p FROM edges GROUP BY 1)
-    SELECT id, coalesce(m, false) AS has_material, coalesce(p, false) AS has_measure FROM r LEFT JOIN t ON src = id WHERE NOT (coalesce(m, false) AND coalesce(p, false))""")
+    WITH r AS (SELECT DISTINCT id FROM nodes WHERE label = 'ExperimentRun'), t AS (SELECT src, bool_or(type = 'USES_MAT') AS m, bool_or(type = 'OPERATES_PROC') AS o, bool_or(type = 'PRODUCED_MEASUREMENT') AS p FROM edges GROUP BY 1),
+         mp AS (SELECT DISTINCT m.dst AS mat, p.dst AS proc FROM edges m JOIN edges p ON p.src = m.src WHERE m.type = 'USES_MAT' AND p.type = 'OPERATES_PROC'), np AS (SELECT count(DISTINCT id) AS n FROM nodes WHERE label = 'Process')
+    SELECT 'run' AS kind, id, concat_ws(',', CASE WHEN m IS NOT TRUE THEN 'material' END, CASE WHEN o IS NOT TRUE THEN 'process' END, CASE WHEN p IS NOT TRUE THEN 'result' END) AS lacks, NULL::BIGINT AS pairs FROM r LEFT JOIN t ON src = id WHERE m IS NOT TRUE OR o IS NOT TRUE OR p IS NOT TRUE
+    UNION ALL SELECT 'material', id, 'process', n - count(proc) FROM (SELECT DISTINCT id FROM nodes WHERE label = 'Material') LEFT JOIN mp ON mat = id, np GROUP BY id, n HAVING n > count(proc)""")
 def a37(edges, nodes):
-    """Runs that lack a material or a measurement."""
-    t = edges.groupBy("src").agg(F.bool_or(F.col("type") == "USES_MAT").alias("m"), F.bool_or(F.col("type") == "PRODUCED_MEASUREMENT").alias("p"))
-    r = nodes.where("label = 'ExperimentRun'").select("id").distinct().join(t, F.col("id") == F.col("src"), "left")
-    return r.select("id", F.coalesce("m", F.lit(False)).alias("has_material"), F.coalesce("p", F.lit(False)).alias("has_measure")).where("NOT (has_material AND has_measure)")
+    """Runs that lack a material, a process or a result, and how many processes no run has tried on each material; the pairs themselves aren't spelled out."""
+    has = lambda t: F.bool_or(F.col("type") == t)
+    t = edges.groupBy("src").agg(has("USES_MAT").alias("m"), has("OPERATES_PROC").alias("o"), has("PRODUCED_MEASUREMENT").alias("p"))
+    lacks = F.concat_ws(",", *(F.when(~F.coalesce(c, F.lit(False)), name) for c, name in (("m", "material"), ("o", "process"), ("p", "result"))))
+    runs = nodes.where("label = 'ExperimentRun'").select("id").distinct().join(t, F.col("id") == F.col("src"), "left").select(F.lit("run").alias("kind"), "id", lacks.alias("lacks"), F.lit(None).cast("long").alias("pairs")).where("lacks <> ''")
+    of = lambda t, name: edges.where(F.col("type") == t).select("src", F.col("dst").alias(name)).distinct()
+    tried = of("USES_MAT", "id").join(of("OPERATES_PROC", "proc"), "src").groupBy("id").agg(F.count_distinct("proc").alias("n"))
+    every = nodes.where("label = 'Process'").agg(F.count_distinct("id").alias("processes"))
+    left = nodes.where("label = 'Material'").select("id").distinct().join(tried, "id", "left").join(F.broadcast(every), F.lit(True)).withColumn("pairs", F.col("processes") - F.coalesce("n", F.lit(0)))  # one row
+    return runs.unionByName(left.where("pairs > 0").select(F.lit("material").alias("kind"), "id", F.lit("process").alias("lacks"), "pairs"))
 
 
-@query("A38", "nodes", "registry", sql=f"WITH {COVERAGE_SQL} SELECT entity FROM cov WHERE NOT (d AND f)")
+SIDES = ("Material", "ExperimentRun", "Expert")
+SIDES_SQL = f"SELECT label, id, bool_or(coalesce(geography = 'domestic', false)) AS d, bool_or(coalesce(geography = 'foreign', false)) AS f FROM nodes JOIN registry r ON r.id = document_id WHERE label IN {SIDES} GROUP BY 1, 2"
+
+
+@query("A38", "nodes", "registry", sql=f"WITH cov AS ({SIDES_SQL.replace('SELECT label, id', 'SELECT label, nodes.id')}) SELECT label, id, CASE WHEN d THEN 'domestic only' WHEN f THEN 'foreign only' ELSE 'no geography' END AS side FROM cov WHERE NOT (d AND f)")
 def a38(nodes, registry):
-    """Entities that the literature covers from one side only."""
-    return technology_coverage(nodes, registry).where("coverage <> 'both'").select("entity")
+    """What the literature covers from one side only, or from documents without geography."""
+    r = registry.select(F.col("id").alias("document_id"), "geography")
+    has = lambda g: F.bool_or(F.coalesce(F.col("geography") == g, F.lit(False)))
+    cov = nodes.where(F.col("label").isin(*SIDES)).join(r, "document_id").groupBy("label", "id").agg(has("domestic").alias("d"), has("foreign").alias("f"))
+    return cov.where("NOT (d AND f)").select("label", "id", F.when(F.col("d"), "domestic only").when(F.col("f"), "foreign only").otherwise("no geography").alias("side"))
 
 
 @query("A40", "nodes", "edges", sql=f"WITH {MEASURED_SQL} SELECT parameter, max(v) FILTER (WHERE mat = 'Material:1') AS m1, max(v) FILTER (WHERE mat = 'Material:2') AS m2, max(v) FILTER (WHERE mat = 'Material:3') AS m3 FROM ms WHERE mat IN ('Material:1', 'Material:2', 'Material:3') GROUP BY 1")
