@@ -207,12 +207,12 @@ def t12(lines):
     return lines.where("line <> ''").groupBy("doc_id").agg(F.count(F.when(junk(F.col("line")), 1)).alias("junk"), F.count("*").alias("lines"))
 
 
-@query("T13", "documents", sql=f"""
+@query("T13_words", "documents", sql=f"""
     WITH s(lang, w) AS ({", ".join([f"VALUES {', '.join(chr(40) + repr(k) + ',' + repr(w) + chr(41) for k, ws in STOP.items() for w in ws)}"])}),
          t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS w FROM documents), c AS (SELECT doc_id, s.lang, count(*) AS n FROM t JOIN s USING (w) GROUP BY 1, 2),
          r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS k FROM c)
     SELECT doc_id, lang AS detected, n AS words FROM r WHERE k = 1""")
-def t13(spark, documents):
+def t13_words(spark, documents):
     """Language by stop words."""
     s = spark.createDataFrame([(k, w) for k, ws in STOP.items() for w in ws], "detected string, w string")
     t = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
