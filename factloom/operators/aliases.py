@@ -92,20 +92,20 @@ def expansions(entities: DataFrame, most: int = ADDED) -> DataFrame:
     return met.withColumn("r", r).where(F.col("r") <= most).groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("expansion"))
 
 
-@query("A33", "terms", sql=f"""
-    WITH RECURSIVE o AS (SELECT DISTINCT entity_id, lower(trim(term)) AS term FROM terms WHERE trim(term) <> ''), s AS (SELECT term, list_distinct(list_transform(generate_series(1, greatest(length(term) - {PIECE - 1}, 1)), lambda i: substr(term, i, {PIECE}))) AS x FROM (SELECT DISTINCT term FROM o)),
+@query("A33", "part_terms", sql=f"""
+    WITH RECURSIVE o AS (SELECT DISTINCT entity_id, lower(trim(term)) AS term FROM part_terms WHERE trim(term) <> ''), s AS (SELECT term, list_distinct(list_transform(generate_series(1, greatest(length(term) - {PIECE - 1}, 1)), lambda i: substr(term, i, {PIECE}))) AS x FROM (SELECT DISTINCT term FROM o)),
          near AS (SELECT a.term AS a, b.term AS b FROM s a JOIN s b ON a.term < b.term AND len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) >= {LEAST}),
          linked AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM o x JOIN o y USING (term) UNION SELECT DISTINCT x.entity_id, y.entity_id FROM near JOIN o x ON x.term = near.a JOIN o y ON y.term = near.b UNION SELECT DISTINCT y.entity_id, x.entity_id FROM near JOIN o x ON x.term = near.a JOIN o y ON y.term = near.b),
          r(id, root) AS (SELECT a, a FROM linked UNION SELECT b, root FROM r JOIN linked ON a = r.id), g AS (SELECT id AS entity_id, min(root) AS group_id FROM r GROUP BY 1)
     SELECT entity_id, group_id, count(*) OVER (PARTITION BY group_id) AS members FROM g QUALIFY count(*) OVER (PARTITION BY group_id) > 1""")
-def a33(terms):
+def a33(part_terms):
     """Entities that may be the same, with their group."""
-    return alias_groups(terms).where("members > 1")
+    return alias_groups(part_terms).where("members > 1")
 
 
-@query("R19", "terms", sql=f"""
-    WITH o AS (SELECT DISTINCT entity_id, lower(trim(term)) AS term FROM terms WHERE trim(term) <> ''), p AS (SELECT DISTINCT x.term, y.term AS other FROM o x JOIN o y USING (entity_id) WHERE x.term <> y.term)
+@query("R19", "part_terms", sql=f"""
+    WITH o AS (SELECT DISTINCT entity_id, lower(trim(term)) AS term FROM part_terms WHERE trim(term) <> ''), p AS (SELECT DISTINCT x.term, y.term AS other FROM o x JOIN o y USING (entity_id) WHERE x.term <> y.term)
     SELECT term, array_to_string(list_sort(list(other))[:{ADDED}], ',') AS expansion FROM p GROUP BY 1""")
-def r19(terms):
+def r19(part_terms):
     """Terms expanded by those that share an entity with them, twelve at most."""
-    return expansions(terms)
+    return expansions(part_terms)

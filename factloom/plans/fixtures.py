@@ -70,7 +70,7 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                CASE WHEN p_size % 5 > 0 THEN CAST(p_size * 2 AS DOUBLE) END AS lo, CASE WHEN p_size % 9 > 0 AND p_size > 4 THEN CAST(p_size * 2 + p_partkey % 4 AS DOUBLE) END AS hi FROM part WHERE p_size % 5 > 0 OR p_size < 3""",
     "evaluated": "SELECT DISTINCT 'Measurement:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) AS src, 'Standard:' || CAST(p_partkey AS STRING) AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 2 = 0",
     # names of the parts: one that some share, or nearly, one that others share, and what kind of thing they are
-    "terms": """
+    "part_terms": """
         SELECT CAST(p_partkey AS BIGINT) AS entity_id, substr(md5(CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)), 1, 12) || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '' END AS term FROM part
         UNION ALL SELECT CAST(p_partkey AS BIGINT), 'G' || substr(md5('b' || CAST(CAST(floor((p_partkey + 1) / 4) AS BIGINT) AS STRING)), 1, 11) FROM part WHERE p_partkey % 10 <> 0
         UNION ALL SELECT CAST(p_partkey AS BIGINT), p_name || ' ' || p_brand FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT CAST(p_partkey AS BIGINT), ' ' FROM part""",
