@@ -218,12 +218,6 @@ def s21(nation):
     return nation.select(F.concat(F.lit("| "), F.concat_ws(" | ", F.col("n_nationkey").cast("string"), F.replace("n_name", F.lit("|"), F.lit("\\|"))), F.lit(" |")).alias("line"), F.col("n_nationkey").cast("long").alias("pos"))
 
 
-@query("S23", "events", sql="SELECT event_id, event_type, left(props, 4000) AS detail FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
-def s23(events):
-    """The last entries of the event log."""
-    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", F.substring("props", 1, 4000).alias("detail"))
-
-
 def cache_key(*columns: str) -> Column:
     """The key of a result: a hash of its kind and parameters, in order of their names."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256)
@@ -239,19 +233,6 @@ def s25(spark, nodes):
     return nodes.join(F.broadcast(d), "label").groupBy("label", "layer", at.alias("collection")).agg(F.count("*").alias("nodes"))
 
 
-@query("S5", "documents", sql="SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, source AS source_location FROM documents WHERE doc_id % 4 <> 0")
-def s5(documents):
-    """Resumable load: paths that the log has as uploaded are left out; the folder gives the location."""
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    files = documents.select("doc_id", path.alias("path"))
-    log = files.where("doc_id % 4 = 0").select("path", F.lit("uploaded").alias("status"))
-    return resume(files, log).select("doc_id", "path", F.regexp_extract("path", "^([^/]+)/", 1).alias("source_location"))
-
-
-def resume(files: DataFrame, log: DataFrame) -> DataFrame:
-    return files.join(log.where("status = 'uploaded'").select("path"), "path", "left_anti")
-
-
 @query("S22", "registry", sql="""SELECT id, CAST(id AS VARCHAR) || ',"' || replace(file_name, '"', '""') || '",' || coalesce(geography, '') AS line FROM registry""")
 def s22(registry):
     """Lines of a CSV export with standard quoting."""

@@ -9,6 +9,7 @@ import factloom.operators.density
 import factloom.operators.extract
 import factloom.operators.indexing
 import factloom.operators.langprofile
+import factloom.operators.loading
 import factloom.operators.quality
 import factloom.operators.search
 import factloom.operators.tables
