@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import ontology as O
-from factloom.operators import ivf
+from factloom.operators import ivf, postings
 from factloom.operators.ivf import best_of
 from factloom.operators.text import tokens
 from factloom.plans.registry import query
-from factloom.session import checkpointed, in_blocks
+from factloom.session import checkpointed, in_blocks, small_side
 
 #: Words of small talk.
 GREETING = "hello hi hey heya hiya yo sup howdy greetings привет здравствуй здравствуйте салют хай".split() + ["добрый день", "доброе утро", "добрый вечер", "доброй ночи", "good morning", "good evening", "good afternoon", "good night"]
@@ -21,6 +21,7 @@ ACK = ["ok", "okay", "ок", "окей", "ага", "понятно", "ясно",
 META = r"^(?:who are you|what are you|what(?: is|s) your name|кто ты|что ты(?: такое)?|как тебя зовут|ты кто|what can you do|how can you help|help me|чем можешь помочь|что умеешь|как ты работаешь|помоги|расскажи о себе)$"
 DOMAIN = r"(?i)\b(?:nickel|cobalt|copper|iron|material|process|technology|alloy|temperature|pressure|document|graph|fact|cluster|what is|how does)\b"
 MAX_SENT_QUERIES = 5000
+MAX_SENT_LISTED = 50_000
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
@@ -48,12 +49,9 @@ TOK_SQL = """dt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_al
 def token_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, overlap, score: documents by shared tokens (an inverted index), the k best of each query."""
     q = queries.select("query_id", F.explode(F.slice(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 4), 1, 16)).alias("w"))
-    wanted = q.select("w").distinct()
-    d = docs.select("id", F.explode(tokens(F.col("text"))).alias("w")).join(wanted, "w", "left_semi")
-    c = d.join(q, "w").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    d = docs.select("id", F.explode(tokens(F.col("text"))).alias("w"))
     score = F.least(F.lit(1.0), 0.35 + 0.15 * F.col("overlap"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "id")
-    return c.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "overlap", score.alias("score"))
+    return postings.top_k(d, q, k).select("query_id", "id", "overlap", score.alias("score"))
 
 
 @query("R2", "documents", "benchmark", sql=f"""
@@ -373,7 +371,7 @@ def r6(documents, benchmark, lines):
     """Keyword seeds in listed documents: of each three lines at most, twelve for a query. The five documents that share most words with it are listed."""
     listed = token_search(documents.select(F.col("doc_id").alias("id"), "text"), benchmark.select(F.col("item_id").alias("query_id"), "text"), 5).select("query_id", F.col("id").alias("doc_id"))
     q = asked(benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    s = lines.join(F.broadcast(listed), "doc_id").join(F.broadcast(q), "query_id")  # five rows for each query
+    s = lines.join(small_side(listed, MAX_SENT_LISTED), "doc_id").join(small_side(q, MAX_SENT_LISTED), "query_id")  # five rows for each query
     s = s.select("query_id", "doc_id", "pos", keyword_score(F.lower("line"), F.col("q"), F.col("ts")).alias("score")).where("score IS NOT NULL AND line <> ''")
     few = s.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "pos"))).where("k <= 3")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos")
@@ -405,8 +403,7 @@ def r11(vectors, nodes, part):
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w")
     e = nodes.where("label = 'Process'").select("id", "name").distinct().select("id", words("name"))
     asked_words = q.join(kind, F.col("query_id") == F.col("part")).select("query_id", words("p_type"))
-    o = e.join(asked_words, "w").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
-    t = best_of(o, 4, F.desc("overlap"), F.asc("id")).select("query_id", F.col("id").alias("node_id"), F.least(F.lit(1.0), 0.35 + 0.15 * F.col("overlap")).alias("score"), F.lit("token").alias("factor"))
+    t = postings.top_k(e, asked_words, 4).select("query_id", F.col("id").alias("node_id"), F.least(F.lit(1.0), 0.35 + 0.15 * F.col("overlap")).alias("score"), F.lit("token").alias("factor"))
     merged = v.unionByName(t).groupBy("query_id", "node_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("factor")), ",").alias("factors"))
     return merged.select("query_id", "node_id", F.round("score", 4).alias("score"), "factors")
 
