@@ -10,8 +10,8 @@ their neighbourhood: the line itself and, for each word, the line without it, as
 missing at the same place differ by a replacement; a line without a word and a line that is
 that, by an insertion. So the join needs the earliest member of each variant alone, never pairs of members: groups of
 any size are summed up map-side. Round by round, lines that are the earliest undecided in all their variants stay, and
-what shares a variant with them goes; few lines are left after the first round, and there are as many rounds as the longest
-chain of decisions has links. The edit distance of each dropped line and the line it names is verified on the words.
+what shares a variant with them goes; few lines are left after the first round. What ROUNDS of them leave are chains of decisions:
+each component of at most FINISH_ROWS memberships is decided in one task, line by line in their order, and a larger one goes on in rounds. The edit distance of each dropped line and the line it names is verified on the words.
 
 Defined cases: lines without words stay; null texts have no lines; lines of identical rows (same id and text) stand at
 the same place, so neither is earlier; null ids come first; a text is split at \\n only and kept apart from that; columns of df
@@ -21,8 +21,10 @@ besides id and text pass through `drop_lines`, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import kept, modest, row_key, slabs, small_side, tidied, unused
+from factloom.llm.minhash import components
 
 MIN_WORDS = 5
 #: Rows of hashes that are sent to every task, if there are no more; otherwise the join shuffles.
 SENT_ROWS = 500_000
+#: Rounds over all lines before components are finished by themselves, and the memberships in groups of lines alike of a component that one task takes.
+ROUNDS, FINISH_ROWS = 6, 500_000
 #: Odd multipliers and seeds of the two halves of a variant's hash.
 _BASES = ((0xD6E8FEB86659FD93, 0x1234567), (0xA0761D6478BD642F, 0x89ABCDEF))
 
@@ -119,7 +124,47 @@ def one_edit(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.abs(F.size(a) - F.size(b)) <= 1) & (same_head + same_tail >= F.greatest(F.size(a), F.size(b)) - 1))
 
 
-def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
+def decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """rank, stays of the lines of a component: in their order, a line stays unless one alike stays before it. rows: rank and a group of lines alike (ga, gb), or a line one word shorter (ga, where gb is -1)."""
+    swapped, longer = rows[rows["gb"] >= 0], rows[rows["gb"] < 0]
+    ranks = np.unique(np.concatenate([rows["rank"].to_numpy(), longer["ga"].to_numpy()]))
+    groups: list[list[int]] = [[] for _ in ranks]
+    beside: list[list[int]] = [[] for _ in ranks]
+    numbers = swapped.groupby(["ga", "gb"]).ngroup().to_numpy()
+    for at, group in zip(np.searchsorted(ranks, swapped["rank"].to_numpy()).tolist(), numbers.tolist(), strict=True):
+        groups[at].append(group)
+    for at, whole in zip(np.searchsorted(ranks, longer["rank"].to_numpy()).tolist(), np.searchsorted(ranks, longer["ga"].to_numpy()).tolist(), strict=True):
+        beside[at].append(whole)
+        beside[whole].append(at)
+    taken, gone = set(), np.zeros(len(ranks), bool)
+    for at in range(len(ranks)):
+        if gone[at] or not taken.isdisjoint(groups[at]):
+            gone[at] = True
+            continue
+        taken.update(groups[at])
+        gone[[x for x in beside[at] if x > at]] = True
+    return pd.DataFrame({"rank": ranks, "stays": ~gone})
+
+
+def finished(swapped: DataFrame, longer: DataFrame, sent_rows: int, finish_rows: int) -> DataFrame:
+    """rank, stays of the undecided lines (swapped: ga, gb, rank; longer: rank, whole) whose component has at most finish_rows memberships."""
+    first = swapped.groupBy("ga", "gb").agg(F.min("rank").alias("early"))
+    edges = swapped.join(first, ["ga", "gb"]).select(F.col("rank").alias("a"), F.col("early").alias("b")).unionByName(longer.select(F.col("rank").alias("a"), F.col("whole").alias("b")))
+    labels = components(edges, sent_rows).withColumnRenamed("node", "rank")
+    rows = swapped.select("rank", "ga", F.col("gb").cast("long").alias("gb")).unionByName(longer.select("rank", F.col("whole").alias("ga"), F.lit(-1).cast("long").alias("gb")))
+    rows = kept(rows.join(labels, "rank", "left").withColumn("label", F.coalesce("label", "rank")))
+    small = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") <= finish_rows).select("label")
+    return kept(rows.join(small, "label").groupBy("label").applyInPandas(decide, "rank long, stays boolean"))
+
+
+def undecided(swapped: DataFrame, longer: DataFrame, now: DataFrame, sent_rows: int) -> tuple[DataFrame, DataFrame]:
+    """swapped and longer without the lines of now."""
+    done = small_side(now.select(F.col("rank").alias("done")), now.count(), sent_rows)
+    longer = longer.join(done, F.col("rank") == F.col("done"), "left_anti").join(done, F.col("whole") == F.col("done"), "left_anti")
+    return kept(swapped.join(done, F.col("rank") == F.col("done"), "left_anti")), kept(longer)
+
+
+def kept_lines(variants: DataFrame, lines: int, sent_rows: int, rounds: int = ROUNDS, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """rank, early: of every line to drop, the earliest line alike that stays; of the neighbourhoods of so many distinct lines."""
     gone = variants.where("place >= 0")
     swaps = kept(gone.groupBy("va", "vb", "place").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("va", "vb", "place", "first"))
@@ -132,7 +177,7 @@ def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
     swapped, longer = kept(swapped), kept(longer)
     decided = None
     left_s, left_l = swapped, longer
-    while True:
+    for n_round in count(1):
         first = left_s.groupBy("ga", "gb").agg(F.min("rank").alias("early"))
         ways = left_s.join(first, ["ga", "gb"]).select("rank", "early")
         ways = ways.unionByName(left_l.select("rank", F.col("whole").alias("early")))
@@ -149,9 +194,11 @@ def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
         out = out.unionByName(left_l.join(staying, F.col("rank") == F.col("kept")).select(F.col("whole").alias("rank")))
         now = kept(stay.unionByName(out.distinct().withColumn("stays", F.lit(False))))
         decided = now if decided is None else decided.unionByName(now)
-        done = small_side(now.select(F.col("rank").alias("done")), now.count(), sent_rows)
-        left_s = kept(left_s.join(done, F.col("rank") == F.col("done"), "left_anti"))
-        left_l = kept(left_l.join(done, F.col("rank") == F.col("done"), "left_anti").join(done, F.col("whole") == F.col("done"), "left_anti"))
+        left_s, left_l = undecided(left_s, left_l, now, sent_rows)
+        if n_round % rounds == 0 and not (left_s.isEmpty() and left_l.isEmpty()):
+            now = finished(left_s, left_l, sent_rows, finish_rows)
+            decided = decided.unionByName(now)
+            left_s, left_l = undecided(left_s, left_l, now, sent_rows)
     if decided is None:
         return swapped.select("rank", F.col("rank").alias("early")).where("false")
     # the earliest line that stays among those alike
@@ -164,7 +211,7 @@ def kept_lines(variants: DataFrame, lines: int, sent_rows: int) -> DataFrame:
     return found.where("early < rank").groupBy("rank").agg(F.min("early").alias("early"))
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS, rounds: int = ROUNDS, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """id, row, line, keep_id, keep_line, edits of every line to drop (row: a hash of id and text, which tells rows of one id apart)."""
     text = F.col(f"`{text_col}`")
     docs = df.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("row"), text.alias("text"))
@@ -184,7 +231,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # numbered in the order in which they stand, so that the earliest is the least
     lines = lines.select("cid", "text", "want_id", "want_line", "want_row").dropDuplicates(["cid"]).orderBy("want_id", "want_line", "want_row")
     lines = kept(lines.withColumn("rank", F.monotonically_increasing_id()))
-    near = kept_lines(neighbourhoods(lines), lines.count(), sent_rows)
+    near = kept_lines(neighbourhoods(lines), lines.count(), sent_rows, rounds, finish_rows)
     # verified on the words themselves
     words = lines.select("rank", "cid", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")), " ").alias("words_a"), F.struct(F.col("want_id").alias("id"), F.col("want_line").alias("line"), F.col("want_row").alias("row")).alias("at"))
     pairs = near.join(words.select("rank", "cid", "words_a"), "rank")

@@ -656,12 +656,30 @@ def test_chains_of_lines_keep_what_no_kept_line_is_like(spark):
     assert {i for i, *_ in want if i < 7} == {1, 3, 5}
     for sent in (500_000, 0):
         assert {tuple(r) for r in linedup.duplicate_lines(df, sent_rows=sent).drop("row").collect()} == want
+    for finish_rows in (20, 500_000):  # large components go on in rounds, small ones are finished
+        assert {tuple(r) for r in linedup.duplicate_lines(df, rounds=1, finish_rows=finish_rows).drop("row").collect()} == want
     left = linedup.drop_lines(df, linedup.duplicate_lines(df))
     assert left.columns == df.columns
     gone = {(i, n) for i, n, *_ in want}
     assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t for i, t in ((i, "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in texts) if t}
 
 
+def test_a_long_chain_of_lines_takes_few_rounds(spark, monkeypatch):
+    """A thousand lines, each one word from the next, are decided by as many tables as components take, which is by their logarithm."""
+    words = [f"w{k}" for k in range(8)]
+    chain = []
+    for n in range(1000):
+        words[n % 8] = f"x{n}"
+        chain.append(" ".join(words))
+    tables = []
+    for at in (linedup, minhash):
+        monkeypatch.setattr(at, "kept", lambda df, name="kept", keep=at.kept: tables.append(name) or keep(df, name))
+    df = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    got = {(r["doc_id"], r["keep_id"], r["edits"]) for r in linedup.duplicate_lines(df).collect()}
+    assert got == {(n, n - 1, 1) for n in range(1, 1000, 2)}
+    assert len(tables) < 100
+
+
 def test_line_dedup(spark, docs, empty):
     a, b = "alpha beta gamma delta epsilon zeta", "this line stands here and there again"
     texts = [(1, f"{a}\n{b}\n\nshort one"), (2, f"{a.upper()}\nx\nshort  one"), (3, "alpha beta gamma DELTA epsilon eta"), (4, "alpha beta gamma delta epsilon"), (5, "alpha beta gamma delta epsilon zeta eta"), (6, None), (7, ""), (8, "short two\none two three four\none two three five"), (9, b.replace("stands", "is")), (10, f"new text\n{b}"), (10, f"new text\n{b}"), (11, "p q r s t u\nq p r s t u\nr s t u p q")]
