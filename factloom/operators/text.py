@@ -153,9 +153,10 @@ def chunks(docs: DataFrame, limit: int = CHUNK, block_sep: str = "\n", id_col: s
     """id, idx, kind, text: headings and tables alone, paragraphs packed up to limit characters."""
     blocks = F.filter(F.transform(F.split("text", block_sep, -1), lambda b: F.btrim(b)), lambda b: b != "")
     alone = lambda b: b.rlike(r"^#{1,6} |^\|")
-    parts = F.flatten(F.transform(blocks, lambda b: F.when(alone(b), F.array(b)).otherwise(cut_long(b, limit))))
+    # blocks that stand alone are told before long ones are cut: what a cut leaves in front may look like one
+    parts = F.flatten(F.transform(blocks, lambda b: F.when(alone(b), F.array(F.concat(F.lit("\x1e"), b, F.lit("\x1e")))).otherwise(cut_long(b, limit))))
     # runs of paragraphs between blocks that stand alone
-    marked = F.transform(F.split(F.array_join(F.transform(parts, lambda b: F.when(alone(b), F.concat(F.lit("\x1e"), b, F.lit("\x1e"))).otherwise(b)), "\x1f"), "\x1e"), lambda run: F.filter(F.split(run, "\x1f"), lambda b: b != ""))
+    marked = F.transform(F.split(F.array_join(parts, "\x1f"), "\x1e"), lambda run: F.filter(F.split(run, "\x1f"), lambda b: b != ""))
     packed = F.flatten(F.transform(marked, lambda run: pack(run, limit)))
     out = docs.select(id_col, F.posexplode(packed).alias("idx", "text"))
     return out.select(id_col, "idx", F.when(F.col("text").rlike("^#{1,6} "), "heading").when(F.col("text").startswith("|"), "table").otherwise("paragraph").alias("kind"), "text")
