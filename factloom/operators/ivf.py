@@ -168,8 +168,8 @@ class Search:
         first = checkpointed(seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= FIRST_BLOCKS).select("query_id", "unit", "kth", "block", "size"))
         found = checkpointed(self._scored(first))
         kth = best_of(found, k + 1, F.desc("score"), F.asc("rep"), salt="rep").groupBy("query_id").agg(F.when(F.count("*") > k, F.min("score")).alias("found"))
-        again = self.queries.join(kth, "query_id", "left").withColumn("kth", F.greatest(F.coalesce("found", F.lit(float(min_score))), F.lit(float(min_score)))).drop("found")
-        more = self._reached(again, None).join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").select("query_id", "unit", "kth", "block", "size")
+        again = self.queries.join(kth.hint("merge"), "query_id", "left").withColumn("kth", F.greatest(F.coalesce("found", F.lit(float(min_score))), F.lit(float(min_score)))).drop("found")
+        more = self._reached(again, None).join(first.select("query_id", "block").hint("merge"), ["query_id", "block"], "left_anti").select("query_id", "unit", "kth", "block", "size")
         more = checkpointed(more)
         self.found = found.unionByName(self._scored(more))
         self.visits = first.unionByName(more)
@@ -232,7 +232,8 @@ class Search:
                         exact = (q[r] * data[c]).sum(1)  # summed row by row, so equal vectors have equal scores
                         yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(exact)], names=["query_id", "rep", "score"])
 
-        rows = asked.join(self.index.blocks.select("block", "ids", "data"), "block").select("asked", "ids", "data")
+        # a shuffle join: what is asked takes far more memory in rows than packed, by which it would be judged small enough to be sent through the driver
+        rows = asked.hint("merge").join(self.index.blocks.select("block", "ids", "data"), "block").select("asked", "ids", "data")
         schema = T.StructType([T.StructField("query_id", kind), T.StructField("rep", rep), T.StructField("score", T.DoubleType())])
         return rows.mapInArrow(task, schema).where(F.col("score") >= self.least)
 
