@@ -1,9 +1,10 @@
 """Density clustering of vectors: labels, outlier scores, the retry for all-noise results, and the condensed tree.
 
 Every step but the last is a job over cells of bounded size. Pivots (a bounded sample) split the points into cells, cells into
-chunks of CHUNK points. A point looks for neighbours in its own chunk first; that bounds how far away they can be, and by
-the triangle inequality most cells are then out of reach. What is left is compared chunk by chunk, in blocks of BLOCK
-points against one chunk, so no group grows with the data; results are exact, whatever the bounds save.
+chunks of CHUNK points. A point looks for neighbours in its own block first; that bounds how far away they can be, and by
+the triangle inequality most cells are then out of reach. What is left is compared by matrix products, in blocks of BLOCK
+points against TOGETHER chunks, so no group grows with the data, and blocks and chunks are sent packed; a product only tells
+which pairs may count, within what rounding can change, and those are measured again one by one, so results are exact.
 
 Edges weigh the greatest of their length and of both ends' core distances. The minimum spanning tree grows by rounds: each
 component takes its lightest edge to another one, known neighbours first, and only points whose list of neighbours can't rule out
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import query
-from factloom.session import checkpointed
+from factloom.session import checkpointed, small_side
 
 MIN_CLUSTER, NEIGHBOURS = 2, 16
-#: Pivots at most, points of a chunk, points that are compared with a chunk together.
-PIVOTS, CHUNK, BLOCK = 256, 1024, 4096
-POINT = "id long, v array<double>, cell int, chunk int"
+#: Pivots at most, points of a chunk, points of a block, chunks that a block is compared with in one task at most.
+PIVOTS, CHUNK, BLOCK, TOGETHER = 256, 1024, 16384, 128
+#: Pairs of a matrix product, pairs that are measured again together, what a sum of products may be off by, rows of a side that is sent to all tasks.
+TILE, PIECE, ROUNDING, SENT_ROWS = 1 << 18, 1 << 18, 1e-15, 200_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -41,8 +44,42 @@ def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
         yield i, np.sqrt((d * d).sum(2))
 
 
+def _gaps(a: np.ndarray, norms: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of rows of a (norms: their squared lengths) to b without those lengths, by one matrix product, and what each row's may be off by."""
+    far = (b * b).sum(1)
+    return np.hstack([-2.0 * a, np.ones((len(a), 1))]) @ np.vstack([b.T, far]), ROUNDING * (a.shape[1] + 4) * (norms + far.max(initial=0.0))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The distances of some pairs, summed as in `_distances`."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), PIECE):
+        d = a[row[i : i + PIECE]] - b[col[i : i + PIECE]]
+        out[i : i + PIECE] = np.sqrt((d * d).sum(1))
+    return out
+
+
+def _packed(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each group of bounded size, with each of its other columns (numbers, arrays of doubles) as bytes."""
+    others = [c for c in rows.columns if c not in by]
+
+    def pack(t: pa.Table) -> pa.Table:
+        flat = {c: t[c].combine_chunks() for c in others}
+        data = {c: (x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False).tobytes() for c, x in flat.items()}
+        return pa.table({c: t[c].slice(0, 1) for c in by} | {c: pa.array([x], pa.binary()) for c, x in data.items()})
+
+    return rows.groupBy(*by).applyInArrow(pack, ", ".join([*(f"{c} {t}" for c, t in rows.select(*by).dtypes), *(f"{c} binary" for c in others)]))
+
+
+def _unpacked(t: pa.Table, i: int, kinds: dict[str, type]) -> list[np.ndarray]:
+    """Columns of row i of a packed table; `v` comes last, by rows."""
+    own = [np.frombuffer(t[c][i].as_buffer(), kind) for c, kind in kinds.items()]
+    return [*own, np.frombuffer(t["v"][i].as_buffer(), np.float64).reshape(len(own[0]), -1)]
+
+
 class Cells:
-    """The points (id, v) in cells: `points` has their cell and chunk; pivots, radii and chunks of each cell are small arrays."""
+    """The points (id, v) in cells: `points` has their cell, chunk and block; pivots, radii and chunks of each cell are small arrays.
+    Chunks are looked through, blocks ask: a block is a part of a large cell, or several small ones whose pivots are close."""
 
     def __init__(self, points: DataFrame) -> None:
         spark = points.sparkSession
@@ -61,85 +98,167 @@ class Cells:
 
         placed = checkpointed(points.mapInPandas(assign, "id long, v array<double>, cell int, r double"))
         sizes = placed.groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()  # a row for each pivot
-        self.radius, self.chunks = np.full(len(self.pivots), -math.inf), np.ones(len(self.pivots), int)
+        self.radius, self.chunks, size = np.full(len(self.pivots), -math.inf), np.ones(len(self.pivots), int), np.zeros(len(self.pivots), int)
         for x in sizes:
-            self.radius[x["cell"]], self.chunks[x["cell"]] = x["r"], -(-x["n"] // CHUNK)
-        many = F.element_at(F.array(*[F.lit(int(c)) for c in self.chunks]), F.col("cell") + 1) if len(self.chunks) else F.lit(1)
-        self.points = checkpointed(placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), many).cast("int").alias("chunk")))
+            self.radius[x["cell"]], self.chunks[x["cell"]], size[x["cell"]] = x["r"], -(-x["n"] // CHUNK), x["n"]
+        first, parts = self._dealt(size)
+        at = lambda x: F.element_at(F.array(*[F.lit(int(c)) for c in x]), F.col("cell") + 1) if len(x) else F.lit(1)
+        part = lambda x: F.pmod(F.xxhash64("id"), at(x)).cast("int")
+        self.points = checkpointed(placed.select("id", "v", "cell", part(self.chunks).alias("chunk"), (at(first) + part(parts)).cast("int").alias("block")))
+        # chunks that a block looks through in one task
+        self.together = min(TOGETHER, max(8, int(self.chunks.sum()) // 6))
+
+    def _dealt(self, size: np.ndarray) -> tuple[list[int], list[int]]:
+        """Each cell's first block, and how many it has, with cells taken by way of the nearest pivot that is left."""
+        first, parts, block, held = [0] * len(size), [1] * len(size), 0, 0
+        left, at = set(range(len(size))), 0
+        while left:
+            left.discard(at)
+            if held and held + size[at] > BLOCK:
+                block, held = block + 1, 0
+            first[at], parts[at] = block, max(1, -(-int(size[at]) // BLOCK))
+            block, held = (block, held + size[at]) if parts[at] == 1 else (block + parts[at], 0)
+            rest = sorted(left)
+            at = rest[int(np.nan_to_num(((self.pivots[rest] - self.pivots[at]) ** 2).sum(1), nan=math.inf).argmin())] if rest else at
+        return first, parts
+
+    def reached(self, v: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which cells may hold a point within the bound of each row of v."""
+        return np.concatenate([d - self.radius <= bound[i : i + len(d), None] * (1 + 1e-9) + 1e-12 for i, d in _distances(v, self.pivots)])
 
-    def visits(self, queries: DataFrame) -> DataFrame:
-        """queries (with v, bound) once for each chunk that may hold a point within their bound: tcell, tchunk."""
-        radius, chunks, sent = self.radius, self.chunks, queries.sparkSession.sparkContext.broadcast(self.pivots)
+    def compare(self, queries: DataFrame, members: DataFrame, kernel, schema: str) -> DataFrame:
+        """kernel(queries, members) for each block of queries (block, id, v, bound and more) and some of the chunks of members (cell, chunk, id, v and more) that it may reach, all packed."""
+        chunks, seen = self.chunks, _Seen(self)
 
-        def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
-                    for i, d in _distances(np.stack(f["v"]), sent.value):
-                        row, cell = np.nonzero(d - radius <= f["bound"].to_numpy()[i : i + len(d), None] * (1 + 1e-9) + 1e-12)
-                        again = np.repeat(np.arange(len(row)), chunks[cell])
-                        first = np.cumsum(chunks[cell]) - chunks[cell]
-                        yield f.iloc[i + row[again]].assign(tcell=cell[again], tchunk=np.arange(len(again)) - first[again])
+                    row, cell = np.nonzero(seen.reached(np.stack(f["v"]), f["bound"].to_numpy()))
+                    yield pd.DataFrame({"block": f["block"].to_numpy()[row], "cell": cell}).drop_duplicates()
 
-        fields = ", ".join(f"{c} {t}" for c, t in queries.dtypes)
-        return queries.mapInPandas(reach, f"{fields}, tcell int, tchunk int")
-
-    def compare(self, queries: DataFrame, members: DataFrame, kernel, schema: str) -> DataFrame:
-        """kernel(queries, members) for each chunk and each block of at most about BLOCK of the queries that visit it."""
-        v = checkpointed(self.visits(queries))
-        blocks = v.groupBy("tcell", "tchunk").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-        left = v.join(blocks, ["tcell", "tchunk"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-        right = members.join(blocks.withColumnsRenamed({"tcell": "cell", "tchunk": "chunk"}), ["cell", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        return left.groupBy("tcell", "tchunk", "block").cogroup(right.groupBy("cell", "chunk", "block")).applyInPandas(kernel, schema)
+        queries = checkpointed(queries)
+        met = queries.select("block", "v", "bound").mapInPandas(visit, "block int, cell int").distinct()
+        many = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1) if len(chunks) else F.lit(1)
+        met = checkpointed(met.select("block", "cell", F.explode(F.sequence(F.lit(0), many - 1)).alias("chunk")))
+        parts = met.groupBy("block").agg(F.ceil(F.count("*") / self.together).cast("int").alias("parts"))
+        met = met.join(parts, "block").select("block", "cell", "chunk", F.pmod(F.xxhash64("cell", "chunk"), F.col("parts")).cast("int").alias("part"))
+        left = _packed(queries, "block").join(met.select("block", "part").distinct(), "block")
+        # chunks are sent to where they are asked for in one shuffle, if the list of who asks is small
+        right = _packed(members, "cell", "chunk").join(small_side(met, SENT_ROWS), ["cell", "chunk"])
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(kernel, schema)
 
 
 def nearest(cells: Cells, k: int) -> DataFrame:
     """id, near: the k nearest other points of each, as (dist, id) in order."""
+    seen = _Seen(cells)
 
     def own(f: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(f["v"])
-        bound = np.full(len(f), math.inf)
+        bound, norms = np.full(len(f), math.inf), (v * v).sum(1)
         if len(f) > k:
-            for i, d in _distances(v, v):
-                bound[i : i + len(d)] = np.partition(d, k, 1)[:, k]  # itself is one of them
-        return f[["id", "v"]].assign(bound=bound)
-
-    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(m):
-            return pd.DataFrame({"id": [], "other": [], "dist": []})
-        a, ids, out = np.stack(q["v"]), m["id"].to_numpy(), []
-        for i, d in _distances(a, np.stack(m["v"])):
-            mine = q["id"].to_numpy()[i : i + len(d)]
-            d[mine[:, None] == ids[None, :]] = math.inf
-            take = np.argpartition(d, min(k, d.shape[1]) - 1, 1)[:, :k]
-            tied = d <= np.take_along_axis(d, take, 1).max(1, keepdims=True)
-            row, col = np.nonzero(tied & np.isfinite(d))
-            out.append(pd.DataFrame({"id": mine[row], "other": ids[col], "dist": d[row, col]}))
-        return pd.concat(out)
-
-    bounds = cells.points.groupBy("cell", "chunk").applyInPandas(own, "id long, v array<double>, bound double")
-    found = cells.compare(bounds, cells.points, kernel, "id long, other long, dist double")
+            step = max(1, TILE // len(f))
+            for i in range(0, len(f), step):
+                d, off = _gaps(v[i : i + step], norms[i : i + step], v)
+                with np.errstate(invalid="ignore"):
+                    d = np.partition(d, k, 1)[:, k] + norms[i : i + step] + 2 * off  # itself is one of them
+                bound[i : i + step] = np.sqrt(np.maximum(np.nan_to_num(d, nan=math.inf), 0.0))
+        return f[["block", "id", "v"]].assign(bound=bound)
+
+    def best(row: np.ndarray, other: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k first of each row by distance, then id."""
+        order = np.lexsort((other, dist, row))
+        row, other, dist = row[order], other[order], dist[order]
+        start = np.r_[0, np.flatnonzero(np.diff(row)) + 1] if len(row) else np.zeros(0, int)
+        rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        return row[rank < k], other[rank < k], dist[rank < k]
+
+    def kernel(q: pa.Table, m: pa.Table) -> pa.Table:
+        held = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+        ids = np.zeros(0, np.int64)
+        if q.num_rows and m.num_rows:
+            ids, bound, a = _unpacked(q, 0, {"id": np.int64, "bound": np.float64})
+            bound, norms, near, new, n = bound.copy(), (a * a).sum(1), seen.reached(a, bound), [], 0
+            for j, cell in enumerate(m["cell"].to_pylist()):
+                others, b = _unpacked(m, j, {"id": np.int64})
+                mine = np.flatnonzero(near[:, cell])
+                step = max(1, TILE // len(b))
+                for i in range(0, len(mine), step):
+                    rows = mine[i : i + step]
+                    gap, off = _gaps(a[rows], norms[rows], b)
+                    with np.errstate(invalid="ignore"):
+                        row, col = np.nonzero(~(gap > (bound[rows] ** 2 * (1 + 1e-12) - norms[rows] + off)[:, None]))
+                    row = rows[row]
+                    dist = _exact(a, b, row, col)
+                    ok = np.isfinite(dist) & (ids[row] != others[col])
+                    new.append((row[ok], others[col[ok]], dist[ok]))
+                    n += len(new[-1][0])
+                    if n >= PIECE:
+                        held, new, n = best(*(np.concatenate(x) for x in zip(held, *new, strict=True))), [], 0
+                        full = np.bincount(held[0], minlength=len(a)) == k
+                        last = np.r_[np.flatnonzero(np.diff(held[0])), len(held[0]) - 1] if len(held[0]) else np.zeros(0, int)
+                        last = last[full[held[0][last]]]
+                        bound[held[0][last]] = np.minimum(bound[held[0][last]], held[2][last])
+            held = best(*(np.concatenate(x) for x in zip(held, *new, strict=True)))
+        return pa.table({"id": ids[held[0]], "other": held[1], "dist": held[2]})
+
+    bounds = cells.points.select("block", "id", "v").groupBy("block").applyInPandas(own, "block int, id long, v array<double>, bound double")
+    found = cells.compare(bounds, cells.points.select("cell", "chunk", "id", "v"), kernel, "id long, other long, dist double")
     near = F.slice(F.sort_array(F.collect_list(F.struct("dist", F.col("other").alias("id")))), 1, k)
     return checkpointed(found.groupBy("id").agg(near.alias("near")))
 
 
-def _lightest(cells: Cells, need: DataFrame, cores: DataFrame) -> DataFrame:
-    """comp, w, lo, hi, other: for each component of the points (id, v, core, comp, bound) the lightest edge to another one within the bound."""
-    best = "comp long, w double, lo long, hi long, other long"
+class _Seen:
+    """What tasks need of the cells to tell which of them a point may reach."""
+
+    def __init__(self, cells: Cells) -> None:
+        self.pivots, self.radius = cells.pivots, cells.radius
 
-    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []})]
-        if len(q) and len(m):
-            core, comp, ids = m["core"].to_numpy(), m["comp"].to_numpy(), m["id"].to_numpy()
-            for i, d in _distances(np.stack(q["v"]), np.stack(m["v"])):
-                part = q.iloc[i : i + len(d)]
-                w = np.maximum(np.maximum(d, part["core"].to_numpy()[:, None]), core[None, :])
-                w[part["comp"].to_numpy()[:, None] == comp[None, :]] = math.inf
-                row, col = np.nonzero((w <= w.min(1, keepdims=True)) & np.isfinite(w))
-                a, b = part["id"].to_numpy()[row], ids[col]
-                out.append(pd.DataFrame({"comp": part["comp"].to_numpy()[row], "w": w[row, col], "lo": np.minimum(a, b), "hi": np.maximum(a, b), "other": comp[col]}))
-        return pd.concat(out).sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+    reached = Cells.reached
 
-    return cells.compare(need, cells.points.join(cores, "id"), kernel, best)
+
+def _lightest(cells: Cells, need: DataFrame, cores: DataFrame) -> DataFrame:
+    """comp, w, lo, hi, other: for each component of the points (block, id, v, core, comp, bound) the lightest edge to another one within the bound."""
+    best, seen = "comp long, w double, lo long, hi long, other long", _Seen(cells)
+
+    def first(f: pd.DataFrame) -> pd.DataFrame:
+        return f.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+
+    def kernel(q: pa.Table, m: pa.Table) -> pa.Table:
+        held = pd.DataFrame({"comp": np.zeros(0, np.int64), "w": np.zeros(0), "lo": np.zeros(0, np.int64), "hi": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
+        if q.num_rows and m.num_rows:
+            ids, core, comp, bound, a = _unpacked(q, 0, {"id": np.int64, "core": np.float64, "comp": np.int64, "bound": np.float64})
+            names, own = np.unique(comp, return_inverse=True)
+            least = np.full(len(names), math.inf)  # the lightest edge of each component so far
+            np.minimum.at(least, own, bound)
+            norms, near = (a * a).sum(1), seen.reached(a, bound)
+            for j, cell in enumerate(m["cell"].to_pylist()):
+                others, its_core, its_comp, b = _unpacked(m, j, {"id": np.int64, "core": np.float64, "comp": np.int64})
+                mine = np.flatnonzero(near[:, cell])
+                step = max(1, TILE // len(b))
+                for i in range(0, len(mine), step):
+                    rows = mine[i : i + step]
+                    gap, off = _gaps(a[rows], norms[rows], b)
+                    apart = comp[rows][:, None] != its_comp[None, :]
+                    limit = lambda: (least[own[rows]] ** 2 * (1 + 1e-12) - norms[rows] + off)[:, None]  # noqa: B023, E731
+                    with np.errstate(invalid="ignore"):
+                        hit = ~(gap > limit()) & apart
+                        if np.count_nonzero(hit) > PIECE:  # each point's lightest edge here bounds its component's
+                            w = np.maximum(np.maximum(gap + (norms[rows] + 2 * off)[:, None], (core[rows] ** 2)[:, None]), (its_core**2)[None, :])
+                            w = np.where(apart & np.isfinite(w), w, math.inf).min(1)
+                            np.minimum.at(least, own[rows], np.sqrt(np.maximum(w, 0.0)) * (1 + 1e-12))
+                            hit = ~(gap > limit()) & apart
+                    row, col = np.nonzero(hit)
+                    for at in range(0, len(row), PIECE):
+                        r, c = rows[row[at : at + PIECE]], col[at : at + PIECE]
+                        w = np.maximum(np.maximum(_exact(a, b, r, c), core[r]), its_core[c])
+                        ok = np.isfinite(w) & (w <= least[own[r]])
+                        r, c, w = r[ok], c[ok], w[ok]
+                        new = pd.DataFrame({"comp": comp[r], "w": w, "lo": np.minimum(ids[r], others[c]), "hi": np.maximum(ids[r], others[c]), "other": its_comp[c]})
+                        held = first(pd.concat([held, first(new)]))
+                        np.minimum.at(least, own[r], w)
+        return pa.Table.from_pandas(held, preserve_index=False)
+
+    return cells.compare(need, cells.points.join(cores, "id").select("cell", "chunk", "id", "v", "core", "comp"), kernel, best)
 
 
 def spanning_tree(cells: Cells, near: DataFrame, min_samples: int) -> DataFrame:
@@ -160,9 +279,11 @@ def spanning_tree(cells: Cells, near: DataFrame, min_samples: int) -> DataFrame:
         known = checkpointed(known.groupBy("comp").agg(first).select("comp", "x.*"))
         # points that may have a lighter edge than their component knows: what isn't in their list is at least `far` away
         need = stats.join(comp, "id").join(known.select("comp", F.col("w").alias("bound")), "comp", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
-        need = need.where((F.greatest("core", "far") <= F.col("bound")) & (F.col("far") < math.inf)).select("id", "core", "comp", "bound")
-        found = _lightest(cells, need.join(cells.points.select("id", "v"), "id"), comp.join(core, "id"))
-        best = checkpointed(known.unionByName(found).groupBy("comp").agg(first).select("comp", "x.*"))
+        need = checkpointed(need.where((F.greatest("core", "far") <= F.col("bound")) & (F.col("far") < math.inf)).select("id", "core", "comp", "bound"))
+        if not need.isEmpty():
+            found = _lightest(cells, need.join(cells.points.select("id", "v", "block"), "id").select("block", "id", "core", "comp", "bound", "v"), comp.join(core, "id"))
+            known = known.unionByName(found)
+        best = checkpointed(known.groupBy("comp").agg(first).select("comp", "x.*"))
         new = checkpointed(best.select("lo", "hi", "w").distinct())
         tree, taken = new if tree is None else tree.unionByName(new), taken + new.count()
         comp = comp.join(joined(best.select("comp", "other")), "comp").select("id", F.col("label").alias("comp"))
