@@ -36,6 +36,8 @@ CANDIDATES = 3
 SLACK, EPSILON = 1e-7, 1e-9
 #: Rows of a side that is sent to all tasks at most.
 SENT_ROWS = 200_000
+#: Numbers in the vectors of queries that are sent to all tasks at most (48 MB).
+SENT_NUMBERS = 6_000_000
 
 
 @dataclass
@@ -156,20 +158,29 @@ class Search:
         """own: what of query_id is the id of a vector that the query mustn't find."""
         self.index, self.k, self.least, self.same, self.own = index, k, min_score, same, F.col("query_id") if own is None else own
         q = queries.select("query_id", F.col("query").cast("array<double>").alias("v"), *same)
-        self.queries = q.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        q = q.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        self.queries = checkpointed(q.withColumn("n__", F.monotonically_increasing_id()))
         self.shells = index.blocks.select(*same, "cell", "block", "lo", "hi", "size")
-        self.groups = max(1, -(-self.queries.count() // TOGETHER))
+        asked = self.queries.count()
+        self.groups = max(1, -(-asked // TOGETHER))
         if not len(index.pivots) or not index.total:
             self.visits = None
             return
+        # a query's vector would stand in each of its visits: where they are few, all go to each task once and visits have their numbers
+        self.sent, self.kind = None, T.BinaryType()
+        if asked * index.pivots.shape[1] <= SENT_NUMBERS:
+            t = self.queries.select("n__", "v").toArrow()
+            ns, vs = t["n__"].to_numpy(), units(matrix(t["v"].combine_chunks(), index.pivots.shape[1]))
+            order = np.argsort(ns)
+            self.sent, self.kind = queries.sparkSession.sparkContext.broadcast((ns[order], vs[order])), T.LongType()
         start = self.queries.withColumn("kth", F.lit(float(min_score)))
         seen = self._reached(start, FIRST_CELLS)
         near = Window.partitionBy("query_id").orderBy("gap", "block")
-        first = checkpointed(seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= FIRST_BLOCKS).select("query_id", "unit", "kth", "block", "size"))
+        first = checkpointed(seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= FIRST_BLOCKS).select("query_id", "asks", "kth", "block", "size"))
         found = checkpointed(self._scored(first))
         kth = best_of(found, k + 1, F.desc("score"), F.asc("rep"), salt="rep").groupBy("query_id").agg(F.when(F.count("*") > k, F.min("score")).alias("found"))
         again = self.queries.join(kth.hint("merge"), "query_id", "left").withColumn("kth", F.greatest(F.coalesce("found", F.lit(float(min_score))), F.lit(float(min_score)))).drop("found")
-        more = self._reached(again, None).join(first.select("query_id", "block").hint("merge"), ["query_id", "block"], "left_anti").select("query_id", "unit", "kth", "block", "size")
+        more = self._reached(again, None).join(first.select("query_id", "block").hint("merge"), ["query_id", "block"], "left_anti").select("query_id", "asks", "kth", "block", "size")
         more = checkpointed(more)
         self.found = found.unionByName(self._scored(more))
         self.visits = first.unionByName(more)
@@ -177,8 +188,8 @@ class Search:
     def _reached(self, queries: DataFrame, cells: int | None) -> DataFrame:
         """The blocks whose bound reaches the query's kth score: of its nearest `cells`, or of all."""
         at = queries.sparkSession.sparkContext.broadcast((self.index.pivots, self.index.lo, self.index.hi))  # MAX_PIVOTS vectors at most
-        kind, same = queries.schema["query_id"].dataType, self.same
-        fields = [T.StructField("query_id", kind), *(queries.schema[c] for c in same), T.StructField("unit", T.BinaryType()), T.StructField("kth", T.DoubleType()), T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+        kind, same, numbered = queries.schema["query_id"].dataType, self.same, self.sent is not None
+        fields = [T.StructField("query_id", kind), *(queries.schema[c] for c in same), T.StructField("asks", self.kind), T.StructField("kth", T.DoubleType()), T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots, lo, hi = at.value
@@ -202,26 +213,31 @@ class Search:
                     for a in range(0, len(row), 10_000):
                         r, c = row[a : a + 10_000], cell[a : a + 10_000]
                         take = pa.array(r + i)
-                        data = pa.array([u[x].tobytes() for x in (r + i).tolist()], pa.binary())
+                        data = batch.column(batch.schema.get_field_index("n__")).take(take) if numbered else pa.array([u[x].tobytes() for x in (r + i).tolist()], pa.binary())
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(batch.column(batch.schema.get_field_index(s)).take(take) for s in same), data, pa.array(kth[r + i]), pa.array(c.astype(np.int32)), pa.array(far[r, c])], names=[f.name for f in fields])
 
-        pairs = queries.select("query_id", *same, "v", "kth").mapInArrow(task, T.StructType(fields))
+        pairs = queries.select("query_id", *same, "v", "kth", "n__").mapInArrow(task, T.StructType(fields))
         met = pairs.join(small_side(self.shells, SENT_ROWS), ["cell", *same])
         gap = F.greatest(F.col("lo") - F.col("angle"), F.col("angle") - F.col("hi"), F.lit(0.0))
         reach = F.cos(F.greatest(gap - SLACK, F.lit(0.0))) >= F.col("kth") - EPSILON
-        return met.where(reach).select("query_id", "unit", "kth", "block", "size", gap.alias("gap"))
+        return met.where(reach).select("query_id", "asks", "kth", "block", "size", gap.alias("gap"))
 
     def _scored(self, visits: DataFrame) -> DataFrame:
         """query_id, rep, score: the k + 1 best of each visited block, not under the query's kth score."""
         k, kind, rep = self.k + 1, visits.schema["query_id"].dataType, self.index.blocks.schema["ids"].dataType.elementType
-        asked = visits.groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(self.groups)).alias("g")).agg(F.collect_list(F.struct("query_id", "unit", "kth")).alias("asked"))
+        asked = visits.groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(self.groups)).alias("g")).agg(F.collect_list(F.struct("query_id", "asks", "kth")).alias("asked"))
+        sent = self.sent
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for n in range(batch.num_rows):
                     asked, ids = batch.column(0)[n].values, batch.column(1)[n].values
                     data = np.frombuffer(batch.column(2)[n].as_buffer(), np.float64).reshape(len(ids), -1)
-                    q = np.frombuffer(b"".join(asked.field("unit").to_pylist()), np.float64).reshape(-1, data.shape[1])
+                    if sent is None:
+                        q = np.frombuffer(b"".join(asked.field("asks").to_pylist()), np.float64).reshape(-1, data.shape[1])
+                    else:
+                        ns, vs = sent.value
+                        q = vs[np.searchsorted(ns, asked.field("asks").to_numpy())]
                     least = asked.field("kth").to_numpy() - EPSILON
                     near = q @ data.T
                     if k < near.shape[1]:
